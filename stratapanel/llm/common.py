@@ -85,6 +85,16 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Da
     return rows.join(hot, key).unionByName(few.join(cold, key))
 
 
+#: Key lists up to this length are broadcast for a semi-join (some tens of MB); longer ones are joined by a shuffle.
+FEW_KEYS = 1_000_000
+
+
+def only_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is among ``keys`` (a written table, one row per key); wide rows move only where the list is long."""
+    few = keys.count() <= FEW_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Label every node of ``edges`` with the smallest node it reaches: columns ``node`` and ``component``.
 

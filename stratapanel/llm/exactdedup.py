@@ -5,7 +5,7 @@
    bucket; while a bucket holds more hashes than its capacity it is split by one more leading bit, which doubles the
    directory.  Local depth of a slot = fewest leading bits whose bucket fits.
 3. Index files are dealt to owner tasks by bucket and sorted by hash, so that a bucket is a run of one file.
-4. Hashes that occur once need no text.  For the others the texts themselves are compared: grouping by (hash, text) chains
+4. Hashes that occur once need no text: they are left out by a semi-join, whose key list is broadcast while it is short.  For the others the texts themselves are compared: grouping by (hash, text) chains
    different texts that collide on a hash, again with partial aggregation, so a group of any number of copies is one row
    per map task.
 5. Rows find their group by hash (hot groups by a bounded broadcast); only rows of colliding hashes also compare the text.
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, materialise, text_of
+from .common import attach_groups, materialise, only_keys, text_of
 
 #: Hashes that a bucket of the index may hold, and the longest prefix the directory may use (it has 2**MAX_DEPTH slots at most).
 CAPACITY = 4096
@@ -62,7 +62,7 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", cap
     index = build_index(rows, capacity)
     repeated = index.where("n > 1").select("h")
     texts = docs.select(F.col(ident).alias("id"), body.alias("body")).withColumn("h", F.xxhash64("body"))
-    chains = texts.join(repeated, "h", "left_semi").groupBy("h", "body").agg(F.count("*").alias("n"), F.max("id").alias("keep"))
+    chains = only_keys(texts, repeated, "h").groupBy("h", "body").agg(F.count("*").alias("n"), F.max("id").alias("keep"))
     chains = materialise(chains.select("h", "n", "keep", F.sha2("body", 256).alias("sha"), F.length("body").alias("chars")), "hash-chains")
     links = chains.groupBy("h").agg(F.count("*").alias("links"), F.max("n").alias("n"), F.max("keep").alias("keep"))
     groups = materialise(index.where("n = 1").select("h", "n", "keep").unionByName(links.where("links = 1").select("h", "n", "keep")), "hash-groups")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embjoin, exactdedup, langid, minhash, mixing, toxicity, warc
+from . import chat, embjoin, exactdedup, langid, minhash, mixing, pieces, toxicity, warc
 from .common import new_path, table
 
 
@@ -23,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash": op1_minhash,
         "op2_langid": op2_langid,
         "op3_toxicity": op3_toxicity,
+        "op4_pieces": op4_pieces,
         "op5_mixing": op5_mixing,
         "op6_warc": op6_warc,
         "op7_embedding_dedup": op7_embedding_dedup,
