@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embjoin, exactdedup, langid, minhash, mixing, pieces, toxicity, warc
+from . import chat, embjoin, exactdedup, langid, minhash, mixing, pieces, pii, toxicity, warc
 from .common import new_path, table
 
 
@@ -53,6 +53,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_chat": op8_chat,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_pii": op10_pii,
     }
 
 
