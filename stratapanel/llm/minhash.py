@@ -10,7 +10,8 @@ Search: documents with equal sets of shingles are one class.  Bands of the signa
 all pairs are compared: in each round every bucket names a leader, first its most central member, and members of other
 components are compared with the leader by the exact Jaccard similarity of their shingle sets; links found merge components.
 Only pairs that lie in one bucket and still in different components can add a link, so the rounds go on until the pairs left
-are few, which are then compared one by one.  Components are therefore those of all links among bucket mates.
+are no burden, and then all of these are taken.  Before the exact comparison, pairs are weighed inside the join by one bit of
+each coordinate, a few 64-bit words: a pair goes on unless its bits are 4.5 standard deviations below those of a link.
 
 Cases: texts with fewer than five words have one shingle, all their words; null and empty texts have none, are no copies of
 anything and stay; repeated rows (same id) are one document; null ids are given back as their own class; an empty table gives an
@@ -32,8 +33,8 @@ from .textvec import chunks, mix64, words
 
 SHINGLE = 5
 LEAST = 0.8
-#: BANDS bands of ROWS coordinates: a pair at the threshold shares no bucket with a probability below one in a million.
-BANDS, ROWS = 36, 5
+#: BANDS bands of ROWS coordinates: a pair right at the threshold shares no bucket with a probability of 1.2 in 100,000.
+BANDS, ROWS = 48, 7
 _CHARS = 2_000_000
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 _PRIMES = [np.uint64(p) for p in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -124,7 +125,10 @@ def _sketches(bands: int, rows: int, weighted: bool):
                 band = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(texts), bands)).copy()
                 for j in range(rows):
                     band = mix64(band * _PRIMES[0] + sig[:, :, j])
-                yield pd.DataFrame({"id": ids.iloc[at : at + len(texts)].to_numpy(), "n": n, "fp1": prints[0], "fp2": prints[1], "bands": list(band.view(np.int64))})
+                flat = (mix64(sig.reshape(len(texts), k)) >> np.uint64(63)).astype(np.uint8)
+                flat = np.pad(flat, ((0, 0), (0, -k % 64)))
+                bits = np.packbits(flat, axis=1).view(np.int64)
+                yield pd.DataFrame({"id": ids.iloc[at : at + len(texts)].to_numpy(), "n": n, "fp1": prints[0], "fp2": prints[1], "bands": list(band.view(np.int64)), "bits": list(bits)})
 
     return run
 
@@ -138,69 +142,87 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sketch(docs: DataFrame, ident: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """``id``, number of shingles ``n``, a 128-bit print of the shingle set (``fp1``, ``fp2``) and the band hashes ``bands``.
+    """``id``, number of shingles ``n``, a 128-bit print of the shingle set (``fp1``, ``fp2``), the band hashes
+    ``bands``, and one bit of each coordinate in the words ``bits``.
 
     ``weighted`` counts repeated shingles as weights instead of once.
     """
     rows_ = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows_.mapInPandas(_sketches(bands, rows, weighted), "id long, n long, fp1 long, fp2 long, bands array<long>")
+    return rows_.mapInPandas(_sketches(bands, rows, weighted), "id long, n long, fp1 long, fp2 long, bands array<long>, bits array<long>")
+
+
+def _similar(s: str, t: str, least: float) -> F.Column:
+    """Whether two shingle sets have a Jaccard similarity of at least ``least``; sizes too far apart are not intersected."""
+    n, m = F.size(s), F.size(t)
+    both = F.size(F.array_intersect(s, t))
+    return (F.least(n, m) >= F.lit(least) * F.greatest(n, m)) & (both >= F.lit(least) * (n + m - both))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of classes whose shingle sets have a Jaccard similarity of at least ``least``."""
+    """Pairs (a, b) of classes whose shingle sets are similar."""
     a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    na, nb = F.size("sa"), F.size("sb")
-    near = pairs.join(a, "a").join(b, "b").where((F.least(na, nb) >= F.lit(least) * F.greatest(na, nb)))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return near.where(both >= F.lit(least) * (na + nb - both)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(_similar("sa", "sb", least)).select("a", "b")
 
 
-def _ordered(x: str, y: str) -> list[F.Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _likely(words: int, k: int, least: float) -> F.Column:
+    """Whether the bits ``x0 ..`` and ``y0 ..`` may be those of a link: each agrees with a probability of (1 + similarity) / 2."""
+    p = (1 + least) / 2
+    most = k * (1 - p) + 4.5 * math.sqrt(k * p * (1 - p))
+    off = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, words)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    return off <= most
 
 
-def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 20, rounds: int = 8) -> DataFrame:
+def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8) -> DataFrame:
     """One row per document: the id, ``class_id`` (smallest id with the same shingle set), ``group_id`` (smallest id of its
     component of links), ``kept`` (id = group_id).
 
     Leader rounds stop after ``rounds``, or when fewer than ``spare`` pairs per bucket member are open; then all open pairs are
-    compared, so that both are no bounds on what is found.
+    weighed, so that both are no bounds on what is found.
     """
+    words = -(-bands * rows // 64)
+    x, y = [f"x{i}" for i in range(words)], [f"y{i}" for i in range(words)]
+    likely = _likely(words, bands * rows, least)
     made = materialise(sketch(docs, ident, text, bands, rows), "dart-sketches")
     classes = materialise(made.where("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "dart-classes")
     one = made.where("n > 0").join(classes.select("fp1", "fp2", F.col("rep").alias("id")), ["fp1", "fp2", "id"], "left_semi").dropDuplicates(["id"])
-    placed = one.select("id", F.explode("bands").alias("key"))
+    one = one.select("id", "bands", *[F.col("bits")[i].alias(x[i]) for i in range(words)])
+    placed = one.select("id", F.explode("bands").alias("key"), *x)
     filled = placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     mates = materialise(placed.join(filled, "key"), "dart-buckets")
     central = mates.groupBy("id").agg(F.sum("m").alias("central"))
-    lead = mates.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("neg"))).alias("top"))
-    lead = lead.select("key", (-F.col("top.neg")).alias("leader"))
+    lead = mates.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("neg"), *x)).alias("top"))
+    lead = lead.select("key", (-F.col("top.neg")).alias("lead"), *[F.col(f"top.{c}").alias(d) for c, d in zip(x, y, strict=True)])
+    pair = [F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")]
+    tried = materialise(mates.join(lead, (mates["key"] == lead["key"]) & (F.col("id") != F.col("lead")) & likely).select(*pair).distinct(), "dart-pairs")
     need = mates.select("id").distinct()
     sets = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = materialise(sets.join(need, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(_sets, "id long, s array<long>"), "dart-sets")
-    tried = materialise(mates.join(lead, "key").where("id != leader").select(*_ordered("id", "leader")).distinct(), "dart-pairs")
     links = materialise(_verified(tried, sets, least), "dart-links")
     for number in range(rounds + 1):
         comps = connected_components(links, "a", "b")
-        state = mates.select("key", "id").join(comps, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+        state = mates.drop("m").join(comps, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"), *x)
         held = state.groupBy("key", "comp").agg(F.count("*").alias("c"))
         mixed = held.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max(F.struct("c", "comp")).alias("main")).where("m * m > q")
         state = materialise(state.join(mixed.select("key", "m", "q", F.col("main.comp").alias("main")), "key"), "dart-open")
-        # counted once per component and bucket, as each row stands for m - (its component's size) others
+        # each of the m rows of a bucket stands for its share of the bucket's open pairs
         left = state.agg(F.count("*"), F.sum((F.col("m") * F.col("m") - F.col("q")) / (2 * F.col("m")))).head()
         if not left[0]:
             break
         last = number == rounds or left[1] <= spare * left[0]
         if last:
-            x, y = state.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), state.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-            fresh = x.join(y, "key").where("a < b and ca != cb").select("a", "b").distinct()
+            # the sets travel with the rows, so that the join itself gives links only, however many pairs are close to one
+            left_ = state.select("key", "id", "comp", *x).join(sets, "id")
+            right = left_.select(F.col("key").alias("k2"), F.col("id").alias("lead"), F.col("comp").alias("at"), F.col("s").alias("s2"), *[F.col(c).alias(d) for c, d in zip(x, y, strict=True)])
+            met = (F.col("key") == F.col("k2")) & (F.col("id") < F.col("lead")) & (F.col("comp") != F.col("at")) & likely & _similar("s", "s2", least)
+            more = materialise(left_.join(right, met).select(*pair).distinct(), "dart-links")
         else:
-            pick = state.where("comp != main").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(number)).alias("r"), "id", "comp")).alias("p"))
-            fresh = state.join(pick, "key").where("comp != p.comp").select(*_ordered("id", "p.id")).distinct()
-        fresh = materialise(fresh.join(tried, ["a", "b"], "left_anti"), "dart-pairs")
-        more = materialise(_verified(fresh, sets, least), "dart-links")
-        if not last:
+            turn = F.struct(F.xxhash64("id", "key", F.lit(number)).alias("turn"), "id", "comp", *x)
+            other = state.where("comp != main").groupBy("key").agg(F.min(turn).alias("p"))
+            other = other.select("key", F.col("p.id").alias("lead"), F.col("p.comp").alias("at"), *[F.col(f"p.{c}").alias(d) for c, d in zip(x, y, strict=True)])
+            met = (state["key"] == other["key"]) & (F.col("comp") != F.col("at")) & likely
+            fresh = materialise(state.join(other, met).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "dart-pairs")
+            more = materialise(_verified(fresh, sets, least), "dart-links")
             tried = materialise(tried.unionByName(fresh), "dart-pairs")
         links = materialise(links.unionByName(more), "dart-links")
         drop_table(state)
