@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .registered import along
 
-def oracle_sql() -> dict:
-    return {}
+_MODULES = (along,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for module in _MODULES for name, (run, _) in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}

@@ -31,9 +31,10 @@ def higher_of(a: Column, b: Column) -> Column:
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
-    """floor(x * 10**digits + 0.5) / 10**digits, without a negative zero: the same in every engine."""
+    """Rounding that is the same in every engine, without a negative zero.  The step lies a little off one half, so that exact
+    halves, which quotients of cents and counts often are, don't depend on the last bit."""
     scale = float(10**digits)
-    return F.floor(x.cast("double") * scale + 0.5).cast("double") / scale
+    return F.floor(x.cast("double") * scale + 0.5003).cast("double") / scale
 
 
 def clipped(x: Column, low: float, high: float) -> Column:
