@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registered import along
+from .registered import across, along, scoring
 
-_MODULES = (along,)
+_MODULES = (along, across, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

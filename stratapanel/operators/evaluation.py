@@ -3,6 +3,8 @@ forward return, both NULL where missing.  Thresholds default to those of full ma
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,9 +149,6 @@ def many_regressor_residual(rows: DataFrame, f: str, regressors: list[str], leas
     The normal equations are sums per date, (k + 1)(k + 2) / 2 of them; each date's small system is solved where its sums are,
     and the coefficients go back to the rows.  No date's rows are gathered in one task.
     """
-    import numpy as np
-    import pandas as pd
-
     names = ["__one", *regressors]
     held = rows.where(" and ".join(f"`{c}` is not null" for c in (f, *regressors))).withColumn("__one", F.lit(1.0))
     pairs = [(a, b) for i, a in enumerate([*names, f]) for b in [*names, f][i:]]
