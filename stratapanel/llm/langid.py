@@ -31,7 +31,7 @@ ORDERS = (1, 2, 3)
 SAMPLE = 6000
 SHARDS, ROUNDS, EPOCHS = 8, 2, 2
 UNKNOWN = "und"
-_CHARS = 2_000_000
+_CHARS = 800_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 

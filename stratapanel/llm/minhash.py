@@ -82,7 +82,7 @@ def dart_signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray,
             cells = np.ceil(top / tall).astype(np.int64)
             which = np.repeat(np.arange(len(own)), cells)
             slice_ = np.arange(len(which)) - np.repeat(np.cumsum(cells) - cells, cells)
-            cell = mix64(elem[which] + slice_.astype(np.uint64) * _PRIMES[0] + np.uint64(octave) * _PRIMES[2])
+            cell = mix64(elem[which] + slice_.astype(np.uint64) * _PRIMES[0] + np.array([octave], np.uint64) * _PRIMES[2])
             darts = np.searchsorted(_POISSON, _unit(cell))
             from_ = np.repeat(np.arange(len(which)), darts)
             number = np.arange(len(from_)) - np.repeat(np.cumsum(darts) - darts, darts)

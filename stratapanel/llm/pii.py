@@ -189,25 +189,24 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def reliabilities(counts: pd.DataFrame, rounds: int = 100) -> pd.DataFrame:
     """EM over rows (kind, v1, v2, v3, n): adds the posterior ``p`` that spans with these votes are personal data.
 
-    Each labeler has a hit rate and a false-alarm rate, each kind a prior; abstentions say nothing.  Weak Beta priors (labelers
-    are better than chance) fix which class is which.
+    Each labeler has a hit rate and a false-alarm rate, each kind a prior; abstentions say nothing.  Beta priors (labelers
+    are better than chance), half as heavy as the votes, fix which class is which also where a kind has few witnesses.
     """
     v = counts[["v1", "v2", "v3"]].to_numpy()
     n = counts["n"].to_numpy(dtype=float)
     kinds, of = np.unique(counts["kind"], return_inverse=True)
-    hit, alarm, prior = np.full(3, 0.8), np.full(3, 0.2), np.full(len(kinds), 0.5)
-    p = np.zeros(len(n))
+    # the first guess is the majority of the votes cast
+    p = ((v == 1).sum(axis=1) + 0.5) / ((v >= 0).sum(axis=1) + 1.0)
     for _ in range(rounds):
+        prior = (np.bincount(of, n * p, minlength=len(kinds)) + 1) / (np.bincount(of, n, minlength=len(kinds)) + 2)
         odds = np.log(prior[of] / (1 - prior[of]))
-        for j in range(3):
-            odds += np.where(v[:, j] == 1, np.log(hit[j] / alarm[j]), np.where(v[:, j] == 0, np.log((1 - hit[j]) / (1 - alarm[j])), 0.0))
-        p = 1 / (1 + np.exp(-odds))
         for j in range(3):
             said = v[:, j] >= 0
-            yes, all_, no = (n * p)[said & (v[:, j] == 1)].sum(), (n * p)[said].sum(), (n * (1 - p))[said]
-            hit[j] = (yes + 8) / (all_ + 10)
-            alarm[j] = ((n * (1 - p))[said & (v[:, j] == 1)].sum() + 2) / (no.sum() + 10)
-        prior = (np.bincount(of, n * p, minlength=len(kinds)) + 1) / (np.bincount(of, n, minlength=len(kinds)) + 2)
+            weight = 10 + 0.5 * n[said].sum()
+            hit = ((n * p)[v[:, j] == 1].sum() + 0.8 * weight) / ((n * p)[said].sum() + weight)
+            alarm = ((n * (1 - p))[v[:, j] == 1].sum() + 0.1 * weight) / ((n * (1 - p))[said].sum() + weight)
+            odds += np.where(v[:, j] == 1, np.log(hit / alarm), np.where(v[:, j] == 0, np.log((1 - hit) / (1 - alarm)), 0.0))
+        p = 1 / (1 + np.exp(-odds))
     return counts.assign(p=p)
 
 

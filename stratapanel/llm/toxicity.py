@@ -1,14 +1,15 @@
 """Toxicity by multiple-instance learning: a document is toxic if any of its sentences is.
 
-A sentence's probability is the logistic of a bias and the weights of its distinct hashed words; a document's is the noisy-or
-1 - prod(1 - p).  Only documents carry labels: the gradient of the document's log likelihood is shared out among its sentences
+A sentence's probability is the logistic of a bias and the weights of its distinct hashed words, over the level of a sentence
+without such words: p = (s(z) - s(b)) / (1 - s(b)), and 0 below.  So sentences without evidence add nothing, however many a
+document has.  A document's probability is the noisy-or 1 - prod(1 - p).  Only documents carry labels: the gradient of the document's log likelihood is shared out among its sentences
 by their own probabilities, so the model learns which sentences offend, and :func:`sentences` locates them.  A share of the
 labels, estimated along, is taken to be flipped, so that wrong labels need no words that explain them.
 
 The fit uses a bounded sample of labelled documents (all toxic ones up to half the bound) and full-batch AdaGrad with an L1 and
 an L2 penalty.  The sample is reweighted to the labelled proportions.  Scoring reads every whole text.
 
-Cases: null and empty texts have no sentence and score as a text of one sentence without words; documents without a label, or
+Cases: null and empty texts have no sentence with a word and score 0; documents without a label, or
 with several differing labels, are scored but not learned from; with no usable label, or one class only, every score is the
 labelled rate (0 without labels); repeated rows are scored alike; an empty table gives an empty result; other columns are not
 read, and pass through :func:`keep_clean` untouched, whatever their names.
@@ -36,6 +37,7 @@ STEPS = 300
 RATE, L1, L2 = 0.3, 0.3, 0.02
 #: Words in fewer documents of the sample than this have no weight.
 LEAST_DOCS = 3
+BIAS = -3.0
 _CHARS = 2_000_000
 _ENDS = np.array([ord(c) for c in ".!?\n。！？"], np.uint32)
 
@@ -43,8 +45,9 @@ _ENDS = np.array([ord(c) for c in ".!?\n。！？"], np.uint32)
 @dataclass
 class Model:
     weights: np.ndarray
-    bias: float
+    #: The labelled share of toxic documents, and whether there was anything to learn.
     rate: float
+    fitted: bool = True
 
 
 def sentence_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,37 +77,39 @@ def _sentence_sums(values: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarr
     return np.bincount(sentence, values, minlength=n)
 
 
-def _train(word: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+def _log_clean(z: np.ndarray) -> np.ndarray:
+    """log(1 - p) of sentences with the sums z."""
+    return np.minimum(0.0, np.log1p(np.exp(BIAS)) - np.log1p(np.exp(z)))
+
+
+def _train(word: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
     used, place = np.unique(word, return_inverse=True)
     pairs = np.unique(owner[sentence] * np.int64(len(used)) + place)
     fine = np.bincount(pairs % len(used), minlength=len(used)) >= LEAST_DOCS
     used, renamed = used[fine], np.cumsum(fine) - 1
     place, sentence = renamed[place[fine[place]]], sentence[fine[place]]
     w, acc = np.zeros(len(used)), np.full(len(used), 1e-8)
-    b, acc_b, noise = -5.0, 1e-8, 0.05
-    n, docs = len(owner), len(label)
+    noise, n, docs = 0.05, len(owner), len(label)
     weight = weight * (docs / weight.sum())
     for _ in range(STEPS):
-        z = np.clip(_sentence_sums(w[place], sentence, n) + b, -30, 30)
+        z = np.clip(_sentence_sums(w[place], sentence, n) + BIAS, -30, 30)
         p = 1.0 / (1.0 + np.exp(-z))
-        clean = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=docs))
+        clean = np.exp(np.bincount(owner, _log_clean(z), minlength=docs))
         marked = noise + (1 - 2 * noise) * (1 - clean)  # probability of the label 1
         side = np.where(label == 1, 1.0 / marked, -1.0 / (1.0 - marked)) * weight
         g = p * ((1 - 2 * noise) * clean * side)[owner]
+        g[(z < BIAS) & (g < 0)] = 0.0
         gw = np.bincount(place, g[sentence], minlength=len(used)) - L2 * w
         gw = np.where(w != 0, gw - L1 * np.sign(w), np.sign(gw) * np.maximum(np.abs(gw) - L1, 0.0))
         acc += gw * gw
         step = RATE * gw / np.sqrt(acc)
         w = np.where((w != 0) & (np.sign(w + step) == -np.sign(w)), 0.0, w + step)
-        gb = g.sum()
-        acc_b += gb * gb
-        b += 0.3 * gb / np.sqrt(acc_b)
         # one step of expectation-maximisation for the share of labels that are flipped
         flipped = np.where(label == 1, noise * clean / marked, noise * (1 - clean) / (1.0 - marked))
         noise = float(np.clip((flipped * weight).sum() / docs, 1e-4, 0.2))
     out = np.zeros(1 << BITS)
     out[used] = w
-    return out, b
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, ident: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -114,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, ident: str = "doc
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     if not pos or not neg:
-        return Model(np.zeros(1 << BITS), -30.0, pos / max(1, pos + neg))
+        return Model(np.zeros(1 << BITS), pos / max(1, pos + neg), False)
     share = {1: min(1.0, sample / 2 / pos)}
     share[0] = min(1.0, (sample - share[1] * pos) / neg)
     order = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
@@ -132,20 +137,20 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, ident: str = "doc
                 label_.append(batch["y"].iloc[at : at + len(texts)].to_numpy())
                 weight.append(batch["w"].iloc[at : at + len(texts)].to_numpy())
         if parts:
-            w, b = _train(*(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(label_), np.concatenate(weight))
+            w = _train(*(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(label_), np.concatenate(weight))
             at = np.flatnonzero(w)
-            yield pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], b)})
+            yield pd.DataFrame({"at": at, "w": w[at]})
 
     found = rows.repartition(1).sortWithinPartitions("id").mapInPandas(learn, "at long, w double").toPandas()
-    w, at = np.zeros(1 << BITS), found["at"].to_numpy()
-    w[at[at >= 0]] = found["w"].to_numpy()[at >= 0]
-    return Model(w, float(found["w"][at < 0].iloc[0]), pos / (pos + neg))
+    w = np.zeros(1 << BITS)
+    w[found["at"].to_numpy()] = found["w"].to_numpy()
+    return Model(w, pos / (pos + neg))
 
 
-def _probabilities(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sentence_logs(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word, sentence, owner, last = sentence_words(texts)
-    z = np.clip(_sentence_sums(model.weights[word], sentence, len(owner)) + model.bias, -30, 30)
-    return 1.0 / (1.0 + np.exp(-z)), owner, last
+    z = np.clip(_sentence_sums(model.weights[word], sentence, len(owner)) + BIAS, -30, 30)
+    return _log_clean(z), owner, last
 
 
 def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,9 +159,8 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, texts in chunks(batch["text"], _CHARS):
-                p, owner, _ = _probabilities(model, texts)
-                keep = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts))
-                s = 1.0 - np.exp(keep) if model.bias > -30 else np.full(len(texts), model.rate)
+                clean, owner, _ = _sentence_logs(model, texts)
+                s = -np.expm1(np.bincount(owner, clean, minlength=len(texts))) if model.fitted else np.full(len(texts), model.rate)
                 yield pd.DataFrame({"id": batch["id"].iloc[at : at + len(texts)].to_numpy(), "score": s, "sentences": np.bincount(owner, minlength=len(texts))})
 
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
@@ -169,7 +173,8 @@ def sentences(docs: DataFrame, model: Model, least: float = THRESHOLD, ident: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, texts in chunks(batch["text"], _CHARS):
-                p, owner, last = _probabilities(model, texts)
+                clean, owner, last = _sentence_logs(model, texts)
+                p = -np.expm1(clean)
                 hit = p >= least
                 yield pd.DataFrame({"id": batch["id"].iloc[at + owner[hit]].to_numpy(), "end": last[hit], "score": p[hit]})
 
