@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registered import across, along, scoring
+from .registered import across, along, general, scoring
 
-_MODULES = (along, across, scoring)
+_MODULES = (along, across, scoring, general)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
