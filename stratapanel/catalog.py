@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registered import across, along, general, scoring
+from .registered import across, along, general, reporting, scoring
 
-_MODULES = (along, across, scoring, general)
+_MODULES = (along, across, scoring, general, reporting)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
