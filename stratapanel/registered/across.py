@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from ..functions import cs
@@ -48,10 +50,12 @@ def pct(x: str) -> str:
     return f"({avg_rank(x)}) / count({x}) OVER (PARTITION BY t)"
 
 
-def _columns(cols: dict, sql: dict, ints: tuple[str, ...] = ()):
+def _columns(cols: Callable[[], dict], sql: dict, ints: tuple[str, ...] = ()):
+    """Columns over the base rows; they are built when the query runs, as columns need a session."""
+
     def run(spark, sf_dir):
         frame = base_rows(spark, sf_dir).withColumn("pct", cs.cs_rank(F.col("f")))
-        return frame.select(SYM, F.col(T).cast("long").alias(T), *[(c.cast("long") if k in ints else rounded(c)).alias(k) for k, c in cols.items()])
+        return frame.select(SYM, F.col(T).cast("long").alias(T), *[(c.cast("long") if k in ints else rounded(c)).alias(k) for k, c in cols().items()])
 
     shown = ", ".join(f"{f'CAST({v} AS BIGINT)' if k in ints else r(v)} AS {k}" for k, v in sql.items())
     return run, f"{base_sql()}, ranked AS (SELECT *, {pct('f')} AS pct FROM base)\nSELECT sym, CAST(t AS BIGINT) AS t, {shown} FROM ranked"
@@ -126,14 +130,14 @@ QUERIES = {
         {"cs_rank": pct("ln_volume"), "cs_demean": "ln_volume - avg(ln_volume) OVER (PARTITION BY t)", "cs_scale": f"({pct('intraday')} - 0.5) * 2"}, leaves=True,
     ),
     "cs_extra": _columns(
-        {"zscore": cs.cs_zscore(F.col("f")), "ordinal": cs.ordinal_rank(F.col("f")), "rank_in_industry": cs.cs_rank(F.col("f"), "industry")},
+        lambda: {"zscore": cs.cs_zscore(F.col("f")), "ordinal": cs.ordinal_rank(F.col("f")), "rank_in_industry": cs.cs_rank(F.col("f"), "industry")},
         {
             "zscore": "(f - avg(f) OVER (PARTITION BY t)) / (stddev_samp(f) OVER (PARTITION BY t) + 1e-12)", "ordinal": ordinal("f"),
             "rank_in_industry": f"({avg_rank('f', 't, industry')}) / count(f) OVER (PARTITION BY t, industry)",
         },
     ),
     "buckets": _columns(
-        {"qcut": cs.bucket_qcut(F.col("f")), "top_first": cs.bucket_top(F.col("pct")), "ascending": cs.bucket_ascending(F.col("pct")), "top_decile": (F.col("pct") > 0.9).cast("int"), "quantile_code": F.when(F.col("f").isNotNull() & (cs.count_of(F.col("f")) >= 2), F.least(F.floor((cs.place(F.col("f")) - 1) * 256 / cs.count_of(F.col("f"))), F.lit(255)))},
+        lambda: {"qcut": cs.bucket_qcut(F.col("f")), "top_first": cs.bucket_top(F.col("pct")), "ascending": cs.bucket_ascending(F.col("pct")), "top_decile": (F.col("pct") > 0.9).cast("int"), "quantile_code": F.when(F.col("f").isNotNull() & (cs.count_of(F.col("f")) >= 2), F.least(F.floor((cs.place(F.col("f")) - 1) * 256 / cs.count_of(F.col("f"))), F.lit(255)))},
         {
             "qcut": f"CASE WHEN f IS NOT NULL THEN greatest(ceil(({place('f')} - 1) * 10 / greatest({_n} - 1, 1)::DOUBLE) - 1, 0) END", "top_first": "CASE WHEN pct IS NOT NULL THEN least(floor((1 - pct) * 10), 9) ELSE 9 END",
             "ascending": "least(greatest(floor(coalesce(pct, 0) * 10), 0), 9)", "top_decile": "CASE WHEN pct IS NULL THEN NULL WHEN pct > 0.9 THEN 1 ELSE 0 END",
@@ -142,7 +146,7 @@ QUERIES = {
         ints=("qcut", "top_first", "ascending", "top_decile", "quantile_code"),
     ),
     "neutralise_one": _columns(
-        {"residual": cs.residual_one(F.col("f"), F.col("ln_mktcap"))},
+        lambda: {"residual": cs.residual_one(F.col("f"), F.col("ln_mktcap"))},
         {"residual": """CASE WHEN f IS NOT NULL AND ln_mktcap IS NOT NULL THEN f - avg(CASE WHEN ln_mktcap IS NOT NULL THEN f END) OVER (PARTITION BY t)
   - CASE WHEN var_pop(CASE WHEN f IS NOT NULL THEN ln_mktcap END) OVER (PARTITION BY t) > 1e-12 THEN regr_slope(f, ln_mktcap) OVER (PARTITION BY t) ELSE 0 END * (ln_mktcap - avg(CASE WHEN f IS NOT NULL THEN ln_mktcap END) OVER (PARTITION BY t)) END"""},
     ),

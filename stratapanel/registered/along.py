@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from ..functions import ts
@@ -77,12 +79,12 @@ def _leaves(kind: str):
     return run, f"WITH {P1 if kind == 'P1' else P2}, {LEAVES}\nSELECT sym, CAST(t AS BIGINT) AS t, {', '.join(f'{r(c)} AS {c}' for c in panels.DERIVED)} FROM leaves"
 
 
-def _extra(cols: dict, sql: dict):
-    """Operators along time that expressions don't use."""
+def _extra(cols: Callable[[], dict], sql: dict):
+    """Operators along time that expressions don't use; columns are built when the query runs, as they need a session."""
 
     def run(spark, sf_dir):
         frame = panels.with_leaves(panels.lineitem_panel(spark, sf_dir))
-        return frame.select(SYM, F.col(T).cast("long").alias(T), *[rounded(c).alias(k) for k, c in cols.items()])
+        return frame.select(SYM, F.col(T).cast("long").alias(T), *[rounded(c).alias(k) for k, c in cols().items()])
 
     return run, f"WITH {P2}, {LEAVES}\nSELECT sym, CAST(t AS BIGINT) AS t, {', '.join(f'{r(v)} AS {k}' for k, v in sql.items())} FROM leaves"
 
@@ -120,18 +122,18 @@ QUERIES = {
     "ts_corr": expressions("P2", {f"corr{w}": f"corr{w}(ret, ln_volume)" for w in (20, 60, 100)}, {f"corr{w}": _corr_sql(w, "ret", "ln_volume") for w in (20, 60, 100)}, leaves=True),
     "ts_ema": (expressions("P2", {f"ema{w}": f"ema{w}(intraday)" for w in (5, 12, 20, 26, 60)}, {}, leaves=True)[0], _ema_sql((5, 12, 20, 26, 60), "intraday")),
     "ts_position": _extra(
-        {"ts_pos": ts.ts_pos(F.col("ln_volume"), 20), "ts_std_samp": ts.ts_std_samp(F.col("ret"), 20)},
+        lambda: {"ts_pos": ts.ts_pos(F.col("ln_volume"), 20), "ts_std_samp": ts.ts_std_samp(F.col("ret"), 20)},
         {
             "ts_pos": f"({'ln_volume'} - {_enough(f'min(ln_volume) {line(20)}', 20, 'ln_volume')}) / ({_enough(f'max(ln_volume) {line(20)}', 20, 'ln_volume')} - {_enough(f'min(ln_volume) {line(20)}', 20, 'ln_volume')} + 1e-12)",
             "ts_std_samp": _enough(f"stddev_samp(ret) {line(20)}", 20, "ret"),
         },
     ),
     "fill": _extra(
-        {"forward": ts.fill_forward(F.col("ret")), "backward": ts.fill_backward(F.col("ret"))},
+        lambda: {"forward": ts.fill_forward(F.col("ret")), "backward": ts.fill_backward(F.col("ret"))},
         {"forward": f"last_value(ret IGNORE NULLS) {_RUN}", "backward": "first_value(ret IGNORE NULLS) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"},
     ),
     "rolling_pct_rank": _extra(
-        {"pct": ts.rolling_pct_rank(F.col("turn_ratio"), 36, 12)},
+        lambda: {"pct": ts.rolling_pct_rank(F.col("turn_ratio"), 36, 12)},
         {"pct": f"CASE WHEN turn_ratio IS NOT NULL AND len({_seen}) >= 12 THEN (len(list_filter({_seen}, lambda v: v < turn_ratio)) + (len(list_filter({_seen}, lambda v: v = turn_ratio)) + 1) / 2.0) / len({_seen}) END"},
     ),
     "templates": expressions(

@@ -336,3 +336,12 @@ def test_streaming_bars_and_ema(spark, tmp_path):
             e = r["value"] if e is None else e + (r["value"] - e) / 3
             x = got[s, r["ts"]]
             assert (x is None) == (n < 5) and (x is None or abs(x - e) < 1e-9)
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 60 and set(o) <= set(q); print(len(q))"
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) > 60
