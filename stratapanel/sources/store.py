@@ -103,3 +103,26 @@ def trailing_year(reports: DataFrame, item: str) -> DataFrame:
     annual = own.where(q % 4 == 3).select(SYM, F.floor(q / 4).alias("year"), F.col("ytd").alias("annual"))
     joined = own.join(back, [SYM, "quarter"], "left").withColumn("year", F.floor(q / 4) - 1).join(annual, [SYM, "year"], "left")
     return joined.select(SYM, "quarter", F.when(q % 4 == 3, F.col("ytd")).otherwise(F.col("ytd") + F.col("annual") - F.col("ytd_back")).alias("ttm"))
+
+
+class StalePanel(RuntimeError):
+    """A kept panel does not come from the inputs or the code it is asked for."""
+
+
+def keep_panel(panel: DataFrame, path: str, fingerprint: str) -> None:
+    """Write a panel partitioned by date range and sorted by symbol, with a manifest of where it comes from."""
+    panel.repartitionByRange(T).sortWithinPartitions(T, SYM).write.mode("overwrite").parquet(f"{path}/panel")
+    rows = panel.sparkSession.range(1).select(F.lit(fingerprint).alias("fingerprint"), F.lit(",".join(panel.columns)).alias("columns"))
+    rows.write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def open_panel(spark: SparkSession, path: str, fingerprint: str, columns: list[str] | None = None) -> DataFrame:
+    """A kept panel, pruned to ``columns``; fails loudly where the fingerprint or a column doesn't match."""
+    found = spark.read.parquet(f"{path}/manifest").head()
+    if found["fingerprint"] != fingerprint:
+        raise StalePanel(f"{path} was made from {found['fingerprint']}")
+    missing = set(columns or []) - set(found["columns"].split(","))
+    if missing:
+        raise StalePanel(f"{path} lacks {sorted(missing)}")
+    panel = spark.read.parquet(f"{path}/panel")
+    return panel.select(SYM, T, *columns) if columns else panel

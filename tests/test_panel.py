@@ -345,3 +345,21 @@ def test_entry_needs_no_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 60 and set(o) <= set(q); print(len(q))"
     assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) > 60
+
+
+def test_kept_panels_refuse_stale_reads(spark, tmp_path):
+    frame = panel(spark, walk(13))
+    store.keep_panel(frame, str(tmp_path), "v1")
+    assert store.open_panel(spark, str(tmp_path), "v1", ["x"]).count() == 650
+    for fingerprint, columns in (("v2", None), ("v1", ["y"])):
+        with pytest.raises(store.StalePanel):
+            store.open_panel(spark, str(tmp_path), fingerprint, columns)
+
+
+def test_search_state_round_trip():
+    book = search.Book()
+    nodes = search.propose(random.Random(1), 5, ["ret", "close"], [], book)
+    book.record(nodes[0], False)
+    book.freeze(skeleton(nodes[0]), 3)
+    again, scored = search.load_state(search.dump_state(book, [(n, 0.5) for n in nodes]))
+    assert again == book and [n for n, _ in scored] == nodes
