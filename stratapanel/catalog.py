@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registered import across, along, general, reporting, scoring
+from .registered import across, along, general, reporting, scoring, stores
 
-_MODULES = (along, across, scoring, general, reporting)
+_MODULES = (along, across, scoring, general, reporting, stores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
