@@ -19,7 +19,8 @@ from .common import materialise
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-SHIFTS = 32
+#: Seeds tried per source.
+SHIFTS = 128
 _SPAN = 1 << 32
 
 

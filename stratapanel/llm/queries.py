@@ -96,12 +96,12 @@ WITH sizes AS (
 ), cuts AS (
   SELECT *, CAST(floor(rate) AS BIGINT) AS whole, CAST(floor((rate - floor(rate)) * 4294967296) AS BIGINT) AS cut FROM targets
 ), tried AS (
-  SELECT c.source, j, abs(sum(s.size * (whole + CASE WHEN (u + j * 134217728) % 4294967296 < cut THEN 1 ELSE 0 END)) - any_value(target)) AS off
-  FROM sizes s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source CROSS JOIN range(32) r(j) GROUP BY c.source, j
+  SELECT c.source, j, abs(sum(s.size * (whole + CASE WHEN (u + j * {step}) % 4294967296 < cut THEN 1 ELSE 0 END)) - any_value(target)) AS off
+  FROM sizes s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source CROSS JOIN range({shifts}) r(j) GROUP BY c.source, j
 ), shifts AS (
   SELECT source, arg_min(j, (off, j)) AS shift FROM tried GROUP BY source
 ), taken AS (
-  SELECT s.doc_id, s.size, c.source_size, c.target, whole + CASE WHEN (u + shift * 134217728) % 4294967296 < cut THEN 1 ELSE 0 END AS copies
+  SELECT s.doc_id, s.size, c.source_size, c.target, whole + CASE WHEN (u + shift * {step}) % 4294967296 < cut THEN 1 ELSE 0 END AS copies
   FROM sizes s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source JOIN shifts h ON s.source IS NOT DISTINCT FROM h.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM taken
@@ -148,4 +148,4 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": _MIX, "op6_warc": _WARC, "op8_chat": _chat_sql(), "op9_exact_dedup": _EXACT}
+    return {"op5_mixing": _MIX.replace("{shifts}", str(mixing.SHIFTS)).replace("{step}", str((1 << 32) // mixing.SHIFTS)), "op6_warc": _WARC, "op8_chat": _chat_sql(), "op9_exact_dedup": _EXACT}
