@@ -1,10 +1,10 @@
 """Writing pages as WARC records and reading archives back with boundary-chain verification.
 
 Writing goes through Spark's text writer, whose record separator is the blank line that ends a WARC record: the commit
-protocol, retries and remote file systems are Spark's.  Of records with equal payloads of at least ``MIN_REVISIT`` bytes the
+protocol, retries, compression and remote file systems are Spark's.  Of records with equal payloads of at least ``MIN_REVISIT`` bytes the
 one with the smallest id is a response, the others revisit it.
 
-Reading: files are bounded by ``RECORDS_PER_FILE``.  Each task finds every occurrence of the record magic in its files, also
+Reading: files, plain or compressed, are bounded by ``RECORDS_PER_FILE``.  Each task finds every occurrence of the record magic in its files, also
 those inside payloads, and emits (offset, successor offset) from the stated length.  Per file, pointer jumping from offset 0
 doubles the reach in each round; only records that the chain from the start of the file reaches are kept.
 
@@ -15,6 +15,7 @@ all responses; an empty table writes no record and gives an empty result; other
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -70,7 +71,7 @@ def write_archives(pages: DataFrame, path: str, ident: str = "page_id", payload:
     lines.append(F.concat(F.lit("Content-Type: text/html" + _LINE + "Content-Length: "), F.when(revisit, 0).otherwise(F.col("n")).cast("string")))
     head = F.concat_ws(_LINE, F.lit("WARC/1.1"), *lines)
     value = F.concat(head, F.lit(_LINE * 2), F.when(revisit, "").otherwise(F.col("body")))
-    rows.select(value.alias("value")).write.option("lineSep", _LINE * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(value.alias("value")).write.option("lineSep", _LINE * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def _field(head: bytes, name: bytes) -> str:
@@ -87,6 +88,8 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, data in zip(batch["path"], batch["content"], strict=True):
             out = []
+            if data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)  # all members; offsets are those of the plain archive
             for m in re.finditer(re.escape(MAGIC), data):
                 at = m.start()
                 end = data.find(b"\r\n\r\n", at)
