@@ -33,6 +33,8 @@ from .common import attach_groups, connected_components, materialise
 LEADING = 6
 SEGMENT = 4096
 BLOCK = 256
+#: Segments are sent to all executors while all vectors together are no larger than this; else pairs fetch theirs by a shuffle.
+BROADCAST_BYTES = 32 << 20
 _SLACK = 1e-9
 
 
@@ -238,7 +240,10 @@ def near_duplicates(rows: DataFrame, ident: str = "vec_id", vec: str = "embeddin
     data = cut.select("seg", "ids", "copies", "unit")
     side = lambda x: data.select(F.col("seg").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "copies", "unit")])
     tasks = max(1, min(pairs.count(), 20_000))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks, "a", "b")
+    if count * width * 8 <= BROADCAST_BYTES:
+        joined = pairs.repartition(tasks, "a", "b").join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b")
+    else:
+        joined = pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks, "a", "b")
     found = materialise(joined.mapInPandas(_joiner(width, axes, least), "id long, links long, other long"), "ego-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(found, "id", "other")
