@@ -34,7 +34,8 @@ LEADING = 6
 SEGMENT = 4096
 BLOCK = 256
 #: Segments are sent to all executors while all vectors together are no larger than this; else pairs fetch theirs by a shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
+PAIR_WORK = 1 << 22
 _SLACK = 1e-9
 
 
@@ -239,7 +240,9 @@ def near_duplicates(rows: DataFrame, ident: str = "vec_id", vec: str = "embeddin
     pairs = materialise(_box_pairs(boxes, dims, eps, "seg", parents), "ego-pairs")
     data = cut.select("seg", "ids", "copies", "unit")
     side = lambda x: data.select(F.col("seg").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "copies", "unit")])
-    tasks = max(1, min(pairs.count(), 20_000))
+    # a task gets about PAIR_WORK pairs of vectors, whatever the size of the segments
+    found_pairs, segments = pairs.count(), cut.count()
+    tasks = max(1, min(found_pairs, 20_000, math.ceil(found_pairs * (count / segments) ** 2 / PAIR_WORK)))
     if count * width * 8 <= BROADCAST_BYTES:
         joined = pairs.repartition(tasks, "a", "b").join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b")
     else:
