@@ -11,7 +11,7 @@
 5. Rows find their group by hash (hot groups by a bounded broadcast); only rows of colliding hashes also compare the text.
 
 Cases: null texts count as empty; null ids are grouped but never stay where another id is present; repeated rows (same id, same
-text) are one document, and all of them are marked as kept; an empty table gives an empty result; other columns, whatever
+text) are one document, and all of them are marked as kept; different texts with one id, or with none, are different documents; an empty table gives an empty result; other columns, whatever
 their names, pass through :func:`deduplicate` untouched.
 """
 
@@ -74,6 +74,6 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", cap
 
 
 def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text a row with a larger id also has."""
-    lost = exact_groups(docs, ident, text).where("not kept").select(F.col(ident).alias("__lost"))
-    return docs.join(lost.distinct(), docs[ident].eqNullSafe(F.col("__lost")), "left_anti")
+    """``docs`` without the rows whose text a row with a larger id also has.  A row is told by its id and text, not by its id alone."""
+    lost = exact_groups(docs, ident, text).where("not kept").select(F.col(ident).alias("__lost"), F.col("text_sha256").alias("__sha")).distinct()
+    return docs.join(lost, docs[ident].eqNullSafe(F.col("__lost")) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == F.col("__sha")), "left_anti")

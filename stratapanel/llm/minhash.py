@@ -14,8 +14,8 @@ are no burden, and then all of these are taken.  Before the exact comparison, pa
 each coordinate, a few 64-bit words: a pair goes on unless its bits are 4.5 standard deviations below those of a link.
 
 Cases: texts with fewer than five words have one shingle, all their words; null and empty texts have none, are no copies of
-anything and stay; repeated rows (same id) are one document; null ids are given back as their own class; an empty table gives an
-empty result; other columns, whatever their names, pass through :func:`deduplicate` untouched.
+anything and stay; repeated rows (same id, same text) are one document; different texts with one id, or with none, are different
+documents, of which a group keeps one; null ids are grouped but never stay where another id is present; an empty table gives an empty result; other columns, whatever their names, pass through :func:`deduplicate` untouched.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, connected_components, drop_table, materialise
+from .common import FEW_KEYS, attach_groups, connected_components, drop_table, materialise, text_of
 from .textvec import chunks, mix64, words
 
 SHINGLE = 5
@@ -128,7 +128,8 @@ def _sketches(bands: int, rows: int, weighted: bool):
                 flat = (mix64(sig.reshape(len(texts), k)) >> np.uint64(63)).astype(np.uint8)
                 flat = np.pad(flat, ((0, 0), (0, -k % 64)))
                 bits = np.packbits(flat, axis=1).view(np.int64)
-                yield pd.DataFrame({"id": ids.iloc[at : at + len(texts)].to_numpy(), "n": n, "fp1": prints[0], "fp2": prints[1], "bands": list(band.view(np.int64)), "bits": list(bits)})
+                part = slice(at, at + len(texts))
+                yield pd.DataFrame({"id": ids.iloc[part].to_numpy(), "sha": batch["sha"].iloc[part].to_numpy(), "n": n, "fp1": prints[0], "fp2": prints[1], "bands": list(band.view(np.int64)), "bits": list(bits)})
 
     return run
 
@@ -138,17 +139,17 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at, texts in chunks(batch["text"], _CHARS):
             owner, shingle, _ = shingle_sets(texts)
             parts = np.split(shingle.view(np.int64), np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
-            yield pd.DataFrame({"id": batch["id"].iloc[at : at + len(texts)].to_numpy(), "s": parts})
+            yield pd.DataFrame({"id": batch["node"].iloc[at : at + len(texts)].to_numpy(), "s": parts})
 
 
 def sketch(docs: DataFrame, ident: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """``id``, number of shingles ``n``, a 128-bit print of the shingle set (``fp1``, ``fp2``), the band hashes
+    """``id``, the SHA-256 of the text ``sha``, number of shingles ``n``, a 128-bit print of the shingle set (``fp1``, ``fp2``), the band hashes
     ``bands``, and one bit of each coordinate in the words ``bits``.
 
     ``weighted`` counts repeated shingles as weights instead of once.
     """
-    rows_ = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows_.mapInPandas(_sketches(bands, rows, weighted), "id long, n long, fp1 long, fp2 long, bands array<long>, bits array<long>")
+    rows_ = docs.select(F.col(ident).cast("long").alias("id"), F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
+    return rows_.mapInPandas(_sketches(bands, rows, weighted), "id long, sha string, n long, fp1 long, fp2 long, bands array<long>, bits array<long>")
 
 
 def _similar(s: str, t: str, least: float) -> F.Column:
@@ -175,18 +176,25 @@ def _likely(words: int, k: int, least: float) -> F.Column:
 
 def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8) -> DataFrame:
     """One row per document: the id, ``class_id`` (smallest id with the same shingle set), ``group_id`` (smallest id of its
-    component of links), ``kept`` (id = group_id).
+    component of links), ``kept`` (id = group_id, and of different texts with that id the one with the smallest SHA-256).
 
     Leader rounds stop after ``rounds``, or when fewer than ``spare`` pairs per bucket member are open; then all open pairs are
     weighed, so that both are no bounds on what is found.
     """
+    found = _grouped(docs, ident, text, least, bands, rows, spare, rounds)
+    return found.select(F.col("id").alias(ident), "class_id", "group_id", "kept")
+
+
+def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8) -> DataFrame:
+    """``id, sha, class_id, group_id, kept`` of every row.  Classes go by the number of one of their rows, as ids may repeat or be null."""
     words = -(-bands * rows // 64)
     x, y = [f"x{i}" for i in range(words)], [f"y{i}" for i in range(words)]
     likely = _likely(words, bands * rows, least)
-    made = materialise(sketch(docs, ident, text, bands, rows), "dart-sketches")
-    classes = materialise(made.where("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "dart-classes")
-    one = made.where("n > 0").join(classes.select("fp1", "fp2", F.col("rep").alias("id")), ["fp1", "fp2", "id"], "left_semi").dropDuplicates(["id"])
-    one = one.select("id", "bands", *[F.col("bits")[i].alias(x[i]) for i in range(words)])
+    made = materialise(sketch(docs, ident, text, bands, rows).withColumn("row", F.monotonically_increasing_id()), "dart-sketches")
+    stays = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("stays")
+    classes = materialise(made.where("n > 0").groupBy("fp1", "fp2").agg(F.min("row").alias("rep"), stays, F.count("*").alias("copies")), "dart-classes")
+    one = made.where("n > 0").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    one = one.select(F.col("row").alias("id"), "sha", "bands", *[F.col("bits")[i].alias(x[i]) for i in range(words)])
     placed = one.select("id", F.explode("bands").alias("key"), *x)
     filled = placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     mates = materialise(placed.join(filled, "key"), "dart-buckets")
@@ -195,9 +203,13 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", leas
     lead = lead.select("key", (-F.col("top.neg")).alias("lead"), *[F.col(f"top.{c}").alias(d) for c, d in zip(x, y, strict=True)])
     pair = [F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")]
     tried = materialise(mates.join(lead, (mates["key"] == lead["key"]) & (F.col("id") != F.col("lead")) & likely).select(*pair).distinct(), "dart-pairs")
-    need = mates.select("id").distinct()
-    sets = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = materialise(sets.join(need, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(_sets, "id long, s array<long>"), "dart-sets")
+    need = one.select(F.col("id").alias("node"), "sha").join(mates.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    need = materialise(need, "dart-need")
+    texts = docs.select(F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
+    if need.count() <= FEW_KEYS:
+        texts = texts.join(F.broadcast(need.select("sha")), "sha", "left_semi")
+    # copies of a text fold in the map tasks, before the join
+    sets = materialise(texts.dropDuplicates(["sha"]).join(need, "sha").mapInPandas(_sets, "id long, s array<long>"), "dart-sets")
     links = materialise(_verified(tried, sets, least), "dart-links")
     for number in range(rounds + 1):
         comps = connected_components(links, "a", "b")
@@ -230,17 +242,18 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", leas
             comps = connected_components(links, "a", "b")
             break
     groups = classes.join(comps, F.col("rep") == F.col("node"), "left")
-    groups = materialise(groups.select("fp1", "fp2", F.col("copies"), "rep", F.coalesce("component", "rep").alias("group")), "dart-groups")
-    keyed = groups.withColumn("fp", F.struct("fp1", "fp2")).drop("fp1", "fp2")
-    rows_ = made.where("n > 0").select("id", F.struct("fp1", "fp2").alias("fp"))
-    found = attach_groups(rows_, keyed, "fp", "copies").select("id", F.col("rep").alias("class_id"), F.col("group").alias("group_id"))
-    none = made.where("n = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("group_id"))
-    lost = docs.where(F.col(ident).isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("id", "class_id", "group_id")])
-    out = found.unionByName(none).unionByName(lost)
-    return out.select(F.col("id").alias(ident), "class_id", "group_id", F.col("id").eqNullSafe(F.col("group_id")).alias("kept"))
+    groups = materialise(groups.select("fp1", "fp2", "copies", "stays", F.coalesce("component", "rep").alias("group")), "dart-groups")
+    heads = materialise(groups.groupBy("group").agg(F.min("stays").alias("head"), F.count("*").alias("n")), "dart-heads")
+    keyed = attach_groups(groups, heads, "group", "n").select(F.struct("fp1", "fp2").alias("fp"), "copies", "stays", "head")
+    rows_ = made.where("n > 0").select("id", "sha", F.struct("fp1", "fp2").alias("fp"))
+    kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("sha") == F.col("head.sha"))
+    found = attach_groups(rows_, materialise(keyed, "dart-groups"), "fp", "copies")
+    found = found.select("id", "sha", F.col("stays.id").alias("class_id"), F.col("head.id").alias("group_id"), kept.alias("kept"))
+    none = made.where("n = 0").select("id", "sha", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(True).alias("kept"))
+    return found.unionByName(none)
 
 
 def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document, that with the smallest id, of each group of near copies."""
-    lost = near_groups(docs, ident, text).where("not kept").select(F.col(ident).alias("__lost")).distinct()
-    return docs.join(lost, docs[ident] == F.col("__lost"), "left_anti")
+    """``docs`` with one document, that with the smallest id, of each group of near copies.  A row is told by its id and text."""
+    lost = _grouped(docs, ident, text).where("not kept").select(F.col("id").alias("__lost"), F.col("sha").alias("__sha")).distinct()
+    return docs.join(lost, docs[ident].eqNullSafe(F.col("__lost")) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == F.col("__sha")), "left_anti")

@@ -11,7 +11,7 @@ an L2 penalty.  The sample is reweighted to the labelled proportions.  Scoring r
 
 Cases: null and empty texts have no sentence with a word and score 0; documents without a label, or
 with several differing labels, are scored but not learned from; with no usable label, or one class only, every score is the
-labelled rate (0 without labels); repeated rows are scored alike; an empty table gives an empty result; other columns are not
+labelled rate (0 without labels); repeated rows are scored alike, and rows of one id, or of none, by their own texts; an empty table gives an empty result; other columns are not
 read, and pass through :func:`keep_clean` untouched, whatever their names.
 """
 
@@ -153,15 +153,21 @@ def _sentence_logs(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     return _log_clean(z), owner, last
 
 
+def _scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of sentences of each text."""
+    clean, owner, _ = _sentence_logs(model, texts)
+    s = -np.expm1(np.bincount(owner, clean, minlength=len(texts))) if model.fitted else np.full(len(texts), model.rate)
+    return s, np.bincount(owner, minlength=len(texts))
+
+
 def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``ident``, ``score`` and the number of ``sentences`` of each whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, texts in chunks(batch["text"], _CHARS):
-                clean, owner, _ = _sentence_logs(model, texts)
-                s = -np.expm1(np.bincount(owner, clean, minlength=len(texts))) if model.fitted else np.full(len(texts), model.rate)
-                yield pd.DataFrame({"id": batch["id"].iloc[at : at + len(texts)].to_numpy(), "score": s, "sentences": np.bincount(owner, minlength=len(texts))})
+                s, n = _scores(model, texts)
+                yield pd.DataFrame({"id": batch["id"].iloc[at : at + len(texts)].to_numpy(), "score": s, "sentences": n})
 
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, sentences long").withColumnRenamed("id", ident)
@@ -195,7 +201,12 @@ def assess(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents whose score reaches the threshold."""
+    """``docs`` without the rows whose own score reaches the threshold, whatever their ids."""
     model = fit(docs, labels, ~held_out(ident), ident, text)
-    bad = score(docs, model, ident, text).where(F.col("score") >= threshold).select(F.col(ident).alias("__bad")).distinct()
-    return docs.join(materialise(bad, "toxic-ids"), docs[ident] == F.col("__bad"), "left_anti")
+
+    @F.pandas_udf("double")
+    def own_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(np.concatenate([np.zeros(0), *(_scores(model, texts)[0] for _, texts in chunks(batch, _CHARS))]))
+
+    return docs.where(own_score(docs[text]) < threshold)

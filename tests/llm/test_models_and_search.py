@@ -67,6 +67,14 @@ def test_toxicity(spark, texts):
     assert toxicity.assess(table.limit(0), labels).count() == 0
 
 
+def test_clean_rows_stay_by_their_own_score(spark, texts):
+    bad, good = texts[0][1], texts[1][1]
+    rows = [(i, t, 1) for i, t, *_ in texts] + [(None, bad, 1), (None, good, 1), (5000, bad, 1), (5000, good, 1)]
+    labels = spark.createDataFrame([(i, y) for i, *_, y in texts], "doc_id long, toxic int")
+    kept = toxicity.keep_clean(spark.createDataFrame(rows, "doc_id long, text string, score int"), labels).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept if r["doc_id"] in (None, 5000)), key=str) == sorted([(None, good), (5000, good)], key=str)
+
+
 @pytest.fixture(scope="module")
 def vocab():
     return pieces.load()

@@ -52,6 +52,12 @@ def test_exact_dedup_keeps_columns_and_takes_empty_tables(spark, corpus):
     assert exactdedup.exact_groups(table.limit(0)).count() == 0
 
 
+def test_exact_dedup_decides_per_row(spark):
+    rows = [(7, "a", "x"), (7, "b", "x"), (9, "a", "x"), (None, "a", "x"), (None, "c", "x"), (None, None, "x"), (8, "d", "x"), (8, "d", "x")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in exactdedup.deduplicate(docs(spark, rows)).collect()), key=str)
+    assert kept == sorted([(7, "b"), (9, "a"), (None, "c"), (None, None), (8, "d"), (8, "d")], key=str)
+
+
 def test_directory_splits_until_buckets_fit(spark):
     entries = spark.range(5000).selectExpr("xxhash64(id) as h")
     slots, depth = exactdedup.directory(entries, capacity=100)
@@ -98,6 +104,19 @@ def test_near_dedup_of_nothing(spark, corpus):
     assert minhash.deduplicate(table).columns == table.columns
 
 
+def test_near_dedup_decides_per_row(spark):
+    rng = random.Random(4)
+    one, two, three, four = (words(rng, 60) for _ in range(4))
+    rows = [(7, one), (7, two), (5, one + " tail"), (None, two + " tail"), (None, three), (8, four + " x"), (8, four + " y"), (8, four + " x"), (None, None), (None, "")]
+    table = docs(spark, [(i, t, "s") for i, t in rows])
+    kept = sorted(((r["doc_id"], r["text"]) for r in minhash.deduplicate(table).collect()), key=str)
+    least = min((four + " x", four + " y"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = [(5, one + " tail"), (7, two), (None, three), (None, None), (None, "")] + [(8, least)] * rows.count((8, least))
+    assert kept == sorted(want, key=str)
+    groups = sorted(((r["doc_id"], r["class_id"], r["group_id"], r["kept"]) for r in minhash.near_groups(table).collect()), key=str)
+    assert len(groups) == len(rows) and (None, None, 7, False) in groups and (None, None, None, True) in groups and (7, 7, 5, False) in groups
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = rng.integers(1, 2**63, 300, dtype=np.uint64)
