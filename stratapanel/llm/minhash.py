@@ -11,7 +11,7 @@ all pairs are compared: in each round every bucket names a leader, first its mos
 components are compared with the leader by the exact Jaccard similarity of their shingle sets; links found merge components.
 Only pairs that lie in one bucket and still in different components can add a link, so the rounds go on until the pairs left
 are no burden, and then all of these are taken.  Before the exact comparison, pairs are weighed inside the join by one bit of
-each coordinate, a few 64-bit words: a pair goes on unless its bits are 4.5 standard deviations below those of a link.
+many coordinates, a few 64-bit words: a pair goes on unless its bits are so far off as those of one link in a billion.
 
 Cases: texts with fewer than five words have one shingle, all their words; null and empty texts have none, are no copies of
 anything and stay; repeated rows (same id, same text) are one document; different texts with one id, or with none, are different
@@ -33,8 +33,10 @@ from .textvec import chunks, mix64, words
 
 SHINGLE = 5
 LEAST = 0.8
-#: BANDS bands of ROWS coordinates: a pair right at the threshold shares no bucket with a probability of 1.2 in 100,000.
-BANDS, ROWS = 48, 7
+#: BANDS bands of ROWS coordinates: a pair right at the threshold shares no bucket with a probability of 4.6 in 10,000,000.
+BANDS, ROWS = 62, 7
+#: The bits of a pair right at the threshold are taken for those of no link with at most this probability.
+MISS = 1e-9
 _CHARS = 2_000_000
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 _PRIMES = [np.uint64(p) for p in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -105,8 +107,14 @@ def dart_signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray,
     return sig.reshape(sets, k)
 
 
+def _weighed(k: int) -> int:
+    """Of k coordinates so many give a bit: whole words, where there is one."""
+    return k if k < 64 else k // 64 * 64
+
+
 def _sketches(bands: int, rows: int, weighted: bool):
     k = bands * rows
+    weighed = _weighed(k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,8 +133,8 @@ def _sketches(bands: int, rows: int, weighted: bool):
                 band = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(texts), bands)).copy()
                 for j in range(rows):
                     band = mix64(band * _PRIMES[0] + sig[:, :, j])
-                flat = (mix64(sig.reshape(len(texts), k)) >> np.uint64(63)).astype(np.uint8)
-                flat = np.pad(flat, ((0, 0), (0, -k % 64)))
+                flat = (mix64(sig.reshape(len(texts), k)[:, :weighed]) >> np.uint64(63)).astype(np.uint8)
+                flat = np.pad(flat, ((0, 0), (0, -weighed % 64)))
                 bits = np.packbits(flat, axis=1).view(np.int64)
                 part = slice(at, at + len(texts))
                 yield pd.DataFrame({"id": ids.iloc[part].to_numpy(), "sha": batch["sha"].iloc[part].to_numpy(), "n": n, "fp1": prints[0], "fp2": prints[1], "bands": list(band.view(np.int64)), "bits": list(bits)})
@@ -144,7 +152,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def sketch(docs: DataFrame, ident: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """``id``, the SHA-256 of the text ``sha``, number of shingles ``n``, a 128-bit print of the shingle set (``fp1``, ``fp2``), the band hashes
-    ``bands``, and one bit of each coordinate in the words ``bits``.
+    ``bands``, and one bit of each weighed coordinate in the words ``bits``.
 
     ``weighted`` counts repeated shingles as weights instead of once.
     """
@@ -166,10 +174,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(_similar("sa", "sb", least)).select("a", "b")
 
 
+def _most_off(k: int, least: float, miss: float = MISS) -> int:
+    """The fewest differing bits that a link has no more than, but for a probability of ``miss`` (exact binomial tail)."""
+    q, tail = (1 - least) / 2, 0.0
+    for m in range(k, 0, -1):
+        tail += math.comb(k, m) * q**m * (1 - q) ** (k - m)
+        if tail > miss:
+            return m
+    return 0
+
+
 def _likely(words: int, k: int, least: float) -> F.Column:
     """Whether the bits ``x0 ..`` and ``y0 ..`` may be those of a link: each agrees with a probability of (1 + similarity) / 2."""
-    p = (1 + least) / 2
-    most = k * (1 - p) + 4.5 * math.sqrt(k * p * (1 - p))
+    most = _most_off(k, least)
     off = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, words)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
     return off <= most
 
@@ -187,9 +204,10 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", leas
 
 def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8) -> DataFrame:
     """``id, sha, class_id, group_id, kept`` of every row.  Classes go by the number of one of their rows, as ids may repeat or be null."""
-    words = -(-bands * rows // 64)
+    weighed = _weighed(bands * rows)
+    words = -(-weighed // 64)
     x, y = [f"x{i}" for i in range(words)], [f"y{i}" for i in range(words)]
-    likely = _likely(words, bands * rows, least)
+    likely = _likely(words, weighed, least)
     made = materialise(sketch(docs, ident, text, bands, rows).withColumn("row", F.monotonically_increasing_id()), "dart-sketches")
     stays = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("stays")
     classes = materialise(made.where("n > 0").groupBy("fp1", "fp2").agg(F.min("row").alias("rep"), stays, F.count("*").alias("copies")), "dart-classes")

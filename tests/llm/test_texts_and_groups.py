@@ -1,6 +1,7 @@
 """Exact dedup, MinHash, mixing, chat, WARC: small fixtures against brute force."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -117,6 +118,13 @@ def test_near_dedup_decides_per_row(spark):
     assert len(groups) == len(rows) and (None, None, 7, False) in groups and (None, None, None, True) in groups and (7, 7, 5, False) in groups
 
 
+def test_search_misses_no_more_than_36_bands_of_5():
+    k = minhash._weighed(minhash.BANDS * minhash.ROWS)
+    filtered = sum(math.comb(k, m) * 0.1**m * 0.9 ** (k - m) for m in range(minhash._most_off(k, 0.8) + 1, k + 1))
+    assert filtered <= 1e-9
+    assert (1 - 0.8**minhash.ROWS) ** minhash.BANDS + filtered <= (1 - 0.8**5) ** 36
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = rng.integers(1, 2**63, 300, dtype=np.uint64)
