@@ -33,8 +33,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids, and the scores of the N best segmentations, of every copy that the mix took."""
-    return pieces.encode_texts(docs)
+    """Piece ids and scores of the N best segmentations of every copy that the mix took."""
+    return pieces.encode_texts(docs, alternatives=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -264,7 +264,7 @@ def _broadcast(spark: SparkSession, path: str) -> Broadcast:
 def encode_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = 4, path: str = MODEL, alternatives: bool = False) -> DataFrame:
     """``ident``, ``ids`` of the best segmentation, ``n_pieces``, ``score``, ``nbest_scores``, ``round_trip`` (decoding gives the text).
 
-    ``alternatives`` adds ``nbest_ids``, the piece ids of all n segmentations.
+    ``alternatives`` adds ``nbest_ids``, the piece ids of all n segmentations; ``round_trip`` then says that every one of them gives the text.
     """
     held = _broadcast(docs.sparkSession, path)
 
@@ -279,9 +279,10 @@ def encode_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
                     out["n_pieces"].append(len(e.ids))
                     out["score"].append(e.scores[0])
                     out["nbest_scores"].append(e.scores)
-                    out["round_trip"].append(decode(vocab, e.ids.tolist()) == body)
+                    paths = [e.nth(k) for k in range(len(e.scores) if alternatives else 1)]
+                    out["round_trip"].append(all(decode(vocab, p) == body for p in paths))
                     if alternatives:
-                        out["nbest_ids"].append([e.nth(k) for k in range(len(e.scores))])
+                        out["nbest_ids"].append([np.array(p, np.int32) for p in paths])
                 yield pd.DataFrame({"id": part["id"].to_numpy()} | out)
 
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))

@@ -24,7 +24,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_texts(table(spark, sf_dir, "documents"))
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), alternatives=True)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratapanel.llm import embjoin, langid, pieces, pii, toxicity
+from stratapanel.llm import embjoin, langid, pieces, pii, queries, toxicity
 
 SYLLABLES = {"aa": ["ba", "na", "lo", "ti"], "bb": ["schr", "ung", "ein", "kt"], "cc": ["éa", "ou", "çi", "tr"]}
 INSULTS = ["zonk", "blarg"]
@@ -140,6 +140,18 @@ def test_encode_and_decode(spark, vocab):
     assert pieces.encode_texts(table.limit(0)).count() == 0
 
 
+def test_registered_encoding_builds_all_segmentations(spark, vocab, tmp_path):
+    said = ["the cat in on", "hello  world", "", None]
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for made in (queries.op4_pieces(spark, str(tmp_path)), corpus_pipeline.encoded(spark, docs, str(tmp_path))):
+        for r in made.collect():
+            text = said[r["doc_id"]] or ""
+            paths = [tuple(x) for x in r["nbest_ids"]]
+            assert r["round_trip"] and len(set(paths)) == len(paths) == len(r["nbest_scores"]) == (4 if text else 1)
+            assert list(paths[0]) == r["ids"] and all(pieces.decode(vocab, x) == text for x in paths)
+
+
 @pytest.mark.parametrize("segment", [16, 4096])
 def test_embedding_groups(spark, segment):
     rng = np.random.default_rng(1)
