@@ -85,14 +85,60 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Da
     return rows.join(hot, key).unionByName(few.join(cold, key))
 
 
-#: Key lists up to this length are broadcast for a semi-join (some tens of MB); longer ones are joined by a shuffle.
-FEW_KEYS = 1_000_000
+#: Bits of a key filter per key, and its largest size; beyond that it lets more rows through, but never holds back one of the keys.
+BITS_PER_KEY = 16
+FILTER_BITS = 1 << 28
 
 
-def only_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is among ``keys`` (a written table, one row per key); wide rows move only where the list is long."""
-    few = keys.count() <= FEW_KEYS
-    return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
+def likely_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is among ``keys`` (a written table, one row per key), and few others, without a shuffle; an exact join is to follow.
+
+    The keys set bits of a bitmap of at most ``FILTER_BITS`` bits (32 MB), in pieces of 4 KB; rows whose bit is not set are
+    held back where they are read, so that about one foreign row in ``BITS_PER_KEY`` passes.
+    """
+    bits = 1 << 15
+    while bits < min(FILTER_BITS, BITS_PER_KEY * keys.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(bits))
+    piece, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    pieces = keys.groupBy(piece.alias("piece")).agg(F.bitmap_construct_agg(bit).alias("map"))
+    byte = F.conv(F.hex(F.substring("map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("getbit", byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+    marked = rows.withColumn("piece", piece)
+    return marked.join(F.broadcast(pieces), "piece").where(is_set).select(*rows.columns)
+
+
+def hash_share(share: float | Column, *cols: str | Column) -> Column:
+    """Whether the hash of ``cols`` falls into the first ``share`` of its range, cut in steps of 1 / 2**52: rows that are sampled."""
+    unit = F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") / float(1 << 52)
+    return unit < share
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows go to Python in batches of at most ``rows``, unless the session says otherwise: a worker's memory holds few whole texts."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(rows))
+
+
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """The whole row as the struct ``row`` beside the columns ``more``, so that names in ``df`` can't clash; undone by ``select("row.*")``."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def surviving(docs: DataFrame, ident: str, text: str, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay.  ``decided`` has a row ``id, sha, kept, copies`` per row of ``docs``: its id, the SHA-256 of its text,
+    whether it stays, and the number of rows with its text.  Of rows that are equal in id and text one stays."""
+    decided = materialise(decided, "decided")
+    lost = decided.where("not kept").select(F.col("id").alias("lost"), F.col("sha").alias("lost_sha")).distinct()
+    again = decided.where("kept and copies > 1").groupBy(F.col("id").alias("lost"), F.col("sha").alias("lost_sha")).agg(F.count("*").alias("n")).where("n > 1")
+    rows = packed(docs, id=F.col(ident), sha=F.sha2(text_of(text), 256))
+    same = F.col("id").eqNullSafe(F.col("lost")) & (F.col("sha") == F.col("lost_sha"))
+    rows = rows.join(lost, same, "left_anti")
+    if not again.head(1):
+        return rows.select("row.*")
+    one = rows.join(again, same, "left_semi").groupBy("id", "sha").agg(F.any_value("row").alias("row"))
+    return rows.join(again, same, "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

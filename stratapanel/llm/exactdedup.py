@@ -1,79 +1,107 @@
 """Exact de-duplication with an extendible-hash index on shared files (DataFrame operations only).
 
-1. Each row becomes a slim entry (id, 64-bit hash of the text, SHA-256) in a table of the shared folder.
-2. Entries are folded to one per hash (partial aggregation collapses copies in the map tasks).  The directory starts as one
-   bucket; while a bucket holds more hashes than its capacity it is split by one more leading bit, which doubles the
-   directory.  Local depth of a slot = fewest leading bits whose bucket fits.
-3. Index files are dealt to owner tasks by bucket and sorted by hash, so that a bucket is a run of one file.
-4. Hashes that occur once need no text: they are left out by a semi-join, whose key list is broadcast while it is short.  For the others the texts themselves are compared: grouping by (hash, text) chains
-   different texts that collide on a hash, again with partial aggregation, so a group of any number of copies is one row
-   per map task.
-5. Rows find their group by hash (hot groups by a bounded broadcast); only rows of colliding hashes also compare the text.
+1. Each row becomes a slim row (id, 64-bit hash of the text, SHA-256) in a table of the shared folder, and rows fold to one
+   entry per hash (partial aggregation collapses copies in the map tasks).
+2. The directory maps the leading bits of a hash to a bucket.  While a slot of it holds more entries than the capacity, the
+   directory doubles; a bucket takes as few bits as it can, so that several slots may lead to one bucket.  The capacity grows
+   with the input so that the directory stays at some 100,000 slots, a few MB, and every task can hold it.
+3. Entries are dealt to owner tasks by ranges of buckets, so that a file of the index holds a range of hashes in order.
+4. Entries of more than one row are chained: their texts are compared byte by byte, by grouping on (hash, text), again with
+   partial aggregation, so a group of any number of copies is one row per map task.  Different texts with one hash become
+   links of one chain.  Only texts of such entries move: others are held back by a filter on the hash where they are read.
+5. A row goes by its slot to the bucket, and there to the link of the chain that has its hash and its digest.  Hot groups are
+   looked up in a bounded broadcast.
 
 Cases: null texts count as empty; null ids are grouped but never stay where another id is present; repeated rows (same id, same
-text) are one document, and all of them are marked as kept; different texts with one id, or with none, are different documents; an empty table gives an empty result; other columns, whatever
-their names, pass through :func:`deduplicate` untouched.
+text) are one document, and all of them are marked as kept in :func:`exact_groups`, while :func:`deduplicate` returns one of them;
+different texts with one id, or with none, are different documents; very long texts are hashed and compared whole; an empty table
+gives an empty result; other columns, whatever their names, pass through :func:`deduplicate` untouched.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_groups, materialise, only_keys, text_of
+from .common import attach_groups, likely_among, materialise, surviving, text_of
 
-#: Hashes that a bucket of the index may hold, and the longest prefix the directory may use (it has 2**MAX_DEPTH slots at most).
+#: Entries that a bucket may hold, at least; with more than DIRECTORY times as many entries the capacity grows.
 CAPACITY = 4096
+DIRECTORY = 1 << 14
+#: Leading bits the directory may use.  Only hashes that are not spread evenly could need more; their bucket is a longer run of its file.
 MAX_DEPTH = 20
+#: Entries that an owner's file holds, about.
+PER_OWNER = 1 << 20
 
 
-def _prefix(hash_: Column, depth: int) -> Column:
+def _hash(body: Column, bits: int) -> Column:
+    """The hash of a text; fewer than 64 ``bits`` keep the leading ones only, so that different texts collide (for tests)."""
+    return F.xxhash64(body) if bits == 64 else F.shiftleft(F.shiftrightunsigned(F.xxhash64(body), 64 - bits), 64 - bits)
+
+
+def _slot(hash_: Column, depth: int) -> Column:
     return F.shiftrightunsigned(hash_, 64 - depth) if depth else F.lit(0).cast("long")
 
 
 def directory(entries: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
-    """Slots of the directory: ``slot, depth, bucket``; and the global depth.  ``entries`` has one row per hash, column ``h``."""
+    """Slots of the directory, ``slot, depth, bucket``, and the global depth; ``bucket`` is the first slot that leads to it.
+
+    ``entries`` has one row per hash, column ``h``.  The directory is doubled until no slot holds more than ``capacity`` entries.
+    """
     n = entries.count()
-    most = max(1, min(MAX_DEPTH, math.ceil(math.log2(max(2, n / capacity))) + 3))
-    slots = entries.groupBy(_prefix(F.col("h"), most).alias("slot")).agg(F.count("*").alias("n"))
-    levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("depth"))
-    bucket = F.expr(f"shiftright(slot, {most} - depth)")
-    filled = levels.groupBy("depth", bucket.alias("bucket")).agg(F.sum("n").alias("held"))
-    fits = levels.withColumn("bucket", bucket).join(filled, ["depth", "bucket"]).where((F.col("held") <= capacity) | (F.col("depth") == most))
-    local = fits.groupBy("slot").agg(F.min(F.struct("depth", "bucket")).alias("at"))
-    return local.select("slot", F.col("at.depth").alias("depth"), F.col("at.bucket").alias("bucket")), most
-
-
-def build_index(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index over rows ``id, h``: one entry per hash with ``depth, bucket, h, n, keep``, written bucket by bucket."""
-    entries = materialise(rows.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keep")), "hash-entries")
-    slots, depth = directory(entries, capacity)
-    placed = entries.withColumn("slot", _prefix(F.col("h"), depth)).join(slots, "slot").drop("slot")
-    owners = max(1, min(1 << depth, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return materialise(placed.repartition(owners, "depth", "bucket").sortWithinPartitions("depth", "bucket", "h"), "hash-index")
-
-
-def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    capacity = max(capacity, n // DIRECTORY)
+    depth = max(0, math.ceil(math.log2(max(1, n) / capacity)))
+    while True:
+        slots = materialise(entries.groupBy(_slot(F.col("h"), depth).alias("slot")).agg(F.count("*").alias("held")), "hash-slots")
+        if depth >= MAX_DEPTH or not slots.where(F.col("held") > capacity).head(1):
+            break
+        depth += 1
+    # buddies that fit into one bucket together share it: the fewest bits whose bucket fits
+    levels = slots.select("slot", "held", F.explode(F.sequence(F.lit(max(0, depth - 6)), F.lit(depth))).alias("depth"))
+    levels = levels.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {depth} - depth), {depth} - depth)"))
+    fits = F.sum("held").over(Window.partitionBy("depth", "bucket")) <= capacity
+    levels = levels.withColumn("fits", fits | (F.col("depth") == depth)).where("fits")
+    best = levels.groupBy("slot").agg(F.min(F.struct("depth", "bucket")).alias("at"))
+    return materialise(best.select("slot", F.col("at.depth").alias("depth"), F.col("at.bucket").alias("bucket")), "hash-directory"), depth
+
+
+def _placed(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """``rows`` with the bucket that the directory leads to.  The directory has at most 2**MAX_DEPTH slots, and about 8 * DIRECTORY by its capacity."""
+    return rows.withColumn("slot", _slot(F.col("h"), depth)).join(F.broadcast(slots.select("slot", "bucket")), "slot").drop("slot")
+
+
+def build_index(rows: DataFrame, texts: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """The index over rows ``id, h, sha`` and texts ``id, h, body``: its chains, its directory, and the directory's depth.
+
+    A link of a chain is ``bucket, h, link, sha, n, keep``; links are written owner by owner, in order of bucket and hash.
+    """
+    entries = materialise(rows.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keep"), F.max("sha").alias("sha")), "hash-entries")
+    slots, depth = directory(entries.select("h"), capacity)
+    repeated = entries.where("n > 1").select("h")
+    # copies fold in the map tasks, before the join, so that no group of copies meets in one task
+    compared = likely_among(texts, repeated, "h").groupBy("h", "body").agg(F.count("*").alias("n"), F.max("id").alias("keep")).join(repeated, "h", "left_semi")
+    links = entries.where("n = 1").select("h", "sha", "n", "keep").unionByName(compared.select("h", F.sha2("body", 256).alias("sha"), "n", "keep"))
+    placed = _placed(links, slots, depth)
+    owners = max(1, math.ceil(entries.count() / PER_OWNER))
+    placed = placed.repartitionByRange(owners, "bucket", "h").sortWithinPartitions("bucket", "h", "sha")
+    return materialise(placed.select("bucket", "h", "sha", "n", "keep"), "hash-index"), slots, depth
+
+
+def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", capacity: int = CAPACITY, bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: the id, ``keep_id`` (largest id of equal texts), ``group_size``, ``kept``, ``text_sha256``."""
     body = text_of(text)
-    rows = materialise(docs.select(F.col(ident).alias("id"), F.xxhash64(body).alias("h"), F.sha2(body, 256).alias("sha")), "hash-rows")
-    index = build_index(rows, capacity)
-    repeated = index.where("n > 1").select("h")
-    texts = docs.select(F.col(ident).alias("id"), body.alias("body")).withColumn("h", F.xxhash64("body"))
-    chains = only_keys(texts, repeated, "h").groupBy("h", "body").agg(F.count("*").alias("n"), F.max("id").alias("keep"))
-    chains = materialise(chains.select("h", "n", "keep", F.sha2("body", 256).alias("sha"), F.length("body").alias("chars")), "hash-chains")
-    links = chains.groupBy("h").agg(F.count("*").alias("links"), F.max("n").alias("n"), F.max("keep").alias("keep"))
-    groups = materialise(index.where("n = 1").select("h", "n", "keep").unionByName(links.where("links = 1").select("h", "n", "keep")), "hash-groups")
-    found = attach_groups(rows, groups, "h", "n")
-    if links.where("links > 1").head(1):
-        clashing = rows.join(links.where("links > 1").select("h"), "h", "left_semi")
-        found = found.unionByName(clashing.join(chains.select("h", "sha", "n", "keep"), ["h", "sha"]).select(*found.columns))
-    return found.select(F.col("id").alias(ident), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))
+    rows = materialise(docs.select(F.col(ident).alias("id"), _hash(body, bits).alias("h"), F.sha2(body, 256).alias("sha")), "hash-rows")
+    texts = docs.select(F.col(ident).alias("id"), body.alias("body")).withColumn("h", _hash(F.col("body"), bits))
+    index, slots, depth = build_index(rows, texts, capacity)
+    at = lambda df: df.select(F.struct("bucket", "h", "sha").alias("at"), *[c for c in df.columns if c not in ("bucket", "h", "sha")])
+    found = attach_groups(at(_placed(rows, slots, depth)), at(index), "at", "n")
+    kept = F.col("id").eqNullSafe(F.col("keep")).alias("kept")
+    return found.select(F.col("id").alias(ident), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), kept, F.col("at.sha").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text a row with a larger id also has.  A row is told by its id and text, not by its id alone."""
-    lost = exact_groups(docs, ident, text).where("not kept").select(F.col(ident).alias("__lost"), F.col("text_sha256").alias("__sha")).distinct()
-    return docs.join(lost, docs[ident].eqNullSafe(F.col("__lost")) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == F.col("__sha")), "left_anti")
+    """``docs`` with one row, of the largest id, for each text.  A row is told by its id and text, not by its id alone."""
+    groups = exact_groups(docs, ident, text)
+    return surviving(docs, ident, text, groups.select(F.col(ident).alias("id"), F.col("text_sha256").alias("sha"), "kept", F.col("group_size").alias("copies")))

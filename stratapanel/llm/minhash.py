@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_KEYS, attach_groups, connected_components, drop_table, materialise, text_of
+from .common import attach_groups, connected_components, drop_table, likely_among, materialise, small_batches, surviving, text_of
 from .textvec import chunks, mix64, words
 
 SHINGLE = 5
@@ -37,7 +37,8 @@ LEAST = 0.8
 BANDS, ROWS = 62, 7
 #: The bits of a pair right at the threshold are taken for those of no link with at most this probability.
 MISS = 1e-9
-_CHARS = 2_000_000
+#: Texts are sketched so many at a time: a text throws some thousands of darts, however short it is.
+_CHARS, _TEXTS = 400_000, 128
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 _PRIMES = [np.uint64(p) for p in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
@@ -119,7 +120,7 @@ def _sketches(bands: int, rows: int, weighted: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["id"]
-            for at, texts in chunks(batch["text"], _CHARS):
+            for at, texts in chunks(batch["text"], _CHARS, _TEXTS):
                 owner, shingle, count = shingle_sets(texts)
                 weight = count.astype(float) if weighted else np.ones(len(count))
                 n = np.bincount(owner, minlength=len(texts))
@@ -142,12 +143,21 @@ def _sketches(bands: int, rows: int, weighted: bool):
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at, texts in chunks(batch["text"], _CHARS):
-            owner, shingle, _ = shingle_sets(texts)
-            parts = np.split(shingle.view(np.int64), np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
-            yield pd.DataFrame({"id": batch["node"].iloc[at : at + len(texts)].to_numpy(), "s": parts})
+def _sets(weighted: bool):
+    """Shingle sets; ``weighted`` ones have an element for every occurrence, so that their Jaccard similarity is the weighted one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, texts in chunks(batch["text"], _CHARS):
+                owner, shingle, count = shingle_sets(texts)
+                if weighted:
+                    owner, shingle = np.repeat(owner, count), np.repeat(shingle, count)
+                    turn = np.arange(len(shingle)) - np.repeat(np.cumsum(count) - count, count)
+                    shingle = np.where(turn > 0, mix64(shingle + turn.astype(np.uint64) * _PRIMES[0]), shingle)
+                parts = np.split(shingle.view(np.int64), np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
+                yield pd.DataFrame({"id": batch["node"].iloc[at : at + len(texts)].to_numpy(), "s": parts})
+
+    return run
 
 
 def sketch(docs: DataFrame, ident: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
@@ -156,8 +166,10 @@ def sketch(docs: DataFrame, ident: str = "doc_id", text: str = "text", bands: in
 
     ``weighted`` counts repeated shingles as weights instead of once.
     """
-    rows_ = docs.select(F.col(ident).cast("long").alias("id"), F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
-    return rows_.mapInPandas(_sketches(bands, rows, weighted), "id long, sha string, n long, fp1 long, fp2 long, bands array<long>, bits array<long>")
+    small_batches(docs.sparkSession)
+    rows_ = docs.select(F.col(ident).alias("id"), F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
+    kind = rows_.schema["id"].dataType.simpleString()
+    return rows_.mapInPandas(_sketches(bands, rows, weighted), f"id {kind}, sha string, n long, fp1 long, fp2 long, bands array<long>, bits array<long>")
 
 
 def _similar(s: str, t: str, least: float) -> F.Column:
@@ -191,24 +203,25 @@ def _likely(words: int, k: int, least: float) -> F.Column:
     return off <= most
 
 
-def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8) -> DataFrame:
+def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8, weighted: bool = False) -> DataFrame:
     """One row per document: the id, ``class_id`` (smallest id with the same shingle set), ``group_id`` (smallest id of its
     component of links), ``kept`` (id = group_id, and of different texts with that id the one with the smallest SHA-256).
 
     Leader rounds stop after ``rounds``, or when fewer than ``spare`` pairs per bucket member are open; then all open pairs are
-    weighed, so that both are no bounds on what is found.
+    weighed, so that both are no bounds on what is found.  ``weighted`` counts a shingle as often as it occurs, in the signatures and in
+    the comparison: the similarity is then the sum of the lesser counts over the sum of the greater ones.
     """
-    found = _grouped(docs, ident, text, least, bands, rows, spare, rounds)
+    found = _grouped(docs, ident, text, least, bands, rows, spare, rounds, weighted)
     return found.select(F.col("id").alias(ident), "class_id", "group_id", "kept")
 
 
-def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8) -> DataFrame:
-    """``id, sha, class_id, group_id, kept`` of every row.  Classes go by the number of one of their rows, as ids may repeat or be null."""
+def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8, weighted: bool = False) -> DataFrame:
+    """``id, sha, class_id, group_id, kept, copies`` of every row; ``copies`` have its shingles.  Classes go by the number of one of their rows, as ids may repeat or be null."""
     weighed = _weighed(bands * rows)
     words = -(-weighed // 64)
     x, y = [f"x{i}" for i in range(words)], [f"y{i}" for i in range(words)]
     likely = _likely(words, weighed, least)
-    made = materialise(sketch(docs, ident, text, bands, rows).withColumn("row", F.monotonically_increasing_id()), "dart-sketches")
+    made = materialise(sketch(docs, ident, text, bands, rows, weighted).withColumn("row", F.monotonically_increasing_id()), "dart-sketches")
     stays = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("stays")
     classes = materialise(made.where("n > 0").groupBy("fp1", "fp2").agg(F.min("row").alias("rep"), stays, F.count("*").alias("copies")), "dart-classes")
     one = made.where("n > 0").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
@@ -224,10 +237,9 @@ def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands
     need = one.select(F.col("id").alias("node"), "sha").join(mates.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     need = materialise(need, "dart-need")
     texts = docs.select(F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
-    if need.count() <= FEW_KEYS:
-        texts = texts.join(F.broadcast(need.select("sha")), "sha", "left_semi")
     # copies of a text fold in the map tasks, before the join
-    sets = materialise(texts.dropDuplicates(["sha"]).join(need, "sha").mapInPandas(_sets, "id long, s array<long>"), "dart-sets")
+    texts = likely_among(texts, need.select("sha"), "sha").dropDuplicates(["sha"])
+    sets = materialise(texts.join(need, "sha").mapInPandas(_sets(weighted), "id long, s array<long>"), "dart-sets")
     links = materialise(_verified(tried, sets, least), "dart-links")
     for number in range(rounds + 1):
         comps = connected_components(links, "a", "b")
@@ -266,12 +278,11 @@ def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands
     rows_ = made.where("n > 0").select("id", "sha", F.struct("fp1", "fp2").alias("fp"))
     kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("sha") == F.col("head.sha"))
     found = attach_groups(rows_, materialise(keyed, "dart-groups"), "fp", "copies")
-    found = found.select("id", "sha", F.col("stays.id").alias("class_id"), F.col("head.id").alias("group_id"), kept.alias("kept"))
-    none = made.where("n = 0").select("id", "sha", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(True).alias("kept"))
+    found = found.select("id", "sha", F.col("stays.id").alias("class_id"), F.col("head.id").alias("group_id"), kept.alias("kept"), "copies")
+    none = made.where("n = 0").select("id", "sha", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("copies"))
     return found.unionByName(none)
 
 
 def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document, that with the smallest id, of each group of near copies.  A row is told by its id and text."""
-    lost = _grouped(docs, ident, text).where("not kept").select(F.col("id").alias("__lost"), F.col("sha").alias("__sha")).distinct()
-    return docs.join(lost, docs[ident].eqNullSafe(F.col("__lost")) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == F.col("__sha")), "left_anti")
+    return surviving(docs, ident, text, _grouped(docs, ident, text).select("id", "sha", "kept", "copies"))

@@ -29,14 +29,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textvec import chunks, run_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\udc81"
 #: Distinct cuts that a worker keeps; the memory is emptied when it is full.
-KEEP = 1_000_000
+KEEP = 300_000
 _LONG = 48
-_CHARS = 1_000_000
+_CHARS = 300_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -266,6 +267,7 @@ def encode_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
 
     ``alternatives`` adds ``nbest_ids``, the piece ids of all n segmentations; ``round_trip`` then says that every one of them gives the text.
     """
+    small_batches(docs.sparkSession, 250)
     held = _broadcast(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

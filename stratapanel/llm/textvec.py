@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +27,10 @@ def _powers(n: int, base: int) -> np.ndarray:
     return out
 
 
+#: Longer runs get a cryptographic digest: polynomials modulo 2**64 have known collisions from 1,024 units on.
+_LONG_RUN = 512
+
+
 def run_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run units[start:end]: a polynomial modulo 2**64 from one running sum, then mixed."""
     if not len(starts):
@@ -33,7 +38,11 @@ def run_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.zeros(len(units) + 1, np.uint64)
     np.cumsum((units.astype(np.uint64) + np.uint64(1)) * _powers(len(units), _STEP), out=sums[1:])
     back = _powers(len(units) + 1, pow(_STEP, -1, 1 << 64))
-    return mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    out = mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    for i in np.flatnonzero(ends - starts > _LONG_RUN).tolist():
+        digest = hashlib.blake2b(units[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, np.uint64)[0]
+    return out
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,12 +51,12 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def chunks(texts: Iterable[str | None], most: int) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts, about ``most`` characters together (one longer text stands alone), with the place of the first."""
+def chunks(texts: Iterable[str | None], most: int, rows: int = 1 << 30) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts, about ``most`` characters (one longer text stands alone) and at most ``rows`` together, with the place of the first."""
     held, size, first = [], 0, 0
     for i, text in enumerate(texts):
         text = text if isinstance(text, str) else ""
-        if held and size + len(text) > most:
+        if held and (size + len(text) > most or len(held) >= rows):
             yield first, held
             held, size, first = [], 0, i
         held.append(text)

@@ -67,6 +67,35 @@ def test_toxicity(spark, texts):
     assert toxicity.assess(table.limit(0), labels).count() == 0
 
 
+def test_noisy_or_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    place, sentence = rng.integers(0, 6, 40), np.sort(rng.integers(0, 12, 40))
+    owner, label, weight = np.repeat(np.arange(4), 3), np.array([1, 0, 1, 0]), np.array([1.0, 2.0, 0.5, 1.0])
+    w, noise = rng.uniform(0.5, 1.5, 6), 0.07  # above the level without evidence, where the noisy-or has a slope
+
+    def likelihood(w):
+        z = np.bincount(sentence, w[place], minlength=12) + toxicity.BIAS
+        level = 1 / (1 + math.exp(-toxicity.BIAS))
+        p = np.maximum(0.0, (1 / (1 + np.exp(-z)) - level) / (1 - level))
+        clean = np.array([np.prod(1 - p[owner == d]) for d in range(4)])
+        marked = noise + (1 - 2 * noise) * (1 - clean)
+        return (weight * np.where(label == 1, np.log(marked), np.log(1 - marked))).sum()
+
+    found, clean, _ = toxicity.gradient(w, place, sentence, owner, label, weight, noise)
+    steps = [(likelihood(w + 1e-6 * np.eye(6)[k]) - likelihood(w - 1e-6 * np.eye(6)[k])) / 2e-6 for k in range(6)]
+    assert np.allclose(found, steps, rtol=1e-4, atol=1e-6)
+
+
+def test_worst_sentence_is_where_the_insult_is(spark, texts):
+    table = spark.createDataFrame([(i, t) for i, t, *_ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, *_, y in texts], "doc_id long, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.assess(table, labels).collect()}
+    bad = [(t, found[i]) for i, t, _, y in texts if y and found[i]["predicted"]]
+    hits = [any(w in t[r["worst_start"] : r["worst_end"]] for w in INSULTS) for t, r in bad]
+    assert len(bad) > 60 and np.mean(hits) > 0.97
+    assert all("." not in t[r["worst_start"] : r["worst_end"]] for t, r in bad)
+
+
 def test_clean_rows_stay_by_their_own_score(spark, texts):
     bad, good = texts[0][1], texts[1][1]
     rows = [(i, t, 1) for i, t, *_ in texts] + [(None, bad, 1), (None, good, 1), (5000, bad, 1), (5000, good, 1)]
