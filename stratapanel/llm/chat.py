@@ -11,7 +11,7 @@ character of each control string, so that the marks of the template occur nowher
 (length in code points, in the loss or not), which add up to the length of the output.
 
 Cases: null texts and roles count as empty; turns are ordered by turn number (null first), ties by their formatted text;
-repeated rows are repeated turns; null conversation ids form one conversation; an unknown kind of part is formatted as text;
+repeated rows are repeated turns; a row without a conversation id is a conversation of its own; an unknown kind of part is formatted as text;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -37,9 +37,14 @@ def escape(text: Column) -> Column:
     return reduce(lambda c, s: F.replace(c, F.lit(s), F.lit(s[0] + MARK + s[1:])), CONTROL, marked)
 
 
-def unescape(text: Column) -> Column:
-    plain = reduce(lambda c, s: F.replace(c, F.lit(s[0] + MARK + s[1:]), F.lit(s)), CONTROL, text)
-    return F.replace(plain, F.lit(MARK + MARK), F.lit(MARK))
+def unescape(text: Column, also: tuple[tuple[str, str], ...] = ()) -> Column:
+    """The text before :func:`escape`.  Doubled marks are told from left to right first, so that no half of one is taken for another mark.
+
+    ``also`` are further pairs (escaped, plain), each with one mark.
+    """
+    pairs = [*((s[0] + MARK + s[1:], s) for s in CONTROL), *also]
+    plain = lambda part: reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, part)
+    return F.array_join(F.transform(F.split(text, MARK + MARK, -1), plain), MARK)
 
 
 def text_parts(text: str) -> Column:
@@ -69,7 +74,8 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     Attachments are structs (turn, position among the turn's parts, kind, ref, tokens) in the order of their placeholders.
     """
     parts = F.col(parts) if isinstance(parts, str) else parts
-    rows = turns.select(F.col(conv).alias("__conv"), F.col(turn).alias("__turn"), F.coalesce(F.col(role), F.lit("")).alias("__role"), F.coalesce(parts, F.array()).alias("__parts"))
+    lone = F.when(F.col(conv).isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(conv).alias("__conv"), lone.alias("__lone"), F.col(turn).alias("__turn"), F.coalesce(F.col(role), F.lit("")).alias("__role"), F.coalesce(parts, F.array()).alias("__parts"))
     head = F.concat(F.lit(TURN), F.replace(escape(F.col("__role")), F.lit("\n"), F.lit(_LINE)), F.lit("\n"))
     rows = rows.withColumns({"__head": head, "__body": F.array_join(F.transform("__parts", _visit), "")})
     held = F.filter(
@@ -80,6 +86,7 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     loss = F.col("__role") == "assistant"
     rows = rows.select(
         "__conv",
+        "__lone",
         F.struct(
             F.col("__turn").alias("turn"),
             F.concat("__head", "__body", F.lit(END + "\n")).alias("piece"),
@@ -92,7 +99,7 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
             spent.alias("tokens"),
         ).alias("__t"),
     )
-    grouped = rows.groupBy("__conv").agg(F.array_sort(F.collect_list("__t")).alias("__t"))
+    grouped = rows.groupBy("__conv", "__lone").agg(F.array_sort(F.collect_list("__t")).alias("__t"))
     return grouped.select(
         F.col("__conv").alias(conv),
         F.array_join(F.transform("__t", lambda t: t["piece"]), "").alias("formatted"),
@@ -110,7 +117,7 @@ def parse(formatted: Column) -> Column:
     def turn(piece: Column) -> Column:
         at = F.instr(piece, "\n")
         role = F.substring(piece, F.lit(len(TURN) + 1), at - len(TURN) - 1)
-        return F.struct(unescape(F.replace(role, F.lit(_LINE), F.lit("\n"))).alias("role"), unescape(F.substring(piece, at + 1, F.length(piece))).alias("text"))
+        return F.struct(unescape(role, ((_LINE, "\n"),)).alias("role"), unescape(F.substring(piece, at + 1, F.length(piece))).alias("text"))
 
     return F.transform(pieces, turn)
 

@@ -3,15 +3,18 @@
 For unit vectors, cosine >= c is the same as a distance of at most eps = sqrt(2 - 2 c).
 
 1. Equal vectors are folded into one class (partial aggregation), so copies are never paired with each other.
-2. The leading principal directions come from a d x d second-moment matrix, summed over all rows in Spark.
+2. The leading principal directions come from a few rounds of subspace iteration; each round sums one short array per component.
 3. Unit vectors are projected; (projection, norm of the rest) keeps cosines as an upper bound.  Rows are sorted by grid cell of
-   side eps over the leading dimensions (range partitions, then within) and cut into segments, intervals of that order.
-4. Boxes of partitions, then boxes of their segments, are joined by grid cell; pairs of boxes farther apart than eps are
-   skipped, which loses nothing.
-5. Each remaining pair of segments is joined in one task by halving both intervals, again skipping distant boxes, down to
-   blocks that are compared by a matrix product in double precision.
-6. A pair of segments returns link counts and a spanning forest, never the pairs, so a dense cluster costs rows in
-   proportion to its vectors.
+   side eps over the leading dimensions into bands (range partitions), and cut into segments, short intervals of that order.
+4. Boxes of bands are joined by grid cell; pairs of bands farther apart than eps are skipped.  A pair of bands is one task, and
+   only those segments are sent to it whose boxes come within eps of the other band, which loses nothing.  A vector is thus
+   sent once per neighbouring band, not once per neighbouring segment.
+5. A task joins its two sequences by halving both intervals, again skipping distant boxes, down to blocks that are compared by
+   a matrix product in double precision.
+6. It returns link counts and a spanning forest, never the pairs, so a dense cluster costs rows in proportion to its vectors.
+
+Boxes prune where vectors lie in clusters.  Vectors spread evenly in many dimensions are all near each other in any few of them;
+then all bands are joined, n / (vectors per band) times the input is sent, and products of all blocks are taken.
 
 Cases: null or empty vectors, zero vectors, and vectors with null or non-finite components link with nothing; shorter vectors are
 padded with zeros to the longest length; repeated rows (same id and vector) count as further vectors that are linked; null ids
@@ -27,15 +30,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import attach_groups, connected_components, materialise
+from .common import attach_groups, connected_components, materialise, small_batches
 
-LEADING = 6
-SEGMENT = 4096
+LEADING = 8
+SEGMENT = 512
 BLOCK = 256
-#: Segments are sent to all executors while all vectors together are no larger than this; else pairs fetch theirs by a shuffle.
-BROADCAST_BYTES = 8 << 20
-PAIR_WORK = 1 << 22
+#: A band holds at most so many bytes of vectors in double precision; small inputs are cut into FEWEST bands all the same.
+BAND_BYTES = 16 << 20
+FEWEST, SMALL = 3, 4096
+_ROUNDS = 2
 _SLACK = 1e-9
 
 
@@ -58,22 +63,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def principal_directions(vectors: DataFrame, width: int, leading: int = LEADING) -> np.ndarray:
-    """Leading eigenvectors of the second moments of the unit vectors: a width x leading array.  Only width**2 sums reach the driver."""
+    """About the leading eigenvectors of the second moments of the unit vectors: a width x leading array with orthonormal columns.
 
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
-        for batch in batches:
-            if len(batch):
-                u = _unit(_matrix(batch["vec"], width))
-                total += u.T @ u
-        i, j = np.triu_indices(width)
-        yield pd.DataFrame({"at": i * width + j, "s": total[i, j]})
+    Any such axes give right results, good ones skip more.  A round sends the driver ``width`` arrays of ``leading`` numbers.
+    """
+    k = min(leading, width)
+    axes = np.linalg.qr(np.random.default_rng(7).standard_normal((width, k)))[0]
+    for _ in range(_ROUNDS):
 
-    sums = vectors.select("vec").mapInPandas(moments, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).collect()
-    m = np.zeros((width, width))
-    for r in sums:
-        m[r["at"] // width, r["at"] % width] = m[r["at"] % width, r["at"] // width] = r["s"]
-    return np.linalg.eigh(m)[1][:, ::-1][:, : min(leading, width)].copy()
+        def products(batches: Iterator[pd.DataFrame], axes: np.ndarray = axes) -> Iterator[pd.DataFrame]:
+            total = np.zeros((width, k))
+            for batch in batches:
+                if len(batch):
+                    u = _unit(_matrix(batch["vec"], width))
+                    total += u.T @ (u @ axes)
+            yield pd.DataFrame({"i": np.arange(width)} | {f"s{j}": total[:, j] for j in range(k)})
+
+        made = vectors.select("vec").mapInPandas(products, "i long, " + ", ".join(f"s{j} double" for j in range(k)))
+        sums = made.groupBy("i").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).orderBy("i").toPandas()
+        axes = np.linalg.qr(sums.drop(columns="i").to_numpy() + 1e-12 * axes)[0]
+    return axes
 
 
 def _projected(u: np.ndarray, axes: np.ndarray) -> np.ndarray:
@@ -81,23 +90,22 @@ def _projected(u: np.ndarray, axes: np.ndarray) -> np.ndarray:
     return np.column_stack([p, np.sqrt(np.maximum(0.0, 1.0 - (p * p).sum(axis=1)))])
 
 
-def _cutter(width: int, axes: np.ndarray, segment: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _cutter(width: int, axes: np.ndarray, segment: int, kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def cut(rows: pd.DataFrame, seq: int) -> dict:
-        u = _unit(_matrix(rows["vec"], width))
-        p = _projected(u, axes)
-        out = {"seq": seq, "ids": rows["rep"].to_numpy(), "copies": rows["n"].to_numpy(), "unit": u.tobytes()}
+        x = _matrix(rows["vec"], width)
+        p = _projected(_unit(x), axes)
+        out = {"seq": seq, "ids": rows["rep"].to_numpy(), "copies": rows["n"].to_numpy(), "raw": x.astype(kind).tobytes()}
         return out | {f"lo{k}": p[:, k].min() for k in range(p.shape[1])} | {f"hi{k}": p[:, k].max() for k in range(p.shape[1])}
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, seq = [], 0
+        held, seq = pd.DataFrame({"rep": [], "n": [], "vec": []}), 0
         for batch in batches:
-            held.append(batch[["rep", "n", "vec"]])
-            while sum(map(len, held)) >= segment:
-                rows = pd.concat(held, ignore_index=True)
-                yield pd.DataFrame([cut(rows[:segment], seq)])
-                held, seq = [rows[segment:]], seq + 1
-        if held and sum(map(len, held)):
-            yield pd.DataFrame([cut(pd.concat(held, ignore_index=True), seq)])
+            held = pd.concat([held, batch[["rep", "n", "vec"]]], ignore_index=True) if len(held) else batch[["rep", "n", "vec"]]
+            while len(held) >= segment:
+                yield pd.DataFrame([cut(held[:segment], seq)])
+                held, seq = held[segment:], seq + 1
+        if len(held):
+            yield pd.DataFrame([cut(held, seq)])
 
     return segments
 
@@ -143,16 +151,25 @@ def _find(root: np.ndarray, x: int) -> int:
     return x
 
 
-def _joiner(width: int, axes: np.ndarray, least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _joiner(width: int, axes: np.ndarray, least: float, kind: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     eps = math.sqrt(max(0.0, 2.0 - 2.0 * least))
 
-    def pair(row) -> pd.DataFrame:
-        same = row.a == row.b
-        a = _Tree(np.frombuffer(row.unit_a).reshape(-1, width), axes)
-        b = a if same else _Tree(np.frombuffer(row.unit_b).reshape(-1, width), axes)
-        na, nb = len(a.unit), 0 if same else len(b.unit)
-        ids = np.concatenate([row.ids_a, row.ids_b])[: na + nb] if nb else np.asarray(row.ids_a)
-        copies = np.concatenate([row.copies_a, row.copies_b])[: na + nb] if nb else np.asarray(row.copies_a)
+    def side(rows: pd.DataFrame) -> tuple[_Tree, np.ndarray, np.ndarray]:
+        rows = rows.sort_values("seg")
+        raw = np.concatenate([np.frombuffer(x, kind) for x in rows["raw"]]).reshape(-1, width).astype(float)
+        return _Tree(_unit(raw), axes), np.concatenate(rows["ids"].tolist()), np.concatenate(rows["copies"].tolist())
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        first, second = rows["a"].iloc[0], rows["b"].iloc[0]
+        same = first == second
+        mine, other = rows[rows["band"] == first], rows[rows["band"] == second]
+        if not len(mine) or not len(other):
+            return pd.DataFrame({"id": [], "links": [], "other": []}).astype(int)
+        a, ids, copies = side(mine)
+        b, na, nb = a, len(a.unit), 0
+        if not same:
+            b, more_ids, more_copies = side(other)
+            nb, ids, copies = len(b.unit), np.concatenate([ids, more_ids]), np.concatenate([copies, more_copies])
         shift = 0 if same else na
         links, root = np.zeros(na + nb, np.int64), np.arange(na + nb)
         for i, j, k, m in _block_pairs(a, b, same, eps):
@@ -177,16 +194,11 @@ def _joiner(width: int, axes: np.ndarray, least: float) -> Callable[[Iterator[pd
         tied = np.flatnonzero(root != np.arange(na + nb))
         return pd.DataFrame({"id": np.concatenate([ids[some], ids[tied]]), "links": np.concatenate([links[some], np.zeros(len(tied), np.int64)]), "other": np.concatenate([ids[some], ids[root[tied]]])})
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield pair(row)
-
-    return pairs
+    return pair
 
 
-def _near(a: DataFrame, b: DataFrame, dims: int, eps: float) -> F.Column:
-    gap = sum((F.pow(F.greatest(F.lit(0.0), a[f"lo{k}"] - b[f"bhi{k}"], b[f"blo{k}"] - a[f"hi{k}"]), 2) for k in range(dims)), F.lit(0.0))
+def _near(dims: int, eps: float) -> F.Column:
+    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"bhi{k}"), F.col(f"blo{k}") - F.col(f"hi{k}")), 2) for k in range(dims)), F.lit(0.0))
     return gap <= eps * eps + _SLACK
 
 
@@ -195,23 +207,34 @@ def _cells(lo: str, hi: str, eps: float, wide: int) -> F.Column:
     return F.sequence(cell(lo) - wide, cell(hi) + wide)
 
 
-def _box_pairs(boxes: DataFrame, dims: int, eps: float, key: str, parents: DataFrame | None) -> DataFrame:
-    """Pairs (a, b), a <= b, of boxes within eps: by grid cell of the first direction, or below pairs of parents already found."""
-    right = boxes.select(F.col(key).alias("b"), F.col("part").alias("part_b"), *[F.col(f"lo{k}").alias(f"blo{k}") for k in range(dims)], *[F.col(f"hi{k}").alias(f"bhi{k}") for k in range(dims)])
-    left = boxes.withColumn("a", F.col(key)).withColumn("part_a", F.col("part"))
-    if parents is None:
-        left = left.withColumns({"c0": F.explode(_cells("lo0", "hi0", eps, 0))}).withColumn("c1", F.explode(_cells("lo1", "hi1", eps, 0)))
-        right = right.withColumn("c0", F.explode(_cells("blo0", "bhi0", eps, 1))).withColumn("c1", F.explode(_cells("blo1", "bhi1", eps, 1)))
-        joined = left.join(right, ["c0", "c1"])
-    else:
-        joined = left.join(parents, "part_a").join(right, "part_b")
-    return joined.where((F.col("a") <= F.col("b")) & _near(left, right, dims, eps)).select("a", "b").distinct()
+def _other(boxes: DataFrame, dims: int, key: str, name: str) -> DataFrame:
+    return boxes.select(F.col(key).alias(name), *[F.col(f"lo{k}").alias(f"blo{k}") for k in range(dims)], *[F.col(f"hi{k}").alias(f"bhi{k}") for k in range(dims)])
+
+
+def band_pairs(bands: DataFrame, dims: int, eps: float) -> DataFrame:
+    """Pairs (a, b), a <= b, of bands whose boxes are within eps, found by grid cell of the first two directions."""
+    right = _other(bands, dims, "band", "b")
+    left = bands.withColumn("a", F.col("band"))
+    left = left.withColumn("c0", F.explode(_cells("lo0", "hi0", eps, 0))).withColumn("c1", F.explode(_cells("lo1", "hi1", eps, 0)))
+    right = right.withColumn("c0", F.explode(_cells("blo0", "bhi0", eps, 1))).withColumn("c1", F.explode(_cells("blo1", "bhi1", eps, 1)))
+    joined = left.join(right, ["c0", "c1"])
+    return joined.where((F.col("a") <= F.col("b")) & _near(dims, eps)).select("a", "b").distinct()
+
+
+def needed_segments(boxes: DataFrame, bands: DataFrame, pairs: DataFrame, dims: int, eps: float) -> DataFrame:
+    """``a, b, seg``: the segments of either band of a pair that come within eps of the other band's box."""
+    both = pairs.select("a", "b", F.col("a").alias("band"), F.col("b").alias("far")).unionByName(pairs.where("a < b").select("a", "b", F.col("b").alias("band"), F.col("a").alias("far")))
+    far = _other(bands, dims, "band", "far")
+    return both.join(boxes, "band").join(far, "far").where(_near(dims, eps)).select("a", "b", "seg")
 
 
-def near_duplicates(rows: DataFrame, ident: str = "vec_id", vec: str = "embedding", least: float = 0.9, leading: int = LEADING, segment: int = SEGMENT) -> DataFrame:
-    """One row per vector: the id, ``n_links`` (other vectors with cosine >= ``least``), ``component_id``, ``kept``."""
+def near_duplicates(rows: DataFrame, ident: str = "vec_id", vec: str = "embedding", least: float = 0.9, leading: int = LEADING, segment: int = SEGMENT, bands: int = 1) -> DataFrame:
+    """One row per vector: the id, ``n_links`` (other vectors with cosine >= ``least``), ``component_id``, ``kept``.  ``bands``: at least so many."""
+    small_batches(rows.sparkSession, 5000)
     good = _usable(vec) & F.col(ident).isNotNull()
-    slim = rows.select(F.col(ident).alias("id"), F.when(good, F.xxhash64(F.col(vec).cast("array<double>"))).alias("h"), F.when(good, F.col(vec).cast("array<double>")).alias("vec"))
+    single = isinstance(rows.schema[vec].dataType, ArrayType) and isinstance(rows.schema[vec].dataType.elementType, FloatType)
+    of, kind = ("array<float>", "<f4") if single else ("array<double>", "<f8")
+    slim = rows.select(F.col(ident).alias("id"), F.when(good, F.xxhash64(F.col(vec).cast(of))).alias("h"), F.when(good, F.col(vec).cast(of)).alias("vec"))
     classes = materialise(slim.where("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("h", F.xxhash64("vec")), "ego-classes")
     whole = rows.select(F.col(ident).alias("id"))
     width = classes.agg(F.max(F.size("vec"))).head()[0]
@@ -228,26 +251,22 @@ def near_duplicates(rows: DataFrame, ident: str = "vec_id", vec: str = "embeddin
                 yield batch.assign(cell=list(np.floor(p[:, :-1] / eps).astype(int)), proj=list(p))
 
     count = classes.count()
-    parts = max(1, min(10_000, math.ceil(count / segment)))
-    placed = classes.select("rep", "n", "vec").mapInPandas(place, "rep long, n long, vec array<double>, cell array<int>, proj array<double>")
-    ordered = placed.repartitionByRange(parts, "cell", "proj", "rep").sortWithinPartitions("cell", "proj", "rep")
+    least_bands = max(bands, math.ceil(count * width * 8 / BAND_BYTES), FEWEST if count > SMALL else 1, math.ceil(count / (segment * 128)))
+    placed = classes.select("rep", "n", "vec").mapInPandas(place, f"rep long, n long, vec {of}, cell array<int>, proj array<double>")
+    ordered = placed.repartitionByRange(least_bands, "cell", "proj", "rep").sortWithinPartitions("cell", "proj", "rep")
     spans = ", ".join(f"{s}{k} double" for s in ("lo", "hi") for k in range(dims))
-    cut = ordered.mapInPandas(_cutter(width, axes, segment), f"seq int, ids array<long>, copies array<long>, unit binary, {spans}")
-    cut = materialise(cut.withColumn("part", F.spark_partition_id()).withColumn("seg", F.col("part").cast("long") * (1 << 32) + F.col("seq")), "ego-segments")
-    boxes = cut.drop("ids", "copies", "unit", "seq")
-    outer = boxes.groupBy("part").agg(*[F.min(f"lo{k}").alias(f"lo{k}") for k in range(dims)], *[F.max(f"hi{k}").alias(f"hi{k}") for k in range(dims)])
-    parents = _box_pairs(outer, dims, eps, "part", None).select(F.col("a").alias("part_a"), F.col("b").alias("part_b"))
-    pairs = materialise(_box_pairs(boxes, dims, eps, "seg", parents), "ego-pairs")
-    data = cut.select("seg", "ids", "copies", "unit")
-    side = lambda x: data.select(F.col("seg").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "copies", "unit")])
-    # a task gets about PAIR_WORK pairs of vectors, whatever the size of the segments
-    found_pairs, segments = pairs.count(), cut.count()
-    tasks = max(1, min(found_pairs, 20_000, math.ceil(found_pairs * (count / segments) ** 2 / PAIR_WORK)))
-    if count * width * 8 <= BROADCAST_BYTES:
-        joined = pairs.repartition(tasks, "a", "b").join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b")
-    else:
-        joined = pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks, "a", "b")
-    found = materialise(joined.mapInPandas(_joiner(width, axes, least), "id long, links long, other long"), "ego-links")
+    cut = ordered.mapInPandas(_cutter(width, axes, segment, kind), f"seq int, ids array<long>, copies array<long>, raw binary, {spans}")
+    cut = materialise(cut.withColumn("band", F.spark_partition_id()).withColumn("seg", F.col("band").cast("long") * (1 << 32) + F.col("seq")), "ego-segments")
+    boxes = cut.drop("ids", "copies", "raw", "seq")
+    bands = boxes.groupBy("band").agg(*[F.min(f"lo{k}").alias(f"lo{k}") for k in range(dims)], *[F.max(f"hi{k}").alias(f"hi{k}") for k in range(dims)])
+    bands = materialise(bands, "ego-bands")
+    pairs = materialise(band_pairs(bands, dims, eps), "ego-pairs")
+    need = needed_segments(boxes, bands, pairs, dims, eps)
+    found_pairs = pairs.count()
+    tasks = max(1, min(4 * found_pairs, 2000), found_pairs // 4)
+    sent = cut.select("seg", "band", "ids", "copies", "raw").join(need, "seg").repartition(tasks, "a", "b")
+    found = sent.groupBy("a", "b").applyInPandas(_joiner(width, axes, least, kind), "id long, links long, other long")
+    found = materialise(found, "ego-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(found, "id", "other")
     state = classes.select("h", "vec", "rep", "n").join(links, F.col("rep") == links["id"], "left").drop("id").join(comps, F.col("rep") == comps["node"], "left")

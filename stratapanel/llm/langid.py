@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hash_share, materialise, small_batches
 from .textvec import chunks, letters
 
 DIMS = 1 << 16
@@ -197,6 +197,7 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from the rows where ``learnable`` holds and the label is present."""
+    small_batches(docs.sparkSession)
     known = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     langs = sorted(counts)
@@ -211,10 +212,11 @@ def fit(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lan
             df[r["at"]] = r["n"]
     idf = np.log((1.0 + docs_n) / (1.0 + df)) + 1.0
     share = {k: min(1.0, sample / len(langs) / n) for k, n in counts.items()}
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    cut = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))])
-    chosen = known.where(hashed < cut[F.col("label")]).withColumn("shard", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SHARDS + 1)))
-    chosen = materialise(chosen.dropDuplicates(["text"]), "lang-sample")
+    cut = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)])
+    # of a text with several labels the most frequent one counts, of these the first
+    chosen = known.where(hash_share(cut[F.col("label")], "text")).groupBy("text", "label").agg(F.count("*").alias("n"))
+    chosen = chosen.groupBy("text").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label"))
+    chosen = materialise(chosen.withColumn("shard", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SHARDS + 1))), "lang-sample")
     z, n = np.zeros((DIMS + 1, len(langs))), np.zeros((DIMS + 1, len(langs)))
     train = chosen.where(F.col("shard") < SHARDS)
     for number in range(ROUNDS):

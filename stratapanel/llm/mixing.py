@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, packed
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -97,6 +97,6 @@ def _decided(rows: DataFrame, per: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """The mix itself: every row of ``docs``, with its own columns, as often as the mix takes it."""
     sizes = materialise(sized(docs, ident, text, source), "mix-sizes")
-    rows = docs.withColumns({"__source": F.col(source), "__u": unit_hash(ident)})
+    rows = packed(docs, __source=F.col(source), __u=unit_hash(ident))
     rows = _decided(rows, plan(sizes, weights, most)).where("__copies > 0")
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")

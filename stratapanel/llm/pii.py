@@ -5,7 +5,8 @@ phone numbers, spelled-out e-mails, secrets and social security numbers.  Three
 regex labeler on its strict shape, the gazetteer labeler on lists (top-level domains, issuers, key prefixes, code words), the
 context labeler on the words in front.  Each may abstain.  Counts of vote patterns over all documents are all that
 expectation-maximisation needs to estimate the labelers' reliabilities and the prior of each kind.  The posteriors train a
-logistic span classifier on a bounded sample of spans, and a candidate becomes a span where the classifier says so.
+logistic span classifier on the different spans (by make-up and words in front; copies count once) of a sample that is bounded for each
+kind, and a candidate becomes a span where the classifier says so.  Without anything to learn from, no candidate does.
 
 Offsets are code points, ends exclusive.  Spans of a kind never overlap; a candidate that overlaps a base span, or an earlier
 candidate, is dropped.
@@ -19,21 +20,26 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hash_share, materialise, small_batches
 from .textvec import chunks
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("phone_local", "email_spelled", "secret", "ssn")
 KINDS = BASE + ADDED
-#: At most about so many spans train the classifier.
+#: At most about so many different spans train the classifier, an even share of each kind.
 SAMPLE = 20_000
+#: Pseudo-votes behind the first guess at a labeler's rates; they wash out as votes come in.
+PRIOR_VOTES = 20.0
 ACCEPT = 0.5
 BUCKETS = 64
 _CHARS = 2_000_000
@@ -53,8 +59,11 @@ _MORE = {
 }
 
 # The gazetteers.
-_DOMAINS = {"com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu"}
-_KEYS = ("sk-", "pk-", "AKIA", "ghp_", "xox", "eyJ", "AIza")
+_DOMAINS = set(
+    "com org net edu gov mil int info biz name io ai app dev cloud me tv co eu us uk de fr es it nl be at ch se no dk fi pl cz sk hu ro bg gr pt ie lt lv ee ru ua tr il ae in cn jp kr "
+    "tw hk sg my th vn id ph au nz ca mx br ar cl pe za ng ke eg example test".split()
+)
+_KEYS = ("sk-", "sk_", "pk-", "pk_", "rk_", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xox", "eyJ", "AIza", "ya29.", "npm_", "pypi-", "SG.", "hf_")
 _ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65")
 _HINTS = {
     "email": {"mail", "email", "contact", "write", "reach"},
@@ -114,9 +123,11 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     if not found:
         return []
     taken = sorted((a, b) for a, b, _ in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     out, last = [], -1
     for a, b, kind in sorted(found):
-        if a >= last and not any(x < b and a < y for x, y in taken):
+        before = bisect_left(starts, b)  # base spans that begin before b; one of them ends behind a if the farthest does
+        if a >= last and not (before and reach[before - 1] > a):
             out.append((a, b, kind))
             last = b
     return out
@@ -128,7 +139,7 @@ def _kind_group(kind: str) -> str:
 
 def _entropy(s: str) -> float:
     n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
+    return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
 def votes(text: str, span: tuple[int, int, str]) -> tuple[int, int, int]:
@@ -143,12 +154,13 @@ def votes(text: str, span: tuple[int, int, str]) -> tuple[int, int, int]:
     elif kind == "email_spelled":
         shape = int("[" in s or "(" in s) or -1
     elif kind == "secret":
-        shape = int(re.fullmatch(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}", s) is not None or _entropy(s) > 3.5)
+        # a plain digest may be a key or a checksum: its shape doesn't tell
+        shape = -1 if re.fullmatch(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}", s) else int(_entropy(s) > 3.5)
     else:
         shape = int(s[:3] not in ("000", "666") and s[0] != "9")
     listed = -1
     if kind in ("email", "email_spelled"):
-        listed = int(re.split(r"[^A-Za-z]+", s)[-1].lower() in _DOMAINS)
+        listed = 1 if re.split(r"[^A-Za-z]+", s)[-1].lower() in _DOMAINS else -1
     elif kind == "card":
         listed = int(s.startswith(_ISSUERS))
     elif kind == "secret" and s.startswith(_KEYS):
@@ -160,17 +172,24 @@ def votes(text: str, span: tuple[int, int, str]) -> tuple[int, int, int]:
     return shape, listed, context
 
 
-def features(text: str, span: tuple[int, int, str]) -> np.ndarray:
-    """What the classifier sees of a span: its kind, its make-up, and hashed words in front of it."""
-    a, b, kind = span
+def described(text: str, span: tuple[int, int, str]) -> tuple[list[float], list[int]]:
+    """What the classifier sees of a span besides its kind: its make-up, in steps of 1/64, and the hashed words in front of it."""
+    a, b, _ = span
     s = text[a:b]
-    x = np.zeros(len(KINDS) + 6 + BUCKETS)
-    x[KINDS.index(kind)] = 1.0
     n = len(s)
-    makeup = (sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, sum(not c.isalnum() for c in s) / n, math.log(n) / 5, _entropy(s[:200]) / 6, 1.0)
-    x[len(KINDS) : len(KINDS) + 6] = makeup
-    for w in re.findall(r"[a-z]+", text[max(0, a - _BEFORE) : a].lower()):
-        x[len(KINDS) + 6 + int.from_bytes(hashlib.md5(w.encode()).digest()[:2], "big") % BUCKETS] = 1.0
+    makeup = (sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, sum(not c.isalnum() for c in s) / n, math.log(n) / 5, _entropy(s) / 6)
+    words = {int.from_bytes(hashlib.md5(w.encode()).digest()[:2], "big") % BUCKETS for w in re.findall(r"[a-z]+", text[max(0, a - _BEFORE) : a].lower())}
+    return [round(m * 64) / 64 for m in makeup], sorted(words)
+
+
+_MAKEUP = 6
+
+
+def _vector(kind: str, makeup: list[float], words: list[int]) -> np.ndarray:
+    x = np.zeros(len(KINDS) + _MAKEUP + BUCKETS)
+    x[KINDS.index(kind)] = 1.0
+    x[len(KINDS) : len(KINDS) + _MAKEUP] = (*makeup, 1.0)
+    x[[len(KINDS) + _MAKEUP + w for w in words]] = 1.0
     return x
 
 
@@ -181,64 +200,75 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for text in texts:
                 base = base_spans(text)
                 for span in base + candidates(text, base):
-                    out.append((span[2], *votes(text, span), features(text, span)))
+                    out.append((span[2], *votes(text, span), *described(text, span)))
             if out:
-                yield pd.DataFrame(out, columns=["kind", "v1", "v2", "v3", "x"])
+                yield pd.DataFrame(out, columns=["kind", "v1", "v2", "v3", "makeup", "words"])
 
 
-def reliabilities(counts: pd.DataFrame, rounds: int = 100) -> pd.DataFrame:
+def reliabilities(counts: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
     """EM over rows (kind, v1, v2, v3, n): adds the posterior ``p`` that spans with these votes are personal data.
 
-    Each labeler has a hit rate and a false-alarm rate, each kind a prior; abstentions say nothing.  Beta priors (labelers
-    are better than chance), half as heavy as the votes, fix which class is which also where a kind has few witnesses.
+    For each group of kinds (phone with local phone, and so on) each labeler has a hit rate and a false-alarm rate, each kind a
+    prior; abstentions say nothing.  Base spans are certain, so they teach the hit rates of their group.  ``PRIOR_VOTES``
+    pseudo-votes (labelers are better than chance) fix which class is which where a kind has few witnesses.
     """
     v = counts[["v1", "v2", "v3"]].to_numpy()
     n = counts["n"].to_numpy(dtype=float)
     kinds, of = np.unique(counts["kind"], return_inverse=True)
+    groups, group = np.unique(counts["kind"].map(_kind_group), return_inverse=True)
+    sure = counts["kind"].isin(BASE).to_numpy()
     # the first guess is the majority of the votes cast
-    p = ((v == 1).sum(axis=1) + 0.5) / ((v >= 0).sum(axis=1) + 1.0)
+    p = np.where(sure, 1.0, ((v == 1).sum(axis=1) + 0.5) / ((v >= 0).sum(axis=1) + 1.0))
+    sums = lambda x: np.bincount(group, x, minlength=len(groups))
     for _ in range(rounds):
         prior = (np.bincount(of, n * p, minlength=len(kinds)) + 1) / (np.bincount(of, n, minlength=len(kinds)) + 2)
         odds = np.log(prior[of] / (1 - prior[of]))
         for j in range(3):
-            said = v[:, j] >= 0
-            weight = 10 + 0.5 * n[said].sum()
-            hit = ((n * p)[v[:, j] == 1].sum() + 0.8 * weight) / ((n * p)[said].sum() + weight)
-            alarm = ((n * (1 - p))[v[:, j] == 1].sum() + 0.1 * weight) / ((n * (1 - p))[said].sum() + weight)
-            odds += np.where(v[:, j] == 1, np.log(hit / alarm), np.where(v[:, j] == 0, np.log((1 - hit) / (1 - alarm)), 0.0))
-        p = 1 / (1 + np.exp(-odds))
+            yes, said = v[:, j] == 1, v[:, j] >= 0
+            hit = ((sums(n * p * yes) + 0.8 * PRIOR_VOTES) / (sums(n * p * said) + PRIOR_VOTES))[group]
+            alarm = ((sums(n * (1 - p) * yes) + 0.1 * PRIOR_VOTES) / (sums(n * (1 - p) * said) + PRIOR_VOTES))[group]
+            odds += np.where(yes, np.log(hit / alarm), np.where(v[:, j] == 0, np.log((1 - hit) / (1 - alarm)), 0.0))
+        p = np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
     return counts.assign(p=p)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 1e-4) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400, l2: float = 1e-4) -> np.ndarray:
     w, acc = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    weight = weight / weight.sum()
     for _ in range(steps):
-        g = x.T @ (y - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))) / len(y) - l2 * w
+        g = x.T @ (weight * (y - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))) - l2 * w
         acc += g * g
         w += 0.5 * g / np.sqrt(acc)
     return w
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Weights of the span classifier."""
-    kinds = "kind string, v1 int, v2 int, v3 int, x array<double>"
-    spans = materialise(docs.select(F.col(text).alias("text")).mapInPandas(_spans, kinds), "pii-spans")
-    counts = spans.groupBy("kind", "v1", "v2", "v3").agg(F.count("*").alias("n")).toPandas()
-    if not len(counts):
-        return np.zeros(len(KINDS) + 6 + BUCKETS)
-    counts = reliabilities(counts.sort_values(["kind", "v1", "v2", "v3"], ignore_index=True))
-    share = min(1.0, sample / counts["n"].sum())
-    chosen = spans.where(F.pmod(F.xxhash64("kind", "x"), F.lit(1_000_000)) < int(share * 1_000_000)).toPandas()
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
+    """Weights of the span classifier; None where there is nothing to learn from."""
+    small_batches(docs.sparkSession)
+    votes_ = ["kind", "v1", "v2", "v3"]
+    spans = docs.select(F.col(text).alias("text")).mapInPandas(_spans, "kind string, v1 int, v2 int, v3 int, makeup array<double>, words array<int>")
+    # spans that look alike fold in the map tasks, so that a footer in many copies is one row
+    spans = materialise(spans.groupBy(*votes_, "makeup", "words").agg(F.count("*").alias("n")), "pii-spans")
+    counts = spans.groupBy(*votes_).agg(F.sum("n").alias("n"), F.count("*").alias("looks")).toPandas()
+    if not set(counts["kind"]) & set(ADDED):
+        return None
+    counts = reliabilities(counts.sort_values(votes_, ignore_index=True))
+    shares = (sample / len(KINDS) / counts.groupby("kind")["looks"].sum()).clip(upper=1.0).to_dict()
+    share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, float(v))])
+    chosen = spans.where(hash_share(share[F.col("kind")], *votes_, "makeup", "words")).select(*votes_, "makeup", "words").toPandas()
     if not len(chosen):
-        return np.zeros(len(KINDS) + 6 + BUCKETS)
-    chosen = chosen.merge(counts, on=["kind", "v1", "v2", "v3"])
-    chosen = chosen.assign(key=chosen["x"].map(tuple)).sort_values(["kind", "key"])
-    return _logistic(np.stack(chosen["x"]), chosen["p"].to_numpy())
+        return None
+    chosen = chosen.merge(counts.drop(columns=["n", "looks"]), on=votes_)
+    chosen = chosen.assign(key=[(*m, *w) for m, w in zip(chosen["makeup"], chosen["words"], strict=True)]).sort_values([*votes_, "key"])
+    x = np.stack([_vector(k, list(m), list(w)) for k, m, w in zip(chosen["kind"], chosen["makeup"], chosen["words"], strict=True)])
+    return _logistic(x, chosen["p"].to_numpy(), 1.0 / chosen["kind"].map(shares).to_numpy(dtype=float))
 
 
-def find(docs: DataFrame, weights: np.ndarray, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, weights: np.ndarray | None, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``ident`` and ``spans``: an array of (kind, start, end, base) of each whole text, by start, then kind as listed."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, texts in chunks(batch["text"], _CHARS):
@@ -246,8 +276,8 @@ def find(docs: DataFrame, weights: np.ndarray, ident: str = "doc_id", text: str
                 for text_ in texts:
                     base = base_spans(text_)
                     spans = [(*s, True) for s in base]
-                    for s in candidates(text_, base):
-                        if 1 / (1 + math.exp(-max(-30.0, min(30.0, float(features(text_, s) @ weights))))) >= ACCEPT:
+                    for s in candidates(text_, base) if weights is not None else ():
+                        if 1 / (1 + math.exp(-max(-30.0, min(30.0, float(_vector(s[2], *described(text_, s)) @ weights))))) >= ACCEPT:
                             spans.append((*s, False))
                     spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
                     rows.append([{"kind": k, "start": a, "end": b, "base": is_base} for a, b, k, is_base in spans])

@@ -49,6 +49,60 @@ def test_languages(spark, texts):
     assert {r["lang_pred"] for r in langid.identify(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(3)
+    dims, langs = 5, 3
+    model = langid.Ftrl(np.zeros((dims + 1, langs)), np.zeros((dims + 1, langs)))
+    z, n = [[0.0] * langs for _ in range(dims + 1)], [[0.0] * langs for _ in range(dims + 1)]
+
+    def weight(i, k):
+        l1 = 0.0 if i == dims else model.l1
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return -(z[i][k] - math.copysign(l1, z[i][k])) / ((model.beta + math.sqrt(n[i][k])) / model.alpha + model.l2)
+
+    for _ in range(60):
+        at = np.sort(rng.choice(dims, 3, replace=False))
+        x, label = rng.random(3), int(rng.integers(langs))
+        places, values = [*at.tolist(), dims], [*x.tolist(), 1.0]
+        w = {(i, k): weight(i, k) for i in places for k in range(langs)}
+        logits = [sum(v * w[i, k] for i, v in zip(places, values)) for k in range(langs)]
+        top = [math.exp(v - max(logits)) for v in logits]
+        for k in range(langs):
+            p = top[k] / sum(top) - (k == label)
+            for i, v in zip(places, values):
+                g = v * p
+                z[i][k] += g - (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / model.alpha * w[i, k]
+                n[i][k] += g * g
+        model.learn(np.append(at, dims), np.append(x, 1.0), label)
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+
+
+def test_temperature_against_a_grid():
+    rng = np.random.default_rng(4)
+    y = rng.integers(3, size=400)
+    z = rng.normal(size=(400, 3)) + 2.0 * (np.arange(3) == y[:, None])
+    z *= 4.0  # four times too sure of itself
+    eps = 1 / (len(y) + 2)
+
+    def loss(t):
+        p = np.exp(z / t - np.max(z / t, axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        target = np.where(np.arange(3) == y[:, None], 1 - eps, eps / 2)
+        return -(target * np.log(np.maximum(p, 1e-300))).sum(axis=1).mean()
+
+    grid = np.exp(np.linspace(math.log(0.1), math.log(19), 3000))
+    found = langid._temperature(z, y)
+    assert abs(found - grid[np.argmin([loss(t) for t in grid])]) < 0.02 and found > 2
+
+
+def test_label_of_equal_texts_is_the_majority(spark):
+    rows = [(i, f"{w} {w}", lang) for i, (w, lang) in enumerate([("ba na", "aa"), ("ung schr", "bb")] * 30)]
+    rows += [(1000 + i, "same text twice over", lang) for i, lang in enumerate(["bb", "aa", "aa", "bb", "aa"])]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.langs == ["aa", "bb"] and model.notes["sampled"] == 3
+
+
 def test_toxicity(spark, texts):
     table = spark.createDataFrame([(i, t, "x") for i, t, *_ in texts] + [(1000, None, "x"), (1001, "", "x"), (1002, "ba na. " * 20_000, "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, y) for i, *_, y in texts] + [(7, 1), (7, 0), (None, 1)], "doc_id long, toxic int")
@@ -181,8 +235,8 @@ def test_registered_encoding_builds_all_segmentations(spark, vocab, tmp_path):
             assert list(paths[0]) == r["ids"] and all(pieces.decode(vocab, x) == text for x in paths)
 
 
-@pytest.mark.parametrize("segment", [16, 4096])
-def test_embedding_groups(spark, segment):
+@pytest.mark.parametrize(("segment", "bands"), [(16, 5), (512, 1)])
+def test_embedding_groups(spark, segment, bands):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 8))
     vectors = [centres[k % 12] + rng.normal(size=8) * [0.02, 0.25, 0.5][k % 3] for k in range(150)]
@@ -190,7 +244,7 @@ def test_embedding_groups(spark, segment):
     rows += [(300 + i, rows[0][1]) for i in range(20)] + [(400, [2 * x for x in rows[5][1]])]
     bad = [(500, None), (501, []), (502, [0.0] * 8), (503, [float("nan")] * 8), (504, [1.0, None]), (505, [float("inf")] * 8)]
     table = spark.createDataFrame([(i, v, "x") for i, v in rows + bad], "vec_id long, embedding array<float>, kept string")
-    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embjoin.near_duplicates(table, segment=segment).collect()}
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embjoin.near_duplicates(table, segment=segment, bands=bands).collect()}
     x = np.array([v for _, v in rows], dtype=float)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     hit = x @ x.T >= 0.9
@@ -207,6 +261,20 @@ def test_embedding_groups(spark, segment):
     assert embjoin.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_distant_bands_and_segments_are_not_sent(spark):
+    # ten bands of ten segments along the first direction, 0.1 apart; eps reaches three segments
+    rows = [(b, b * 10 + k, x, 0.0, x + 0.05, 0.0) for b in range(10) for k in range(10) for x in [b * 1.0 + k * 0.1]]
+    boxes = spark.createDataFrame(rows, "band int, seg long, lo0 double, lo1 double, hi0 double, hi1 double")
+    bands = boxes.groupBy("band").agg(*[F.min(c).alias(c) for c in ("lo0", "lo1")], *[F.max(c).alias(c) for c in ("hi0", "hi1")])
+    pairs = embjoin.band_pairs(bands, 2, 0.3)
+    assert sorted(map(tuple, pairs.collect())) == sorted([(b, b) for b in range(10)] + [(b, b + 1) for b in range(9)])
+    need = embjoin.needed_segments(boxes, bands, pairs, 2, 0.3).collect()
+    assert len([r for r in need if r["a"] == r["b"]]) == 100
+    across = [r for r in need if r["a"] != r["b"]]
+    assert len(across) == 9 * 6  # three segments of either side of each border, of 9 * 20
+    assert {r["seg"] for r in across if (r["a"], r["b"]) == (0, 1)} == {7, 8, 9, 10, 11, 12}
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -240,13 +308,56 @@ def test_personal_data(spark):
     assert pii.report(table.limit(0)).count() == 0
 
 
+def test_added_spans_precision_and_recall(spark):
+    rng = random.Random(8)
+    alphabet = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    code = lambda n: "".join(rng.choice(alphabet) for _ in range(n - 4)) + "7xQ2"
+    digits = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+    rows, truth = [], {}
+    for i in range(600):
+        kind = ["phone_local", "email_spelled", "secret", "ssn", None, None][i % 6]
+        lead, span = {
+            "phone_local": ("please call ", f"{digits(3)}-{digits(3)}-{digits(4)}"), "email_spelled": ("mail me at all times: ", f"user{i} [at] host [dot] org"),
+            "secret": ("api_key = ", "sk-" + code(32)), "ssn": ("his ssn ", f"{rng.randint(100, 600)}-{digits(2)}-{digits(4)}"),
+        }.get(kind, ("", ""))
+        if kind is None:
+            lead, span = rng.choice([("commit ", "".join(rng.choice("0123456789abcdef") for _ in range(40))), ("version ", f"9{digits(2)}-{digits(2)}-{digits(4)}"), ("isbn ", f"1{digits(2)}-{digits(3)}-{digits(4)}")])
+        text = f"some words in front {lead}{span} and behind, a.b{i}@c.org"
+        rows.append((i, text))
+        if kind:
+            at = text.index(span)
+            truth[i] = f"{kind}:{at}:{at + len(span)}"
+    found = {r["doc_id"]: {s for s in r["spans"].split(",") if s.split(":")[0] in pii.ADDED} for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(truth[i] in found[i] for i in truth)
+    said = sum(map(len, found.values()))
+    print("recall", hits / len(truth), "precision", hits / max(1, said), {k: np.mean([truth[i] in found[i] for i in truth if truth[i].startswith(k)]) for k in pii.ADDED})
+    assert hits / len(truth) > 0.9 and hits / said > 0.9
+
+
+def test_nothing_to_learn_from_adds_no_span(spark):
+    one = spark.createDataFrame([(1, "999-12-1234 and a.b@c.de")], "doc_id long, text string")
+    assert pii.fit(one.where("doc_id > 1")) is None and pii.fit(one.withColumn("text", F.lit("a.b@c.de"))) is None
+    assert pii.find(one, None).head()["spans"][0]["kind"] == "email"
+
+
+def test_overlaps_are_found_in_linear_time():
+    import time
+
+    text = "call 415-555-1234 or a.b@c.de; " * 20_000
+    begun = time.time()
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    assert len(base) == len(found) == 20_000 and time.time() - begun < 5
+    assert pii.candidates("415-555-1234", [(0, 3, "ip")]) == [] and pii.candidates("x 415-555-1234", [(0, 2, "ip")])
+
+
 def test_reliabilities_favour_agreeing_labelers():
     import pandas as pd
 
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
     said = np.column_stack([np.where(rng.random(4000) < a, truth, ~truth).astype(int) for a in (0.95, 0.8, 0.7)])
-    counts = pd.DataFrame(said, columns=["v1", "v2", "v3"]).assign(kind="k", n=1, t=truth).groupby(["kind", "v1", "v2", "v3"], as_index=False).agg(n=("n", "sum"), t=("t", "mean"))
+    counts = pd.DataFrame(said, columns=["v1", "v2", "v3"]).assign(kind="ssn", n=1, t=truth).groupby(["kind", "v1", "v2", "v3"], as_index=False).agg(n=("n", "sum"), t=("t", "mean"))
     out = pii.reliabilities(counts)
     assert np.average(np.abs(out["p"] - out["t"]), weights=out["n"]) < 0.1
 

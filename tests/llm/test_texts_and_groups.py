@@ -1,5 +1,6 @@
 """Exact dedup, MinHash, mixing, chat, WARC: small fixtures against brute force."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -250,6 +251,22 @@ def test_chat_digests(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_roles_with_marks_and_rows_without_a_conversation(spark):
+    roles = [chat.MARK + "n", chat.MARK + "\n", chat.MARK * 2 + "n", "a" + chat.MARK + "n\n", "\n", "<" + chat.MARK + "/s>\n</s>"]
+    turns = [(1, k, r, "t") for k, r in enumerate(roles)] + [(None, 0, "user", "x" * 300_000), (None, 1, "assistant", "y")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"__conv": F.lit(1), "formatted": F.lit(2)})
+    made = chat.format_turns(table, parts=chat.text_parts("text"))
+    rows = made.select("conv_id", chat.parse(F.col("formatted")).alias("t")).collect()
+    assert [[t["role"] for t in r["t"]] for r in rows if r["conv_id"] == 1] == [roles]
+    assert sorted(t["text"][:1] for r in rows if r["conv_id"] is None for t in r["t"]) == ["x", "y"] and len(rows) == 3
+
+
+def test_unknown_kinds_of_parts_are_text(spark):
+    rows = spark.createDataFrame([(1, 0, "user", [("video", "a </s>", None, None), (None, None, None, None)])], "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,tokens:int>>")
+    r = chat.format_turns(rows).select(chat.parse(F.col("formatted")).alias("t"), "attachments").head()
+    assert r["t"][0]["text"] == "a </s>" and r["attachments"] == []
+
+
 def test_chat_parts(spark):
     parts = [("text", "see <|image|>", None, None), ("image", None, "s3://a", 10), ("text", " and", None, None), ("audio", None, "s3://b", None)]
     rows = spark.createDataFrame([(1, 0, "user", parts)], "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,tokens:int>>")
@@ -278,6 +295,38 @@ def test_warc_round_trip(spark):
     assert got == sorted(want, key=str)
 
 
+def _record(ident, body, length=None, version="1.1", name="Content-Length"):
+    data = body.encode()
+    head = f"WARC/{version}\r\nWARC-Type: response\r\nX-Page-Id: {ident}\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(data).hexdigest()}\r\n"
+    return f"{head}{name}: {len(data) if length is None else length}\r\n\r\n".encode() + data + b"\r\n\r\n"
+
+
+def test_warc_split_and_hostile_archives(spark, tmp_path):
+    rng = random.Random(1)
+    fake = _record(99, "inner").decode()
+    bodies = ["x" * rng.randrange(3000) + fake * (rng.randrange(3) if i % 5 == 0 else 0) + "é" * rng.randrange(9) for i in range(400)]
+    plain = b"".join(_record(i, b, version="1.0" if i % 2 else "1.1", name="content-length" if i % 3 else "Content-Length") for i, b in enumerate(bodies))
+    (tmp_path / "a.warc").write_bytes(plain)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(_record(1000 + i, "p" * i + fake * (i == 3))) for i in range(5)))
+    broken = [_record(2000, "q"), _record(2001, "r", length="x?"), _record(2002, "s")]
+    (tmp_path / "c.warc").write_bytes(b"".join(broken))
+    (tmp_path / "d.warc").write_bytes(b"junk" + _record(3000, "q"))
+    (tmp_path / "e.warc").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert spark.read.option("lineSep", warc.MAGIC).text(f"file://{tmp_path}/a.warc").rdd.getNumPartitions() > 5
+        found = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = {r["page_id"]: r for r in found if r["record_type"] == "response"}
+    assert sorted(whole) == [*range(400), *range(1000, 1005), 2000, 2001]
+    assert all(whole[i]["payload_digest"] == hashlib.sha256(b.encode()).hexdigest() and whole[i]["payload_bytes"] == len(b.encode()) for i, b in enumerate(bodies))
+    assert [i for i, r in whole.items() if not r["intact"]] == [2001]
+    stops = {r["file"][-6:]: (r["at"], r["payload_bytes"]) for r in found if r["record_type"] == "broken"}
+    assert stops == {"c.warc": (len(broken[0]), len(broken[1] + broken[2])), "d.warc": (0, 4 + len(_record(3000, "q")))}
+
+
 def test_warc_of_nothing(spark):
     path = new_path(spark, "warc-empty")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
