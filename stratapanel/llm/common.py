@@ -56,6 +56,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at files that survive lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -115,10 +116,10 @@ def hash_share(share: float | Column, *cols: str | Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows go to Python in batches of at most ``rows``, unless the session says otherwise: a worker's memory holds few whole texts."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting, None) is None:
-        spark.conf.set(setting, str(rows))
+    """Rows are read, and go to Python, in batches of at most ``rows``, unless the session says otherwise: memory holds few whole texts."""
+    for setting, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", 512)):
+        if spark.conf.get(setting, None) is None:
+            spark.conf.set(setting, str(most))
 
 
 def packed(df: DataFrame, **more: Column) -> DataFrame:
@@ -169,6 +170,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

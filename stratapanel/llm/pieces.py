@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,12 +188,19 @@ class Encoding:
     ends: np.ndarray
     others: list[dict[int, tuple[int, ...]]]
 
-    def nth(self, k: int) -> list[int]:
+    def cut(self, c: int) -> np.ndarray:
+        """The best ids of one cut."""
+        return self.ids[self.ends[c - 1] if c else 0 : self.ends[c]]
+
+    def nth(self, k: int) -> np.ndarray:
+        """The ids of the segmentation of rank ``k``."""
+        if not k:
+            return self.ids
         out, begun = [], 0
-        for cut, ids in sorted(self.others[k - 1].items()) if k else ():
-            out += [*self.ids[begun : self.ends[cut - 1] if cut else 0].tolist(), *ids]
+        for cut, ids in sorted(self.others[k - 1].items()):
+            out += [self.ids[begun : self.ends[cut - 1] if cut else 0], np.array(ids, self.ids.dtype)]
             begun = self.ends[cut]
-        return out + self.ids[begun:].tolist()
+        return np.concatenate([*out, self.ids[begun:]])
 
 
 def encode_batch(vocab: dict, memory: dict, texts: list[str | None], n: int) -> Iterator[Encoding]:
@@ -270,26 +278,35 @@ def encode_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
     small_batches(docs.sparkSession, 250)
     held = _broadcast(docs.sparkSession, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, memory = held.value["vocab"], held.value["memory"]
         for batch in batches:
-            for at, texts in chunks(batch["text"], _CHARS):
-                part = batch.iloc[at : at + len(texts)]
-                out = {k: [] for k in ("ids", "n_pieces", "score", "nbest_scores", "round_trip", *(["nbest_ids"] * alternatives))}
-                for body, e in zip(texts, encode_batch(vocab, memory, texts, n), strict=True):
-                    out["ids"].append(e.ids)
-                    out["n_pieces"].append(len(e.ids))
-                    out["score"].append(e.scores[0])
-                    out["nbest_scores"].append(e.scores)
-                    paths = [e.nth(k) for k in range(len(e.scores) if alternatives else 1)]
-                    out["round_trip"].append(all(decode(vocab, p) == body for p in paths))
-                    if alternatives:
-                        out["nbest_ids"].append([np.array(p, np.int32) for p in paths])
-                yield pd.DataFrame({"id": part["id"].to_numpy()} | out)
+            for at, texts in chunks(batch.column(1).to_pylist(), _CHARS):
+                found = list(encode_batch(vocab, memory, texts, n))
+                scores = [e.scores for e in found]
+                fine = [decode(vocab, e.ids.tolist()) == body and (not alternatives or _same_text(vocab, e)) for body, e in zip(texts, found, strict=True)]
+                out = [batch.column(0).slice(at, len(texts)), _lists([e.ids for e in found]), pa.array([len(e.ids) for e in found], pa.int64())]
+                out += [pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(fine, pa.bool_())]
+                if alternatives:
+                    paths = _lists([e.nth(k) for e in found for k in range(len(e.scores))])
+                    out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in scores])]).astype(np.int32), paths))
+                yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "n_pieces", "score", "nbest_scores", "round_trip", *(["nbest_ids"] * alternatives)])
 
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_pieces long, score double, nbest_scores array<double>, round_trip boolean"
-    return rows.mapInPandas(run, schema + ", nbest_ids array<array<int>>" * alternatives).withColumnRenamed("id", ident)
+    return rows.mapInArrow(run, schema + ", nbest_ids array<array<int>>" * alternatives).withColumnRenamed("id", ident)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    values = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(values, pa.int32()))
+
+
+def _same_text(vocab: dict, e: Encoding) -> bool:
+    """Whether all segmentations give the text of the best one: they differ in cuts only, which are compared byte by byte."""
+    joined = lambda ids: b"".join([vocab["text"][i] for i in ids])
+    return all(joined(ids) == joined(e.cut(c).tolist()) for other in e.others for c, ids in other.items())
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str = MODEL) -> DataFrame:
