@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import attach_groups, materialise
+from .common import attach_groups, likely_among, materialise
 
 MIN_REVISIT = 100
 #: Bytes of records, before compression, that a file holds, about.
@@ -118,7 +118,8 @@ def _candidates(parts: DataFrame) -> DataFrame:
     inside = F.col("body") + F.col("length") <= F.col("size")
     page = [F.lower(_field("WARC-Type")).alias("kind"), _whole(_field("X-Page-Id")).alias("page_id"), _whole(_field("X-Refers-To-Page")).alias("refers_to")]
     said = [_field("WARC-Payload-Digest").alias("said"), _whole(_field("X-Payload-Length")).alias("full"), _field("WARC-Target-URI").alias("uri")]
-    return rows.select("file", "block", "turn", "size", "told", "length", "body", *page, *said, F.when(inside, digest).alias("digest"), F.when(inside, blank).alias("blank"))
+    held = [F.xxhash64("value").alias("mark"), F.when(inside, digest).alias("digest"), F.when(inside, blank).alias("blank")]
+    return rows.select("file", "block", "turn", "size", "told", "length", "body", *page, *said, *held)
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -153,8 +154,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``, with offsets; ``intact`` says that boundary and digest hold."""
     slim = materialise(_candidates(_parts(spark, path)), "warc-candidates")
     rows = _with_offsets(slim, slim).withColumns({"at": F.col("start") - _STEP, "next": F.col("start") + F.col("body") + F.col("length") + 4})
+    rows = materialise(rows.drop("block", "turn"), "warc-offsets")
+    marks = rows.select("file", "start", "mark")
     ends = materialise(rows.groupBy("file").agg(F.max(F.col("start") + F.col("size")).alias("end")), "warc-ends")
-    rows = materialise(_runs(rows), "warc-rows")
+    rows = materialise(_runs(rows.drop("mark")), "warc-rows")
     runs = rows.groupBy("file", "run").agg(F.min("at").alias("at"), F.max_by("next", "start").alias("exit"), F.max("at").alias("last"))
     runs = materialise(runs, "warc-runs")
     reach = _reached(runs)
@@ -162,7 +165,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     records = rows.join(reached.select("file", "run"), ["file", "run"])
     long_ = records.where("digest is null and length is not null").join(ends, "file").where("next <= end")
     if long_.head(1):
-        records = records.join(_put_together(spark, path, slim, long_), ["file", "start"], "left")
+        records = records.join(_put_together(spark, path, marks, long_), ["file", "start"], "left")
         records = records.withColumns({"digest": F.coalesce("digest", "far_digest"), "blank": F.coalesce("blank", "far_blank")})
     again = F.col("kind") == "revisit"
     told = F.regexp_replace("said", "^(?i)sha256:", "")
@@ -182,16 +185,18 @@ def _broken(ends: DataFrame, runs: DataFrame, reached: DataFrame) -> DataFrame:
     return rest.select("file", "at", F.lit("broken").alias("record_type"), (F.col("end") - F.col("at")).alias("payload_bytes"), F.lit(False).alias("intact"))
 
 
-def _put_together(spark: SparkSession, path: str, slim: DataFrame, long_: DataFrame) -> DataFrame:
-    """``file, start, far_digest, far_blank`` of records whose payload holds the magic and so lies in several parts."""
-    long_ = materialise(long_.select("file", F.col("start").alias("of"), F.col("next").alias("until"), "body", "length"), "warc-long")
-    parts = _parts(spark, path).join(long_.select("file").distinct(), "file", "left_semi")
-    parts = _with_offsets(parts, slim).select("file", "start", "value")
-    marked = parts.join(long_.withColumn("start", F.col("of")), ["file", "start"], "left")
+def _put_together(spark: SparkSession, path: str, marks: DataFrame, long_: DataFrame) -> DataFrame:
+    """``file, start, far_digest, far_blank`` of records whose payload holds the magic and so lies in several parts.
+
+    ``marks`` has the offset and the hash of every part.  Only the parts of such records are read again, each content once.
+    """
+    long_ = materialise(long_.select("file", "start", F.struct(F.col("start").alias("of"), F.col("next").alias("until"), "body", "length").alias("r")), "warc-long")
     order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    of = F.last(F.when(F.col("of").isNotNull(), F.struct("of", "until", "body", "length")), ignorenulls=True).over(order)
-    inside = marked.select("file", "start", "value", of.alias("r")).where("start < r.until")
-    whole = inside.groupBy("file", "r").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
+    pieces = marks.join(long_, ["file", "start"], "left").withColumn("r", F.last("r", ignorenulls=True).over(order)).where("start < r.until")
+    pieces = materialise(pieces, "warc-pieces")
+    content = _parts(spark, path).select("value", F.xxhash64("value").alias("mark"))
+    content = likely_among(content, pieces.select("mark").distinct(), "mark").groupBy("mark").agg(F.any_value("value").alias("value"))
+    whole = pieces.join(content, "mark").groupBy("file", "r").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
     whole = whole.select("file", "r", F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC).alias("value"))
     digest, blank = _payload("value", F.col("r.body"), F.col("r.length"))
     return whole.select("file", F.col("r.of").alias("start"), digest.alias("far_digest"), blank.alias("far_blank"))
