@@ -60,11 +60,11 @@ def bucket_qcut(x: Column, q: int = 10) -> Column:
 
 def bucket_top(rank: Column, q: int = 10) -> Column:
     """0 is the top: min(floor((1 - r) q), q - 1)."""
-    return F.least(F.floor((1 - rank) * q), F.lit(q - 1)).cast("int")
+    return F.when(rank.isNotNull(), F.least(F.floor((1 - rank) * q), F.lit(q - 1))).cast("int")
 
 
 def bucket_ascending(pct: Column, q: int = 10) -> Column:
-    return F.least(F.greatest(F.floor(pct * q), F.lit(0)), F.lit(q - 1)).cast("int")
+    return F.when(pct.isNotNull(), F.least(F.greatest(F.floor(pct * q), F.lit(0)), F.lit(q - 1))).cast("int")
 
 
 def residual_one(y: Column, z: Column, *more: str) -> Column:

@@ -30,9 +30,14 @@ def higher_of(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
 
 
+def shown(x: Column, digits: int = 6) -> Column:
+    """A figure as reports show it: rounded half to even, NULL where it is not finite."""
+    return F.bround(finite(x.cast("double")), digits)
+
+
 def rounded(x: Column, digits: int = 6) -> Column:
-    """Rounding that is the same in every engine, without a negative zero.  The step lies a little off one half, so that exact
-    halves, which quotients of cents and counts often are, don't depend on the last bit."""
+    """Rounding for comparisons between engines, without a negative zero.  The step lies a little off one half, so that exact
+    halves, which quotients of cents and counts often are, don't depend on the last bit; :func:`shown` is true rounding."""
     scale = float(10**digits)
     return F.floor(x.cast("double") * scale + 0.5003).cast("double") / scale
 
@@ -73,6 +78,22 @@ def quarter_key(quarter: Column) -> Column:
     return (F.substring(quarter, 1, 4).try_cast("int") * 4 + F.substring(quarter, 6, 1).try_cast("int") - 1).cast("int")
 
 
+def identifiers(text: Column) -> Column:
+    """The names in an expression or a sentence, in order: a letter or underscore, then letters, digits and underscores."""
+    return F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+
+
+def json_object(text: Column) -> Column:
+    """The outermost {...} of free text, if it is JSON; NULL otherwise."""
+    found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(F.try_parse_json(found).isNotNull(), found) if hasattr(F, "try_parse_json") else F.when(F.get_json_object(found, "$").isNotNull(), found)
+
+
+def date_key_or(text: Column, default: int) -> Column:
+    """:func:`date_key`, with a default where there is no date (such as never listed or never delisted)."""
+    return F.coalesce(date_key(text), F.lit(default))
+
+
 def skeleton_text(expr: Column) -> Column:
     """An expression without the digits of its windows."""
     return F.regexp_replace(expr, "[0-9]+", "")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SYM, T = "sym", "t"
@@ -76,23 +77,6 @@ def ts_delta(x: Column, n: int) -> Column:
     return x - F.lag(x, n).over(line())
 
 
-def ts_slope(x: Column, w: int) -> Column:
-    """Slope of the regression on position; full windows only."""
-    return _full(x, w, F.regr_slope(x, F.col(T)).over(frame(w)))
-
-
-def ts_rsqr(x: Column, w: int) -> Column:
-    """R squared of the regression on position; NULL for a flat window."""
-    varied = F.var_pop(x).over(frame(w)) * w > FLAT
-    return _full(x, w, F.when(varied, F.regr_r2(x, F.col(T)).over(frame(w))))
-
-
-def ts_resi(x: Column, w: int) -> Column:
-    """The last point minus the fitted line."""
-    t = F.col(T)
-    return _full(x, w, x - (F.regr_intercept(x, t).over(frame(w)) + F.regr_slope(x, t).over(frame(w)) * t))
-
-
 def ts_skew(x: Column, w: int) -> Column:
     """Population skewness; full windows that vary."""
     return _full(x, w, F.when(F.var_pop(x).over(frame(w)) > FLAT, F.skewness(x).over(frame(w))))
@@ -103,15 +87,6 @@ def ts_kurt(x: Column, w: int) -> Column:
     return _full(x, w, F.when(F.var_pop(x).over(frame(w)) > FLAT, F.kurtosis(x).over(frame(w))))
 
 
-def ts_corr(x: Column, y: Column, w: int) -> Column:
-    """Population correlation of the pairs that are both present."""
-    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    over = frame(w)
-    den = F.sqrt(F.var_pop(a).over(over) * F.var_pop(b).over(over))
-    value = F.when(den > FLAT, F.try_divide(F.covar_pop(a, b).over(over), den))
-    return F.when(F.count(a).over(over) >= max(3, w // 2), value)
-
-
 def rolling_pct_rank(x: Column, w: int, least: int) -> Column:
     """Average-tie percentile rank of the current value among the window's values."""
     seen = F.collect_list(x).over(frame(w))
@@ -128,15 +103,74 @@ def fill_backward(x: Column) -> Column:
     return F.first(x, ignorenulls=True).over(line().rowsBetween(0, Window.unboundedFollowing))
 
 
-def ema_array(values: Column, w: int) -> Column:
+def rolling(frame: DataFrame, w: int, sums: dict[str, Column], extremes: dict[str, Column] | None = None) -> DataFrame:
+    """``frame`` with the sums, and the ranges (maximum - minimum), of columns over the last ``w`` rows, at a cost per row that doesn't grow with ``w``.
+
+    The calendar is cut into blocks of ``w`` rows.  A window is the end of one block and the beginning of the next: running totals
+    from the front and from the back of each block add up to it, so nothing is subtracted and no digits are lost.  Needs a dense grid.
+    """
+    block = F.floor(F.col(T) / w)
+    front, back_ = (Window.partitionBy(SYM, block).orderBy(x).rowsBetween(Window.unboundedPreceding, 0) for x in (F.col(T).asc(), F.col(T).desc()))
+    made = {f"__s_{k}": F.coalesce(c, F.lit(0.0)) for k, c in sums.items()} | {f"__x_{k}": c for k, c in (extremes or {}).items()}
+    frame = frame.withColumns(made)
+    kinds = [(f"__s_{k}", "s", F.sum) for k in sums] + [(f"__x_{k}", e, f) for k in extremes or {} for e, f in (("h", F.max), ("l", F.min))]
+    frame = frame.withColumns({f"{c}_f{e}": f(c).over(front) for c, e, f in kinds}).withColumns({f"{c}_b{e}": f(c).over(back_) for c, e, f in kinds})
+    spans = F.col(T) % w != w - 1  # else the window is the block itself
+    before = {f"{c}_{e}": F.when(spans, F.lag(f"{c}_b{e}", w - 1).over(line())) for c, e, _ in kinds}
+    frame = frame.withColumns(before)
+    whole = lambda c, e: F.col(f"{c}_f{e}") + F.coalesce(F.col(f"{c}_{e}"), F.lit(0.0)) if e == "s" else (F.greatest if e == "h" else F.least)(f"{c}_f{e}", f"{c}_{e}")
+    out = {k: whole(f"__s_{k}", "s") for k in sums} | {k: whole(f"__x_{k}", "h") - whole(f"__x_{k}", "l") for k in extremes or {}}
+    frame = frame.withColumns(out)
+    return frame.drop(*made, *[f"{c}_{p}{e}" for c, e, _ in kinds for p in ("f", "b", "")])
+
+
+def _anchored(x: Column) -> Column:
+    """``x`` less the symbol's first value, which keeps the digits of sums of squares."""
+    return x - F.first(x, ignorenulls=True).over(line().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
+def regressions(frame: DataFrame, x: str, w: int, out: dict[str, str]) -> DataFrame:
+    """Regression of ``x`` on position over full windows of ``w`` rows: ``out`` names the columns for ``slope``, ``rsqr`` (NULL for a
+    flat window) and ``resi`` (the last point less the fitted line).  All three share one set of sums."""
+    frame = frame.withColumn("__y", _anchored(F.col(x)))
+    y, at = F.col("__y"), F.col(T) % w
+    # positions are counted within blocks: rows of the block before belong w places lower
+    early = F.when(F.floor(F.col(T) / w) % 2 == 0, y)
+    sums = {"__n": F.when(y.isNotNull(), 1.0), "__sy": y, "__syy": y * y, "__sty": y * at, "__even": early}
+    frame = rolling(frame, w, sums, {"__range": y})
+    before = F.when(F.floor(F.col(T) / w) % 2 == 0, F.col("__sy") - F.col("__even")).otherwise(F.col("__even"))
+    n, mean = float(w), F.col("__sy") / w
+    sty = F.col("__sty") - w * before - (at - (w - 1) / 2.0) * F.col("__sy")  # sum of (position - mean position) * y
+    stt = n * (n * n - 1) / 12
+    slope, total = sty / stt, F.col("__syy") - F.col("__sy") * mean
+    full = F.col("__n") == w
+    made = {
+        "slope": F.when(full, slope),
+        "rsqr": F.when(full & (F.col("__range") > 0) & (total > FLAT), F.least(F.greatest(sty * sty / (stt * total), F.lit(0.0)), F.lit(1.0))),
+        "resi": F.when(full, y - (mean + slope * (w - 1) / 2.0)),
+    }
+    frame = frame.withColumns({name: made[kind] for kind, name in out.items()})
+    return frame.drop("__y", "__range", *sums)
+
+
+def correlations(frame: DataFrame, x: str, y: str, w: int, out: str) -> DataFrame:
+    """Population correlation over the last ``w`` rows of the pairs that are both present; at least max(3, w / 2) pairs."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    frame = frame.withColumns({"__a": _anchored(F.when(both, F.col(x))), "__b": _anchored(F.when(both, F.col(y)))})
+    a, b = F.col("__a"), F.col("__b")
+    sums = {"__n": F.when(both, 1.0), "__sa": a, "__sb": b, "__saa": a * a, "__sbb": b * b, "__sab": a * b}
+    frame = rolling(frame, w, sums, {"__ra": a, "__rb": b})
+    n = F.col("__n")
+    cov = lambda p, q, pq: F.try_divide(F.col(pq) - F.try_divide(F.col(p) * F.col(q), n), n)
+    va, vb = (F.greatest(cov(f"__s{k}", f"__s{k}", f"__s{k}{k}"), F.lit(0.0)) for k in "ab")
+    den = F.sqrt(va * vb)
+    fine = (n >= max(3, w // 2)) & (F.col("__ra") > 0) & (F.col("__rb") > 0) & (den > FLAT)
+    frame = frame.withColumn(out, F.when(fine, F.try_divide(cov("__sa", "__sb", "__sab"), den)))
+    return frame.drop("__a", "__b", "__ra", "__rb", *sums)
+
+
+def ema(values: pd.Series, w: int) -> pd.Series:
     """The whole recursion over one symbol's ordered values: alpha = 2 / (w + 1), seeded by the first value; a missing value keeps
-    the state; NULL until w values have been seen."""
-    alpha = 2.0 / (w + 1)
-    start = F.struct(F.lit(None).cast("double").alias("e"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, v: Column) -> Column:
-        e = F.when(v.isNull(), acc["e"]).when(acc["e"].isNull(), v).otherwise(F.lit(alpha) * v + F.lit(1 - alpha) * acc["e"])
-        n = acc["n"] + F.when(v.isNull(), 0).otherwise(1)
-        return F.struct(e.alias("e"), n.alias("n"), F.concat(acc["out"], F.array(F.when(n >= w, e))).alias("out"))
-
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
+    the state; missing until w values have been seen."""
+    state = values.ewm(alpha=2.0 / (w + 1), adjust=False, ignore_na=True).mean().ffill()
+    return state.where(values.notna().cumsum() >= w)

@@ -154,19 +154,49 @@ def adjust_prices(prices: DataFrame, factors: DataFrame, cols: list[str], volume
     return frame.withColumn("__ratio", ratio).withColumns({k: v for k, v in made.items()}).drop("__ratio", "factor")
 
 
-def universe(panel: DataFrame, age: int = 250, window: int = 20, least_seen: int = 10, amount: float = 1e7, limit: float = 0.1) -> Column:
-    """Old enough, has a price, liquid over the last rows, and closed inside its limits."""
-    pc = F.lag("close").over(line())
-    seen = F.count("close").over(line().rowsBetween(Window.unboundedPreceding, 0))
-    over = line().rowsBetween(-(window - 1), 0)
-    liquid = (F.count("turnover").over(over) >= least_seen) & (F.avg("turnover").over(over) >= amount)
-    inside = F.coalesce((F.col("close") < pc * (1 + limit)) & (F.col("close") > pc * (1 - limit)), F.lit(True))
-    return F.coalesce((seen >= age) & F.col("close").isNotNull() & liquid & inside, F.lit(False))
+def with_flags(panel: DataFrame, lists: DataFrame, flags: list[str]) -> DataFrame:
+    """``panel`` with a boolean column per flag: whether the date is in the symbol's list (``lists`` has sym and an array of dates per flag)."""
+    days = [lists.select(SYM, F.explode(c).alias(T), F.lit(c).alias("flag")) for c in flags]
+    long = days[0]
+    for d in days[1:]:
+        long = long.unionByName(d)
+    hits = long.groupBy(SYM, T).agg(*[F.max((F.col("flag") == c).cast("int")).alias(c) for c in flags])
+    return panel.join(hits, [SYM, T], "left").withColumns({c: F.coalesce(F.col(c) == 1, F.lit(False)) for c in flags})
+
 
+def universe(panel: DataFrame, age: int = 250, window: int = 20, least_seen: int = 10, amount: float = 1e7) -> Column:
+    """Whether a symbol may be chosen: listed for ``age`` sessions, not past its last day, with a price, free of the flags ``st`` and
+    ``suspended``, liquid over the last rows, and closed strictly inside ``limit_up`` and ``limit_down`` (unknown limits: no).
 
-def concentration(panel: DataFrame, shares: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5)) -> DataFrame:
-    """Share of each date's turnover in its largest names."""
+    ``listed`` and ``delisted`` are ordinals of dates (NULL: always there); a column that the panel lacks is no condition, but for limits.
+    """
+    has = lambda c: c in panel.columns
+    over = line().rowsBetween(-(window - 1), 0)
+    tests = [F.col("close").isNotNull(), F.count("turnover").over(over) >= least_seen, F.avg("turnover").over(over) >= amount]
+    tests += [F.col("close") < F.col("limit_up") - 1e-6, F.col("close") > F.col("limit_down") + 1e-6]
+    if has("listed"):
+        tests.append(F.col(T) - F.coalesce(F.col("listed") + 1, F.lit(0)) >= age)
+    if has("delisted"):
+        tests.append(F.col("delisted").isNull() | (F.col(T) <= F.col("delisted")))
+    tests += [~F.coalesce(F.col(c), F.lit(False)) for c in ("st", "suspended") if has(c)]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return F.coalesce(out, F.lit(False))
+
+
+def concentration(panel: DataFrame, shares: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5), spans: dict[str, int] | None = None, least: int = 243) -> DataFrame:
+    """Share of each date's turnover in its largest names, and its percentile rank within the rows of each span (NULL with fewer than
+    ``least``); spans default to three and ten years.  One row per date is ranked, so its windows need no key."""
     held = panel.where("turnover is not null")
     ranked = held.select(T, "turnover", F.row_number().over(cs.section().orderBy(F.col("turnover").desc(), F.col(SYM))).alias("k"), F.count("*").over(cs.section()).alias("n"))
     top = lambda p: F.sum(F.when(F.col("k") <= F.greatest(F.floor(F.col("n") * p), F.lit(1)), F.col("turnover")))
-    return ranked.groupBy(T).agg(*[F.try_divide(top(p), F.sum("turnover")).alias(f"top{int(p * 100)}") for p in shares])
+    names = [f"top{int(p * 100)}" for p in shares]
+    per = ranked.groupBy(T).agg(*[F.try_divide(top(p), F.sum("turnover")).alias(c) for p, c in zip(shares, names, strict=True)])
+
+    def rank(c: str, w: int) -> Column:
+        seen = F.collect_list(c).over(Window.orderBy(T).rangeBetween(-(w - 1), 0))
+        below, same = F.size(F.filter(seen, lambda v: v < F.col(c))), F.size(F.filter(seen, lambda v: v == F.col(c)))
+        return F.when(F.size(seen) >= least, (below + (same + 1) / 2) / F.size(seen))
+
+    return per.withColumns({f"{c}_{k}": rank(c, w) for c in names for k, w in (spans or {"3y": 729, "10y": 2430}).items()})

@@ -28,9 +28,9 @@ def passes(least_ic: float = 0.02, least_win: float = 0.52, least_calmar: float
     return (F.abs("ic") >= least_ic) & (F.col("ic_win") >= least_win) & (F.col("calmar") >= least_calmar) & (F.col("last_yr") > 0) & (F.col("bad_years") <= 1)
 
 
-def segments_hold(k_positive: Column, k: Column, need: int = 2, wanted: int = 3) -> Column:
-    """At least ``need`` of the segments are positive; streams too short to be cut pass."""
-    return (k < wanted) | (k_positive >= need)
+def segments_hold(positive: Column, periods: Column, k: int = 3, need: int = 2, least: int = 40) -> Column:
+    """At least ``need`` of the ``k`` segments of a stream are positive; streams with fewer than k * ``least`` periods are not judged and pass."""
+    return (F.coalesce(periods, F.lit(0)) < k * least) | F.coalesce(positive >= min(need, k), F.lit(False))
 
 
 def pool_gate(pools: list[Column], least: float, mode: str = "any") -> Column:
@@ -40,14 +40,38 @@ def pool_gate(pools: list[Column], least: float, mode: str = "any") -> Column:
     return F.when(F.size(found) > 0, value >= least)
 
 
-def combined(main: Column, alternatives: list[Column], hard: list[Column]) -> Column:
-    """Hard gates must all hold; of the main gate and its alternatives one is enough; undecided gates don't count as holding."""
-    one = F.coalesce(main, F.lit(False))
-    for a in alternatives:
-        one = one | F.coalesce(a, F.lit(False))
-    for h in hard:
-        one = one & F.coalesce(h, F.lit(False))
-    return one
+def combined(base: Column, whole: Column, pool: Column, hard: Column, pool_on: bool = True, either: bool = False) -> Column:
+    """Admission from three gates: ``base`` and ``hard`` must hold whatever happens; of the figures in the ``whole`` market and in the
+    ``pool`` both are needed, or one with ``either``.  An undecided (NULL) pool, or ``pool_on`` off, leaves the whole market alone."""
+    b, w, h = (F.coalesce(x, F.lit(False)) for x in (base, whole, hard))
+    asked = F.when(pool.isNull(), w).when(F.lit(either), w | pool).otherwise(w & pool) if pool_on else w
+    return b & asked & h
+
+
+def stripped_channel(ic: Column, calmar: Column, ann: Column, sharpe: Column, likeness: Column, least: tuple[float, float, float, float] = (0.02, 0.5, 0.03, 0.8), most_alike: float = 0.9) -> Column:
+    """Admission on figures without styles only: |ic|, Calmar, annual excess and Sharpe (the last three above their bounds), and no
+    stream in the library that is more alike than ``most_alike`` (NULL: none to compare).  Missing figures fail."""
+    held = (F.abs(ic) >= least[0]) & (calmar > least[1]) & (ann > least[2]) & (sharpe > least[3])
+    return F.coalesce(held, F.lit(False)) & F.coalesce(likeness <= most_alike, F.lit(True))
+
+
+def either_horizon(first: Column, second: Column) -> Column:
+    """A factor passes with the gates of its own horizon or with those of the second one; missing figures fail."""
+    return F.coalesce(first, F.lit(False)) | F.coalesce(second, F.lit(False))
+
+
+def first_score(mode: str, stab: Column, ic_ir: Column, shape: Column, ic_n: Column, mono_n: Column) -> Column:
+    """The score candidates are sorted by: ``old`` (IC ratio and stability), ``new`` (stability and shape), ``ic_n`` or ``mono_n``."""
+    unit = lambda x: F.least(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    if mode == "mono_n":
+        return unit(mono_n)
+    if mode == "ic_n":
+        return F.greatest(F.coalesce(ic_n, F.lit(0.0)), F.lit(0.0))
+    if mode == "new":
+        return unit(stab) * (0.5 + 0.5 * unit(shape))
+    if mode == "old":
+        return F.abs(ic_ir) * (0.25 + 0.75 * F.when(stab.isNotNull(), unit(stab)))
+    raise ValueError(f"no such score: {mode}")
 
 
 def pool_tag(in300: Column, in500: Column, whole: Column) -> Column:
@@ -58,10 +82,11 @@ def pool_tag(in300: Column, in500: Column, whole: Column) -> Column:
     )
 
 
-def strip_grade(calmar: Column, dd: Column) -> Column:
-    """What is left of a factor without its styles: A (Calmar and drawdown hold), B (one), C (still positive), D."""
-    good, shallow = calmar >= 0.30, dd >= -0.20
-    return F.when(calmar.isNull(), None).when(good & shallow, "A").when(good | (shallow & (calmar > 0)), "B").when(calmar > 0, "C").otherwise("D")
+def strip_grade(calmar: Column, excess: Column, dd: Column | None = None) -> Column:
+    """What is left of a factor without its styles.  D: not tested; C: Calmar or annual excess not positive; B: positive, but Calmar
+    below 0.30 or (where it is known) a drawdown of 20 % or worse; A: the rest."""
+    deep = F.coalesce(dd <= -0.20, F.lit(False)) if dd is not None else F.lit(False)
+    return F.when(calmar.isNull() | excess.isNull(), "D").when((calmar <= 0) | (excess <= 0), "C").when((calmar < 0.30) | deep, "B").otherwise("A")
 
 
 def rule_quality(rows: DataFrame, predicted: Column, truth: Column) -> DataFrame:
@@ -97,11 +122,14 @@ def quota(rows: DataFrame, key: str, k: int, score: str, tie: str) -> DataFrame:
 
 
 def with_reserved(rows: DataFrame, total: int, reserve: int, special: Column, score: str, tie: str) -> DataFrame:
-    """``total`` rows by score, of which up to ``reserve`` (at most half) are kept for special ones, at the cost of the tail."""
-    order = Window.orderBy(F.col(score).desc_nulls_last(), F.col(tie))
-    ranked = rows.withColumn("special", F.coalesce(special, F.lit(False))).withColumn("place", F.row_number().over(order))
-    among = Window.partitionBy("special").orderBy("place")
-    ranked = ranked.withColumn("among", F.row_number().over(among))
-    held = F.col("special") & (F.col("among") <= min(reserve, total // 2))
-    final = Window.orderBy(held.desc(), F.col("place"))
-    return ranked.withColumn("slot", F.row_number().over(final)).where(F.col("slot") <= total).drop("among", "slot")
+    """``total`` rows by score, of which up to ``reserve`` (at most half) are kept for special ones, at the cost of the tail.
+
+    Both parts are top lists, so no task sorts all rows: the best special ones, and the best of all others.
+    """
+    order = [F.col(score).desc_nulls_last(), F.col(tie)]
+    special = F.coalesce(special, F.lit(False))
+    kept = rows.where(special).orderBy(*order).limit(min(reserve, total // 2))
+    rest = rows.join(kept.select(tie), tie, "left_anti").orderBy(*order).limit(total)
+    both = kept.withColumn("__held", F.lit(0)).unionByName(rest.withColumn("__held", F.lit(1)))
+    out = both.orderBy("__held", *order).limit(total).withColumn("special", special)
+    return out.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("__held")

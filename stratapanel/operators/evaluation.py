@@ -59,26 +59,54 @@ def stability(rows: DataFrame, step: int = FWD, least: int = 50) -> DataFrame:
     return pairs.groupBy(T).agg(F.count("*").alias("n"), _corr("x", "y").alias("corr")).where(F.col("n") >= least)
 
 
+def _deciles(rows: DataFrame, step: int, least: int) -> DataFrame:
+    """(sym, t, r, d): the decile (1 = top) of every name with a factor and a return; ranks are those of the whole section."""
+    ranked = on_grid(rows, step).select(SYM, T, "r", cs.ordinal_rank(F.col("f")).alias("x")).where("x is not null and r is not null")
+    return ranked.withColumn("n", F.count("*").over(cs.section())).where(F.col("n") >= least).select(SYM, T, "r", (cs.bucket_top(F.col("x")) + 1).alias("d"))
+
+
 def decile_periods(rows: DataFrame, step: int = FWD, least: int = 100, least_in_bucket: int = 5) -> DataFrame:
     """Mean return per period and decile (1 = top)."""
-    pairs = on_grid(rows, step).where("f is not null and r is not null")
-    ranked = pairs.select(SYM, T, "r", cs.ordinal_rank(F.col("f")).alias("x"), F.count("*").over(cs.section()).alias("n"))
-    held = ranked.where(F.col("n") >= least).withColumn("d", cs.bucket_top(F.col("x")) + 1)
-    return held.groupBy(T, "d").agg(F.avg("r").alias("ret"), F.count("*").alias("n")).where(F.col("n") >= least_in_bucket)
+    return _deciles(rows, step, least).groupBy(T, "d").agg(F.avg("r").alias("ret"), F.count("*").alias("n")).where(F.col("n") >= least_in_bucket)
 
 
 def decile_shape(rows: DataFrame, step: int = FWD, least: int = 100, least_in_bucket: int = 5) -> DataFrame:
-    """Monotony (correlation of bucket 10..1 with its mean return), best bucket, d1 and d10, and the spread's deviation."""
-    periods = decile_periods(rows, step, least, least_in_bucket)
-    means = periods.groupBy("d").agg(F.avg("ret").alias("m"))
-    score = (F.lit(GROUPS + 1) - F.col("d")).cast("double")
-    shape = means.withColumn("s", score).agg(
-        _corr("s", "m").alias("mono"), F.max_by("d", F.struct("m", -F.col("d"))).alias("best"), F.max(F.when(F.col("d") == 1, F.col("m"))).alias("d1"), F.max(F.when(F.col("d") == GROUPS, F.col("m"))).alias("d10"),
+    """Monotony (correlation of bucket 10..1 with its mean return, where all ten are known), best bucket, the mean of the first, the last
+    and the top fifth, deviations of the first, of the spread and of the top fifth, and the turnover of the first bucket.
+
+    The top fifth of a period needs twice ``least_in_bucket`` names, a deviation five periods.  The turnover is 1 - Jaccard overlap
+    of the first bucket in consecutive periods that have one.
+    """
+    names = _deciles(rows, step, least)
+    buckets = names.groupBy(T, "d").agg(F.avg("r").alias("ret"), F.count("*").alias("n"), F.sum("r").alias("s"))
+    fine = F.when(F.col("n") >= least_in_bucket, F.col("ret"))
+    two = F.col("d") <= 2
+    held = F.sum(F.when(two, F.col("n")))
+    per = buckets.groupBy(T).agg(
+        *[F.max(F.when(F.col("d") == k, fine)).alias(f"b{k}") for k in range(1, GROUPS + 1)], F.when(held >= 2 * least_in_bucket, F.sum(F.when(two, F.col("s"))) / held).alias("top20"),
+        F.max(F.when(F.col("d") == 1, F.col("n"))).alias("n1"),
+    )
+    top = names.where("d = 1").select(SYM, T)
+    order = Window.orderBy(T)
+    sized = per.where("n1 is not null").select(T, "n1", F.lag(T).over(order).alias("before"), F.lag("n1").over(order).alias("n0"))
+    stays = top.join(sized, T).withColumn("stays", F.coalesce(F.lag(T).over(Window.partitionBy(SYM).orderBy(T)) == F.col("before"), F.lit(False)).cast("long"))
+    moved = stays.where("before is not null").groupBy(T).agg(F.max("n1").alias("n1"), F.max("n0").alias("n0"), F.sum("stays").alias("both"))
+    turn = moved.agg((1 - F.avg(F.col("both") / (F.col("n1") + F.col("n0") - F.col("both")))).alias("turn_top"))
+    deviation = lambda c: F.when(F.count(c) >= 5, F.stddev_pop(c))
+    out = per.agg(
+        F.count("*").alias("periods"), *[F.avg(f"b{k}").alias(f"m{k}") for k in range(1, GROUPS + 1)], deviation(F.col("b1")).alias("sd_top"), deviation(F.col("b1") - F.col(f"b{GROUPS}")).alias("sd_spread"),
+        F.avg("top20").alias("top20"), deviation(F.col("top20")).alias("sd_top20"),
     )
-    spread = periods.groupBy(T).agg((F.max(F.when(F.col("d") == 1, F.col("ret"))) - F.max(F.when(F.col("d") == GROUPS, F.col("ret")))).alias("s"))
-    spread = spread.agg(F.stddev_pop("s").alias("sd_spread"), F.count("s").alias("periods"))
+    means = F.array(*[F.struct(F.col(f"m{k}").alias("m"), F.lit(-k).alias("k")) for k in range(1, GROUPS + 1)])
+    known = F.filter(means, lambda x: x["m"].isNotNull())
+    score = [(GROUPS + 1) / 2 - k for k in range(1, GROUPS + 1)]
+    centre = sum((F.col(f"m{k}") for k in range(2, GROUPS + 1)), F.col("m1")) / GROUPS
+    sd = F.sqrt(sum((F.pow(F.col(f"m{k}") - centre, 2) for k in range(1, GROUPS + 1)), F.lit(0.0)) * sum(x * x for x in score))
+    mono = F.when(sd > 1e-18, F.try_divide(sum((F.col(f"m{k}") * x for k, x in enumerate(score, 1)), F.lit(0.0)), sd))
+    best = -F.array_max(known)["k"]
+    out = out.withColumns({"mono": mono, "best": best})
     pos = F.when(F.col("mono").isNotNull(), F.least(F.greatest("mono", F.lit(0.0)), F.lit(1.0)) * F.when(F.col("best") == 1, 1.0).otherwise(0.5))
-    return shape.join(F.broadcast(spread)).select("mono", "best", pos.alias("shape_pos"), "d1", "d10", "sd_spread", "periods")
+    return out.crossJoin(turn).select("mono", "best", pos.alias("shape_pos"), F.col("m1").alias("d1"), F.col(f"m{GROUPS}").alias("d10"), "sd_top", "sd_spread", "top20", "sd_top20", "turn_top", "periods")
 
 
 def top_turnover(rows: DataFrame, step: int = FWD, share: float = 0.2) -> DataFrame:
@@ -109,6 +137,19 @@ def style_features(panel: DataFrame) -> DataFrame:
     return panel.withColumns({"lncap": positive(F.col("mktcap")), "lnamt": positive(amount), "lntr": positive(ratio), "lnpx": positive(F.col("close"))})
 
 
+def neutralize_rows(rows: DataFrame, y: str, styles: list[str], out: str, least: int = 50) -> DataFrame:
+    """``rows`` with the residual of ``y`` on the styles per date in ``out``; rows that lack a style, and dates with fewer than ``least``
+    complete rows, keep ``y``."""
+    made = many_regressor_residual(rows, y, styles, least).select(SYM, T, F.col("residual").alias("__left"))
+    return rows.join(made, [SYM, T], "left").withColumn(out, F.coalesce("__left", F.col(y))).drop("__left")
+
+
+def neutral_ic(rows: DataFrame, factors: list[str], styles: list[str], step: int = FWD, least: int = 50) -> DataFrame:
+    """Absolute mean IC of factors with the part of the return that the styles don't explain, on rebalancing dates."""
+    grid = neutralize_rows(on_grid(rows, step), "r", styles, "__r0", least).withColumn("r", F.col("__r0"))
+    return batch_ic(grid, factors, least).select("factor", "days", F.abs("ic").alias("ic_n"))
+
+
 def neutral_rank(f: Column, z1: Column, z2: Column, least: int = 100) -> tuple[list[tuple[str, Column]], Column]:
     """Steps (name, column) to add one after another, and the final column: rank all, take the residual, rank again."""
     all_ = f.isNotNull() & z1.isNotNull() & z2.isNotNull()

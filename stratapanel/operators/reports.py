@@ -26,11 +26,30 @@ def restricted(rows: DataFrame, member: Column, f: str = "f") -> DataFrame:
     return inside.withColumn(f, cs.cs_rank(F.col(f)))
 
 
-def net_of_cost(shape: DataFrame, turn: Column, cost: float, step: int = 5, year: int = 252) -> DataFrame:
-    """Yearly long-short and long-only figures of a decile shape, before and after costs."""
+def net_of_cost(shape: DataFrame, stab: DataFrame, cost: float, step: int = 5, year: int = 252) -> DataFrame:
+    """Yearly figures of a decile shape before and after costs.  Costs go by the turnover of the first bucket, and where that is unknown
+    by 1 - ``stab``, the mean rank stability (one row, column ``stab``)."""
     times = year / step
-    fee = 2 * cost * turn * times
-    return shape.select(((F.col("d1") - F.col("d10")) * times).alias("ls"), ((F.col("d1") - F.col("d10")) * times - 2 * fee).alias("ls_net"), (F.col("d1") * times).alias("long"), (F.col("d1") * times - fee).alias("long_net"))
+    rows = shape.crossJoin(stab)
+    turn = 1 - F.col("stab")
+    fee, fee_top = 2 * cost * turn * times, 2 * cost * F.coalesce("turn_top", turn) * times
+    net, net20 = F.col("d1") * times - fee, F.col("top20") * times - fee_top
+    ratio = lambda x, sd: F.when(F.col(sd) > 0, F.try_divide(x, F.col(sd) * F.sqrt(F.lit(times))))
+    return rows.select(
+        "stab", turn.alias("turn_est"), "turn_top", "d1", "d10", "sd_top", (F.col("d1") * times).alias("top_ann"), ((F.col("d1") - F.col("d10")) * times).alias("spread_ann"), net.alias("net_ann"),
+        ratio(net, "sd_top").alias("net_sharpe"), "top20", "sd_top20", (F.col("top20") * times).alias("top20_ann"), net20.alias("net20_ann"), ratio(net20, "sd_top20").alias("net20_sharpe"),
+    )
+
+
+def thinned(rows: DataFrame, keys: list[str], order: str, points: int) -> DataFrame:
+    """Of each curve ``points`` rows at equal steps, its ends among them; shorter curves stay whole."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = rows.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy(*keys))})
+    # row i is kept if it is floor(j (n - 1) / (points - 1)) for some j: the smallest j that reaches i gives it
+    last = F.greatest(F.col("__n") - 1, F.lit(1))
+    j = F.ceil(F.col("__i") * (points - 1) / last)
+    kept = (F.col("__n") <= points) | (F.floor(j * last / (points - 1)) == F.col("__i"))
+    return rows.where(kept).drop("__i", "__n")
 
 
 def long_short(rows: DataFrame, step: int = 5, least: int = 100, least_in_bucket: int = 5) -> DataFrame:
@@ -104,7 +123,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     ``nodes`` (id) and ``links`` (a, b) are factors and their similarities, so the tables are short and few rounds are needed.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     state = nodes.select("id", F.col("id").alias("component"))
     before = None
     while True:

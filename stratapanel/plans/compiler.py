@@ -7,11 +7,13 @@ inlined where they are needed.  So the number of exchanges is the number of chan
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ts
 from ..functions.ts import SYM, T
-from .expr import Node
+from .expr import Node, bare
 from .registry import OPERATORS
 
 
@@ -37,7 +39,8 @@ def evaluate(panel: DataFrame, expressions: dict[str, Node], keep: tuple[str, ..
     waiting = [n for n in names if OPERATORS[n.op].axis != "row"]
     axis = "time"
     while waiting:
-        ready = [n for n in waiting if OPERATORS[n.op].axis in (axis, "series" if axis == "time" else axis) and all(column(a) is not None for a in n.args)]
+        now = ("time", "series", "rolling") if axis == "time" else (axis,)
+        ready = [n for n in waiting if OPERATORS[n.op].axis in now and all(column(a) is not None for a in n.args)]
         if not ready:
             axis = "section" if axis == "time" else "time"
             continue
@@ -46,9 +49,10 @@ def evaluate(panel: DataFrame, expressions: dict[str, Node], keep: tuple[str, ..
         if inputs:
             frame = frame.withColumns({c: column(a) for a, c in inputs.items()})
             done |= inputs
-        plain = [n for n in ready if OPERATORS[n.op].axis != "series"]
+        plain = [n for n in ready if OPERATORS[n.op].axis in ("time", "section")]
         if plain:
             frame = frame.withColumns({names[n]: OPERATORS[n.op].build(*[column(a) for a in n.args]) for n in plain})
+        frame = _rolling(frame, {names[n]: (n, [done.get(a, a.op) for a in n.args]) for n in ready if OPERATORS[n.op].axis == "rolling"})
         series = [n for n in ready if OPERATORS[n.op].axis == "series"]
         if series:
             frame = _over_series(frame, {names[n]: (n, done.get(n.args[0], n.args[0].op)) for n in series})
@@ -57,15 +61,26 @@ def evaluate(panel: DataFrame, expressions: dict[str, Node], keep: tuple[str, ..
     return frame.select(SYM, T, *[c for c in keep if c not in (SYM, T)], *[column(e).alias(k) for k, e in expressions.items()])
 
 
+def _rolling(frame: DataFrame, nodes: dict[str, tuple[Node, list[str]]]) -> DataFrame:
+    """Operators that share sums over sliding windows: one pass for each input and window."""
+    regressions: dict[tuple[str, int], dict[str, str]] = {}
+    for out, (n, sources) in nodes.items():
+        if len(sources) == 2:
+            frame = OPERATORS[n.op].build(frame, *sources, OPERATORS[n.op].window, out)
+        else:
+            regressions.setdefault((sources[0], OPERATORS[n.op].window), {})[bare(n.op).removeprefix("ts_")] = out
+    for (source, w), out in regressions.items():
+        frame = ts.regressions(frame, source, w, out)
+    return frame
+
+
 def _over_series(frame: DataFrame, nodes: dict[str, tuple[Node, str]]) -> DataFrame:
-    """Operators that need a symbol's whole ordered series: one row per symbol, one pass over its array, and back to rows."""
-    others = [c for c in frame.columns if c not in (SYM, T)]
-    rows = frame.groupBy(SYM).agg(F.array_sort(F.collect_list(F.struct(T, *others))).alias("__rows"))
-    made = {c: OPERATORS[n.op].build(F.transform("__rows", _field(src))) for c, (n, src) in nodes.items()}
-    rows = rows.withColumns(made)
-    zipped = F.arrays_zip("__rows", *made)
-    return rows.select(SYM, F.explode(zipped).alias("__r")).select(SYM, f"__r.__rows.{T}", *[F.col(f"__r.__rows.{c}") for c in others], *[F.col(f"__r.{c}") for c in made])
+    """Operators that need a symbol's whole ordered series: one pass over it in pandas, next to the columns that are needed anyway."""
+    builds = {c: (OPERATORS[n.op].build, src) for c, (n, src) in nodes.items()}
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) + "".join(f", `{c}` double" for c in builds)
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(T, ignore_index=True)
+        return rows.assign(**{c: build(rows[src].astype(float)) for c, (build, src) in builds.items()})
 
-def _field(name: str):
-    return lambda r: r[name].cast("double")
+    return frame.groupBy(SYM).applyInPandas(run, schema)

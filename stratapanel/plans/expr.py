@@ -127,24 +127,21 @@ def sole_leaf(node: Node) -> str | None:
     return found.pop() if len(found) == 1 else None
 
 
-def style_share(node: Node) -> float:
-    leaves = node.leaves
-    return sum(x in STYLES for x in leaves) / len(leaves)
+def _levels(node: Node, depth: int) -> list[list[Node]]:
+    """The nodes at depth 0 .. ``depth``."""
+    levels = [[node]]
+    for _ in range(depth):
+        levels.append([a for n in levels[-1] for a in n.args])
+    return levels
 
 
 def is_style_combination(node: Node) -> bool:
-    """At least half of the leaves are styles, or a style stands in the numerator of a division near the root."""
-    if style_share(node) >= 0.5:
+    """At least half of the different leaves are styles, or a style is in the numerator of a division at a depth of at most 2."""
+    leaves = set(node.leaves)
+    if 2 * len(leaves & set(STYLES)) >= len(leaves):
         return True
-
-    def near(n: Node, left: int) -> bool:
-        if left < 0 or not n.args:
-            return False
-        if n.op == "div" and any(x in STYLES for x in n.args[0].leaves):
-            return True
-        return any(near(a, left - 1) for a in n.args)
-
-    return near(node, 1)
+    divisions = [n for level in _levels(node, 2) for n in level if n.op == "div"]
+    return any(set(n.args[0].leaves) & set(STYLES) for n in divisions)
 
 
 def dimension(node: Node) -> str:

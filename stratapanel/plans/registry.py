@@ -15,9 +15,10 @@ from ..functions import cs, scalar, ts
 class Operator:
     name: str
     arity: int
-    #: "row" (element-wise), "time" (per symbol) or "section" (per date); "series" needs a symbol's whole ordered series.
+    #: "row" (element-wise), "time" (per symbol) or "section" (per date), which build a column from columns; "rolling" adds columns to a frame
+    #: (see :func:`ts.regressions`, :func:`ts.correlations`); "series" maps a symbol's whole ordered series (pandas) to another.
     axis: str
-    build: Callable[..., Column]
+    build: Callable
     window: int | None = None
 
 
@@ -43,13 +44,14 @@ _windowed("ts_min", (20, 100), ts.ts_min)
 _windowed("ts_rank", (10, 20, 60, 100, 200), ts.ts_rank)
 _windowed("ts_delay", (1,), ts.ts_delay)
 _windowed("ts_delta", (5, 10, 20, 60, 120), ts.ts_delta)
-_windowed("ema", (5, 12, 20, 26, 60), ts.ema_array, axis="series")
-_windowed("ts_slope", (5, 10, 20, 60), ts.ts_slope)
-_windowed("ts_rsqr", (5, 10, 20, 60), ts.ts_rsqr)
-_windowed("ts_resi", (5, 10, 20, 60), ts.ts_resi)
+_windowed("ema", (5, 12, 20, 26, 60), ts.ema, axis="series")
+for _kind in ("slope", "rsqr", "resi"):
+    for _w in (5, 10, 20, 60):
+        register(f"ts_{_kind}{_w}", 1, "rolling", ts.regressions, _w)
 _windowed("ts_skew", (20, 60), ts.ts_skew)
 _windowed("ts_kurt", (20, 60), ts.ts_kurt)
-_windowed("corr", (20, 60, 100, 200), ts.ts_corr, arity=2)
+for _w in (20, 60, 100, 200):
+    register(f"corr{_w}", 2, "rolling", ts.correlations, _w)
 register("cs_rank", 1, "section", cs.cs_rank)
 register("cs_demean", 1, "section", cs.cs_demean)
 register("cs_scale", 1, "section", cs.cs_scale)

@@ -139,8 +139,8 @@ QUERIES = {
     "buckets": _columns(
         lambda: {"qcut": cs.bucket_qcut(F.col("f")), "top_first": cs.bucket_top(F.col("pct")), "ascending": cs.bucket_ascending(F.col("pct")), "top_decile": (F.col("pct") > 0.9).cast("int"), "quantile_code": F.when(F.col("f").isNotNull() & (cs.count_of(F.col("f")) >= 2), F.least(F.floor((cs.place(F.col("f")) - 1) * 256 / cs.count_of(F.col("f"))), F.lit(255)))},
         {
-            "qcut": f"CASE WHEN f IS NOT NULL THEN greatest(ceil(({place('f')} - 1) * 10 / greatest({_n} - 1, 1)::DOUBLE) - 1, 0) END", "top_first": "CASE WHEN pct IS NOT NULL THEN least(floor((1 - pct) * 10), 9) ELSE 9 END",
-            "ascending": "least(greatest(floor(coalesce(pct, 0) * 10), 0), 9)", "top_decile": "CASE WHEN pct IS NULL THEN NULL WHEN pct > 0.9 THEN 1 ELSE 0 END",
+            "qcut": f"CASE WHEN f IS NOT NULL THEN greatest(ceil(({place('f')} - 1) * 10 / greatest({_n} - 1, 1)::DOUBLE) - 1, 0) END", "top_first": "CASE WHEN floor((1 - pct) * 10) > 9 THEN 9 ELSE floor((1 - pct) * 10) END",
+            "ascending": "CASE WHEN pct * 10 >= 10 THEN 9 WHEN pct * 10 < 0 THEN 0 ELSE floor(pct * 10) END", "top_decile": "CASE WHEN pct IS NULL THEN NULL WHEN pct > 0.9 THEN 1 ELSE 0 END",
             "quantile_code": f"CASE WHEN f IS NOT NULL AND {_n} >= 2 THEN least(floor(({place('f')} - 1) * 256 / {_n}::DOUBLE), 255) END",
         },
         ints=("qcut", "top_first", "ascending", "top_decile", "quantile_code"),

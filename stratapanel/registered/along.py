@@ -136,6 +136,7 @@ QUERIES = {
         lambda: {"pct": ts.rolling_pct_rank(F.col("turn_ratio"), 36, 12)},
         {"pct": f"CASE WHEN turn_ratio IS NOT NULL AND len({_seen}) >= 12 THEN (len(list_filter({_seen}, lambda v: v < turn_ratio)) + (len(list_filter({_seen}, lambda v: v = turn_ratio)) + 1) / 2.0) / len({_seen}) END"},
     ),
+    # Factor expressions in common use, with their usual windows
     "templates": expressions(
         "P2",
         {

@@ -11,6 +11,7 @@ from ..functions.ts import SYM, T
 from ..operators import combination as cb
 from ..operators import control
 from ..operators import evaluation as ev
+from ..operators import reports as rp
 from ..plans.compiler import evaluate
 from ..plans.expr import parse
 from ..sources import panels
@@ -27,41 +28,61 @@ def _returns(spark, sf_dir):
 
 def supplier_metrics(spark, sf_dir):
     """A table of figures per supplier, for gates and quotas."""
-    rows = _returns(spark, sf_dir)
+    rows = _returns(spark, sf_dir).withColumn("last", F.max(T).over(Window.partitionBy(SYM)))
+    rows = rows.withColumn("part", F.when(F.col("ret").isNotNull(), F.ntile(3).over(Window.partitionBy(SYM, F.col("ret").isNull()).orderBy(T))))
+    gain = lambda k: F.sum(F.when(F.col("part") == k, F.log1p("ret")))
     out = rows.groupBy(SYM, "industry", "pool").agg(
         F.avg("intraday").alias("ic"), F.avg(F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("int"))).alias("ic_win"), F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("calmar"),
-        F.avg(F.when(F.col(T) >= 70, F.col("ret"))).alias("last_yr"), F.count(F.when(F.col("ret") < -0.8, 1)).alias("bad_years"), F.min("intraday").alias("dd"),
+        F.avg(F.when(F.col(T) > F.col("last") - 13, F.col("ret"))).alias("last_yr"), F.count(F.when(F.col("ret") < -0.8, 1)).alias("bad_years"), F.min("intraday").alias("dd"),
         F.avg(F.when(F.col(T) % 2 == 0, F.col("intraday"))).alias("cal300"), F.avg(F.when(F.col(T) < 3, F.col("intraday"))).alias("cal500"),
+        F.count("ret").alias("periods"), sum((F.coalesce(gain(k) > 0, F.lit(False)).cast("int") for k in (2, 3)), F.coalesce(gain(1) > 0, F.lit(False)).cast("int")).alias("positive"),
     )
     return out
 
 
 _METRICS = f"""WITH {P2}, {LEAVES}, metrics AS (
   SELECT sym, industry, pool, avg(intraday) AS ic, avg(CASE WHEN ret > 0 THEN 1 WHEN ret IS NOT NULL THEN 0 END) AS ic_win, avg(ret) / stddev_samp(ret) AS calmar,
-         avg(CASE WHEN t >= 70 THEN ret END) AS last_yr, count(CASE WHEN ret < -0.8 THEN 1 END) AS bad_years, min(intraday) AS dd,
+         avg(CASE WHEN t > (SELECT max(t) FROM panel) - 13 THEN ret END) AS last_yr, count(CASE WHEN ret < -0.8 THEN 1 END) AS bad_years, min(intraday) AS dd,
          avg(CASE WHEN t % 2 = 0 THEN intraday END) AS cal300, avg(CASE WHEN t < 3 THEN intraday END) AS cal500
   FROM leaves GROUP BY ALL
 )"""
 
+_POSITIVE = """, cuts AS (SELECT sym, ret, row_number() OVER (PARTITION BY sym ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY sym) AS n FROM leaves WHERE ret IS NOT NULL),
+parts AS (SELECT sym, n, CASE WHEN i < (n // 3 + 1) * (n % 3) THEN i // (n // 3 + 1) ELSE n % 3 + (i - (n // 3 + 1) * (n % 3)) // greatest(n // 3, 1) END AS part, ret FROM cuts),
+held AS (SELECT sym, any_value(n) AS n, count(*) FILTER (WHERE gain > 1) AS positive FROM (SELECT sym, n, part, product(1 + ret) AS gain FROM parts GROUP BY ALL) GROUP BY sym)"""
+
 
 def gates(spark, sf_dir):
     m = supplier_metrics(spark, sf_dir)
     a, b, c = F.col("cal300") >= 0.3, F.col("cal500") >= 0.3, F.col("calmar") >= 0.35
     any_, all_ = control.pool_gate([F.col("cal300"), F.col("cal500")], 0.4), control.pool_gate([F.col("cal300"), F.col("cal500")], 0.2, "all")
+    score = lambda mode: rounded(control.first_score(mode, F.col("ic_win"), F.col("calmar"), F.col("cal300"), F.col("ic"), F.col("cal500"))).alias(f"score_{mode}")
+    parts = control.segments_hold(F.col("positive"), F.col("periods"), least=24)
     return m.select(
         SYM, control.rule("calmar >= 0.35 and ic > 0.2 and last_yr > 0").alias("rule"), control.passes(0.02, 0.4, 0.3).alias("passes"), any_.alias("any_pool"), all_.alias("all_pools"),
-        control.combined(c, [any_], [F.col("last_yr") > 0]).alias("combined"), control.pool_tag(a, b, c).alias("tag"), control.strip_grade(F.col("calmar"), F.col("dd") + 0.7).alias("grade"),
-        control.segments_hold(F.lit(1), F.lit(2)).alias("short_passes"),
+        control.combined(control.passes(0.02, 0.4, 0.2), c, any_, parts).alias("both_gates"), control.combined(control.passes(0.02, 0.4, 0.2), c, any_, parts, either=True).alias("either_gate"),
+        control.combined(control.passes(0.02, 0.4, 0.2), c, any_, parts, pool_on=False).alias("whole_gate"), control.pool_tag(a, b, c).alias("tag"),
+        control.strip_grade(F.col("calmar") - 0.1, F.col("last_yr"), F.col("dd") + 0.7).alias("grade"), control.strip_grade(F.col("calmar") - 0.1, F.col("last_yr")).alias("grade_without_dd"), parts.alias("segments"),
+        control.stripped_channel(F.col("ic"), F.col("calmar"), F.col("last_yr"), F.col("ic_win"), F.col("cal300"), (0.02, 0.3, 0.03, 0.4), 0.5).alias("stripped_channel"),
+        control.either_horizon(control.passes(0.02, 0.4, 0.3), c).alias("either_horizon"), *[score(mode) for mode in ("old", "new", "ic_n", "mono_n")],
     )
 
 
-_GATES = f"""{_METRICS}, f AS (
-  SELECT *, coalesce(cal300 >= 0.3, false) AS a, coalesce(cal500 >= 0.3, false) AS b, coalesce(calmar >= 0.35, false) AS c,
-         CASE WHEN coalesce(cal300, cal500) IS NOT NULL THEN greatest(cal300, cal500) >= 0.4 END AS any_pool, CASE WHEN coalesce(cal300, cal500) IS NOT NULL THEN least(cal300, cal500) >= 0.2 END AS all_pools FROM metrics
+_base = "coalesce(abs(ic) >= 0.02 AND ic_win >= 0.4 AND calmar >= 0.2 AND last_yr > 0 AND bad_years <= 1, false)"
+_unit = lambda x: f"CASE WHEN {x} IS NULL OR {x} < 0 THEN 0 WHEN {x} > 1 THEN 1 ELSE {x} END"
+_GATES = f"""{_METRICS}{_POSITIVE}, f AS (
+  SELECT m.*, coalesce(cal300 >= 0.3, false) AS a, coalesce(cal500 >= 0.3, false) AS b, coalesce(calmar >= 0.35, false) AS c, CASE WHEN coalesce(n, 0) < 72 THEN true ELSE positive >= 2 END AS seg, {_base} AS base,
+         CASE WHEN cal300 >= 0.4 OR cal500 >= 0.4 THEN true WHEN cal300 IS NOT NULL OR cal500 IS NOT NULL THEN false END AS any_pool,
+         CASE WHEN cal300 < 0.2 OR cal500 < 0.2 THEN false WHEN cal300 IS NOT NULL OR cal500 IS NOT NULL THEN true END AS all_pools
+  FROM metrics m LEFT JOIN held h ON h.sym = m.sym
 ) SELECT sym, coalesce(calmar >= 0.35, false) AND coalesce(ic > 0.2, false) AND coalesce(last_yr > 0, false) AS rule, abs(ic) >= 0.02 AND ic_win >= 0.4 AND calmar >= 0.3 AND last_yr > 0 AND bad_years <= 1 AS passes, any_pool, all_pools,
-  (c OR coalesce(any_pool, false)) AND coalesce(last_yr > 0, false) AS combined,
+  base AND (CASE WHEN any_pool IS NULL THEN c ELSE c AND any_pool END) AND seg AS both_gates, base AND (CASE WHEN any_pool IS NULL THEN c ELSE c OR any_pool END) AND seg AS either_gate, base AND c AND seg AS whole_gate,
   CASE WHEN a AND b AND c THEN 'all3' WHEN c AND NOT a AND NOT b THEN 'csi_all_only' WHEN a AND c THEN 'csi300_all' WHEN b AND c THEN 'csi500_all' WHEN a AND b THEN 'csi300_500' WHEN a THEN 'csi300_only' WHEN b THEN 'csi500_only' ELSE 'none' END AS tag,
-  CASE WHEN calmar IS NULL THEN NULL WHEN calmar >= 0.3 AND dd + 0.7 >= -0.2 THEN 'A' WHEN calmar >= 0.3 OR (dd + 0.7 >= -0.2 AND calmar > 0) THEN 'B' WHEN calmar > 0 THEN 'C' ELSE 'D' END AS grade, true AS short_passes FROM f"""
+  CASE WHEN calmar IS NULL OR last_yr IS NULL THEN 'D' WHEN last_yr <= 0 OR calmar - 0.1 <= 0 THEN 'C' WHEN calmar - 0.1 >= 0.3 THEN CASE WHEN dd + 0.7 <= -0.2 THEN 'B' ELSE 'A' END ELSE 'B' END AS grade,
+  CASE WHEN calmar IS NULL OR last_yr IS NULL THEN 'D' WHEN last_yr <= 0 OR calmar - 0.1 <= 0 THEN 'C' WHEN calmar - 0.1 >= 0.3 THEN 'A' ELSE 'B' END AS grade_without_dd, seg AS segments,
+  coalesce(abs(ic) >= 0.02, false) AND coalesce(calmar > 0.3, false) AND coalesce(last_yr > 0.03, false) AND coalesce(ic_win > 0.4, false) AND (cal300 IS NULL OR cal300 <= 0.5) AS stripped_channel,
+  coalesce(abs(ic) >= 0.02 AND ic_win >= 0.4 AND calmar >= 0.3 AND last_yr > 0 AND bad_years <= 1, false) OR c AS either_horizon,
+  {r(f"abs(calmar) * (0.25 + 0.75 * CASE WHEN ic_win IS NOT NULL THEN {_unit('ic_win')} END)")} AS score_old, {r(f"({_unit('ic_win')}) * (0.5 + 0.5 * ({_unit('cal300')}))")} AS score_new, {r('CASE WHEN ic > 0 THEN ic ELSE 0 END')} AS score_ic_n, {r(_unit('cal500'))} AS score_mono_n FROM f"""
 
 
 def rule_quality(spark, sf_dir):
@@ -94,7 +115,7 @@ _QUOTAS = f"""{_METRICS}, o AS (SELECT *, row_number() OVER (ORDER BY calmar DES
 s AS (SELECT *, row_number() OVER (ORDER BY (special AND among <= 6) DESC, place) AS slot FROM a)
 SELECT sym, 'family' AS kind, CAST(p AS BIGINT) AS place FROM (SELECT sym, row_number() OVER (PARTITION BY industry ORDER BY calmar DESC NULLS LAST, sym) AS p FROM metrics) WHERE p <= 2
 UNION ALL SELECT sym, 'best', 1 FROM (SELECT sym, row_number() OVER (PARTITION BY pool ORDER BY ic DESC NULLS LAST, sym) AS p FROM metrics) WHERE p = 1
-UNION ALL SELECT sym, 'reserved', CAST(place AS BIGINT) FROM s WHERE slot <= 20"""
+UNION ALL SELECT sym, 'reserved', row_number() OVER (ORDER BY place) FROM s WHERE slot <= 20"""
 
 
 def streams(spark, sf_dir):
@@ -204,13 +225,13 @@ SELECT l.event_id, l.user_id, l.value, a.last_value, b.last_value AS before_valu
 def pool_members(spark, sf_dir):
     s = panels.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(SYM), (F.col("s_nationkey") % 2).cast("long").alias("pool"))
     changes = s.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where((F.col(SYM) + F.col("k")) % 3 != 0).select("pool", (F.col("k") * 24 + 5).alias("changed"), SYM)
-    dates = spark.range(0, 83).select(F.col("id").alias(T))
+    dates = panels.lineitem_panel(spark, sf_dir).select(F.col(T).cast("long").alias(T)).distinct()
     return cb.members_at(dates, changes).select("pool", T, SYM)
 
 
-_POOL = """WITH s AS (SELECT s_suppkey AS sym, CAST(s_nationkey % 2 AS BIGINT) AS pool FROM supplier), c AS (SELECT pool, k * 24 + 5 AS changed, sym FROM s, range(3) r(k) WHERE (sym + k) % 3 <> 0),
+_POOL = f"""WITH {P2}, d AS (SELECT DISTINCT CAST(t AS BIGINT) AS t FROM panel), s AS (SELECT s_suppkey AS sym, CAST(s_nationkey % 2 AS BIGINT) AS pool FROM supplier), c AS (SELECT pool, k * 24 + 5 AS changed, sym FROM s, range(3) r(k) WHERE (sym + k) % 3 <> 0),
 l AS (SELECT pool, changed, lead(changed) OVER (PARTITION BY pool ORDER BY changed) AS until FROM (SELECT DISTINCT pool, changed FROM c))
-SELECT c.pool, CAST(t AS BIGINT) AS t, c.sym FROM l JOIN c ON c.pool = l.pool AND c.changed = l.changed, range(83) d(t) WHERE t >= l.changed AND (until IS NULL OR t < until)"""
+SELECT c.pool, CAST(t AS BIGINT) AS t, c.sym FROM l JOIN c ON c.pool = l.pool AND c.changed = l.changed, d WHERE t >= l.changed AND (until IS NULL OR t < until)"""
 
 
 def price_adjust(spark, sf_dir):
@@ -225,22 +246,42 @@ g AS (SELECT *, last_value(f IGNORE NULLS) OVER (PARTITION BY sym ORDER BY t ROW
 SELECT sym, CAST(t AS BIGINT) AS t, {r('close * coalesce(c / z, 1)', 4)} AS close, {r('volume / coalesce(c / z, 1)', 4)} AS volume FROM h"""
 
 
+def _flag_lists(spark, sf_dir):
+    """Per symbol the dates of two flags, as lists: special treatment and suspension."""
+    ids = panels.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(SYM))
+    days = lambda start, step: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: ((F.col(SYM) + start + k * step) % 97).cast("int"))
+    return ids.where(f"{SYM} % 3 = 0").select(SYM, days(5, 11).alias("st"), days(40, 7).alias("suspended"))
+
+
 def universe(spark, sf_dir):
     panel = panels.lineitem_panel(spark, sf_dir)
-    return panel.select(SYM, F.col(T).cast("long").alias(T), cb.universe(panel, 24, 20, 10, 300_000.0, 0.6).alias("inside"))
+    pc, first = F.lag("close").over(Window.partitionBy(SYM).orderBy(T)), F.min(F.when(F.col("close").isNotNull(), F.col(T))).over(Window.partitionBy(SYM))
+    panel = panel.withColumns({"limit_up": pc * 1.6, "limit_down": pc * 0.4, "listed": first, "delisted": F.when(F.col(SYM) % 7 == 0, F.lit(60))})
+    panel = cb.with_flags(panel, _flag_lists(spark, sf_dir), ["st", "suspended"])
+    return panel.select(SYM, F.col(T).cast("long").alias(T), "st", "suspended", cb.universe(panel, 24, 20, 10, 300_000.0).alias("inside"))
+
+
+_UNIVERSE = f"""WITH {P2}, q AS (SELECT s_suppkey AS sym FROM supplier WHERE s_suppkey % 3 = 0), st AS (SELECT DISTINCT sym, (sym + 5 + k * 11) % 97 AS t FROM q, range(7) a(k)), su AS (SELECT DISTINCT sym, (sym + 40 + k * 7) % 97 AS t FROM q, range(7) a(k)),
+k AS (SELECT p.*, lag(close) {_LINE} AS pc, min(CASE WHEN close IS NOT NULL THEN t END) OVER (PARTITION BY sym) AS listed, count(turnover) {over(20)} AS n, avg(turnover) {over(20)} AS m FROM panel p)
+SELECT k.sym, CAST(k.t AS BIGINT) AS t, st.sym IS NOT NULL AS st, su.sym IS NOT NULL AS suspended,
+  CASE WHEN k.t - (k.listed + 1) >= 24 AND close IS NOT NULL AND (k.sym % 7 <> 0 OR k.t <= 60) AND st.sym IS NULL AND su.sym IS NULL AND n >= 10 AND m >= 300000 AND close < pc * 1.6 - 1e-6 AND close > pc * 0.4 + 1e-6 THEN true ELSE false END AS inside
+FROM k LEFT JOIN st ON st.sym = k.sym AND st.t = k.t LEFT JOIN su ON su.sym = k.sym AND su.t = k.t"""
 
 
-_UNIVERSE = f"""WITH {P2}, k AS (SELECT *, lag(close) {_LINE} AS pc, count(close) OVER (PARTITION BY sym ORDER BY t ROWS UNBOUNDED PRECEDING) AS seen, count(turnover) {over(20)} AS n, avg(turnover) {over(20)} AS m FROM panel)
-SELECT sym, CAST(t AS BIGINT) AS t, coalesce(seen >= 24 AND close IS NOT NULL AND n >= 10 AND m >= 300000 AND coalesce(close < pc * 1.6 AND close > pc * 0.4, true), false) AS inside FROM k"""
+_SHARES = ("top5", "top10", "top20", "top50")
 
 
 def concentration(spark, sf_dir):
-    out = cb.concentration(panels.lineitem_panel(spark, sf_dir))
-    return out.select(F.col(T).cast("long").alias(T), *[rounded(F.col(c)).alias(c) for c in ("top5", "top10", "top20", "top50")])
+    out = cb.concentration(panels.lineitem_panel(spark, sf_dir), spans={"short": 24, "long": 60}, least=12)
+    return out.select(F.col(T).cast("long").alias(T), *[rounded(F.col(c)).alias(c) for c in (*_SHARES, *[f"{c}_{k}" for c in _SHARES for k in ("short", "long")])])
 
 
-_CONC = f"""WITH {P2}, k AS (SELECT t, turnover, row_number() OVER (PARTITION BY t ORDER BY turnover DESC, sym) AS k, count(*) OVER (PARTITION BY t) AS n FROM panel WHERE turnover IS NOT NULL)
-SELECT CAST(t AS BIGINT) AS t, {', '.join(f"{r(f'sum(CASE WHEN k <= greatest(floor(n * {p}), 1) THEN turnover END) / sum(turnover)')} AS top{int(p * 100)}" for p in (0.05, 0.1, 0.2, 0.5))} FROM k GROUP BY t"""
+def _conc_sql() -> str:
+    shares = ", ".join(f"sum(CASE WHEN k <= greatest(floor(n * {p}), 1) THEN turnover END) / sum(turnover) AS top{int(p * 100)}" for p in (0.05, 0.1, 0.2, 0.5))
+    within = lambda c, w: f"(SELECT CASE WHEN count(*) >= 12 THEN (count(*) FILTER (WHERE b.{c} < a.{c}) + (count(*) FILTER (WHERE b.{c} = a.{c}) + 1) / 2.0) / count(*) END FROM s b WHERE b.t BETWEEN a.t - {w - 1} AND a.t)"
+    ranks = ", ".join(f"{r(within(c, w))} AS {c}_{k}" for c in _SHARES for k, w in (("short", 24), ("long", 60)))
+    return f"""WITH {P2}, k AS (SELECT t, turnover, row_number() OVER (PARTITION BY t ORDER BY turnover DESC, sym) AS k, count(*) OVER (PARTITION BY t) AS n FROM panel WHERE turnover IS NOT NULL), s AS (SELECT t, {shares} FROM k GROUP BY t)
+SELECT CAST(t AS BIGINT) AS t, {', '.join(f'{r(c)} AS {c}' for c in _SHARES)}, {ranks} FROM s a"""
 
 
 # Aggregates, windows and scalars on the raw tables.
@@ -308,25 +349,26 @@ def codes_and_dates(spark, sf_dir):
     day = F.when(F.col("c_custkey") % 4 == 0, F.concat(o, F.lit("-2-"), (F.col("c_custkey") % 9 + 1).cast("string"))).when(F.col("c_custkey") % 4 == 1, F.concat(o, F.lit("0315"))).when(F.col("c_custkey") % 4 == 2, F.lit("0000-00-00")).otherwise(F.lit("n/a"))
     return c.select(
         "c_custkey", scalar.exchange_code(F.concat(F.lit("c"), F.col("raw"))).alias("code"), scalar.from_short_suffix(F.concat(F.lpad("raw", 6, "0"), F.lit(".sz"))).alias("long_code"), scalar.date_key(day).alias("day"),
-        scalar.quarter_key(F.concat(o, F.lit("q"), (F.col("c_custkey") % 4 + 1).cast("string"))).alias("quarter"), scalar.skeleton_text(F.concat(F.lit("ts_mean"), F.col("raw"), F.lit("(close)"))).alias("shape"),
-        F.md5("raw").alias("md5"), F.size(F.regexp_extract_all(F.lit("sub(ts_mean5(close), open)"), F.lit("[a-z_]+[0-9]*"), F.lit(0))).cast("long").alias("tokens"),
+        scalar.quarter_key(F.concat(o, F.lit("q"), (F.col("c_custkey") % 4 + 1).cast("string"))).alias("quarter"), scalar.skeleton_text(F.concat(F.lit("ts_mean"), F.col("raw"), F.when(F.col("c_custkey") % 2 == 0, F.lit("(close)")).otherwise(F.concat(F.lit("(close, ema"), F.col("c_custkey").cast("string"), F.lit("(ret))"))))).alias("shape"),
+        F.md5("raw").alias("md5"), F.array_join(scalar.identifiers(F.concat(F.lit("sub(ts_mean"), F.col("raw"), F.lit("(close), open_"), F.substring("raw", 1, 1), F.lit(")"))), " ").alias("tokens"),
     )
 
 
 _o = "'20' || lpad(CAST(c_custkey % 30 AS VARCHAR), 2, '0')"
 _CODES = f"""WITH c AS (SELECT c_custkey, CAST(c_custkey * 733 AS VARCHAR) AS raw, {_o} AS o FROM customer), d AS (SELECT *, CASE WHEN length(raw) > 6 THEN left(raw, 6) ELSE lpad(raw, 6, '0') END AS six FROM c)
 SELECT c_custkey, CASE WHEN left(six, 1) IN ('6', '9') THEN six || '.XSHG' WHEN left(six, 1) IN ('0', '2', '3') THEN six || '.XSHE' WHEN left(six, 1) IN ('4', '8') THEN six || '.XBSE' END AS code, six || '.XSHE' AS long_code,
-CAST(CASE WHEN c_custkey % 4 = 0 THEN o || '02' || lpad(CAST(c_custkey % 9 + 1 AS VARCHAR), 2, '0') WHEN c_custkey % 4 = 1 THEN o || '0315' END AS INT) AS day, CAST(CAST(o AS INT) * 4 + c_custkey % 4 AS INT) AS quarter, 'ts_mean(close)' AS shape, md5(raw) AS md5, CAST(4 AS BIGINT) AS tokens FROM d"""
+CAST(CASE WHEN c_custkey % 4 = 0 THEN o || '02' || lpad(CAST(c_custkey % 9 + 1 AS VARCHAR), 2, '0') WHEN c_custkey % 4 = 1 THEN o || '0315' END AS INT) AS day, CAST(CAST(o AS INT) * 4 + c_custkey % 4 AS INT) AS quarter, 'ts_mean(close' || CASE WHEN c_custkey % 2 = 0 THEN ')' ELSE ', ema(ret))' END AS shape, md5(raw) AS md5, 'sub ts_mean' || raw || ' close open_' || left(raw, 1) AS tokens FROM d"""
 
 
 def sampled(spark, sf_dir):
-    """A seeded sample without replacement by hash order, and every tenth row of a long curve with its last one."""
-    s = panels.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.md5(F.concat_ws(":", F.lit(42), "s_suppkey")).alias("h")).orderBy("h").limit(20).select("id", F.lit("sample").alias("kind"))
-    c = spark.range(0, 83).where((F.col("id") % 10 == 0) | (F.col("id") == 82)).select("id", F.lit("curve").alias("kind"))
-    return s.unionByName(c)
+    """A seeded sample without replacement by hash order, and each customer nation's order curve thinned to ten points with its ends."""
+    s = panels.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.md5(F.concat_ws(":", F.lit(42), "s_suppkey")).alias("h")).orderBy("h").limit(20).select("id", F.lit("sample").alias("kind"), F.lit(0.0).alias("y"))
+    o = panels.read(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyyMM").cast("long").alias("id")).agg(F.sum("o_totalprice").alias("y")).withColumn("kind", F.lit("curve"))
+    return s.unionByName(rp.thinned(o, ["kind"], "id", 10).select("id", "kind", rounded(F.col("y"), 2).alias("y")))
 
 
-_SAMPLED = "SELECT id, 'sample' AS kind FROM (SELECT s_suppkey AS id FROM supplier ORDER BY md5('42:' || s_suppkey) LIMIT 20) UNION ALL SELECT r, 'curve' FROM range(83) t(r) WHERE r % 10 = 0 OR r = 82"
+_SAMPLED = f"""WITH o AS (SELECT CAST(strftime(o_orderdate, '%Y%m') AS BIGINT) AS id, sum(o_totalprice) AS y FROM orders GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM o)
+SELECT id, 'sample' AS kind, 0.0::DOUBLE AS y FROM (SELECT s_suppkey AS id FROM supplier ORDER BY md5('42:' || s_suppkey) LIMIT 20) UNION ALL SELECT id, 'curve', {r('y', 2)} FROM k WHERE i IN (SELECT CAST(floor(j * (n - 1) / 9.0) AS BIGINT) FROM range(10) t(j))"""
 
 
 def wide_batch(spark, sf_dir):
@@ -363,7 +405,7 @@ QUERIES = {
     "pool_members": (pool_members, _POOL),
     "price_adjust": (price_adjust, _ADJUST),
     "universe": (universe, _UNIVERSE),
-    "concentration": (concentration, _CONC),
+    "concentration": (concentration, _conc_sql()),
     "group_statistics": (group_statistics, _GROUPS),
     "diversity": (diversity, _DIVERSITY),
     "pivot_last": (pivoted, _PIVOT),

@@ -14,7 +14,7 @@ from ..sources import panels
 from .across import _neutral_two, base_rows, base_sql, ordinal, pct
 from .base import P2, line, r
 from .general import _STREAMS, streams
-from .scoring import _DECILES, _LIMIT, _corr, _metrics_sql, _per, _per_sql, _shown
+from .scoring import _DECILES, _LIMIT, _SHAPE_ROW, _corr, _metrics_sql, _per, _per_sql, _shown
 
 _LINE = "OVER (PARTITION BY sym ORDER BY t)"
 
@@ -46,13 +46,23 @@ def _pool_sql() -> str:
 SELECT CAST(t AS BIGINT) AS t, count(*) AS n, {r(_corr('x', 'y'))} AS ic FROM p GROUP BY t HAVING count(*) >= 20"""
 
 
+_NET_COLS = ("stab", "turn_est", "turn_top", "d1", "d10", "sd_top", "top_ann", "spread_ann", "net_ann", "net_sharpe", "top20", "sd_top20", "top20_ann", "net20_ann", "net20_sharpe")
+
+
 def net_of_cost(spark, sf_dir):
-    shape = ev.decile_shape(base_rows(spark, sf_dir), least=30, least_in_bucket=2)
-    return _shown(rp.net_of_cost(shape, F.lit(0.6), 0.002), ("ls", "ls_net", "long", "long_net"))
+    rows = base_rows(spark, sf_dir)
+    stab = ev.stability(rows, least=20).agg(F.avg("corr").alias("stab"))
+    return _shown(rp.net_of_cost(ev.decile_shape(rows, least=30, least_in_bucket=2), stab, 0.002), _NET_COLS)
 
 
-_NET = f"""{_DECILES}, m AS (SELECT d, avg(ret) AS m FROM b GROUP BY d), k AS (SELECT max(CASE WHEN d = 1 THEN m END) AS d1, max(CASE WHEN d = 10 THEN m END) AS d10 FROM m)
-SELECT {r('(d1 - d10) * 50.4')} AS ls, {r('(d1 - d10) * 50.4 - 2 * (2 * 0.002 * 0.6 * 50.4)')} AS ls_net, {r('d1 * 50.4')} AS long, {r('d1 * 50.4 - 2 * 0.002 * 0.6 * 50.4')} AS long_net FROM k"""
+def _net_sql() -> str:
+    stable = f"k1 AS (SELECT sym, t, x, lead(x) {_LINE} AS y FROM q0), st AS (SELECT avg(c) AS stab FROM (SELECT corr(x, y) AS c FROM k1 WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY t HAVING count(*) >= 20))"
+    cols = {
+        "stab": "stab", "turn_est": "1 - stab", "turn_top": "turn_top", "d1": "d1", "d10": "d10", "sd_top": "sd_top", "top_ann": "d1 * 252 / 5", "spread_ann": "(d1 - d10) * 252 / 5", "net_ann": "d1 * 50.4 - 0.004 * (1 - stab) * 50.4",
+        "net_sharpe": "(d1 * 50.4 - 0.004 * (1 - stab) * 50.4) / (sd_top * sqrt(50.4))", "top20": "top20", "sd_top20": "sd_top20", "top20_ann": "top20 * 50.4", "net20_ann": "top20 * 50.4 - 0.004 * turn_top * 50.4",
+        "net20_sharpe": "(top20 * 50.4 - 0.004 * turn_top * 50.4) / (sd_top20 * sqrt(50.4))",
+    }
+    return f"{_SHAPE_ROW}, {stable}\nSELECT {', '.join(f'{r(v)} AS {k}' for k, v in cols.items())} FROM shape, st"
 
 
 def long_short(spark, sf_dir):
@@ -86,12 +96,7 @@ SELECT style, n, {r('mean')} AS mean, {r('abs_mean')} AS abs_mean, {r('ir')} AS
 
 
 def cost_sweep(spark, sf_dir):
-    per = _per(spark, sf_dir, cost=0.0).cache()
-    out = None
-    for cost in (0.0, 0.004, 0.007):
-        at = per.withColumn("excess", F.col("top_ret") - F.col("turn") * cost - F.col("pool_ret"))
-        part = bt.metrics(at).select(F.lit(cost).alias("cost"), "*")
-        out = part if out is None else out.unionByName(part)
+    out = rp.sweep({5: bt.trades(base_rows(spark, sf_dir), limit=_LIMIT)}, [0.0, 0.004, 0.007], least=30, least_top=2, least_pool=20)
     return out.select("cost", F.col("periods").cast("long").alias("periods"), rounded(F.col("ann_ex")).alias("ann_ex"), rounded(F.col("dd")).alias("dd"), rounded(F.col("sharpe")).alias("sharpe"))
 
 
@@ -109,9 +114,8 @@ def horizon_sweep(spark, sf_dir):
 
 
 def _horizon_sql() -> str:
-    five = _metrics_sql(_per_sql())
-    three = five.replace("lead(ns, 6)", "lead(ns, 4)").replace("t % 5 = 0", "t % 3 = 0").replace("= t - 5", "= t - 3").replace("periods * 5 /", "periods * 3 /").replace("sqrt(243 / 5.0", "sqrt(243 / 3.0")
-    return f"SELECT CAST(3 AS BIGINT) AS horizon, periods, ann_ex, turn FROM ({three}) UNION ALL SELECT 5, periods, ann_ex, turn FROM ({five})"
+    parts = [f"SELECT CAST({f} AS BIGINT) AS horizon, periods, ann_ex, turn FROM ({_metrics_sql(_per_sql(step=f), step=f)})" for f in (3, 5)]
+    return " UNION ALL ".join(parts)
 
 
 def daily_picks(spark, sf_dir):
@@ -166,7 +170,7 @@ SELECT n.id, component, count(*) OVER (PARTITION BY component) AS size, row_numb
 
 def library_kpi(spark, sf_dir):
     """Mean absolute pairwise correlation, and the figures of the equal-weight composite beside the median member's."""
-    st = streams(spark, sf_dir).cache()
+    st = streams(spark, sf_dir)
     pairs = cb.stream_correlations(st).agg(F.avg(F.abs("corr")).alias("mean_corr"))
     sharpe = lambda c: F.try_divide(F.avg(c), F.stddev_samp(c))
     members = st.groupBy("id").agg(sharpe("x").alias("s")).agg(F.percentile("s", F.lit(0.5)).alias("median_member"))
@@ -182,7 +186,7 @@ QUERIES = {
     "style_strip": (style_strip, _strip_sql()),
     "strip_variants": (strip_variants, _STRIPS),
     "pool_restricted_ic": (pool_restricted, _pool_sql()),
-    "net_of_cost": (net_of_cost, _NET),
+    "net_of_cost": (net_of_cost, _net_sql()),
     "long_short_curves": (long_short, _LONG_SHORT),
     "dynamic_exposure": (exposures, _EXPOSURES),
     "style_profile": (style_profile, _profile_sql()),

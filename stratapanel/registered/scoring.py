@@ -76,15 +76,25 @@ _STABLE = f"""{base_sql()}, g AS (SELECT sym, t, {ordinal('f')} AS x FROM base W
 SELECT CAST(t AS BIGINT) AS t, count(*) AS n, {r(_corr('x', 'y'))} AS corr FROM k WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY t HAVING count(*) >= 20"""
 
 
+_SHAPE_FLOATS = ("mono", "shape_pos", "d1", "d10", "sd_top", "sd_spread", "top20", "sd_top20", "turn_top")
+
+
 def decile_shape(spark, sf_dir):
-    return _shown(ev.decile_shape(base_rows(spark, sf_dir), least=30, least_in_bucket=2), ("mono", "shape_pos", "d1", "d10", "sd_spread"), ("best", "periods"))
+    return _shown(ev.decile_shape(base_rows(spark, sf_dir), least=30, least_in_bucket=2), _SHAPE_FLOATS, ("best", "periods"))
 
 
-_DECILES = f"""{base_sql()}, q AS (SELECT sym, t, r, {ordinal('f')} AS x, count(*) OVER (PARTITION BY t) AS n FROM base WHERE t % 5 = 0 AND f IS NOT NULL AND r IS NOT NULL),
-b AS (SELECT t, least(floor((1 - x) * 10), 9) + 1 AS d, avg(r) AS ret FROM q WHERE n >= 30 GROUP BY ALL HAVING count(*) >= 2)"""
-_SHAPE = f"""{_DECILES}, m AS (SELECT d, avg(ret) AS m, 11 - d AS s FROM b GROUP BY d), top AS (SELECT {_corr('s', 'm')} AS mono, arg_max(d, (m, -d)) AS best, max(CASE WHEN d = 1 THEN m END) AS d1, max(CASE WHEN d = 10 THEN m END) AS d10 FROM m),
-spread AS (SELECT stddev_pop(s) AS sd_spread, count(s) AS periods FROM (SELECT max(CASE WHEN d = 1 THEN ret END) - max(CASE WHEN d = 10 THEN ret END) AS s FROM b GROUP BY t))
-SELECT {r('mono')} AS mono, CAST(best AS BIGINT) AS best, {r('CASE WHEN mono IS NOT NULL THEN least(greatest(mono, 0), 1) * CASE WHEN best = 1 THEN 1 ELSE 0.5 END END')} AS shape_pos, {r('d1')} AS d1, {r('d10')} AS d10, {r('sd_spread')} AS sd_spread, periods FROM top, spread"""
+_DECILES = f"""{base_sql()}, q0 AS (SELECT sym, t, r, {ordinal('f')} AS x FROM base WHERE t % 5 = 0), q1 AS (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM q0 WHERE x IS NOT NULL AND r IS NOT NULL),
+q AS (SELECT sym, t, r, least(floor((1 - x) * 10), 9) + 1 AS d FROM q1 WHERE n >= 30), b AS (SELECT t, d, avg(r) AS ret FROM q GROUP BY ALL HAVING count(*) >= 2)"""
+_sd = lambda x, t: f"(SELECT CASE WHEN count({x}) >= 5 THEN stddev_pop({x}) END FROM {t})"
+_SHAPE_ROW = f"""{_DECILES}, m AS (SELECT d, avg(ret) AS m FROM b GROUP BY d), f20 AS (SELECT t, CASE WHEN count(*) >= 4 THEN avg(r) END AS x FROM q WHERE d <= 2 GROUP BY t),
+sp AS (SELECT t, max(ret) FILTER (WHERE d = 1) AS x, max(ret) FILTER (WHERE d = 1) - max(ret) FILTER (WHERE d = 10) AS s FROM b GROUP BY t),
+ones AS (SELECT t, list(sym) AS names FROM q WHERE d = 1 GROUP BY t), chain AS (SELECT names, lag(names) OVER (ORDER BY t) AS old FROM ones),
+jac AS (SELECT 1 - avg(len(list_intersect(names, old)) / len(list_distinct(list_concat(names, old)))::DOUBLE) AS turn_top FROM chain WHERE old IS NOT NULL),
+shape AS (SELECT (SELECT CASE WHEN count(*) = 10 THEN corr(11 - d, m) END FROM m) AS mono, (SELECT d FROM m ORDER BY m DESC, d LIMIT 1) AS best, (SELECT m FROM m WHERE d = 1) AS d1, (SELECT m FROM m WHERE d = 10) AS d10,
+  {_sd('x', 'sp')} AS sd_top, {_sd('s', 'sp')} AS sd_spread, (SELECT avg(x) FROM f20) AS top20, {_sd('x', 'f20')} AS sd_top20, (SELECT turn_top FROM jac) AS turn_top, (SELECT count(DISTINCT t) FROM q) AS periods)"""
+_SHAPE = f"""{_SHAPE_ROW}
+SELECT CAST(best AS BIGINT) AS best, periods, {', '.join(f'{r(c)} AS {c}' for c in ('mono', 'd1', 'd10', 'sd_top', 'sd_spread', 'top20', 'sd_top20', 'turn_top'))},
+  {r('CASE WHEN mono < 0 THEN 0 WHEN mono IS NOT NULL THEN mono * CASE WHEN best = 1 THEN 1 ELSE 0.5 END END')} AS shape_pos FROM shape"""
 
 
 def decile_periods(spark, sf_dir):
@@ -134,48 +144,54 @@ def _per(spark, sf_dir, **more):
     return bt.periods(_traded(spark, sf_dir, **flags), least=30, least_top=2, least_pool=20, **more)
 
 
-def _trades_sql(delay: bool = True, ban: bool = True) -> str:
-    sell = f"lead(ns, 6) {_LEAD}" if delay else f"CASE WHEN lead(t, 6) {_LEAD} IS NOT NULL THEN t + 6 END"
-    ok = "can AND" if ban else ""
-    return f"""{base_sql()}, lim2 AS (
-  SELECT *, close IS NOT NULL AND NOT coalesce(close >= pc * 1.5 - 1e-9, false) AS buyable, CASE WHEN close IS NOT NULL AND NOT coalesce(close <= pc * 0.5 + 1e-9, false) THEN t END AS st
-  FROM (SELECT *, lag(close) {_LEAD} AS pc FROM base)
-), nx AS (SELECT *, coalesce(min(st) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(t) OVER (PARTITION BY sym)) AS ns FROM lim2),
-bs AS (SELECT *, lead(close, 1) {_LEAD} AS buy, lead(buyable, 1) {_LEAD} AS can, {sell} AS sell_at FROM nx),
-tr AS (SELECT b.*, CASE WHEN {ok} b.buy IS NOT NULL AND p.close IS NOT NULL AND b.buy > 0 THEN p.close / b.buy - 1 END AS ret FROM bs b LEFT JOIN base p ON p.sym = b.sym AND p.t = b.sell_at)"""
+def _trades_sql(delay: bool = True, ban: bool = True, step: int = 5, limit: float = _LIMIT) -> str:
+    sell = f"lead(ns, {step + 1}) {_LEAD}" if delay else f"lead(t, {step + 1}) {_LEAD}"
+    can = f"coalesce(lead(buyable, 1) {_LEAD}, false)" if ban else "true"
+    return f"""{base_sql(fwd=step)}, priced AS (SELECT *, lag(close) {_LEAD} AS pc, coalesce(close > 0, false) AND coalesce(turnover > 0, false) AS traded FROM base),
+open_ AS (SELECT *, traded AND (pc IS NULL OR close < pc * {1 + limit} - 1e-6) AS buyable, CASE WHEN traded AND (pc IS NULL OR close > pc * {1 - limit} + 1e-6) THEN t END AS st FROM priced),
+nx AS (SELECT *, coalesce(min(st) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(t) OVER (PARTITION BY sym)) AS ns FROM open_),
+bs AS (SELECT *, lead(close, 1) {_LEAD} AS buy, lead(mktcap, 1) {_LEAD} AS cap, {can} AS may, {sell} AS sell_at FROM nx),
+tr AS (SELECT b.* EXCLUDE (may), b.may AND b.sell_at IS NOT NULL AS can, CASE WHEN b.may AND b.buy > 0 THEN p.close / b.buy - 1 END AS ret FROM bs b LEFT JOIN base p ON p.sym = b.sym AND p.t = b.sell_at)"""
 
 
-def _per_sql(delay: bool = True, ban: bool = True, by_pct: bool = False, cost: float = 0.004) -> str:
+def _per_sql(delay: bool = True, ban: bool = True, by_pct: bool = False, cost: float = 0.004, actual: bool = False, cash: float = 1.0, step: int = 5) -> str:
     n = "count(f) OVER (PARTITION BY t)"
     top = f"{pct('f')} > 0.9" if by_pct else f"greatest(ceil(({place('f')} - 1) * 10 / greatest({n} - 1, 1)::DOUBLE) - 1, 0) = 9"
-    return f"""{_trades_sql(delay, ban)}, p0 AS (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM tr WHERE t % 5 = 0 AND f IS NOT NULL),
-p1 AS (SELECT *, {top} AS top FROM p0 WHERE n >= 30), p2 AS (SELECT *, top AND coalesce(lag(t) OVER (PARTITION BY sym, top ORDER BY t) = t - 5, false) AS kept FROM p1),
-p3 AS (
-  SELECT t, any_value(date) AS date, count(CASE WHEN top THEN 1 END) AS n_top, count(CASE WHEN kept THEN 1 END) AS n_kept, count(CASE WHEN top THEN ret END) AS n_top_traded, count(ret) AS n_pool,
-         avg(CASE WHEN top THEN ret END) AS top_ret, avg(ret) AS pool_ret,
-         sum(CASE WHEN mktcap IS NOT NULL AND ret IS NOT NULL THEN mktcap * ret END) / sum(CASE WHEN mktcap IS NOT NULL AND ret IS NOT NULL THEN mktcap END) AS pool_ret_w
-  FROM p2 GROUP BY t
-), p4 AS (SELECT *, coalesce(1 - n_kept / (lag(n_top) OVER (ORDER BY t))::DOUBLE, 1.0) AS turn FROM p3),
-per AS (SELECT *, top_ret - turn * {cost} AS net, top_ret - turn * {cost} - pool_ret AS excess FROM p4 WHERE n_top_traded >= 2 AND n_pool >= 20)"""
-
-
-_PER_INTS = ("t", "n_top", "n_kept", "n_top_traded", "n_pool")
+    held = "top AND can" if actual else "top"
+    return f"""{_trades_sql(delay, ban, step)}, p0 AS (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM tr WHERE t % {step} = 0 AND f IS NOT NULL),
+p1 AS (SELECT *, {top} AS top FROM p0 WHERE n >= 30),
+sums AS (
+  SELECT t, any_value(date) AS date, count(*) FILTER (WHERE top) AS n_top, count(*) FILTER (WHERE {held}) AS n_held, count(*) FILTER (WHERE top AND can) AS n_top_can, count(*) FILTER (WHERE can) AS n_can,
+         avg(ret) FILTER (WHERE top) AS top_ret, avg(ret) AS pool_ret, sum(cap * ret) / sum(cap) FILTER (WHERE ret IS NOT NULL) AS pool_ret_w
+  FROM p1 GROUP BY t
+), taken AS (SELECT *, lag(t) OVER (ORDER BY t) AS before, lag(n_held) OVER (ORDER BY t) AS n_before FROM sums WHERE n_top_can >= 2 AND n_can >= 20 AND top_ret IS NOT NULL AND pool_ret IS NOT NULL),
+stay AS (SELECT k.t, count(*) AS n_kept FROM taken k JOIN p1 x ON x.t = k.t AND ({held.replace('top', 'x.top').replace('can', 'x.can')}) JOIN p1 y ON y.sym = x.sym AND y.t = k.before AND ({held.replace('top', 'y.top').replace('can', 'y.can')}) GROUP BY k.t),
+turned AS (SELECT k.* EXCLUDE (before, n_before), coalesce(n_kept, 0) AS n_kept, CASE WHEN before IS NULL THEN 1.0 ELSE 1 - coalesce(n_kept, 0) / n_before::DOUBLE END AS turn FROM taken k LEFT JOIN stay s ON s.t = k.t),
+per AS (SELECT *, top_ret * {cash} - turn * {cost} AS net, pool_ret * {cash} AS market, pool_ret_w * {cash} AS market_w, top_ret * {cash} - turn * {cost} - pool_ret * {cash} AS excess, top_ret * {cash} - turn * {cost} - pool_ret_w * {cash} AS excess_w FROM turned)"""
+
+
+_PER_INTS = ("t", "n_top", "n_kept", "n_top_can", "n_can")
 _PER_FLOATS = ("top_ret", "pool_ret", "pool_ret_w", "turn", "net", "excess")
 
 
-def _periods(delay: bool = True, ban: bool = True, by_pct: bool = False):
+def _periods(delay: bool = True, ban: bool = True, by_pct: bool = False, actual: bool = False, cash: float = 1.0):
     def run(spark, sf_dir):
-        return _shown(_per(spark, sf_dir, delay=delay, ban=ban, by_pct=by_pct, weight="mktcap"), _PER_FLOATS, _PER_INTS)
+        return _shown(_per(spark, sf_dir, delay=delay, ban=ban, by_pct=by_pct, weight="cap", actual=actual, cash=cash), _PER_FLOATS, _PER_INTS)
+
+    return run, f"{_per_sql(delay, ban, by_pct, actual=actual, cash=cash)}\nSELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _PER_INTS)}, {', '.join(f'{r(c)} AS {c}' for c in _PER_FLOATS)} FROM per"
+
 
-    return run, f"{_per_sql(delay, ban, by_pct)}\nSELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _PER_INTS)}, {', '.join(f'{r(c)} AS {c}' for c in _PER_FLOATS)} FROM per"
+def _stream_sql(name: str, source: str, col: str, order: str, years: str, per_year: str) -> str:
+    """CTEs that end in ``name``: one row n, ann, dd, calmar, sharpe of the stream ``col`` of ``source``."""
+    run = f"OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    return f"""{name}_v AS (SELECT {col} AS x, {order}, exp(sum(ln(1 + {col})) {run}) AS v FROM {source}), {name}_d AS (SELECT x, v, v / max(v) {run} - 1 AS d, row_number() OVER (ORDER BY {order} DESC) AS back FROM {name}_v),
+{name}_s AS (SELECT count(*) AS n, max(v) FILTER (WHERE back = 1) AS fin, min(d) AS dd, avg(x) AS m, stddev_samp(x) AS sd FROM {name}_d),
+{name} AS (SELECT n, pow(fin, 1 / ({years})::DOUBLE) - 1 AS ann, dd, CASE WHEN dd < 0 THEN (pow(fin, 1 / ({years})::DOUBLE) - 1) / -dd END AS calmar, CASE WHEN sd > 1e-12 THEN m / sd * sqrt({per_year}) END AS sharpe FROM {name}_s)"""
 
 
-def _metrics_sql(per: str, col: str = "excess") -> str:
-    order = "OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"""{per}, n1 AS (SELECT *, exp(sum(ln(1 + {col})) {order}) AS nav FROM per WHERE {col} IS NOT NULL), n2 AS (SELECT *, nav / greatest(1.0, max(nav) {order}) - 1 AS dd FROM n1),
-n3 AS (SELECT count(*) AS periods, exp(sum(ln(1 + {col}))) AS fin, min(dd) AS dd, avg({col}) AS mean, stddev_samp({col}) AS sd, avg(turn) AS turn FROM n2),
-n4 AS (SELECT *, pow(fin, 1 / (periods * 5 / 243.0::DOUBLE)) - 1 AS ann_ex FROM n3)
-SELECT periods, {r('ann_ex')} AS ann_ex, {r('dd')} AS dd, {r('CASE WHEN abs(dd) > 1e-9 THEN ann_ex / abs(dd) END')} AS calmar, {r('CASE WHEN sd > 1e-12 THEN mean / sd * sqrt(243 / 5.0::DOUBLE) END')} AS sharpe, {r('turn')} AS turn FROM n4"""
+def _metrics_sql(per: str, col: str = "excess", step: int = 5) -> str:
+    return f"""{per}, {_stream_sql('figures', 'per', col, 't', f'n * {step} / 243.0', f'243.0 / {step}')}
+SELECT n AS periods, {r('ann')} AS ann_ex, {r('dd')} AS dd, {r('calmar')} AS calmar, {r('sharpe')} AS sharpe, {r('(SELECT avg(turn) FROM per)')} AS turn FROM figures"""
 
 
 def metrics(spark, sf_dir):
@@ -187,14 +203,11 @@ def nav_path(spark, sf_dir):
 
 
 _ORDER = "OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-_PATH = f"{_per_sql()}, n1 AS (SELECT *, exp(sum(ln(1 + excess)) {_ORDER}) AS nav FROM per)\nSELECT CAST(t AS BIGINT) AS t, {r('nav')} AS nav, {r(f'nav / greatest(1.0, max(nav) {_ORDER}) - 1')} AS drawdown FROM n1"
+_PATH = f"{_per_sql()}, n1 AS (SELECT *, exp(sum(ln(1 + excess)) {_ORDER}) AS nav FROM per)\nSELECT CAST(t AS BIGINT) AS t, {r('nav')} AS nav, {r(f'nav / max(nav) {_ORDER} - 1')} AS drawdown FROM n1"
 
 
 def yearly(spark, sf_dir):
-    rows = _traded(spark, sf_dir)
-    per = bt.periods(rows, least=30, least_top=2, least_pool=20)
-    dates = rows.select(T, "date").distinct()
-    return _shown(bt.yearly(per.join(dates, T)), ("excess",), ("year", "periods"))
+    return _shown(bt.yearly(_per(spark, sf_dir)), ("excess",), ("year", "periods"))
 
 
 _YEARLY = f"{_per_sql()}\nSELECT CAST(date // 100 AS BIGINT) AS year, {r('exp(sum(ln(1 + excess))) - 1')} AS excess, count(*) AS periods FROM per GROUP BY 1"
@@ -207,21 +220,43 @@ def segments(spark, sf_dir):
 _SEGMENTS = f"{_per_sql()}, s AS (SELECT *, ntile(3) OVER (ORDER BY t) AS segment FROM per)\nSELECT CAST(segment AS BIGINT) AS segment, {r('exp(sum(ln(1 + excess))) - 1')} AS excess, count(*) AS periods FROM s GROUP BY segment"
 
 
-def daily_marks(spark, sf_dir):
-    from ..functions import cs
-
+def _marked(spark, sf_dir):
     rows = _traded(spark, sf_dir)
     per = bt.periods(rows, least=30, least_top=2, least_pool=20)
-    members = ev.on_grid(rows).where("f is not null").select(SYM, T, (cs.bucket_qcut(F.col("f")) == 9).alias("top"))
-    return _shown(bt.daily_marks(rows, per, members), ("raw", "mark", "excess"), (T, "day"))
+    return bt.daily_marks(rows, per, bt.chosen(rows, least=30))
+
+
+def daily_marks(spark, sf_dir):
+    return _shown(_marked(spark, sf_dir), ("raw", "mark", "own", "excess"), (T, "day"))
+
+
+_MARK_ROWS = f"""{_per_sql()}, d AS (SELECT sym, t AS day, close / lag(close) {_LEAD} - 1 AS dret FROM base),
+a AS (SELECT p.t, d.day, avg(dret) FILTER (WHERE top) AS mt, avg(dret) AS mm FROM p1 p JOIN per ON per.t = p.t JOIN d ON d.sym = p.sym AND d.day BETWEEN p.t + 2 AND p.t + 6 WHERE can GROUP BY ALL),
+b AS (SELECT a.t, a.day, excess, net, mt - mm - CASE WHEN a.day = min(a.day) OVER (PARTITION BY a.t) THEN turn * 0.004 ELSE 0 END AS raw, mt - CASE WHEN a.day = min(a.day) OVER (PARTITION BY a.t) THEN turn * 0.004 ELSE 0 END AS raw_own FROM a JOIN per ON per.t = a.t WHERE mt IS NOT NULL AND mm IS NOT NULL),
+g AS (SELECT t, pow((1 + any_value(excess)) / product(1 + raw), 1 / count(*)::DOUBLE) AS q, pow((1 + any_value(net)) / product(1 + raw_own), 1 / count(*)::DOUBLE) AS q_own FROM b GROUP BY t),
+marks AS (SELECT b.*, (1 + raw) * q - 1 AS mark, (1 + raw_own) * q_own - 1 AS own FROM b JOIN g ON g.t = b.t)"""
+_MARKS = f"{_MARK_ROWS}\nSELECT CAST(t AS BIGINT) AS t, CAST(day AS BIGINT) AS day, {r('raw')} AS raw, {r('mark')} AS mark, {r('own')} AS own, {r('excess')} AS excess FROM marks"
+
+_RECORD = ("ann_top", "dd_top", "calmar_top", "sharpe_top", "ann_mkt", "ann_ex", "dd", "calmar", "sharpe", "turn", "ann_ex_cw", "dd_cw", "calmar_cw", "sharpe_cw", "tilt", "ann_mkt_cw", "last_yr", "last2_yr", "dd_d", "sharpe_d", "dd_top_d", "sharpe_top_d", "calmar_d", "calmar_top_d")
+
+
+def record(spark, sf_dir):
+    out = bt.record(_traded(spark, sf_dir), least_periods=10, least=30, least_top=2, least_pool=20)
+    return _shown(out, _RECORD, ("periods", "bad_years"))
 
 
-_MARKS = f"""{_per_sql()}, d AS (SELECT sym, t AS day, close / lag(close) {_LEAD} - 1 AS dret FROM base),
-h AS (SELECT p1.sym, p1.top, p1.t, p1.t + j AS day FROM p1 CROSS JOIN range(2, 7) x(j)),
-a AS (SELECT h.t, h.day, avg(CASE WHEN top THEN dret END) - avg(dret) AS raw FROM h JOIN d ON d.sym = h.sym AND d.day = h.day GROUP BY ALL),
-b AS (SELECT a.*, per.excess FROM a JOIN per ON per.t = a.t WHERE raw IS NOT NULL),
-c AS (SELECT *, exp(ln(1 + raw) + (ln(1 + excess) - sum(ln(1 + raw)) OVER (PARTITION BY t)) / count(*) OVER (PARTITION BY t)) - 1 AS mark FROM b)
-SELECT CAST(t AS BIGINT) AS t, CAST(day AS BIGINT) AS day, {r('raw')} AS raw, {r('mark')} AS mark, {r('excess')} AS excess FROM c"""
+def _record_sql() -> str:
+    years, per_year = "n * 5 / 243.0", "243 / 5.0"
+    streams = ", ".join(_stream_sql(k, "per", c, "t", years, per_year) for k, c in (("e", "excess"), ("o", "net"), ("m", "market"), ("w", "excess_w"), ("mw", "market_w")))
+    days = ", ".join(_stream_sql(k, "marks", c, "day", "n / 243.0", "243.0") for k, c in (("de", "mark"), ("dn", "own")))
+    cols = {
+        "ann_top": "o.ann", "dd_top": "o.dd", "calmar_top": "o.calmar", "sharpe_top": "o.sharpe", "ann_mkt": "m.ann", "ann_ex": "e.ann", "dd": "e.dd", "calmar": "e.calmar", "sharpe": "e.sharpe", "turn": "(SELECT avg(turn) FROM per)",
+        "ann_ex_cw": "w.ann", "dd_cw": "w.dd", "calmar_cw": "w.calmar", "sharpe_cw": "w.sharpe", "tilt": "w.ann - e.ann", "ann_mkt_cw": "mw.ann",
+        "last_yr": "(SELECT arg_max(x, y) FROM yr)", "last2_yr": "(SELECT coalesce(max(x) FILTER (WHERE k = 2), max(x) FILTER (WHERE k = 1)) FROM (SELECT x, row_number() OVER (ORDER BY y DESC) AS k FROM yr))",
+        "dd_d": "de.dd", "sharpe_d": "de.sharpe", "dd_top_d": "dn.dd", "sharpe_top_d": "dn.sharpe", "calmar_d": "CASE WHEN de.dd < 0 THEN e.ann / -de.dd END", "calmar_top_d": "CASE WHEN dn.dd < 0 THEN o.ann / -dn.dd END",
+    }
+    return f"""{_MARK_ROWS}, {streams}, {days}, yr AS (SELECT date // 100 AS y, product(1 + excess) - 1 AS x FROM per GROUP BY 1)
+SELECT e.n AS periods, (SELECT count(*) FROM yr WHERE x <= -0.02) AS bad_years, {', '.join(f'{r(v)} AS {k}' for k, v in cols.items())} FROM e, o, m, w, mw, de, dn"""
 
 
 def tradability(spark, sf_dir):
@@ -230,7 +265,7 @@ def tradability(spark, sf_dir):
 
 
 _TRADABLE = f"""{_trades_sql()}
-SELECT sym, CAST(t AS BIGINT) AS t, buyable, CAST(ns AS BIGINT) AS next_sell, min(st) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) IS NULL AS never_sold FROM nx"""
+SELECT sym, CAST(t AS BIGINT) AS t, buyable, CAST(ns AS BIGINT) AS next_sell, NOT EXISTS (SELECT 1 FROM open_ o WHERE o.sym = nx.sym AND o.st >= nx.t) AS never_sold FROM nx"""
 
 QUERIES = {
     "ic_daily": (ic_daily, f"{_IC_ROWS}\nSELECT CAST(t AS BIGINT) AS t, n, {r('ic')} AS ic FROM days"),
@@ -247,6 +282,8 @@ QUERIES = {
     "backtest_no_delay": _periods(delay=False),
     "backtest_no_ban": _periods(ban=False),
     "backtest_pct_top": _periods(by_pct=True),
+    "backtest_held_turnover": _periods(by_pct=True, actual=True, cash=0.95),
+    "backtest_record": (record, _record_sql()),
     "backtest_metrics": (metrics, _metrics_sql(_per_sql())),
     "nav_path": (nav_path, _PATH),
     "yearly_excess": (yearly, _YEARLY),

@@ -42,8 +42,8 @@ def trailing_year(spark, sf_dir):
     return out.select(SYM, "quarter", rounded(F.col("ttm"), 2).alias("ttm"))
 
 
-_TTM = f"""{_REPORTS} SELECT a.sym, a.quarter, {r('CASE WHEN a.quarter % 4 = 3 THEN a.sales ELSE a.sales + y.sales - b.sales END', 2)} AS ttm
-FROM reports a LEFT JOIN reports b ON b.sym = a.sym AND b.quarter = a.quarter - 4 LEFT JOIN reports y ON y.sym = a.sym AND y.quarter % 4 = 3 AND y.quarter // 4 = a.quarter // 4 - 1"""
+_TTM = f"""{_REPORTS} SELECT a.sym, a.quarter, {r('a.sales + (SELECT y.sales FROM reports y WHERE y.sym = a.sym AND y.quarter = (a.quarter // 4) * 4 - 1) - (SELECT b.sales FROM reports b WHERE b.sym = a.sym AND b.quarter = a.quarter - 4)', 2)} AS ttm
+FROM reports a"""
 
 
 def event_bars(spark, sf_dir):

@@ -100,9 +100,9 @@ def trailing_year(reports: DataFrame, item: str) -> DataFrame:
     q = F.col("quarter")
     own = reports.select(SYM, "quarter", F.col(item).alias("ytd"))
     back = own.select(SYM, (q + 4).alias("quarter"), F.col("ytd").alias("ytd_back"))
-    annual = own.where(q % 4 == 3).select(SYM, F.floor(q / 4).alias("year"), F.col("ytd").alias("annual"))
-    joined = own.join(back, [SYM, "quarter"], "left").withColumn("year", F.floor(q / 4) - 1).join(annual, [SYM, "year"], "left")
-    return joined.select(SYM, "quarter", F.when(q % 4 == 3, F.col("ytd")).otherwise(F.col("ytd") + F.col("annual") - F.col("ytd_back")).alias("ttm"))
+    annual = own.where(q % 4 == 3).select(SYM, q.alias("year_end"), F.col("ytd").alias("annual"))
+    joined = own.withColumn("year_end", q - q % 4 - 1).join(back, [SYM, "quarter"], "left").join(annual, [SYM, "year_end"], "left")
+    return joined.select(SYM, "quarter", (F.col("ytd") + F.col("annual") - F.col("ytd_back")).alias("ttm"))
 
 
 class StalePanel(RuntimeError):

@@ -14,7 +14,7 @@ from stratapanel.operators import backtest as bt
 from stratapanel.operators import combination as cb
 from stratapanel.operators import control
 from stratapanel.operators import evaluation as ev
-from stratapanel.plans import registry, search
+from stratapanel.plans import registry
 from stratapanel.plans.compiler import evaluate
 from stratapanel.plans.expr import ExpressionError, Node, from_json, is_style_combination, parse, review, skeleton, to_json
 from stratapanel.sources import store
@@ -77,12 +77,50 @@ def test_rank_and_correlation_against_loops(spark):
             if ok.sum() >= 5:
                 corr[t, s] = np.corrcoef(v[ok], u[ok])[0, 1]
     np.testing.assert_allclose(got, want, atol=1e-12)
-    np.testing.assert_allclose(back(frame.withColumn("c", ts.ts_corr(F.col("x"), F.col("y"), 10)), "c", x.shape), corr, atol=1e-9)
+    np.testing.assert_allclose(back(ts.correlations(frame, "x", "y", 10, "c"), "c", x.shape), corr, atol=1e-9)
+
+
+def test_long_windows_against_loops(spark):
+    x, y = walk(21, 260, 2, 0.03) + 100, walk(22, 260, 2, 0.03)
+    frame = panel(spark, x, "close").join(panel(spark, y, "open"), ["sym", "t"])
+    texts = {k: parse(f"{k}(close)") for k in ("ts_mean200", "ts_std200", "ts_rank200", "ts_delta120", "ts_mean150", "ts_std100", "ts_max100", "ts_slope60", "ts_rsqr60", "ts_resi60")}
+    got = evaluate(frame, texts | {f"corr{w}": parse(f"corr{w}(close, open)") for w in (100, 200)}).cache()
+    np.testing.assert_allclose(back(got, "ts_mean200", x.shape), rolling(x, 200, np.mean, 100), atol=1e-9)
+    np.testing.assert_allclose(back(got, "ts_mean150", x.shape), rolling(x, 150, np.mean, 75), atol=1e-9)
+    np.testing.assert_allclose(back(got, "ts_std200", x.shape), rolling(x, 200, np.std, 100), atol=1e-9)
+    np.testing.assert_allclose(back(got, "ts_std100", x.shape), rolling(x, 100, np.std, 50), atol=1e-9)
+    np.testing.assert_allclose(back(got, "ts_max100", x.shape), rolling(x, 100, np.max, 50), atol=1e-9)
+    delta = np.full(x.shape, np.nan)
+    delta[120:] = x[120:] - x[:-120]
+    np.testing.assert_allclose(back(got, "ts_delta120", x.shape), delta, atol=1e-9)
+    rank, fits = np.full(x.shape, np.nan), {k: np.full(x.shape, np.nan) for k in ("slope", "rsqr", "resi")}
+    corr = {w: np.full(x.shape, np.nan) for w in (100, 200)}
+    for s in range(2):
+        for t in range(260):
+            seen = x[max(0, t - 199) : t + 1, s]
+            seen = seen[~np.isnan(seen)]
+            if not np.isnan(x[t, s]) and len(seen) >= 100:
+                rank[t, s] = (seen < x[t, s]).sum() / (len(seen) - 1)
+            v = x[max(0, t - 59) : t + 1, s]
+            if len(v) == 60 and not np.isnan(v).any():
+                slope, level = np.polyfit(np.arange(60), v, 1)
+                left = v - (level + slope * np.arange(60))
+                fits["slope"][t, s], fits["resi"][t, s], fits["rsqr"][t, s] = slope, left[-1], 1 - (left**2).sum() / ((v - v.mean()) ** 2).sum()
+            for w in corr:
+                a, b = x[max(0, t - w + 1) : t + 1, s], y[max(0, t - w + 1) : t + 1, s]
+                ok = ~np.isnan(a) & ~np.isnan(b)
+                if ok.sum() >= w // 2:
+                    corr[w][t, s] = np.corrcoef(a[ok], b[ok])[0, 1]
+    np.testing.assert_allclose(back(got, "ts_rank200", x.shape), rank, atol=1e-12)
+    for k, want in fits.items():
+        np.testing.assert_allclose(back(got, f"ts_{k}60", x.shape), want, atol=1e-8)
+    for w, want in corr.items():
+        np.testing.assert_allclose(back(got, f"corr{w}", x.shape), want, atol=1e-9)
 
 
 def test_line_has_slope_and_flat_has_no_r2(spark):
     x = np.column_stack([50 + 0.7 * np.arange(80), np.full(80, 7.0), -0.7 * np.arange(80)])
-    frame = panel(spark, x).withColumns({"a": ts.ts_slope(F.col("x"), 20), "b": ts.ts_rsqr(F.col("x"), 20), "c": ts.ts_resi(F.col("x"), 20)})
+    frame = ts.regressions(panel(spark, x), "x", 20, {"slope": "a", "rsqr": "b", "resi": "c"})
     a, b, c = (back(frame, k, x.shape) for k in "abc")
     assert np.isnan(a[:19]).all()
     np.testing.assert_allclose(a[19:, 0], 0.7, atol=1e-9)
@@ -119,7 +157,7 @@ def test_one_gap_and_causality(spark):
     x = walk(5, 200, 2, 0.0)
     gap = x.copy()
     gap[100, 0] = np.nan
-    slope = back(panel(spark, gap).withColumn("y", ts.ts_slope(F.col("x"), 20)), "y", x.shape)[:, 0]
+    slope = back(ts.regressions(panel(spark, gap), "x", 20, {"slope": "y"}), "y", x.shape)[:, 0]
     assert np.isnan(slope[100:120]).all() and not np.isnan(slope[120:]).any()
     later = x.copy()
     later[120:] += 5
@@ -178,7 +216,7 @@ def test_ic_of_a_factor_with_itself(spark):
 def test_backtest_identities(spark):
     f, close, frame = rows_of(spark)
     traded = bt.trades(frame, limit=0.9)
-    per = bt.periods(traded, weight="mktcap").cache()
+    per = bt.periods(traded, weight="cap").cache()
     got = {r["t"]: r for r in per.collect()}
     for t in range(0, 70, 5):
         ret = close[t + 6] / close[t + 1] - 1
@@ -188,13 +226,12 @@ def test_backtest_identities(spark):
         if t:
             before = f[t - 5] >= np.sort(f[t - 5])[-13]
             assert abs(got[t]["turn"] - (1 - (top & before).sum() / 13)) < 1e-12
-    members = ev.on_grid(frame).select("sym", "t", (cs.bucket_qcut(F.col("f")) == 9).alias("top"))
-    marks = bt.daily_marks(frame, per, members).toPandas()
+    marks = bt.daily_marks(frame, per, bt.chosen(traded)).toPandas()
     for t, g in marks.groupby("t"):
-        assert abs(np.prod(1 + g["mark"]) - 1 - got[t]["excess"]) < 1e-9
+        assert abs(np.prod(1 + g["mark"]) - 1 - got[t]["excess"]) < 1e-9 and abs(np.prod(1 + g["own"]) - 1 - got[t]["net"]) < 1e-9
     m = bt.metrics(per).head()
     nav = np.cumprod([1 + got[t]["excess"] for t in sorted(got)])
-    assert abs(m["dd"] - (nav / np.maximum.accumulate(np.maximum(nav, 1.0)) - 1).min()) < 1e-9
+    assert abs(m["dd"] - (nav / np.maximum.accumulate(nav) - 1).min()) < 1e-9
     assert abs(m["ann_ex"] - (nav[-1] ** (243 / (5 * len(nav))) - 1)) < 1e-9
 
 
@@ -227,8 +264,14 @@ def test_as_of(spark):
 
 def test_gates(spark):
     rows = [(a, b, c) for a in (True, False, None) for b in (True, False, None) for c in (True, False, None)]
-    for r in spark.createDataFrame(rows, "a boolean, b boolean, c boolean").select("a", "b", "c", control.combined(F.col("a"), [F.col("b")], [F.col("c")]).alias("g")).collect():
-        assert r["g"] == ((r["a"] is True or r["b"] is True) and r["c"] is True)
+    both, either = (control.combined(F.lit(True), F.col("a"), F.col("b"), F.col("c"), either=e) for e in (False, True))
+    for r in spark.createDataFrame(rows, "a boolean, b boolean, c boolean").select("a", "b", "c", both.alias("g"), either.alias("e")).collect():
+        whole, hard = r["a"] is True, r["c"] is True
+        assert r["g"] == (hard and whole and r["b"] is not False) and r["e"] == (hard and (whole or r["b"] is True))
+    grades = spark.createDataFrame([(None, 0.1, None), (0.5, None, None), (0.5, -0.1, 0.0), (-0.1, 0.1, 0.0), (0.2, 0.1, -0.1), (0.3, 0.1, -0.2), (0.3, 0.1, -0.19), (0.3, 0.1, None)], "c double, x double, d double")
+    assert [r[0] for r in grades.select(control.strip_grade(F.col("c"), F.col("x"), F.col("d"))).collect()] == list("DDCCBBAA")
+    held = spark.createDataFrame([(0, 119), (1, 120), (2, 120), (None, 500)], "p int, n int").select(control.segments_hold(F.col("p"), F.col("n")))
+    assert [r[0] for r in held.collect()] == [True, False, True, False]
     got = spark.createDataFrame([(0.5, None), (0.1, 2.0)], "m double, k double").select(control.rule("m >= 0.3 and k < 5").alias("r"), control.pool_gate([F.col("k")], 1.0).alias("p")).collect()
     assert [tuple(r) for r in got] == [(False, None), (False, True)]
     with pytest.raises(ValueError):
@@ -264,22 +307,6 @@ def test_user_operators_and_shared_subtrees(spark):
         del registry.OPERATORS["half"]
 
 
-def test_search_is_deterministic_and_checked(spark):
-    leaves = ["close", "open", "ret", "ln_volume", "turn_ratio", "overnight", "amplitude", "up_shadow", "hl_ratio", "volume"]
-    once, twice = (search.propose(random.Random(3), 40, leaves, [(parse("ts_mean5(ret)"), 1.0), (parse("neg(ts_std20(ret))"), 0.5)], search.Book()) for _ in range(2))
-    assert once == twice and len(set(map(str, once))) == len(once) == 40
-    assert all(review(n) is None and n.size <= 15 for n in once)
-    book = search.Book()
-    shape = skeleton(once[0])
-    assert [book.freeze(shape, g) or book.frozen_until[shape] - g for g in (0, 10, 20, 30)] == [2, 4, 8, 8]
-    assert book.frozen(once[0], 35) and not book.frozen(once[0], 38)
-    w = search.mix_weights({"a": 1.0, "b": 0.0}, {"c": 0.5})
-    assert abs(sum(w.values()) - 1) < 1e-12 and abs(w["b"] - 0.05) < 1e-12
-    x = walk(11, 40, 60, 0.0)
-    out = search.generation(panel(spark, x, "close"), [parse("ts_mean5(close)"), Node("neg", (Node("close"),))], lambda df, names: ev.batch_ic(df.withColumn("r", -F.col("x1")), names))
-    assert {r["factor"]: round(r["ic"], 6) for r in out.collect()}["x1"] == -1.0
-
-
 def test_store(spark, tmp_path):
     x = walk(12)
     values = panel(spark, x, "value")
@@ -314,7 +341,7 @@ def test_raw_files_and_reports(spark, tmp_path):
     assert known == [(5, None, None), (10, None, None), (11, 8000, 1.0), (25, 8001, 3.0), (35, 8001, 3.0), (45, 8001, 4.0)]
     ytd = spark.createDataFrame([(1, 8000 + i, float(10 + i)) for i in range(8)], "sym long, quarter long, rev double")
     ttm = {r["quarter"]: r["ttm"] for r in store.trailing_year(ytd, "rev").collect()}
-    assert ttm[8003] == 13.0 and ttm[8004] == 14.0 + 13.0 - 10.0 and ttm[8000] is None
+    assert ttm[8003] is None and ttm[8007] == 17.0 and ttm[8004] == 14.0 + 13.0 - 10.0 and ttm[8000] is None
 
 
 def test_streaming_bars_and_ema(spark, tmp_path):
@@ -354,12 +381,3 @@ def test_kept_panels_refuse_stale_reads(spark, tmp_path):
     for fingerprint, columns in (("v2", None), ("v1", ["y"])):
         with pytest.raises(store.StalePanel):
             store.open_panel(spark, str(tmp_path), fingerprint, columns)
-
-
-def test_search_state_round_trip():
-    book = search.Book()
-    nodes = search.propose(random.Random(1), 5, ["ret", "close"], [], book)
-    book.record(nodes[0], False)
-    book.freeze(skeleton(nodes[0]), 3)
-    again, scored = search.load_state(search.dump_state(book, [(n, 0.5) for n in nodes]))
-    assert again == book and [n for n, _ in scored] == nodes
