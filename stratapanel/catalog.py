@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registered import across, along, general, reporting, scoring, stores
+from .registered import across, along, general, leafs, portfolios, reporting, scoring, standard, stores
 
-_MODULES = (along, across, scoring, general, reporting, stores)
+_MODULES = (along, across, scoring, general, reporting, stores, leafs, portfolios, standard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

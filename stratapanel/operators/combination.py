@@ -41,18 +41,11 @@ def largest_correlation(pairs: DataFrame) -> DataFrame:
 
 def factor_similarity(ranks: DataFrame, factors: list[str], step: int = 5, least: int = 20) -> DataFrame:
     """Median over rebalancing dates of the absolute correlation of the factors' ordinal ranks, per pair of factors."""
-    grid = ranks.where(F.col(T) % step == 0)
-    r = grid.select(T, *[cs.ordinal_rank(F.col(f)).alias(f) for f in factors])
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
-    aggs = []
-    for a, b in pairs:  # all pairs in one pass: a few sums each, combined in the map tasks
-        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-        den = F.sqrt(F.var_pop(x) * F.var_pop(y))
-        aggs.append(F.when((F.count(x) >= least) & (den > 1e-12), F.try_divide(F.covar_pop(x, y), den)).alias(f"{a}|{b}"))
-    days = r.groupBy(T).agg(*aggs)
-    long = days.select(F.expr("stack({}, {}) as (pair, c)".format(len(pairs), ", ".join(f"'{a}|{b}', `{a}|{b}`" for a, b in pairs))))
-    out = long.groupBy("pair").agg(F.percentile(F.abs("c"), F.lit(0.5)).alias("similarity"), F.count("c").alias("days"))
-    return out.select(F.substring_index("pair", "|", 1).alias("a"), F.substring_index("pair", "|", -1).alias("b"), "similarity", "days")
+    from .portfolios import day_correlations
+
+    grid = ranks.where(F.col(T) % step == 0).select(T, *[cs.ordinal_rank(F.col(f)).alias(f) for f in factors])
+    days = day_correlations(grid, factors, factors, least).where("a < b")
+    return days.groupBy("a", "b").agg(F.percentile(F.abs("c"), F.lit(0.5)).alias("similarity"), F.count("c").alias("days"))
 
 
 def greedy_unlike(scores: list[tuple[str, float]], corr: dict[tuple[str, str], float], most: float, keep: int) -> list[str]:
@@ -75,15 +68,19 @@ def _weighted(rows: DataFrame, factors: list[str], weight: dict[str, Column]) ->
     return rows.withColumn("combo", F.when(bottom > 1e-12, F.try_divide(top, bottom)))
 
 
-def combine_by_ic(ranks: DataFrame, ics: DataFrame, factors: list[str], window: int = 20) -> DataFrame:
-    """Weights are the factors' mean IC over the ``window`` dates before (today's is not known yet), negative ones as 0."""
+def combine_by_ic(ranks: DataFrame, ics: DataFrame, factors: list[str], window: int = 20, least: int = 1) -> DataFrame:
+    """Weights are the factors' mean IC over the ``window`` dates before (today's is not known yet; at least ``least`` dates), negative
+    ones as 0; even weights where none is positive."""
     past = Window.orderBy(T).rowsBetween(-window, -1)
-    weights = ics.select(T, *[F.greatest(F.avg(f).over(past), F.lit(0.0)).alias(f"w_{f}") for f in factors])
-    return _weighted(ranks.join(F.broadcast(weights), T, "left"), factors, {f: F.col(f"w_{f}") for f in factors})
+    mean = lambda f: F.when(F.count(f).over(past) >= least, F.avg(f).over(past))
+    weights = ics.select(T, *[F.greatest(F.coalesce(mean(f), F.lit(0.0)), F.lit(0.0)).alias(f"w_{f}") for f in factors])
+    joined = ranks.join(weights, T, "left")
+    total = sum((F.coalesce(f"w_{f}", F.lit(0.0)) for f in factors), F.lit(0.0))
+    return _weighted(joined, factors, {f: F.when(total > 0, F.col(f"w_{f}")).otherwise(1.0) for f in factors})
 
 
 def constrained(rows: DataFrame, size: int, industry: str, cap: str, score: str) -> DataFrame:
-    """Pick ``size`` names per date with industry quotas in proportion to market value: floors first, the rest by score."""
+    """At most ``size`` names per date: of each industry the best ones, as many as its share of the market value says (rounded), then the best of these."""
     pool = rows.where(f"{score} is not null and {cap} is not null")
     share = F.try_divide(F.sum(cap).over(cs.section(industry)), F.sum(cap).over(cs.section()))
     pool = pool.withColumn("quota", F.round(share * size))
@@ -93,31 +90,6 @@ def constrained(rows: DataFrame, size: int, industry: str, cap: str, score: str)
     return picked.where(F.col("overall") <= size).select(SYM, T, industry, score, "quota", "place")
 
 
-def buffered(rows: DataFrame, size: int, buffer: float, score: str, step: int = 5) -> DataFrame:
-    """Holdings with a buffer: names held stay while they rank within size * (1 + buffer); the best newcomers fill up.
-
-    Each date's picks depend on the last date's, so this is a loop over dates per pool; the loop runs on the names that can
-    matter only, those within the buffer, grouped under one key per pool.
-    """
-    import pandas as pd
-
-    wide = int(size * (1 + buffer))
-    grid = rows.where((F.col(T) % step == 0) & F.col(score).isNotNull())
-    grid = grid.withColumn("place", F.row_number().over(cs.section().orderBy(F.col(score).desc(), F.col(SYM)))).where(F.col("place") <= wide)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: set = set()
-        out = []
-        for t, day in pdf.sort_values([T, "place"]).groupby(T):
-            stay = [s for s in day[SYM] if s in held][:size]
-            new = [s for s in day[SYM] if s not in held][: size - len(stay)]
-            out += [(s, t, s in held) for s in stay + new]
-            held = set(stay) | set(new)
-        return pd.DataFrame(out, columns=[SYM, T, "stayed"])
-
-    return grid.select(SYM, T, "place", F.lit(0).alias("pool")).groupBy("pool").applyInPandas(lambda pdf: walk(pdf), f"{SYM} long, {T} long, stayed boolean")
-
-
 # Point-in-time joins.
 
 

@@ -61,15 +61,15 @@ def _columns(cols: Callable[[], dict], sql: dict, ints: tuple[str, ...] = ()):
     return run, f"{base_sql()}, ranked AS (SELECT *, {pct('f')} AS pct FROM base)\nSELECT sym, CAST(t AS BIGINT) AS t, {shown} FROM ranked"
 
 
-def _neutral_two():
+def _neutral_two(z1: str = "ln_mktcap", z2: str = "ln_volume"):
     def run(spark, sf_dir):
-        frame = ev.neutralised(base_rows(spark, sf_dir), "f", "ln_mktcap", "ln_volume", "neutral", least=30)
+        frame = ev.neutralised(base_rows(spark, sf_dir), "f", z1, z2, "neutral", least=30)
         return frame.select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("neutral")).alias("neutral"))
 
-    both = "f IS NOT NULL AND ln_mktcap IS NOT NULL AND ln_volume IS NOT NULL"
+    both = f"f IS NOT NULL AND {z1} IS NOT NULL AND {z2} IS NOT NULL"
     w = "OVER (PARTITION BY t)"
     return run, f"""{base_sql()}, s AS (
-  SELECT sym, t, CASE WHEN {both} THEN f END AS a, CASE WHEN {both} THEN ln_mktcap END AS b, CASE WHEN {both} THEN ln_volume END AS c FROM base
+  SELECT sym, t, CASE WHEN {both} THEN f END AS a, CASE WHEN {both} THEN {z1} END AS b, CASE WHEN {both} THEN {z2} END AS c FROM base
 ), k AS (SELECT sym, t, count(a) {w} AS n, {ordinal('a')} AS y, {ordinal('b')} AS x1, {ordinal('c')} AS x2 FROM s),
 m AS (SELECT *, var_pop(x1) {w} AS s11, var_pop(x2) {w} AS s22, covar_pop(x1, x2) {w} AS s12, covar_pop(y, x1) {w} AS s1, covar_pop(y, x2) {w} AS s2, avg(y) {w} AS my, avg(x1) {w} AS m1, avg(x2) {w} AS m2 FROM k),
 e AS (

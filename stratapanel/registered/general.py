@@ -169,9 +169,8 @@ def _ranks(spark, sf_dir):
 def combine(spark, sf_dir):
     rows = _ranks(spark, sf_dir)
     ics = ev.daily_ic(rows, 20).select(T, F.col("ic").alias("f")).join(ev.daily_ic(rows.withColumn("f", F.col("g")), 20).select(T, F.col("ic").alias("g")), T)
-    equal = cb.combine_equal(rows, ["f", "g"]).select(SYM, T, F.col("combo").alias("equal"))
-    by_ic = cb.combine_by_ic(rows, ics, ["f", "g"]).select(SYM, T, F.col("combo").alias("by_ic"))
-    return equal.join(by_ic, [SYM, T]).select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("equal")).alias("equal"), rounded(F.col("by_ic")).alias("by_ic"))
+    equal = cb.combine_equal(rows, ["f", "g"]).withColumnRenamed("combo", "equal")
+    return cb.combine_by_ic(equal, ics, ["f", "g"]).withColumnRenamed("combo", "by_ic").select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("equal")).alias("equal"), rounded(F.col("by_ic")).alias("by_ic"))
 
 
 def _combine_sql() -> str:
@@ -187,7 +186,7 @@ def _combine_sql() -> str:
     div = lambda wf, wg: f"CASE WHEN {tot(wf, wg)} > 1e-12 THEN {some(wf, wg)} / {tot(wf, wg)} END"
     return f"""{base_sql(extra=extra)}, k AS (SELECT sym, t, {pct('f')} AS f, {pct('g')} AS g, r FROM base), icf AS ({ic('f')}), icg AS ({ic('g')}),
 w AS (SELECT icf.t, CASE WHEN avg(icf.ic) {past.replace('t ROWS', 'icf.t ROWS')} > 0 THEN avg(icf.ic) {past.replace('t ROWS', 'icf.t ROWS')} ELSE 0 END AS wf, CASE WHEN avg(icg.ic) {past.replace('t ROWS', 'icf.t ROWS')} > 0 THEN avg(icg.ic) {past.replace('t ROWS', 'icf.t ROWS')} ELSE 0 END AS wg FROM icf JOIN icg ON icf.t = icg.t)
-SELECT sym, CAST(k.t AS BIGINT) AS t, {r(div('1.0::DOUBLE', '1.0::DOUBLE'))} AS equal, {r(div('coalesce(wf, 0)', 'coalesce(wg, 0)'))} AS by_ic FROM k LEFT JOIN w ON w.t = k.t"""
+SELECT sym, CAST(k.t AS BIGINT) AS t, {r(div('1.0::DOUBLE', '1.0::DOUBLE'))} AS equal, {r(div('CASE WHEN coalesce(wf, 0) + coalesce(wg, 0) > 0 THEN wf ELSE 1 END', 'CASE WHEN coalesce(wf, 0) + coalesce(wg, 0) > 0 THEN wg ELSE 1 END'))} AS by_ic FROM k LEFT JOIN w ON w.t = k.t"""
 
 
 def constrained(spark, sf_dir):
@@ -200,11 +199,6 @@ k AS (SELECT *, row_number() OVER (PARTITION BY t, pool ORDER BY f DESC, sym) AS
 SELECT sym, CAST(t AS BIGINT) AS t, CAST(pool AS BIGINT) AS pool, CAST(quota AS BIGINT) AS quota, place FROM o WHERE overall <= 20"""
 
 
-def buffered(spark, sf_dir):
-    out = cb.buffered(base_rows(spark, sf_dir), 20, 0.25, "f")
-    return out.groupBy(T).agg(F.count("*").alias("held"), F.sum(F.col("stayed").cast("long")).alias("stayed"))
-
-
 # Point in time.
 
 
@@ -400,7 +394,6 @@ QUERIES = {
     "factor_similarity": (similarity, _similarity_sql()),
     "combine": (combine, _combine_sql()),
     "constrained_portfolio": (constrained, _CONSTRAINED),
-    "buffered_portfolio": (buffered, None),
     "as_of_join": (as_of, _AS_OF),
     "pool_members": (pool_members, _POOL),
     "price_adjust": (price_adjust, _ADJUST),

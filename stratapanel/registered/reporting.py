@@ -26,12 +26,14 @@ def style_strip(spark, sf_dir):
     return _shown(bt.metrics(per), ("ann_ex", "dd", "calmar", "sharpe", "turn"), ("periods",))
 
 
+def _stripped_rows(z1: str = "ln_mktcap", z2: str = "ln_volume") -> dict[str, str]:
+    """The rows of a backtest whose factor is what two styles leave of it."""
+    neutral = _neutral_two(z1, z2)[1].split(", s AS (", 1)[1].rsplit(" SELECT sym, CAST(t AS BIGINT)", 1)[0]
+    return {"ctes": f", s AS ({neutral}, stripped AS (SELECT b.*, CASE WHEN e.n >= 30 THEN e.e END AS left_over FROM base b JOIN e ON e.sym = b.sym AND e.t = b.t)", "source": "stripped", "f": "left_over"}
+
+
 def _strip_sql() -> str:
-    # the factor of the neutral-rank query takes the place of f in the rows of the backtest
-    neutral = _neutral_two()[1].split(", s AS (", 1)[1].rsplit(" SELECT sym, CAST(t AS BIGINT)", 1)[0]
-    swapped = f"{base_sql()}, s AS ({neutral}, base2 AS (SELECT b.* EXCLUDE (f), CASE WHEN e.n >= 30 THEN {ordinal('e.e').replace('PARTITION BY t', 'PARTITION BY e.t').replace(', sym', ', e.sym')} END AS f FROM base b JOIN e ON e.sym = b.sym AND e.t = b.t)"
-    rest = _metrics_sql(_per_sql())[len(base_sql()) :]
-    return swapped + rest.replace("FROM base)", "FROM base2)").replace("LEFT JOIN base p", "LEFT JOIN base2 p")
+    return _metrics_sql(_per_sql(**_stripped_rows()))
 
 
 def pool_restricted(spark, sf_dir):

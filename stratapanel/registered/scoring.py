@@ -144,21 +144,21 @@ def _per(spark, sf_dir, **more):
     return bt.periods(_traded(spark, sf_dir, **flags), least=30, least_top=2, least_pool=20, **more)
 
 
-def _trades_sql(delay: bool = True, ban: bool = True, step: int = 5, limit: float = _LIMIT) -> str:
+def _trades_sql(delay: bool = True, ban: bool = True, step: int = 5, limit: float = _LIMIT, f: str = "f", ctes: str = "", source: str = "base") -> str:
     sell = f"lead(ns, {step + 1}) {_LEAD}" if delay else f"lead(t, {step + 1}) {_LEAD}"
     can = f"coalesce(lead(buyable, 1) {_LEAD}, false)" if ban else "true"
-    return f"""{base_sql(fwd=step)}, priced AS (SELECT *, lag(close) {_LEAD} AS pc, coalesce(close > 0, false) AND coalesce(turnover > 0, false) AS traded FROM base),
+    return f"""{base_sql(fwd=step)}{ctes}, based AS (SELECT * EXCLUDE (f), {f} AS f FROM {source}), priced AS (SELECT *, lag(close) {_LEAD} AS pc, coalesce(close > 0, false) AND coalesce(turnover > 0, false) AS traded FROM based),
 open_ AS (SELECT *, traded AND (pc IS NULL OR close < pc * {1 + limit} - 1e-6) AS buyable, CASE WHEN traded AND (pc IS NULL OR close > pc * {1 - limit} + 1e-6) THEN t END AS st FROM priced),
 nx AS (SELECT *, coalesce(min(st) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(t) OVER (PARTITION BY sym)) AS ns FROM open_),
 bs AS (SELECT *, lead(close, 1) {_LEAD} AS buy, lead(mktcap, 1) {_LEAD} AS cap, {can} AS may, {sell} AS sell_at FROM nx),
 tr AS (SELECT b.* EXCLUDE (may), b.may AND b.sell_at IS NOT NULL AS can, CASE WHEN b.may AND b.buy > 0 THEN p.close / b.buy - 1 END AS ret FROM bs b LEFT JOIN base p ON p.sym = b.sym AND p.t = b.sell_at)"""
 
 
-def _per_sql(delay: bool = True, ban: bool = True, by_pct: bool = False, cost: float = 0.004, actual: bool = False, cash: float = 1.0, step: int = 5) -> str:
+def _per_sql(delay: bool = True, ban: bool = True, by_pct: bool = False, cost: float = 0.004, actual: bool = False, cash: float = 1.0, step: int = 5, **rows: str) -> str:
     n = "count(f) OVER (PARTITION BY t)"
     top = f"{pct('f')} > 0.9" if by_pct else f"greatest(ceil(({place('f')} - 1) * 10 / greatest({n} - 1, 1)::DOUBLE) - 1, 0) = 9"
     held = "top AND can" if actual else "top"
-    return f"""{_trades_sql(delay, ban, step)}, p0 AS (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM tr WHERE t % {step} = 0 AND f IS NOT NULL),
+    return f"""{_trades_sql(delay, ban, step, **rows)}, p0 AS (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM tr WHERE t % {step} = 0 AND f IS NOT NULL),
 p1 AS (SELECT *, {top} AS top FROM p0 WHERE n >= 30),
 sums AS (
   SELECT t, any_value(date) AS date, count(*) FILTER (WHERE top) AS n_top, count(*) FILTER (WHERE {held}) AS n_held, count(*) FILTER (WHERE top AND can) AS n_top_can, count(*) FILTER (WHERE can) AS n_can,
@@ -230,11 +230,12 @@ def daily_marks(spark, sf_dir):
     return _shown(_marked(spark, sf_dir), ("raw", "mark", "own", "excess"), (T, "day"))
 
 
-_MARK_ROWS = f"""{_per_sql()}, d AS (SELECT sym, t AS day, close / lag(close) {_LEAD} - 1 AS dret FROM base),
+_MARKS_CTES = f""", d AS (SELECT sym, t AS day, close / lag(close) {_LEAD} - 1 AS dret FROM base),
 a AS (SELECT p.t, d.day, avg(dret) FILTER (WHERE top) AS mt, avg(dret) AS mm FROM p1 p JOIN per ON per.t = p.t JOIN d ON d.sym = p.sym AND d.day BETWEEN p.t + 2 AND p.t + 6 WHERE can GROUP BY ALL),
 b AS (SELECT a.t, a.day, excess, net, mt - mm - CASE WHEN a.day = min(a.day) OVER (PARTITION BY a.t) THEN turn * 0.004 ELSE 0 END AS raw, mt - CASE WHEN a.day = min(a.day) OVER (PARTITION BY a.t) THEN turn * 0.004 ELSE 0 END AS raw_own FROM a JOIN per ON per.t = a.t WHERE mt IS NOT NULL AND mm IS NOT NULL),
 g AS (SELECT t, pow((1 + any_value(excess)) / product(1 + raw), 1 / count(*)::DOUBLE) AS q, pow((1 + any_value(net)) / product(1 + raw_own), 1 / count(*)::DOUBLE) AS q_own FROM b GROUP BY t),
 marks AS (SELECT b.*, (1 + raw) * q - 1 AS mark, (1 + raw_own) * q_own - 1 AS own FROM b JOIN g ON g.t = b.t)"""
+_MARK_ROWS = _per_sql() + _MARKS_CTES
 _MARKS = f"{_MARK_ROWS}\nSELECT CAST(t AS BIGINT) AS t, CAST(day AS BIGINT) AS day, {r('raw')} AS raw, {r('mark')} AS mark, {r('own')} AS own, {r('excess')} AS excess FROM marks"
 
 _RECORD = ("ann_top", "dd_top", "calmar_top", "sharpe_top", "ann_mkt", "ann_ex", "dd", "calmar", "sharpe", "turn", "ann_ex_cw", "dd_cw", "calmar_cw", "sharpe_cw", "tilt", "ann_mkt_cw", "last_yr", "last2_yr", "dd_d", "sharpe_d", "dd_top_d", "sharpe_top_d", "calmar_d", "calmar_top_d")
@@ -245,7 +246,7 @@ def record(spark, sf_dir):
     return _shown(out, _RECORD, ("periods", "bad_years"))
 
 
-def _record_sql() -> str:
+def _record_sql(rows: str = "") -> str:
     years, per_year = "n * 5 / 243.0", "243 / 5.0"
     streams = ", ".join(_stream_sql(k, "per", c, "t", years, per_year) for k, c in (("e", "excess"), ("o", "net"), ("m", "market"), ("w", "excess_w"), ("mw", "market_w")))
     days = ", ".join(_stream_sql(k, "marks", c, "day", "n / 243.0", "243.0") for k, c in (("de", "mark"), ("dn", "own")))
@@ -255,7 +256,7 @@ def _record_sql() -> str:
         "last_yr": "(SELECT arg_max(x, y) FROM yr)", "last2_yr": "(SELECT coalesce(max(x) FILTER (WHERE k = 2), max(x) FILTER (WHERE k = 1)) FROM (SELECT x, row_number() OVER (ORDER BY y DESC) AS k FROM yr))",
         "dd_d": "de.dd", "sharpe_d": "de.sharpe", "dd_top_d": "dn.dd", "sharpe_top_d": "dn.sharpe", "calmar_d": "CASE WHEN de.dd < 0 THEN e.ann / -de.dd END", "calmar_top_d": "CASE WHEN dn.dd < 0 THEN o.ann / -dn.dd END",
     }
-    return f"""{_MARK_ROWS}, {streams}, {days}, yr AS (SELECT date // 100 AS y, product(1 + excess) - 1 AS x FROM per GROUP BY 1)
+    return f"""{rows or _MARK_ROWS}, {streams}, {days}, yr AS (SELECT date // 100 AS y, product(1 + excess) - 1 AS x FROM per GROUP BY 1)
 SELECT e.n AS periods, (SELECT count(*) FROM yr WHERE x <= -0.02) AS bad_years, {', '.join(f'{r(v)} AS {k}' for k, v in cols.items())} FROM e, o, m, w, mw, de, dn"""
 
 

@@ -22,6 +22,52 @@ def open_factors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_factor(spark: SparkSession, path: str, factor_id: str, first: int | None = None, last: int | None = None, symbols: list | None = None, on: list[int] | None = None) -> DataFrame:
+    """(sym, t, value) of one factor: a day, a window, some symbols, or given dates; all of these are pushed to the scan."""
+    rows = open_factors(spark, path).where(F.col("factor_id") == factor_id)
+    if first is not None:
+        rows = rows.where(F.col(T) >= first)
+    if last is not None:
+        rows = rows.where(F.col(T) <= last)
+    if symbols is not None:
+        rows = rows.where(F.col(SYM).isin(symbols))
+    return (rows.where(F.col(T).isin(on)) if on is not None else rows).select(SYM, T, "value")
+
+
+def recent(rows: DataFrame, n: int = 600, least: int = 300) -> DataFrame:
+    """The last ``n`` dates, or all where there are fewer than ``least`` among these."""
+    days = rows.select(T).distinct()
+    span = days.agg(F.max(T).alias("last")).crossJoin(days.agg(F.count("*").alias("days")))
+    from_ = F.when(F.least("days", F.lit(n)) >= least, F.col("last") - n)
+    span = span.select(from_.alias("__from"))
+    return rows.crossJoin(span).where(F.col("__from").isNull() | (F.col(T) > F.col("__from"))).drop("__from")
+
+
+def latest_at(rows: DataFrame, keys: list[str], when: str, at: int) -> DataFrame:
+    """The last ``when`` of each key at or before ``at``."""
+    return rows.where(F.col(when) <= at).groupBy(*keys).agg(F.max(when).alias(when))
+
+
+def joined_results(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Result tables by keys that may be of other types on either side: they are compared as trimmed text."""
+    text = lambda c: F.trim(F.col(c).cast("string"))
+    named = right.select(*[text(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    met = [text(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(named, met, how).drop(*[f"__{k}" for k in keys])
+
+
+def with_fallback(own: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """All keys of both tables; figures are the own ones where present, else the other's."""
+    values = [c for c in own.columns if c not in keys]
+    right = other.select(*keys, *[F.col(c).alias(f"__{c}") for c in values])
+    return own.join(right, keys, "full").select(*keys, *[F.coalesce(c, f"__{c}").alias(c) for c in values])
+
+
+def write_entries(rows: DataFrame, path: str) -> None:
+    """Append rows as lines of JSON."""
+    rows.write.mode("append").json(path)
+
+
 def list_factors(spark: SparkSession, path: str) -> DataFrame:
     return open_factors(spark, path).groupBy("factor_id").agg(F.count("*").alias("rows"), F.count("value").alias("present"), F.min(T).alias("first"), F.max(T).alias("last"))
 
