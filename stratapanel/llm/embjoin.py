@@ -40,7 +40,7 @@ BLOCK = 256
 #: A band holds at most so many bytes of vectors in double precision; small inputs are cut into FEWEST bands all the same.
 BAND_BYTES = 16 << 20
 FEWEST, SMALL = 3, 4096
-_ROUNDS = 2
+_ROUNDS = 1
 _SLACK = 1e-9
 
 
@@ -80,8 +80,8 @@ def principal_directions(vectors: DataFrame, width: int, leading: int = LEADING)
             yield pd.DataFrame({"i": np.arange(width)} | {f"s{j}": total[:, j] for j in range(k)})
 
         made = vectors.select("vec").mapInPandas(products, "i long, " + ", ".join(f"s{j} double" for j in range(k)))
-        sums = made.groupBy("i").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).orderBy("i").toPandas()
-        axes = np.linalg.qr(sums.drop(columns="i").to_numpy() + 1e-12 * axes)[0]
+        sums = made.groupBy("i").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toPandas()
+        axes = np.linalg.qr(sums.sort_values("i").drop(columns="i").to_numpy() + 1e-12 * axes)[0]
     return axes
 
 
