@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -36,9 +36,9 @@ from .textvec import chunks, run_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\udc81"
 #: Distinct cuts that a worker keeps; the memory is emptied when it is full.
-KEEP = 300_000
+KEEP = 800_000
 _LONG = 48
-_CHARS = 300_000
+_CHARS = 600_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -54,7 +54,7 @@ def load(path: str = MODEL) -> dict:
     return {
         "pieces": pieces, "bytes": [by_byte.get(b, p.unk_id()) for b in range(256)], "text": [text.get(i, b"") for i in range(n)],
         "longest": max(map(len, pieces)), "spelled": min(s for _, s in pieces.values()) - 10.0,
-        "begins": _begins(pieces),
+        "lengths": _lengths(pieces),
     } | _reach(pieces)
 
 
@@ -104,20 +104,23 @@ def segment(vocab: dict, cut: str, n: int) -> list[tuple[float, tuple[int, ...]]
 
 def forward(vocab: dict, cut: str) -> tuple[list[int], float, float]:
     """Viterbi over one cut: the best piece ids, their score, and what the second-best segmentation loses (infinite if none)."""
-    pieces, reach, by_byte, spelled = vocab["pieces"], vocab["begins"], vocab["bytes"], vocab["spelled"]
+    pieces, lengths, by_byte, spelled = vocab["pieces"].get, vocab["lengths"].get, vocab["bytes"], vocab["spelled"]
     n, low = len(cut), float("-inf")
     one, two, back = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1)
     step: list = [None] * (n + 1)
     one[0] = 0.0
     for i in range(n):
         a, b = one[i], two[i]
-        most = reach.get(cut[i : i + 2], 1)
         found = False
-        for j in range(i + 1, min(i + most, n) + 1):
-            hit = pieces.get(cut[i:j])
+        for size in lengths(cut[i : i + _KEY], _SHORT):
+            j = i + size
+            if j > n:
+                break
+            hit = pieces(cut[i:j])
             if hit is None:
                 continue
-            found = found or j == i + 1
+            if size == 1:
+                found = True
             s = a + hit[1]
             if s > one[j]:
                 if one[j] > two[j]:
@@ -148,13 +151,17 @@ def forward(vocab: dict, cut: str) -> tuple[list[int], float, float]:
     return ids, one[n], one[n] - two[n]
 
 
-def _begins(pieces: dict) -> dict:
-    """Length of the longest piece that begins with two given characters."""
-    out: dict[str, int] = {}
+_KEY = 4
+_SHORT = tuple(range(1, _KEY))
+
+
+def _lengths(pieces: dict) -> dict[str, tuple[int, ...]]:
+    """For each beginning of ``_KEY`` characters the lengths that a piece may have there, shorter ones included."""
+    out: dict[str, set[int]] = {}
     for x in pieces:
-        if len(x) > 1:
-            out[x[:2]] = max(out.get(x[:2], 1), len(x))
-    return out
+        if len(x) >= _KEY:
+            out.setdefault(x[:_KEY], set(_SHORT)).add(len(x))
+    return {k: tuple(sorted(v)) for k, v in out.items()}
 
 
 def _reach(pieces: dict) -> dict:
@@ -192,6 +199,11 @@ class Encoding:
         """The best ids of one cut."""
         return self.ids[self.ends[c - 1] if c else 0 : self.ends[c]]
 
+    def edits(self) -> list[list[dict]]:
+        """All segmentations but the best as edits of it, each in order of place."""
+        span = lambda c: {"start": int(self.ends[c - 1]) if c else 0, "stop": int(self.ends[c])}
+        return [[span(c) | {"ids": list(ids)} for c, ids in sorted(other.items())] for other in self.others]
+
     def nth(self, k: int) -> np.ndarray:
         """The ids of the segmentation of rank ``k``."""
         if not k:
@@ -273,7 +285,8 @@ def _broadcast(spark: SparkSession, path: str) -> Broadcast:
 def encode_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = 4, path: str = MODEL, alternatives: bool = False) -> DataFrame:
     """``ident``, ``ids`` of the best segmentation, ``n_pieces``, ``score``, ``nbest_scores``, ``round_trip`` (decoding gives the text).
 
-    ``alternatives`` adds ``nbest_ids``, the piece ids of all n segmentations; ``round_trip`` then says that every one of them gives the text.
+    ``alternatives`` adds ``nbest_edits``: the other segmentations, in order of score, as edits of the best one, which replace its ids from
+    ``start`` to before ``stop`` (see :func:`nbest_ids`); ``round_trip`` then says that every segmentation gives the text.
     """
     small_batches(docs.sparkSession, 250)
     held = _broadcast(docs.sparkSession, path)
@@ -288,13 +301,26 @@ def encode_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
                 out = [batch.column(0).slice(at, len(texts)), _lists([e.ids for e in found]), pa.array([len(e.ids) for e in found], pa.int64())]
                 out += [pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(fine, pa.bool_())]
                 if alternatives:
-                    paths = _lists([e.nth(k) for e in found for k in range(len(e.scores))])
-                    out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in scores])]).astype(np.int32), paths))
-                yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "n_pieces", "score", "nbest_scores", "round_trip", *(["nbest_ids"] * alternatives)])
+                    out.append(pa.array([e.edits() for e in found], _EDITS))
+                yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "n_pieces", "score", "nbest_scores", "round_trip", *(["nbest_edits"] * alternatives)])
 
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_pieces long, score double, nbest_scores array<double>, round_trip boolean"
-    return rows.mapInArrow(run, schema + ", nbest_ids array<array<int>>" * alternatives).withColumnRenamed("id", ident)
+    return rows.mapInArrow(run, schema + ", nbest_edits array<array<struct<start: int, stop: int, ids: array<int>>>>" * alternatives).withColumnRenamed("id", ident)
+
+
+def nbest_ids(ids: str = "ids", edits: str = "nbest_edits") -> Column:
+    """The piece ids of all segmentations, the best one first: an array of arrays, made of the columns of :func:`encode_texts`."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def apply(acc: Column, e: Column) -> Column:
+        return F.struct(e["stop"].alias("at"), F.concat(acc["out"], F.slice(ids, acc["at"] + 1, e["start"] - acc["at"]), e["ids"]).alias("out"))
+
+    whole = lambda acc: F.concat(acc["out"], F.slice(ids, acc["at"] + 1, F.size(ids)))
+    return F.concat(F.array(F.col(ids)), F.transform(edits, lambda es: F.aggregate(es, start, apply, whole)))
+
+
+_EDITS = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:

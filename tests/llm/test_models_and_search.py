@@ -214,7 +214,7 @@ def test_n_best_agrees_with_the_library(vocab):
 def test_encode_and_decode(spark, vocab):
     odd = ["", None, " ", "  x  ", "a▁b", "😀\x00\n\n", "<s></s><0x41>", "é" * 3000 + " " * 70, "word " * 30_000]
     table = spark.createDataFrame([(i, t, 1) for i, t in enumerate(odd)], "doc_id long, text string, ids int")
-    made = pieces.encode_texts(table, n=3, alternatives=True)
+    made = pieces.encode_texts(table, n=3, alternatives=True).withColumn("nbest_ids", pieces.nbest_ids())
     for r in pieces.decode_ids(made).collect():
         text = odd[r["doc_id"]] or ""
         assert r["round_trip"] and r["decoded"] == text and r["n_pieces"] == len(r["ids"])
@@ -228,7 +228,7 @@ def test_registered_encoding_builds_all_segmentations(spark, vocab, tmp_path):
     spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for made in (queries.op4_pieces(spark, str(tmp_path)), corpus_pipeline.encoded(spark, docs, str(tmp_path))):
-        for r in made.collect():
+        for r in made.withColumn("nbest_ids", pieces.nbest_ids()).collect():
             text = said[r["doc_id"]] or ""
             paths = [tuple(x) for x in r["nbest_ids"]]
             assert r["round_trip"] and len(set(paths)) == len(paths) == len(r["nbest_scores"]) == (4 if text else 1)
