@@ -152,29 +152,34 @@ def _reached(runs: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``, with offsets; ``intact`` says that boundary and digest hold."""
-    slim = materialise(_candidates(_parts(spark, path)), "warc-candidates")
-    rows = _with_offsets(slim, slim).withColumns({"at": F.col("start") - _STEP, "next": F.col("start") + F.col("body") + F.col("length") + 4})
-    rows = materialise(rows.drop("block", "turn"), "warc-offsets")
-    marks = rows.select("file", "start", "mark")
+    fat = materialise(_candidates(_parts(spark, path)), "warc-candidates")
+    # the chains are followed on narrow rows, in which files go by a hash of their name
+    narrow = fat.select(F.xxhash64("file").alias("file"), "block", "turn", "size", "told", "length", "body", "blank", "mark", F.col("digest").isNotNull().alias("inside"))
+    rows = _with_offsets(narrow, narrow).withColumns({"at": F.col("start") - _STEP, "next": F.col("start") + F.col("body") + F.col("length") + 4})
+    rows = materialise(rows, "warc-offsets")
     ends = materialise(rows.groupBy("file").agg(F.max(F.col("start") + F.col("size")).alias("end")), "warc-ends")
+    marks = rows.select("file", "start", "mark")
     rows = materialise(_runs(rows.drop("mark")), "warc-rows")
-    runs = rows.groupBy("file", "run").agg(F.min("at").alias("at"), F.max_by("next", "start").alias("exit"), F.max("at").alias("last"))
-    runs = materialise(runs, "warc-runs")
-    reach = _reached(runs)
-    reached = materialise(runs.join(reach, ["file", "at"]), "warc-reached")
+    runs = materialise(rows.groupBy("file", "run").agg(F.min("at").alias("at"), F.max_by("next", "start").alias("exit"), F.max("at").alias("last")), "warc-runs")
+    reached = materialise(runs.join(_reached(runs), ["file", "at"]), "warc-reached")
     records = rows.join(reached.select("file", "run"), ["file", "run"])
-    long_ = records.where("digest is null and length is not null").join(ends, "file").where("next <= end")
-    if long_.head(1):
-        records = records.join(_put_together(spark, path, marks, long_), ["file", "start"], "left")
-        records = records.withColumns({"digest": F.coalesce("digest", "far_digest"), "blank": F.coalesce("blank", "far_blank")})
+    long_ = records.where("not inside and length is not null").join(ends, "file").where("next <= end")
+    far = {"far_digest": F.lit(None).cast("string"), "far_blank": F.lit(None).cast("boolean")}
+    records = records.join(_put_together(spark, path, marks, long_), ["file", "start"], "left") if long_.head(1) else records.withColumns(far)
+    records = records.select(F.col("file").alias("fid"), "block", "turn", "at", "next", "far_digest", "far_blank")
+    full = fat.withColumn("fid", F.xxhash64("file")).join(records, ["fid", "block", "turn"])
+    full = full.withColumns({"digest": F.coalesce("digest", "far_digest"), "blank": F.coalesce("blank", "far_blank")})
     again = F.col("kind") == "revisit"
     told = F.regexp_replace("said", "^(?i)sha256:", "")
     kept = F.coalesce("blank", F.lit(False)) & (again | ~F.coalesce(F.col("said").rlike("(?i)^sha256:"), F.lit(False)) | F.coalesce(told == F.col("digest"), F.lit(False)))
-    found = records.select(
+    found = full.select(
         "file", "at", "next", F.coalesce("kind", F.lit("")).alias("record_type"), "page_id", "refers_to", F.when(again, F.col("full")).otherwise(F.col("length")).alias("payload_bytes"),
         F.when(again, told).otherwise(F.col("digest")).alias("payload_digest"), F.coalesce("uri", F.lit("")).alias("uri"), kept.alias("intact"),
     )
-    return found.unionByName(_broken(ends, runs, reached), allowMissingColumns=True)
+    broken = _broken(ends, runs, reached)
+    names = fat.select("file", F.xxhash64("file").alias("fid")).distinct()
+    broken = broken.withColumnRenamed("file", "fid").join(names, "fid").drop("fid")
+    return found.unionByName(broken, allowMissingColumns=True)
 
 
 def _broken(ends: DataFrame, runs: DataFrame, reached: DataFrame) -> DataFrame:
