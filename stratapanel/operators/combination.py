@@ -117,8 +117,11 @@ def members_at(dates: DataFrame, changes: DataFrame) -> DataFrame:
     return dates.join(F.broadcast(lists), (dates[T] >= lists["changed"]) & (lists["until"].isNull() | (dates[T] < lists["until"]))).select("pool", T, "changed").join(spans.select("pool", "changed", SYM), ["pool", "changed"]).select("pool", T, SYM)
 
 
-def adjust_prices(prices: DataFrame, factors: DataFrame, cols: list[str], volume: str | None = None) -> DataFrame:
-    """Forward-adjust: the cumulative factor as of each date over the symbol's last one; prices times it, volume divided."""
+def adjust_prices(prices: DataFrame, factors: DataFrame, cols: list[str], volume: str | None = None, least: int = 20) -> DataFrame:
+    """Forward-adjust: the cumulative factor as of each date over the symbol's last one; prices times it, volume divided.  Symbols with fewer than
+    ``least`` rows with a price are left out."""
+    known = F.count(cols[0]).over(Window.partitionBy(SYM))
+    prices = prices.withColumn("__known", known).where(F.col("__known") >= least).drop("__known")
     frame = as_of(prices, factors.withColumnRenamed("start", T), SYM, T, ["factor"])
     last = F.last("factor", ignorenulls=True).over(Window.partitionBy(SYM).orderBy(T).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ratio = F.coalesce(F.try_divide(F.col("factor"), last), F.lit(1.0))

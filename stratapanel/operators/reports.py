@@ -61,6 +61,40 @@ def long_short(rows: DataFrame, step: int = 5, least: int = 100, least_in_bucket
     return per.select(T, nav(F.col("top")).alias("nav_top"), nav(F.col("bottom")).alias("nav_bottom"), nav((F.col("top") - F.col("bottom")) / 2).alias("nav_spread"))
 
 
+def decile_curves(rows: DataFrame, step: int = 5, least: int = 100, least_in_bucket: int = 5) -> DataFrame:
+    """Per rebalancing date and decile the net asset value so far, and the date's plain (Pearson) IC."""
+    per = ev.decile_periods(rows, step, least, least_in_bucket)
+    nav = F.exp(F.sum(F.log1p("ret")).over(Window.partitionBy("d").orderBy(T).rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = ev.on_grid(rows, step).where("f is not null and r is not null")
+    plain = pairs.groupBy(T).agg(F.when(F.count("*") >= least, ev._corr("f", "r")).alias("pearson"))
+    return per.withColumn("nav", nav).join(plain, T, "left").select(T, "d", "nav", "pearson")
+
+
+def style_years(rows: DataFrame, styles: list[str], least: int = 100, least_days: int = 10, least_years: int = 4) -> DataFrame:
+    """The rank correlation with each style in blocks of years (those with ``least_days`` dates): t over the yearly means, and the share of
+    years of the prevailing sign.  Blocks stand up to the slow change of such correlations."""
+    ranked = rows.select(T, "date", cs.ordinal_rank(F.col("f")).alias("x"), *[cs.ordinal_rank(F.col(s)).alias(s) for s in styles])
+    long = ranked.select(T, "date", "x", F.expr("stack({}, {}) as (style, y)".format(len(styles), ", ".join(f"'{s}', {s}" for s in styles))))
+    days = long.where("x is not null and y is not null").groupBy("style", T).agg(F.count("*").alias("n"), F.max("date").alias("date"), ev._corr("x", "y").alias("c")).where((F.col("n") >= least) & F.col("c").isNotNull())
+    years = days.groupBy("style", bt._year().alias("year")).agg(F.count("*").alias("n"), F.avg("c").alias("c")).where(F.col("n") >= least_days)
+    sd = F.stddev_pop("c")
+    t = F.when((F.count("*") >= least_years) & (sd > 1e-12), F.try_divide(F.avg("c"), sd) * F.sqrt(F.count("*")))
+    share = lambda test: F.avg(test.cast("int"))
+    return years.groupBy("style").agg(F.count("*").alias("years"), t.alias("t_year"), F.greatest(share(F.col("c") > 0), share(F.col("c") < 0)).alias("win_year"))
+
+
+def first_of_runs(rows: DataFrame, keys: list[str], order: list[str], gap: int) -> DataFrame:
+    """The rows that come first, or more than ``gap`` (of the first column in ``order``) after the row before."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    since = F.col(order[0]) - F.lag(order[0]).over(w)
+    return rows.withColumn("__gap", since).where(F.col("__gap").isNull() | (F.col("__gap") > gap)).drop("__gap")
+
+
+def tail(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """The last ``n`` rows of each key."""
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where(F.col("__k") <= n).drop("__k")
+
+
 def exposures(rows: DataFrame, styles: list[str], step: int = 5, share: float = 0.9) -> DataFrame:
     """Mean standardised style values of the top names at each rebalancing date."""
     grid = ev.on_grid(rows, step).select(SYM, T, cs.cs_rank(F.col("f")).alias("p"), *[cs.cs_zscore(F.col(s)).alias(s) for s in styles])

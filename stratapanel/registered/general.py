@@ -231,13 +231,13 @@ SELECT c.pool, CAST(t AS BIGINT) AS t, c.sym FROM l JOIN c ON c.pool = l.pool AN
 def price_adjust(spark, sf_dir):
     panel = panels.lineitem_panel(spark, sf_dir)
     factors = panel.where((F.col(T) % 20 == 3) & (F.col(SYM) % 2 == 0)).select(SYM, F.col(T).alias("start"), (1 + F.col(T) / 100).alias("factor"))
-    out = cb.adjust_prices(panel.select(SYM, T, "close", "volume"), factors, ["close"], "volume")
+    out = cb.adjust_prices(panel.select(SYM, T, "close", "volume"), factors, ["close"], "volume", least=50)
     return out.select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("close"), 4).alias("close"), rounded(F.col("volume"), 4).alias("volume"))
 
 
 _ADJUST = f"""WITH {P2}, f AS (SELECT sym, t, CASE WHEN t % 20 = 3 AND sym % 2 = 0 THEN 1 + t / 100.0::DOUBLE END AS f, close, volume FROM panel),
 g AS (SELECT *, last_value(f IGNORE NULLS) OVER (PARTITION BY sym ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM f), h AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM g)
-SELECT sym, CAST(t AS BIGINT) AS t, {r('close * coalesce(c / z, 1)', 4)} AS close, {r('volume / coalesce(c / z, 1)', 4)} AS volume FROM h"""
+SELECT sym, CAST(t AS BIGINT) AS t, {r('close * coalesce(c / z, 1)', 4)} AS close, {r('volume / coalesce(c / z, 1)', 4)} AS volume FROM h WHERE sym IN (SELECT sym FROM panel GROUP BY sym HAVING count(close) >= 50)"""
 
 
 def _flag_lists(spark, sf_dir):
@@ -337,6 +337,15 @@ SELECT user_id, count(CASE WHEN gap IS NULL OR gap > 86400000000 THEN 1 END) AS
 {r('CASE WHEN sqrt(var_pop(CASE WHEN prev IS NOT NULL THEN value END) * var_pop(prev)) > 1e-12 THEN covar_pop(value, prev) / sqrt(var_pop(CASE WHEN prev IS NOT NULL THEN value END) * var_pop(prev)) END')} AS ar1 FROM k GROUP BY user_id"""
 
 
+def trigger_rows(spark, sf_dir):
+    """The first event of each run itself."""
+    e = panels.read(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rp.first_of_runs(e, ["user_id"], ["at", "event_id"], 86_400_000_000).select("user_id", "event_id")
+
+
+_TRIGGER_ROWS = """SELECT user_id, event_id FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) WHERE gap IS NULL OR gap > 86400000000"""
+
+
 def codes_and_dates(spark, sf_dir):
     c = panels.read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 733).cast("string").alias("raw"))
     o = F.concat(F.lit("20"), F.lpad((F.col("c_custkey") % 30).cast("string"), 2, "0"))
@@ -344,14 +353,14 @@ def codes_and_dates(spark, sf_dir):
     return c.select(
         "c_custkey", scalar.exchange_code(F.concat(F.lit("c"), F.col("raw"))).alias("code"), scalar.from_short_suffix(F.concat(F.lpad("raw", 6, "0"), F.lit(".sz"))).alias("long_code"), scalar.date_key(day).alias("day"),
         scalar.quarter_key(F.concat(o, F.lit("q"), (F.col("c_custkey") % 4 + 1).cast("string"))).alias("quarter"), scalar.skeleton_text(F.concat(F.lit("ts_mean"), F.col("raw"), F.when(F.col("c_custkey") % 2 == 0, F.lit("(close)")).otherwise(F.concat(F.lit("(close, ema"), F.col("c_custkey").cast("string"), F.lit("(ret))"))))).alias("shape"),
-        F.md5("raw").alias("md5"), F.array_join(scalar.identifiers(F.concat(F.lit("sub(ts_mean"), F.col("raw"), F.lit("(close), open_"), F.substring("raw", 1, 1), F.lit(")"))), " ").alias("tokens"),
+        F.md5("raw").alias("md5"), scalar.date_key_or(day, 19000101).alias("listed"), scalar.json_object(F.concat(F.lit('so {"k": '), F.when(F.col("c_custkey") % 5 == 0, F.lit("")).otherwise(F.col("raw")), F.lit("} it is"))).alias("object"), F.array_join(scalar.identifiers(F.concat(F.lit("sub(ts_mean"), F.col("raw"), F.lit("(close), open_"), F.substring("raw", 1, 1), F.lit(")"))), " ").alias("tokens"),
     )
 
 
 _o = "'20' || lpad(CAST(c_custkey % 30 AS VARCHAR), 2, '0')"
 _CODES = f"""WITH c AS (SELECT c_custkey, CAST(c_custkey * 733 AS VARCHAR) AS raw, {_o} AS o FROM customer), d AS (SELECT *, CASE WHEN length(raw) > 6 THEN left(raw, 6) ELSE lpad(raw, 6, '0') END AS six FROM c)
 SELECT c_custkey, CASE WHEN left(six, 1) IN ('6', '9') THEN six || '.XSHG' WHEN left(six, 1) IN ('0', '2', '3') THEN six || '.XSHE' WHEN left(six, 1) IN ('4', '8') THEN six || '.XBSE' END AS code, six || '.XSHE' AS long_code,
-CAST(CASE WHEN c_custkey % 4 = 0 THEN o || '02' || lpad(CAST(c_custkey % 9 + 1 AS VARCHAR), 2, '0') WHEN c_custkey % 4 = 1 THEN o || '0315' END AS INT) AS day, CAST(CAST(o AS INT) * 4 + c_custkey % 4 AS INT) AS quarter, 'ts_mean(close' || CASE WHEN c_custkey % 2 = 0 THEN ')' ELSE ', ema(ret))' END AS shape, md5(raw) AS md5, 'sub ts_mean' || raw || ' close open_' || left(raw, 1) AS tokens FROM d"""
+CAST(CASE WHEN c_custkey % 4 = 0 THEN o || '02' || lpad(CAST(c_custkey % 9 + 1 AS VARCHAR), 2, '0') WHEN c_custkey % 4 = 1 THEN o || '0315' END AS INT) AS day, coalesce(CAST(CASE WHEN c_custkey % 4 = 0 THEN o || '02' || lpad(CAST(c_custkey % 9 + 1 AS VARCHAR), 2, '0') WHEN c_custkey % 4 = 1 THEN o || '0315' END AS INT), 19000101) AS listed, CASE WHEN c_custkey % 5 <> 0 THEN '{{"k": ' || raw || '}}' END AS object, CAST(CAST(o AS INT) * 4 + c_custkey % 4 AS INT) AS quarter, 'ts_mean(close' || CASE WHEN c_custkey % 2 = 0 THEN ')' ELSE ', ema(ret))' END AS shape, md5(raw) AS md5, 'sub ts_mean' || raw || ' close open_' || left(raw, 1) AS tokens FROM d"""
 
 
 def sampled(spark, sf_dir):
@@ -404,6 +413,7 @@ QUERIES = {
     "pivot_last": (pivoted, _PIVOT),
     "weighted_means": (weighted_means, _WEIGHTED),
     "first_triggers": (first_triggers, _TRIGGERS),
+    "trigger_rows": (trigger_rows, _TRIGGER_ROWS),
     "codes_and_dates": (codes_and_dates, _CODES),
     "sampling": (sampled, _SAMPLED),
     "expression_batch": (wide_batch, _wide_sql()),

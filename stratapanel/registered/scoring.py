@@ -248,16 +248,16 @@ def record(spark, sf_dir):
 
 def _record_sql(rows: str = "") -> str:
     years, per_year = "n * 5 / 243.0", "243 / 5.0"
-    streams = ", ".join(_stream_sql(k, "per", c, "t", years, per_year) for k, c in (("e", "excess"), ("o", "net"), ("m", "market"), ("w", "excess_w"), ("mw", "market_w")))
+    streams = ", ".join(_stream_sql(k, "per", c, "t", years, per_year) for k, c in (("xs", "excess"), ("xo", "net"), ("xm", "market"), ("xw", "excess_w"), ("xmw", "market_w")))
     days = ", ".join(_stream_sql(k, "marks", c, "day", "n / 243.0", "243.0") for k, c in (("de", "mark"), ("dn", "own")))
     cols = {
-        "ann_top": "o.ann", "dd_top": "o.dd", "calmar_top": "o.calmar", "sharpe_top": "o.sharpe", "ann_mkt": "m.ann", "ann_ex": "e.ann", "dd": "e.dd", "calmar": "e.calmar", "sharpe": "e.sharpe", "turn": "(SELECT avg(turn) FROM per)",
-        "ann_ex_cw": "w.ann", "dd_cw": "w.dd", "calmar_cw": "w.calmar", "sharpe_cw": "w.sharpe", "tilt": "w.ann - e.ann", "ann_mkt_cw": "mw.ann",
+        "ann_top": "xo.ann", "dd_top": "xo.dd", "calmar_top": "xo.calmar", "sharpe_top": "xo.sharpe", "ann_mkt": "xm.ann", "ann_ex": "xs.ann", "dd": "xs.dd", "calmar": "xs.calmar", "sharpe": "xs.sharpe", "turn": "(SELECT avg(turn) FROM per)",
+        "ann_ex_cw": "xw.ann", "dd_cw": "xw.dd", "calmar_cw": "xw.calmar", "sharpe_cw": "xw.sharpe", "tilt": "xw.ann - xs.ann", "ann_mkt_cw": "xmw.ann",
         "last_yr": "(SELECT arg_max(x, y) FROM yr)", "last2_yr": "(SELECT coalesce(max(x) FILTER (WHERE k = 2), max(x) FILTER (WHERE k = 1)) FROM (SELECT x, row_number() OVER (ORDER BY y DESC) AS k FROM yr))",
-        "dd_d": "de.dd", "sharpe_d": "de.sharpe", "dd_top_d": "dn.dd", "sharpe_top_d": "dn.sharpe", "calmar_d": "CASE WHEN de.dd < 0 THEN e.ann / -de.dd END", "calmar_top_d": "CASE WHEN dn.dd < 0 THEN o.ann / -dn.dd END",
+        "dd_d": "de.dd", "sharpe_d": "de.sharpe", "dd_top_d": "dn.dd", "sharpe_top_d": "dn.sharpe", "calmar_d": "CASE WHEN de.dd < 0 THEN xs.ann / -de.dd END", "calmar_top_d": "CASE WHEN dn.dd < 0 THEN xo.ann / -dn.dd END",
     }
     return f"""{rows or _MARK_ROWS}, {streams}, {days}, yr AS (SELECT date // 100 AS y, product(1 + excess) - 1 AS x FROM per GROUP BY 1)
-SELECT e.n AS periods, (SELECT count(*) FROM yr WHERE x <= -0.02) AS bad_years, {', '.join(f'{r(v)} AS {k}' for k, v in cols.items())} FROM e, o, m, w, mw, de, dn"""
+SELECT xs.n AS periods, (SELECT count(*) FROM yr WHERE x <= -0.02) AS bad_years, {', '.join(f'{r(v)} AS {k}' for k, v in cols.items())} FROM xs, xo, xm, xw, xmw, de, dn"""
 
 
 def tradability(spark, sf_dir):

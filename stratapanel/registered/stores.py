@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..functions.ts import SYM, T
 from ..sources import panels, store
+from ..sources.shared import shared_folder
 from ..streaming import bars
 from .base import P2, r
 
@@ -84,7 +87,19 @@ def upserted(spark, sf_dir):
 _UPSERT = """WITH n AS (SELECT o_orderkey, 'U' AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 5 = 0)
 SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT * FROM n"""
 
+def kept_panel(spark, sf_dir):
+    """Two columns of a panel that is written once with a digest of its source and read back pruned."""
+    path = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+    mark = store.fingerprint(spark, [f"{sf_dir}/lineitem.parquet"], panels.lineitem_panel)
+    store.keep_panel(panels.lineitem_panel(spark, sf_dir), path, mark)
+    out = store.open_panel(spark, path, mark, ["close", "turnover"])
+    return out.select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("close"), 3).alias("close"), rounded(F.col("turnover"), 3).alias("turnover"))
+
+
+_KEPT = f"WITH {P2} SELECT sym, CAST(t AS BIGINT) AS t, {r('close', 3)} AS close, {r('turnover', 3)} AS turnover FROM panel"
+
 QUERIES = {
+    "kept_panel": (kept_panel, _KEPT),
     "point_in_time": (point_in_time, _PIT),
     "trailing_year": (trailing_year, _TTM),
     "event_bars": (event_bars, _BARS),

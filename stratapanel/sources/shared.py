@@ -18,3 +18,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     spark.sparkContext.setCheckpointDir(found)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that outlive a query's plan: the checkpoint folder of the session."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()

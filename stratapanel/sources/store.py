@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +103,7 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("__v")).select(*keys, "__v.*")
 
 
-def read_money_flow(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",", code: str = "code", date: str = "date") -> DataFrame:
+def read_money_flow(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", sep: str = ",", code: str = "code", date: str = "date") -> DataFrame:
     """A CSV with any figures beside a code and a date column: codes get their exchange, dates become keys, figures doubles.
 
     Rows without a valid code or date are left out; of repeated rows of a (date, code) the last by file order does not matter, so
@@ -121,6 +125,35 @@ def sniff(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8",
     return encodings[0], seps[0]
 
 
+def read_money_flows(spark: SparkSession, path: str, **names: str) -> DataFrame:
+    """:func:`read_money_flow` for files of different encodings and separators: each file is sniffed by its first lines, and files that
+    agree are read together."""
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        kinds.setdefault(sniff(spark, file), []).append(file)
+    parts = [read_money_flow(spark, files, encoding, sep, **names) for (encoding, sep), files in kinds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return latest_of_files(out)
+
+
+def latest_of_files(rows: DataFrame) -> DataFrame:
+    """One row per symbol and date, the largest figures where files repeat one."""
+    figures = [c for c in rows.columns if c not in (SYM, "date")]
+    return rows.groupBy(SYM, "date").agg(*[F.max(c).alias(c) for c in figures])
+
+
+def fingerprint(spark: SparkSession, paths: list[str], *code: Callable) -> str:
+    """A digest of the files below ``paths`` (names, sizes, times of change) and of the source of the functions that make a panel of them."""
+    seen = [spark.read.format("binaryFile").load(p).select("path", "length", "modificationTime") for p in paths]
+    rows = seen[0]
+    for s in seen[1:]:
+        rows = rows.unionByName(s)
+    mark = rows.agg(F.sort_array(F.collect_list(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime"))))).head()[0]
+    return hashlib.sha256("\n".join([*mark, *(inspect.getsource(f) for f in code)]).encode()).hexdigest()
+
+
 def money_flow_leaves(flow: DataFrame, panel: DataFrame, amounts: list[str], lots: list[str]) -> DataFrame:
     """Figures in base units (amounts x 10,000, lots x 100), 0 where the symbol traded but has no record."""
     scaled = flow.select(SYM, "date", *[(F.col(c) * 1e4).alias(c) for c in amounts], *[(F.col(c) * 100).alias(c) for c in lots])

@@ -14,10 +14,12 @@ from stratapanel.operators import backtest as bt
 from stratapanel.operators import combination as cb
 from stratapanel.operators import control
 from stratapanel.operators import evaluation as ev
+from stratapanel.operators import portfolios as pf
+from stratapanel.operators import reports as rp
 from stratapanel.plans import registry
 from stratapanel.plans.compiler import evaluate
 from stratapanel.plans.expr import ExpressionError, Node, from_json, is_style_combination, parse, review, skeleton, to_json
-from stratapanel.sources import store
+from stratapanel.sources import leaves, store
 from stratapanel.streaming import bars
 
 
@@ -381,3 +383,77 @@ def test_kept_panels_refuse_stale_reads(spark, tmp_path):
     for fingerprint, columns in (("v2", None), ("v1", ["y"])):
         with pytest.raises(store.StalePanel):
             store.open_panel(spark, str(tmp_path), fingerprint, columns)
+
+
+def test_turnover_is_against_the_last_accepted_period(spark):
+    rng = np.random.default_rng(31)
+    f, close = rng.normal(size=(40, 60)), np.exp(rng.normal(0, 0.01, (40, 60)).cumsum(axis=0))
+    f[5, 20:] = np.nan  # the second period has too few names
+    frame = panel(spark, f, "f").join(panel(spark, close, "close"), ["sym", "t"]).withColumns({"mktcap": F.lit(1.0), "turnover": F.when((F.col("t") != 11) | (F.col("sym") != 3), 1.0).otherwise(0.0)})
+    traded = bt.trades(frame, limit=0.9)
+    got = {r["t"]: r for r in bt.periods(traded, least=50, least_top=2, least_pool=20, cost=0.01, cash=0.9).collect()}
+    assert 5 not in got and got[0]["turn"] == 1.0
+    top = lambda t: set(np.argsort(f[t])[-6:].tolist())
+    assert abs(got[10]["turn"] - (1 - len(top(10) & top(0)) / 6)) < 1e-12
+    ret = close[16] / close[11] - 1
+    names = sorted(top(10) - {3})  # symbol 3 isn't traded on the buying row
+    assert abs(got[10]["net"] - (0.9 * ret[names].mean() - 0.01 * got[10]["turn"])) < 1e-9
+    assert got[10]["n_can"] == 59
+    assert bt.record(traded.withColumn("date", F.lit(202001)), least=50, least_top=2, least_pool=20).count() == 0  # fewer than 30 periods
+
+
+def test_unlike_weights_against_a_loop(spark):
+    rng = np.random.default_rng(17)
+    a = rng.normal(0.1, 1, 100)
+    data = {"a": a, "b": a + rng.normal(0, 0.2, 100), "c": rng.normal(0.05, 1, 100), "d": rng.normal(-0.2, 1, 100)}
+    rows = [(k, t, float(v[t])) for k, v in data.items() for t in range(100)]
+    got = {}
+    for r in pf.unlike_weights(spark.createDataFrame(rows, "id string, t long, x double"), 20, 40, 30, 0.5).collect():
+        got.setdefault(r["t"], {})[r["id"]] = r["w"]
+    want = {}
+    for at in (40, 60, 80, 100):
+        part = pd.DataFrame({k: v[max(0, at - 40) : at] for k, v in data.items()})
+        score, corr, taken = part.mean() / part.std(), part.rank().corr(), []
+        for k in score.sort_values(ascending=False).index:
+            if all(abs(corr.loc[k, j]) < 0.5 for j in taken):
+                taken.append(k)
+        want[at] = dict.fromkeys(taken, 1 / len(taken))
+    assert got == want and all(len({"a", "b"} & set(w)) == 1 for w in want.values())
+
+
+def test_result_tables_and_readers(spark, tmp_path):
+    left = spark.createDataFrame([("1 ", "x"), ("2", "y")], "gen string, expr string")
+    right = spark.createDataFrame([(1, "x", 5.0), (3, "z", 6.0)], "gen int, expr string, v double")
+    assert [r["v"] for r in store.joined_results(left, right, ["gen", "expr"]).orderBy("expr").collect()] == [5.0, None]
+    merged = store.with_fallback(spark.createDataFrame([(1, None), (2, 2.0)], "k long, v double"), spark.createDataFrame([(1, 7.0), (2, 8.0), (3, 9.0)], "k long, v double"), ["k"])
+    assert sorted(map(tuple, merged.collect())) == [(1, 7.0), (2, 2.0), (3, 9.0)]
+    flows = spark.createDataFrame([("a", 20200105, 1.0), ("b", 20200105, 2.0), ("a", 20210105, 3.0)], "sym string, date int, v double")
+    leaves.write_flows(flows, f"{tmp_path}/flows")
+    assert [r["v"] for r in leaves.read_flows(spark, f"{tmp_path}/flows", 20200101, 20201231, ["a"]).collect()] == [1.0]
+    plan = leaves.read_flows(spark, f"{tmp_path}/flows", 20210101)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    for _ in range(2):
+        store.write_entries(flows, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 6
+    values = panel(spark, walk(3, 20, 4), "value")
+    store.write_factor(values, f"{tmp_path}/f", "one")
+    assert store.read_factor(spark, f"{tmp_path}/f", "one", 3, 5, [1, 2]).count() == 6 and store.read_factor(spark, f"{tmp_path}/f", "one", on=[7]).count() == 4
+    assert store.recent(values, 5, 3).count() == 20 and store.recent(values, 50, 30).count() == 80
+    text = spark.createDataFrame([("so {\"a\": {\"b\": 1}} it is",), ("none {broken",), (None,)], "x string")
+    assert [r[0] for r in text.select(scalar.json_object(F.col("x"))).collect()] == ['{"a": {"b": 1}}', None, None]
+    curve = spark.createDataFrame([("k", i) for i in range(100)] + [("s", i) for i in range(4)], "key string, i long")
+    kept = rp.thinned(curve, ["key"], "i", 10).collect()
+    assert [r["i"] for r in kept if r["key"] == "k"] == [math.floor(j * 99 / 9) for j in range(10)] and sum(r["key"] == "s" for r in kept) == 4
+    assert [r[0] for r in spark.createDataFrame([(0.5,), (float("nan"),), (2.5,)], "x double").select(scalar.shown(F.col("x"), 0)).collect()] == [0.0, None, 2.0]
+
+
+def test_files_of_different_kinds_and_fingerprints(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/csv")
+    open(f"{tmp_path}/csv/a.csv", "w").write("code;date;buy\n600000.SH;20200131;1.5\n")
+    open(f"{tmp_path}/csv/b.csv", "w", encoding="GBK").write("code,date,buy,名\n1,2020-02-03,2,名\n600000,20200131,1,名\n")
+    got = {(r["sym"], r["date"]): r["buy"] for r in store.read_money_flows(spark, f"{tmp_path}/csv").collect()}
+    assert got == {("600000.XSHG", 20200131): 1.5, ("000001.XSHE", 20200203): 2.0}
+    one = store.fingerprint(spark, [f"{tmp_path}/csv"], store.upserted)
+    assert one == store.fingerprint(spark, [f"{tmp_path}/csv"], store.upserted) != store.fingerprint(spark, [f"{tmp_path}/csv"], store.latest)
+    open(f"{tmp_path}/csv/a.csv", "a").write("600001.SH;20200131;1.5\n")
+    assert one != store.fingerprint(spark, [f"{tmp_path}/csv"], store.upserted)
