@@ -49,7 +49,8 @@ def plan_records(pages: DataFrame, ident: str = "page_id", payload: str = "html"
     again = attach_groups(again, groups.where("copies > 1"), "sha", "copies").where(F.col("id") != F.col("first"))
     again = again.select("id", "sha", F.col("first").alias("refers")).distinct()
     held = slim.agg(F.sum("n"), F.count("*")).head()
-    files = max(1, math.ceil(((held[0] or 0) + 600 * held[1]) / FILE_BYTES))
+    # with fewer parts than the session's, Spark would deal the bodies a second time for the join
+    files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(((held[0] or 0) + 600 * held[1]) / FILE_BYTES))
     return rows.repartition(files, "id", "sha").join(again.repartition(files, "id", "sha"), ["id", "sha"], "left")
 
 
