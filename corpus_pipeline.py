@@ -1,4 +1,9 @@
-"""A training-data pipeline over ``documents``: each stage's rows are written as Parquet and read again as the next one's input."""
+"""A training-data pipeline over ``documents``: each stage's rows are written as Parquet and read again as the next one's input.
+
+Cases: null ids and null or empty texts pass all stages (null texts count as empty; one document without text stays after exact dedup);
+of rows that are equal in id and text one stays; very long texts are read whole; an empty table gives an empty result; further columns
+of ``documents``, whatever their names, pass all stages but the last.
+"""
 
 from __future__ import annotations
 

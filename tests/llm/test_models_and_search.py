@@ -387,3 +387,42 @@ def test_pipeline_stage_by_stage(spark, texts, tmp_path):
     assert set(ids[3]) <= set(ids[2]) and ids[4] == ids[3]
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()) == ids[4]
     assert math.isfinite(seen[4].agg(F.sum("score")).head()[0])
+
+
+def _odd_documents(spark, texts):
+    rows = [(i, t, lang, "ab"[i % 2]) for i, t, lang, _ in texts[:120]] + [(None, texts[0][1], "aa", "a"), (None, None, None, None), (None, "", None, "b"), (7, "", "aa", None), (7, None, "bb", "a"), (7, "other words of id seven", "aa", "a")]
+    rows += [(9, texts[9][1], "aa", "b")] * 3 + [(500, "ung " * 100_000, "bb", "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return table.withColumns({c: F.lit(1) for c in ("id", "row", "sha", "h", "node", "score", "kept", "__source", "__u", "__n", "lost", "n_chars")}), rows
+
+
+def test_stages_take_odd_rows(spark, texts, tmp_path):
+    table, rows = _odd_documents(spark, texts)
+    spark.createDataFrame([(i, y) for i, _, _, y in texts] + [(None, 1), (7, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (table, table.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            found = [(r["doc_id"], r["text"]) for r in out.collect()]
+            assert set(found) <= {(i, t) for i, t, *_ in rows}
+            if name == "exact_dedup" and docs is table:
+                assert len(found) == len({t or "" for _, t, *_ in rows}) and {t or "" for _, t in found} == {t or "" for _, t, *_ in rows}
+            if name == "minhash_near_dedup" and docs is table:
+                assert (7, "other words of id seven") in found and found.count((9, texts[9][1])) == 1
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert last.count() == docs.count()
+
+
+def test_null_and_repeated_ids_keep_their_rows(spark, texts):
+    table, rows = _odd_documents(spark, texts)
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in texts], "doc_id long, toxic int")
+    from stratapanel.llm import exactdedup, minhash, mixing
+
+    for made in (langid.identify(table), toxicity.assess(table, labels), pieces.encode_texts(table), mixing.mixture(table), pii.report(table), exactdedup.exact_groups(table), minhash.near_groups(table)):
+        ids = [r["doc_id"] for r in made.select("doc_id").collect()]
+        assert sorted(map(str, ids)) == sorted(str(r[0]) for r in rows)
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>").withColumns({"h": F.lit(1), "band": F.lit(2)})
+    found = sorted(((r["vec_id"] or 0, r["n_links"]) for r in embjoin.near_duplicates(vectors).collect()))
+    assert found == [(0, 0), (0, 0), (1, 1), (1, 1), (2, 0)]
+    words = spark.createDataFrame([("x", "one two three four five six"), ("y", "one two three four five six"), ("z", "seven words that are not the same")], "doc_id string, text string")
+    assert {r["doc_id"]: r["group_id"] for r in minhash.near_groups(words).collect()} == {"x": "x", "y": "x", "z": "z"}
