@@ -101,6 +101,14 @@ def gradient(w: np.ndarray, place: np.ndarray, sentence: np.ndarray, owner: np.n
     return np.bincount(place, g[sentence], minlength=len(w)), clean, marked
 
 
+def _with_words(live: np.ndarray, place: np.ndarray, sentence: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of live words, with the sentences that have one numbered anew."""
+    mine = np.flatnonzero(live[place])
+    seen = np.zeros(len(owner), bool)
+    seen[sentence[mine]] = True
+    return place[mine], (np.cumsum(seen, dtype=np.int32) - 1)[sentence[mine]], owner[seen]
+
+
 def _train(word: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
     used, place = np.unique(word, return_inverse=True)
     pairs = np.unique(owner[sentence] * np.int64(len(used)) + place)
@@ -111,7 +119,7 @@ def _train(word: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.
     w, acc = np.zeros(len(used)), np.full(len(used), 1e-8)
     noise, docs = 0.05, len(label)
     weight = weight * (docs / weight.sum())
-    some = (place, sentence, owner)
+    some, held = (place, sentence, owner), 0
     for number in range(STEPS):
         full = number % FULL == 0
         if full:
@@ -124,11 +132,11 @@ def _train(word: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.
         acc += gw * gw
         step = RATE * gw / np.sqrt(acc)
         w = np.where((w != 0) & (np.sign(w + step) == -np.sign(w)), 0.0, w + step)
-        if full:
+        live = w != 0
+        if full or live.sum() < 0.8 * held:
             # until the next full step: words with a weight, and the sentences that have one
-            mine = np.flatnonzero((w != 0)[place])
-            seen, at = np.unique(sentence[mine], return_inverse=True)
-            some = (place[mine], at, owner[seen])
+            from_ = (place, sentence, owner) if full else some
+            some, held = _with_words(live, *from_), live.sum()
         # one step of expectation-maximisation for the share of labels that are flipped
         flipped = np.where(label == 1, noise * clean / marked, noise * (1 - clean) / (1.0 - marked))
         noise = float(np.clip((flipped * weight).sum() / docs, 1e-4, 0.2))
