@@ -28,6 +28,12 @@ def daily_ic(rows: DataFrame, least: int = 50) -> DataFrame:
     return days.where(F.col("n") >= least)
 
 
+def eligible(rows: DataFrame, first: int | None = None, inside: Column | None = None) -> DataFrame:
+    """Rows from a date on, with the factor only where a symbol may be chosen; others keep their rows, so that windows stay whole."""
+    rows = rows if inside is None else rows.withColumn("f", F.when(F.coalesce(inside, F.lit(False)), F.col("f")))
+    return rows if first is None else rows.where(F.col(T) >= first)
+
+
 def ic_summary(days: DataFrame) -> DataFrame:
     sd = F.stddev_samp("ic")
     return days.agg(

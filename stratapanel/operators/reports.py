@@ -129,12 +129,28 @@ def sweep(traded: dict[int, DataFrame], costs: list[float], **least: int) -> Dat
     return out
 
 
-def picks(rows: DataFrame, at: int, n: int, member: Column | None = None) -> DataFrame:
-    """The n best names at a date that are in the pool and could be bought at the next row, with their size rank in the pool."""
-    day = rows.withColumn("can", F.lead("close", 1).over(line()).isNotNull()).where((F.col(T) == at) & F.col("f").isNotNull())
+def picks(rows: DataFrame, at: int, n: int, member: Column | None = None, limit: float = 0.1) -> DataFrame:
+    """The n best names at a date that are in the pool and can be bought at the next row, with their size rank among such names and,
+    for the tilt of the picks, the median of these ranks (0.5 is none)."""
+    day = bt.with_tradability(rows, limit).withColumn("can", F.coalesce(F.lead("buyable", 1).over(line()), F.lit(False)))
+    day = day.where((F.col(T) == at) & F.col("f").isNotNull() & F.col("can"))
     day = day.where(member) if member is not None else day
-    day = day.withColumn("size_pct", cs.cs_rank(F.col("mktcap"))).where("can")
-    return day.withColumn("place", F.row_number().over(Window.orderBy(F.col("f").desc(), F.col(SYM)))).where(F.col("place") <= n).select(SYM, T, "place", "size_pct")
+    day = day.withColumn("size_pct", cs.cs_rank(F.col("mktcap")))
+    day = day.withColumn("place", F.row_number().over(cs.section().orderBy(F.col("f").desc(), F.col(SYM)))).where(F.col("place") <= n)
+    return day.withColumn("tilt", F.percentile("size_pct", F.lit(0.5)).over(cs.section())).select(SYM, T, "place", "size_pct", "tilt")
+
+
+def combo_check(rows: DataFrame, pools: dict[str, Column], limit: float = 0.1, k: int = 3, **how) -> DataFrame:
+    """A factor in several pools, ranked inside each: its figures against the even and the weighted market, the size tilt, how many of ``k``
+    segments are positive, and whether it decays (the last segment below 0.6 of the first)."""
+    out = None
+    for name, member in pools.items():
+        traded = bt.trades(restricted(rows, member), limit=limit)
+        least = {c: v for c, v in how.items() if c != "least_periods"}
+        part = bt.segments(bt.periods(traded, **least), k).agg(F.count(F.when(F.col("excess") > 0, 1)).alias("positive"), (F.max(F.when(F.col("segment") == k, F.col("excess"))) < 0.6 * F.max(F.when(F.col("segment") == 1, F.col("excess")))).alias("decays"))
+        found = bt.record(traded, daily=False, **how).select(F.lit(name).alias("pool"), "ann_ex", "ann_ex_cw", "tilt", "calmar", "calmar_cw", "sharpe", "dd", "turn").crossJoin(part)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def crowding(rows: DataFrame, crowd: str, buckets: int = 5) -> DataFrame:
@@ -144,6 +160,19 @@ def crowding(rows: DataFrame, crowd: str, buckets: int = 5) -> DataFrame:
     return days.groupBy("bucket").agg(F.count("*").alias("days"), F.avg("m").alias("ret"), F.avg((F.col("m") > 0).cast("int")).alias("win"))
 
 
+def crowding_years(days: DataFrame, high: float = 0.95, low: float = 0.2) -> DataFrame:
+    """By year: how many dates (t, date, crowd, ret) are crowded or empty by their percentile over all dates, the forward return after
+    each, after all dates, and the spread; one row per date is ranked, so the window needs no key."""
+    order = Window.orderBy("crowd")
+    same = F.count(F.lit(1)).over(Window.partitionBy("crowd"))
+    known = days.where(F.col("crowd").isNotNull())
+    ranked = known.withColumn("pct", (F.rank().over(order) + (same - 1) / 2) / F.count(F.lit(1)).over(Window.partitionBy()))
+    mean = lambda test: F.avg(F.when(test, F.col("ret")))
+    hot, cold = F.col("pct") >= high, F.col("pct") <= low
+    out = ranked.groupBy(bt._year().alias("year")).agg(F.count(F.when(hot, 1)).alias("n_high"), mean(hot).alias("ret_high"), F.count(F.when(cold, 1)).alias("n_low"), mean(cold).alias("ret_low"), F.avg("ret").alias("ret"))
+    return out.where("n_high + n_low > 0").withColumn("spread", F.col("ret_high") - F.col("ret_low"))
+
+
 def breadth(panel: DataFrame, w: int = 20) -> DataFrame:
     """Share of names above their own mean, of rising names, and of names at their highest of ``w`` rows."""
     over = line().rowsBetween(-(w - 1), 0)

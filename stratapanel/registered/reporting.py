@@ -121,12 +121,12 @@ def _horizon_sql() -> str:
 
 
 def daily_picks(spark, sf_dir):
-    out = rp.picks(base_rows(spark, sf_dir), 60, 10, F.col("pool") != 4)
-    return out.select(SYM, F.col(T).cast("long").alias(T), F.col("place").cast("long").alias("place"), rounded(F.col("size_pct")).alias("size_pct"))
+    out = rp.picks(base_rows(spark, sf_dir), 60, 10, F.col("pool") != 4, _LIMIT)
+    return out.select(SYM, F.col(T).cast("long").alias(T), F.col("place").cast("long").alias("place"), rounded(F.col("size_pct")).alias("size_pct"), rounded(F.col("tilt")).alias("tilt"))
 
 
-_PICKS = f"""{base_sql()}, c AS (SELECT *, lead(close, 1) {_LINE} IS NOT NULL AS can FROM base), d AS (SELECT *, {pct('mktcap')} AS size_pct FROM c WHERE t = 60 AND f IS NOT NULL AND pool <> 4),
-e AS (SELECT *, row_number() OVER (ORDER BY f DESC, sym) AS place FROM d WHERE can) SELECT sym, CAST(t AS BIGINT) AS t, place, {r('size_pct')} AS size_pct FROM e WHERE place <= 10"""
+_PICKS = f"""{base_sql()}, b AS (SELECT *, lag(close) {_LINE} AS pc FROM base), c AS (SELECT *, lead(coalesce(close > 0 AND turnover > 0 AND (pc IS NULL OR close < pc * 1.5 - 1e-6), false), 1) {_LINE} AS can FROM b), d AS (SELECT *, {pct('mktcap')} AS size_pct FROM c WHERE t = 60 AND f IS NOT NULL AND pool <> 4 AND can),
+e AS (SELECT *, row_number() OVER (ORDER BY f DESC, sym) AS place FROM d) SELECT sym, CAST(t AS BIGINT) AS t, place, {r('size_pct')} AS size_pct, {r('(SELECT quantile_cont(size_pct, 0.5) FROM e WHERE place <= 10)')} AS tilt FROM e WHERE place <= 10"""
 
 
 def crowding(spark, sf_dir):
@@ -138,6 +138,28 @@ _CROWDING = f"""{base_sql()}, d AS (SELECT t, avg(turn_ratio) AS c, avg(r) AS m
 SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS days, {r('avg(m)')} AS ret, {r('avg(CASE WHEN m > 0 THEN 1 ELSE 0 END)')} AS win FROM k GROUP BY bucket"""
 
 
+def crowding_years(spark, sf_dir):
+    days = base_rows(spark, sf_dir).groupBy(T).agg(F.max("date").alias("date"), F.avg("turn_ratio").alias("crowd"), F.avg("r").alias("ret"))
+    return _shown(rp.crowding_years(days, 0.8, 0.3), ("ret_high", "ret_low", "ret", "spread"), ("year", "n_high", "n_low"))
+
+
+_CROWD_YEARS = f"""{base_sql()}, d AS (SELECT t, any_value(date) AS date, avg(turn_ratio) AS c, avg(r) AS m FROM base GROUP BY t), k AS (SELECT date // 100 AS year, m, (rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0) / count(*) OVER () AS p FROM d WHERE c IS NOT NULL),
+y AS (SELECT year, count(*) FILTER (WHERE p >= 0.8) AS n_high, avg(m) FILTER (WHERE p >= 0.8) AS a, count(*) FILTER (WHERE p <= 0.3) AS n_low, avg(m) FILTER (WHERE p <= 0.3) AS b, avg(m) AS m FROM k GROUP BY year)
+SELECT CAST(year AS BIGINT) AS year, n_high, n_low, {r('a')} AS ret_high, {r('b')} AS ret_low, {r('m')} AS ret, {r('a - b')} AS spread FROM y WHERE n_high + n_low > 0"""
+
+
+def eligible_ic(spark, sf_dir):
+    rows = ev.eligible(base_rows(spark, sf_dir), 20, F.col("turnover") > 200_000)
+    return _shown(ev.daily_ic(rows, 10), ("ic",), (T, "n"))
+
+
+def _eligible_sql() -> str:
+    from .across import avg_rank
+
+    return f"""{base_sql()}, p AS (SELECT t, {avg_rank('f')} AS x, {avg_rank('r')} AS y FROM base WHERE f IS NOT NULL AND r IS NOT NULL AND t >= 20 AND turnover > 200000)
+SELECT CAST(t AS BIGINT) AS t, count(*) AS n, {r(_corr('x', 'y'))} AS ic FROM p GROUP BY t HAVING count(*) >= 10"""
+
+
 def breadth(spark, sf_dir):
     return _shown(rp.breadth(panels.lineitem_panel(spark, sf_dir)), ("above", "up", "high"), (T, "n"))
 
@@ -196,6 +218,8 @@ QUERIES = {
     "horizon_sweep": (horizon_sweep, _horizon_sql()),
     "daily_picks": (daily_picks, _PICKS),
     "crowding": (crowding, _CROWDING),
+    "crowding_years": (crowding_years, _CROWD_YEARS),
+    "eligible_ic": (eligible_ic, _eligible_sql()),
     "market_breadth": (breadth, _BREADTH),
     "cross_review": (cross_review, _REVIEW),
     "library_kpi": (library_kpi, _KPI),

@@ -160,6 +160,24 @@ UNION ALL SELECT 'decile', CAST(CAST(d AS INT) AS VARCHAR), {r('avg(ret)')} FROM
 UNION ALL SELECT 'style', style, {r('avg(c)')} FROM ({base_sql()}, k AS ({style}) SELECT style, {_corr('x', 'y')} AS c FROM k WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY style, t HAVING count(*) >= 20) GROUP BY style"""
 
 
+_POOLS = {"all": "true", "west": "pool IN (1, 2)", "rest": "pool IN (0, 3, 4)"}
+
+
+def combo_check(spark, sf_dir):
+    """The factor in three pools, with tilt, segments and decay."""
+    out = rp.combo_check(base_rows(spark, sf_dir), {k: F.expr(v) for k, v in _POOLS.items()}, _LIMIT, least_periods=10, **_LEAST)
+    return out.select("pool", *[rounded(F.col(c)).alias(c) for c in ("ann_ex", "ann_ex_cw", "tilt", "calmar", "turn")], "positive", "decays")
+
+
+def _combo_sql() -> str:
+    def part(name: str, test: str) -> str:
+        per = _per_sql(f=f"CASE WHEN {test} THEN f END")
+        cuts = f"{per}, cut AS (SELECT excess, ntile(3) OVER (ORDER BY t) AS k FROM per) SELECT k, product(1 + excess) - 1 AS x FROM cut GROUP BY k"
+        return f"SELECT '{name}' AS pool, ann_ex, ann_ex_cw, tilt, calmar, turn, (SELECT count(*) FROM ({cuts}) WHERE x > 0) AS positive, (SELECT max(x) FILTER (WHERE k = 3) < 0.6 * max(x) FILTER (WHERE k = 1) FROM ({cuts})) AS decays FROM ({_record_sql(per + _MARKS_CTES)})"
+
+    return " UNION ALL ".join(part(k, v) for k, v in _POOLS.items())
+
+
 # Libraries of factors: supplier figures stand for the records of factors, nations for their pools.
 
 
@@ -215,6 +233,7 @@ QUERIES = {
     "decile_curves": (decile_curves, _CURVES),
     "style_years": (style_years, _style_years_sql()),
     "standard_report": (standard_report, _report_sql()),
+    "combo_check": (combo_check, _combo_sql()),
     "library_views": (library_views, _VIEWS),
     "strip_audit": (strip_audit, _AUDIT),
     "recent_rows": (recent_rows, _recent_sql()),
