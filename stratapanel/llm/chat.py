@@ -50,7 +50,12 @@ def unescape(text: Column, also: tuple[tuple[str, str], ...] = ()) -> Column:
 def text_parts(text: str) -> Column:
     """A plain text column as one text part."""
     none = F.lit(None)
-    return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(F.col(text), F.lit("")).alias("text"), none.cast("string").alias("ref"), none.cast("int").alias("tokens")))
+    return F.array(
+        F.struct(
+            F.lit("text").alias("kind"), F.coalesce(F.col(text), F.lit("")).alias("text"), none.cast("string").alias("ref"),
+            none.cast("int").alias("tokens"),
+        )
+    )
 
 
 def _visit(part: Column) -> Column:
@@ -68,18 +73,29 @@ def _expanded(part: Column) -> Column:
     return F.when(part["kind"].isin(*PLACEHOLDERS), F.coalesce(part["tokens"], tokens)).otherwise(words)
 
 
-def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str | Column = "parts") -> DataFrame:
+def format_turns(
+    turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str | Column = "parts",
+) -> DataFrame:
     """One row per conversation: ``formatted``, ``loss_runs``, ``attachments`` and ``expanded_tokens``.
 
     Attachments are structs (turn, position among the turn's parts, kind, ref, tokens) in the order of their placeholders.
     """
     parts = F.col(parts) if isinstance(parts, str) else parts
     lone = F.when(F.col(conv).isNull(), F.monotonically_increasing_id())
-    rows = turns.select(F.col(conv).alias("__conv"), lone.alias("__lone"), F.col(turn).alias("__turn"), F.coalesce(F.col(role), F.lit("")).alias("__role"), F.coalesce(parts, F.array()).alias("__parts"))
+    rows = turns.select(
+        F.col(conv).alias("__conv"), lone.alias("__lone"), F.col(turn).alias("__turn"), F.coalesce(F.col(role), F.lit("")).alias("__role"),
+        F.coalesce(parts, F.array()).alias("__parts"),
+    )
     head = F.concat(F.lit(TURN), F.replace(escape(F.col("__role")), F.lit("\n"), F.lit(_LINE)), F.lit("\n"))
     rows = rows.withColumns({"__head": head, "__body": F.array_join(F.transform("__parts", _visit), "")})
     held = F.filter(
-        F.transform("__parts", lambda p, i: F.struct(F.col("__turn").alias("turn"), i.alias("position"), p["kind"].alias("kind"), p["ref"].alias("ref"), _expanded(p).cast("long").alias("tokens"))),
+        F.transform(
+            "__parts", lambda p,
+            i: F.struct(
+                F.col("__turn").alias("turn"), i.alias("position"), p["kind"].alias("kind"), p["ref"].alias("ref"),
+                _expanded(p).cast("long").alias("tokens"),
+            ),
+        ),
         lambda x: x["kind"].isin(*PLACEHOLDERS),
     )
     spent = F.aggregate("__parts", F.lit(0).cast("long"), lambda n, p: n + _expanded(p))

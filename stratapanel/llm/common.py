@@ -132,7 +132,9 @@ def surviving(docs: DataFrame, ident: str, text: str, decided: DataFrame) -> Dat
     whether it stays, and the number of rows with its text.  Of rows that are equal in id and text one stays."""
     decided = materialise(decided, "decided")
     lost = decided.where("not kept").select(F.col("id").alias("lost"), F.col("sha").alias("lost_sha")).distinct()
-    again = decided.where("kept and copies > 1").groupBy(F.col("id").alias("lost"), F.col("sha").alias("lost_sha")).agg(F.count("*").alias("n")).where("n > 1")
+    again = decided.where("kept and copies > 1").groupBy(
+        F.col("id").alias("lost"), F.col("sha").alias("lost_sha"),
+    ).agg(F.count("*").alias("n")).where("n > 1")
     rows = packed(docs, id=F.col(ident), sha=F.sha2(text_of(text), 256))
     same = F.col("id").eqNullSafe(F.col("lost")) & (F.col("sha") == F.col("lost_sha"))
     rows = rows.join(lost, same, "left_anti")

@@ -192,13 +192,21 @@ def _joiner(width: int, axes: np.ndarray, least: float, kind: str) -> Callable[[
                 root = root[root]
         some = links > 0
         tied = np.flatnonzero(root != np.arange(na + nb))
-        return pd.DataFrame({"id": np.concatenate([ids[some], ids[tied]]), "links": np.concatenate([links[some], np.zeros(len(tied), np.int64)]), "other": np.concatenate([ids[some], ids[root[tied]]])})
+        return pd.DataFrame(
+            {
+                "id": np.concatenate([ids[some], ids[tied]]), "links": np.concatenate([links[some], np.zeros(len(tied), np.int64)]),
+                "other": np.concatenate([ids[some], ids[root[tied]]]),
+            }
+        )
 
     return pair
 
 
 def _near(dims: int, eps: float) -> F.Column:
-    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"bhi{k}"), F.col(f"blo{k}") - F.col(f"hi{k}")), 2) for k in range(dims)), F.lit(0.0))
+    gap = sum(
+        (F.pow(F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"bhi{k}"), F.col(f"blo{k}") - F.col(f"hi{k}")), 2) for k in range(dims)),
+        F.lit(0.0),
+    )
     return gap <= eps * eps + _SLACK
 
 
@@ -208,7 +216,10 @@ def _cells(lo: str, hi: str, eps: float, wide: int) -> F.Column:
 
 
 def _other(boxes: DataFrame, dims: int, key: str, name: str) -> DataFrame:
-    return boxes.select(F.col(key).alias(name), *[F.col(f"lo{k}").alias(f"blo{k}") for k in range(dims)], *[F.col(f"hi{k}").alias(f"bhi{k}") for k in range(dims)])
+    return boxes.select(
+        F.col(key).alias(name), *[F.col(f"lo{k}").alias(f"blo{k}") for k in range(dims)],
+        *[F.col(f"hi{k}").alias(f"bhi{k}") for k in range(dims)],
+    )
 
 
 def band_pairs(bands: DataFrame, dims: int, eps: float) -> DataFrame:
@@ -223,23 +234,38 @@ def band_pairs(bands: DataFrame, dims: int, eps: float) -> DataFrame:
 
 def needed_segments(boxes: DataFrame, bands: DataFrame, pairs: DataFrame, dims: int, eps: float) -> DataFrame:
     """``a, b, seg``: the segments of either band of a pair that come within eps of the other band's box."""
-    both = pairs.select("a", "b", F.col("a").alias("band"), F.col("b").alias("far")).unionByName(pairs.where("a < b").select("a", "b", F.col("b").alias("band"), F.col("a").alias("far")))
+    both = pairs.select("a", "b", F.col("a").alias("band"), F.col("b").alias("far")).unionByName(
+        pairs.where("a < b").select("a", "b", F.col("b").alias("band"), F.col("a").alias("far"))
+    )
     far = _other(bands, dims, "band", "far")
     return both.join(boxes, "band").join(far, "far").where(_near(dims, eps)).select("a", "b", "seg")
 
 
-def near_duplicates(rows: DataFrame, ident: str = "vec_id", vec: str = "embedding", least: float = 0.9, leading: int = LEADING, segment: int = SEGMENT, bands: int = 1) -> DataFrame:
+def near_duplicates(
+    rows: DataFrame, ident: str = "vec_id", vec: str = "embedding", least: float = 0.9, leading: int = LEADING, segment: int = SEGMENT,
+    bands: int = 1,
+) -> DataFrame:
     """One row per vector: the id, ``n_links`` (other vectors with cosine >= ``least``), ``component_id``, ``kept``.  ``bands``: at least so many."""
     small_batches(rows.sparkSession, 5000)
     good = _usable(vec) & F.col(ident).isNotNull()
     single = isinstance(rows.schema[vec].dataType, ArrayType) and isinstance(rows.schema[vec].dataType.elementType, FloatType)
     of, kind = ("array<float>", "<f4") if single else ("array<double>", "<f8")
-    slim = rows.select(F.col(ident).alias("id"), F.when(good, F.xxhash64(F.col(vec).cast(of))).alias("h"), F.when(good, F.col(vec).cast(of)).alias("vec"))
-    classes = materialise(slim.where("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("h", F.xxhash64("vec")), "ego-classes")
+    slim = rows.select(
+        F.col(ident).alias("id"), F.when(good, F.xxhash64(F.col(vec).cast(of))).alias("h"), F.when(good, F.col(vec).cast(of)).alias("vec"),
+    )
+    classes = materialise(
+        slim.where("vec is not null").groupBy("vec").agg(
+            F.min("id").alias("rep"), F.count("*").alias("n"),
+        ).withColumn("h", F.xxhash64("vec")),
+        "ego-classes",
+    )
     whole = rows.select(F.col(ident).alias("id"))
     width = classes.agg(F.max(F.size("vec"))).head()[0]
     if width is None:
-        return whole.select(F.col("id").alias(ident), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+        return whole.select(
+            F.col("id").alias(ident), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"),
+            F.lit(True).alias("kept"),
+        )
     eps = math.sqrt(max(1e-6, 2.0 - 2.0 * least))
     axes = principal_directions(classes, width, max(2, leading))
     dims = axes.shape[1] + 1
@@ -256,9 +282,14 @@ def near_duplicates(rows: DataFrame, ident: str = "vec_id", vec: str = "embeddin
     ordered = placed.repartitionByRange(least_bands, "cell", "proj", "rep").sortWithinPartitions("cell", "proj", "rep")
     spans = ", ".join(f"{s}{k} double" for s in ("lo", "hi") for k in range(dims))
     cut = ordered.mapInPandas(_cutter(width, axes, segment, kind), f"seq int, ids array<long>, copies array<long>, raw binary, {spans}")
-    cut = materialise(cut.withColumn("band", F.spark_partition_id()).withColumn("seg", F.col("band").cast("long") * (1 << 32) + F.col("seq")), "ego-segments")
+    cut = materialise(
+        cut.withColumn("band", F.spark_partition_id()).withColumn("seg", F.col("band").cast("long") * (1 << 32) + F.col("seq")),
+        "ego-segments",
+    )
     boxes = cut.drop("ids", "copies", "raw", "seq")
-    bands = boxes.groupBy("band").agg(*[F.min(f"lo{k}").alias(f"lo{k}") for k in range(dims)], *[F.max(f"hi{k}").alias(f"hi{k}") for k in range(dims)])
+    bands = boxes.groupBy("band").agg(
+        *[F.min(f"lo{k}").alias(f"lo{k}") for k in range(dims)], *[F.max(f"hi{k}").alias(f"hi{k}") for k in range(dims)],
+    )
     bands = materialise(bands, "ego-bands")
     pairs = materialise(band_pairs(bands, dims, eps), "ego-pairs")
     need = needed_segments(boxes, bands, pairs, dims, eps)
@@ -269,11 +300,22 @@ def near_duplicates(rows: DataFrame, ident: str = "vec_id", vec: str = "embeddin
     found = materialise(found, "ego-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(found, "id", "other")
-    state = classes.select("h", "vec", "rep", "n").join(links, F.col("rep") == links["id"], "left").drop("id").join(comps, F.col("rep") == comps["node"], "left")
-    state = state.select("h", "vec", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    state = classes.select("h", "vec", "rep", "n").join(links, F.col("rep") == links["id"], "left").drop("id").join(
+        comps, F.col("rep") == comps["node"], "left",
+    )
+    state = state.select(
+        "h", "vec", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"),
+        F.coalesce("component", "rep").alias("component_id"),
+    )
     state = materialise(state, "ego-state")
     # a class is found by the hash of its vector; classes that share a hash, should there be any, also by the vector itself
-    alone = materialise(state.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max("n_links").alias("n_links"), F.max("component_id").alias("component_id")), "ego-hashes")
+    alone = materialise(
+        state.groupBy("h").agg(
+            F.count("*").alias("classes"), F.sum("n").alias("n"), F.max("n_links").alias("n_links"),
+            F.max("component_id").alias("component_id"),
+        ),
+        "ego-hashes",
+    )
     keys = slim.select("id", "h")
     out = attach_groups(keys, alone.where("classes = 1").drop("classes"), "h", "n").select("id", "n_links", "component_id")
     if alone.where("classes > 1").head(1):

@@ -77,12 +77,18 @@ def build_index(rows: DataFrame, texts: DataFrame, capacity: int = CAPACITY) ->
 
     A link of a chain is ``bucket, h, link, sha, n, keep``; links are written owner by owner, in order of bucket and hash.
     """
-    entries = materialise(rows.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keep"), F.max("sha").alias("sha")), "hash-entries")
+    entries = materialise(
+        rows.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keep"), F.max("sha").alias("sha")), "hash-entries",
+    )
     slots, depth = directory(entries.select("h"), capacity)
     repeated = entries.where("n > 1").select("h")
     # copies fold in the map tasks, before the join, so that no group of copies meets in one task
-    compared = likely_among(texts, repeated, "h").groupBy("h", "body").agg(F.count("*").alias("n"), F.max("id").alias("keep")).join(repeated, "h", "left_semi")
-    links = entries.where("n = 1").select("h", "sha", "n", "keep").unionByName(compared.select("h", F.sha2("body", 256).alias("sha"), "n", "keep"))
+    compared = likely_among(texts, repeated, "h").groupBy("h", "body").agg(
+        F.count("*").alias("n"), F.max("id").alias("keep"),
+    ).join(repeated, "h", "left_semi")
+    links = entries.where("n = 1").select("h", "sha", "n", "keep").unionByName(
+        compared.select("h", F.sha2("body", 256).alias("sha"), "n", "keep")
+    )
     placed = _placed(links, slots, depth)
     owners = max(1, math.ceil(entries.count() / PER_OWNER))
     placed = placed.repartitionByRange(owners, "bucket", "h").sortWithinPartitions("bucket", "h", "sha")
@@ -98,10 +104,16 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", cap
     at = lambda df: df.select(F.struct("bucket", "h", "sha").alias("at"), *[c for c in df.columns if c not in ("bucket", "h", "sha")])
     found = attach_groups(at(_placed(rows, slots, depth)), at(index), "at", "n")
     kept = F.col("id").eqNullSafe(F.col("keep")).alias("kept")
-    return found.select(F.col("id").alias(ident), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), kept, F.col("at.sha").alias("text_sha256"))
+    return found.select(
+        F.col("id").alias(ident), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), kept,
+        F.col("at.sha").alias("text_sha256"),
+    )
 
 
 def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row, of the largest id, for each text.  A row is told by its id and text, not by its id alone."""
     groups = exact_groups(docs, ident, text)
-    return surviving(docs, ident, text, groups.select(F.col(ident).alias("id"), F.col("text_sha256").alias("sha"), "kept", F.col("group_size").alias("copies")))
+    return surviving(
+        docs, ident, text,
+        groups.select(F.col(ident).alias("id"), F.col("text_sha256").alias("sha"), "kept", F.col("group_size").alias("copies")),
+    )

@@ -198,7 +198,9 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from the rows where ``learnable`` holds and the label is present."""
     small_batches(docs.sparkSession)
-    known = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("label"))
+    known = docs.where(
+        learnable & F.col(lang).isNotNull() & F.col(text).isNotNull()
+    ).select(F.col(text).alias("text"), F.col(lang).alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     langs = sorted(counts)
     if not langs:

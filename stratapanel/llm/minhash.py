@@ -138,7 +138,12 @@ def _sketches(bands: int, rows: int, weighted: bool):
                 flat = np.pad(flat, ((0, 0), (0, -weighed % 64)))
                 bits = np.packbits(flat, axis=1).view(np.int64)
                 part = slice(at, at + len(texts))
-                yield pd.DataFrame({"id": ids.iloc[part].to_numpy(), "sha": batch["sha"].iloc[part].to_numpy(), "n": n, "fp1": prints[0], "fp2": prints[1], "bands": list(band.view(np.int64)), "bits": list(bits)})
+                yield pd.DataFrame(
+                    {
+                        "id": ids.iloc[part].to_numpy(), "sha": batch["sha"].iloc[part].to_numpy(), "n": n, "fp1": prints[0],
+                        "fp2": prints[1], "bands": list(band.view(np.int64)), "bits": list(bits),
+                    }
+                )
 
     return run
 
@@ -160,7 +165,9 @@ def _sets(weighted: bool):
     return run
 
 
-def sketch(docs: DataFrame, ident: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def sketch(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, weighted: bool = False,
+) -> DataFrame:
     """``id``, the SHA-256 of the text ``sha``, number of shingles ``n``, a 128-bit print of the shingle set (``fp1``, ``fp2``), the band hashes
     ``bands``, and one bit of each weighed coordinate in the words ``bits``.
 
@@ -169,7 +176,9 @@ def sketch(docs: DataFrame, ident: str = "doc_id", text: str = "text", bands: in
     small_batches(docs.sparkSession)
     rows_ = docs.select(F.col(ident).alias("id"), F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
     kind = rows_.schema["id"].dataType.simpleString()
-    return rows_.mapInPandas(_sketches(bands, rows, weighted), f"id {kind}, sha string, n long, fp1 long, fp2 long, bands array<long>, bits array<long>")
+    return rows_.mapInPandas(
+        _sketches(bands, rows, weighted), f"id {kind}, sha string, n long, fp1 long, fp2 long, bands array<long>, bits array<long>",
+    )
 
 
 def _similar(s: str, t: str, least: float) -> F.Column:
@@ -199,11 +208,16 @@ def _most_off(k: int, least: float, miss: float = MISS) -> int:
 def _likely(words: int, k: int, least: float) -> F.Column:
     """Whether the bits ``x0 ..`` and ``y0 ..`` may be those of a link: each agrees with a probability of (1 + similarity) / 2."""
     most = _most_off(k, least)
-    off = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, words)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    off = sum(
+        (F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, words)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))),
+    )
     return off <= most
 
 
-def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8, weighted: bool = False) -> DataFrame:
+def near_groups(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS,
+    spare: int = 2000, rounds: int = 8, weighted: bool = False,
+) -> DataFrame:
     """One row per document: the id, ``class_id`` (smallest id with the same shingle set), ``group_id`` (smallest id of its
     component of links), ``kept`` (id = group_id, and of different texts with that id the one with the smallest SHA-256).
 
@@ -215,7 +229,10 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", leas
     return found.select(F.col("id").alias(ident), "class_id", "group_id", "kept")
 
 
-def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8, weighted: bool = False) -> DataFrame:
+def _grouped(
+    docs: DataFrame, ident: str, text: str, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spare: int = 2000, rounds: int = 8,
+    weighted: bool = False,
+) -> DataFrame:
     """``id, sha, class_id, group_id, kept, copies`` of every row; ``copies`` have its shingles.  Classes go by the number of one of their rows, as ids may repeat or be null."""
     weighed = _weighed(bands * rows)
     words = -(-weighed // 64)
@@ -223,7 +240,9 @@ def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands
     likely = _likely(words, weighed, least)
     made = materialise(sketch(docs, ident, text, bands, rows, weighted).withColumn("row", F.monotonically_increasing_id()), "dart-sketches")
     stays = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("stays")
-    classes = materialise(made.where("n > 0").groupBy("fp1", "fp2").agg(F.min("row").alias("rep"), stays, F.count("*").alias("copies")), "dart-classes")
+    classes = materialise(
+        made.where("n > 0").groupBy("fp1", "fp2").agg(F.min("row").alias("rep"), stays, F.count("*").alias("copies")), "dart-classes",
+    )
     one = made.where("n > 0").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     one = one.select(F.col("row").alias("id"), "sha", "bands", *[F.col("bits")[i].alias(x[i]) for i in range(words)])
     placed = one.select("id", F.explode("bands").alias("key"), *x)
@@ -233,7 +252,9 @@ def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands
     lead = mates.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("neg"), *x)).alias("top"))
     lead = lead.select("key", (-F.col("top.neg")).alias("lead"), *[F.col(f"top.{c}").alias(d) for c, d in zip(x, y, strict=True)])
     pair = [F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")]
-    tried = materialise(mates.join(lead, (mates["key"] == lead["key"]) & (F.col("id") != F.col("lead")) & likely).select(*pair).distinct(), "dart-pairs")
+    tried = materialise(
+        mates.join(lead, (mates["key"] == lead["key"]) & (F.col("id") != F.col("lead")) & likely).select(*pair).distinct(), "dart-pairs",
+    )
     need = one.select(F.col("id").alias("node"), "sha").join(mates.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     need = materialise(need, "dart-need")
     texts = docs.select(F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
@@ -243,9 +264,13 @@ def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands
     links = materialise(_verified(tried, sets, least), "dart-links")
     for number in range(rounds + 1):
         comps = connected_components(links, "a", "b")
-        state = mates.drop("m").join(comps, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"), *x)
+        state = mates.drop("m").join(comps, F.col("id") == F.col("node"), "left").select(
+            "key", "id", F.coalesce("component", "id").alias("comp"), *x,
+        )
         held = state.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = held.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max(F.struct("c", "comp")).alias("main")).where("m * m > q")
+        mixed = held.groupBy("key").agg(
+            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max(F.struct("c", "comp")).alias("main"),
+        ).where("m * m > q")
         state = materialise(state.join(mixed.select("key", "m", "q", F.col("main.comp").alias("main")), "key"), "dart-open")
         # each of the m rows of a bucket stands for its share of the bucket's open pairs
         left = state.agg(F.count("*"), F.sum((F.col("m") * F.col("m") - F.col("q")) / (2 * F.col("m")))).head()
@@ -255,13 +280,19 @@ def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands
         if last:
             # the sets travel with the rows, so that the join itself gives links only, however many pairs are close to one
             left_ = state.select("key", "id", "comp", *x).join(sets, "id")
-            right = left_.select(F.col("key").alias("k2"), F.col("id").alias("lead"), F.col("comp").alias("at"), F.col("s").alias("s2"), *[F.col(c).alias(d) for c, d in zip(x, y, strict=True)])
+            right = left_.select(
+                F.col("key").alias("k2"), F.col("id").alias("lead"), F.col("comp").alias("at"), F.col("s").alias("s2"),
+                *[F.col(c).alias(d) for c, d in zip(x, y, strict=True)],
+            )
             met = (F.col("key") == F.col("k2")) & (F.col("id") < F.col("lead")) & (F.col("comp") != F.col("at")) & likely & _similar("s", "s2", least)
             more = materialise(left_.join(right, met).select(*pair).distinct(), "dart-links")
         else:
             turn = F.struct(F.xxhash64("id", "key", F.lit(number)).alias("turn"), "id", "comp", *x)
             other = state.where("comp != main").groupBy("key").agg(F.min(turn).alias("p"))
-            other = other.select("key", F.col("p.id").alias("lead"), F.col("p.comp").alias("at"), *[F.col(f"p.{c}").alias(d) for c, d in zip(x, y, strict=True)])
+            other = other.select(
+                "key", F.col("p.id").alias("lead"), F.col("p.comp").alias("at"),
+                *[F.col(f"p.{c}").alias(d) for c, d in zip(x, y, strict=True)],
+            )
             met = (state["key"] == other["key"]) & (F.col("comp") != F.col("at")) & likely
             fresh = materialise(state.join(other, met).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "dart-pairs")
             more = materialise(_verified(fresh, sets, least), "dart-links")
@@ -279,7 +310,10 @@ def _grouped(docs: DataFrame, ident: str, text: str, least: float = LEAST, bands
     kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("sha") == F.col("head.sha"))
     found = attach_groups(rows_, materialise(keyed, "dart-groups"), "fp", "copies")
     found = found.select("id", "sha", F.col("stays.id").alias("class_id"), F.col("head.id").alias("group_id"), kept.alias("kept"), "copies")
-    none = made.where("n = 0").select("id", "sha", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("copies"))
+    none = made.where("n = 0").select(
+        "id", "sha", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(True).alias("kept"),
+        F.lit(1).cast("long").alias("copies"),
+    )
     return found.unionByName(none)
 
 

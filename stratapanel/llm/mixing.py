@@ -72,15 +72,22 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3
     joined = sizes.join(per, sizes["__source"].eqNullSafe(per["__source"])).drop(sizes["__source"])
     keys = ["__source", "__source_size", "__target", "__whole", "__cut"]
     sums = joined.groupBy(*keys).agg(*[F.sum(F.col("__size") * (F.col("__whole") + _one_more(j))).alias(f"__t{j}") for j in range(SHIFTS)])
-    off = F.array(*[F.struct(F.abs(F.col(f"__t{j}") - F.col("__target")).alias("off"), F.lit(j).cast("long").alias("shift")) for j in range(SHIFTS)])
+    off = F.array(
+        *[F.struct(F.abs(F.col(f"__t{j}") - F.col("__target")).alias("off"), F.lit(j).cast("long").alias("shift")) for j in range(SHIFTS)]
+    )
     return sums.select(*keys, F.array_min(off)["shift"].alias("__shift"))
 
 
 def sized(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return docs.select(F.col(ident).alias("__id"), F.col(source).alias("__source"), word_count(text).alias("__size"), unit_hash(ident).alias("__u"))
+    return docs.select(
+        F.col(ident).alias("__id"), F.col(source).alias("__source"), word_count(text).alias("__size"), unit_hash(ident).alias("__u"),
+    )
 
 
-def mixture(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+def mixture(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1),
+    most: float = 3.0,
+) -> DataFrame:
     """One row per document with its size, its source's size and target, the copies the mix takes and their words."""
     sizes = materialise(sized(docs, ident, text, source), "mix-sizes")
     return _decided(sizes, plan(sizes, weights, most)).select(
@@ -91,10 +98,15 @@ def mixture(docs: DataFrame, ident: str = "doc_id", text: str = "text", source:
 
 def _decided(rows: DataFrame, per: DataFrame) -> DataFrame:
     per = per.withColumnRenamed("__source", "__of")
-    return rows.join(per, rows["__source"].eqNullSafe(per["__of"])).drop("__of").withColumn("__copies", F.col("__whole") + _one_more(F.col("__shift")))
+    return rows.join(per, rows["__source"].eqNullSafe(per["__of"])).drop("__of").withColumn(
+        "__copies", F.col("__whole") + _one_more(F.col("__shift")),
+    )
 
 
-def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+def mix(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1),
+    most: float = 3.0,
+) -> DataFrame:
     """The mix itself: every row of ``docs``, with its own columns, as often as the mix takes it."""
     sizes = materialise(sized(docs, ident, text, source), "mix-sizes")
     rows = packed(docs, __source=F.col(source), __u=unit_hash(ident))

@@ -264,7 +264,10 @@ def encode_batch(vocab: dict, memory: dict, texts: list[str | None], n: int) ->
             lattice.append([(k, s - options[0][0], (c, j, i)) for j, (s, i) in enumerate(options)])
         total = float(scores[lo:hi].sum())
         paths = n_best(lattice, n) if hi > lo else [(0.0, [])]
-        yield Encoding(out[after[lo] : after[hi]], [total + s for s, _ in paths], after[lo + 1 : hi + 1] - after[lo], [{c: i for c, j, i in labels if j} for _, labels in paths[1:]])
+        yield Encoding(
+            out[after[lo] : after[hi]], [total + s for s, _ in paths], after[lo + 1 : hi + 1] - after[lo],
+            [{c: i for c, j, i in labels if j} for _, labels in paths[1:]],
+        )
 
 
 def encode(vocab: dict, memory: dict, text: str | None, n: int) -> Encoding:
@@ -282,7 +285,9 @@ def _broadcast(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast({"vocab": load(path), "memory": new_memory()})
 
 
-def encode_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = 4, path: str = MODEL, alternatives: bool = False) -> DataFrame:
+def encode_texts(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = 4, path: str = MODEL, alternatives: bool = False,
+) -> DataFrame:
     """``ident``, ``ids`` of the best segmentation, ``n_pieces``, ``score``, ``nbest_scores``, ``round_trip`` (decoding gives the text).
 
     ``alternatives`` adds ``nbest_edits``: the other segmentations, in order of score, as edits of the best one, which replace its ids from
@@ -298,15 +303,24 @@ def encode_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
                 found = list(encode_batch(vocab, memory, texts, n))
                 scores = [e.scores for e in found]
                 fine = [decode(vocab, e.ids.tolist()) == body and (not alternatives or _same_text(vocab, e)) for body, e in zip(texts, found, strict=True)]
-                out = [batch.column(0).slice(at, len(texts)), _lists([e.ids for e in found]), pa.array([len(e.ids) for e in found], pa.int64())]
-                out += [pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(fine, pa.bool_())]
+                out = [
+                    batch.column(0).slice(at, len(texts)), _lists([e.ids for e in found]),
+                    pa.array([len(e.ids) for e in found], pa.int64()),
+                ]
+                out += [
+                    pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(fine, pa.bool_()),
+                ]
                 if alternatives:
                     out.append(pa.array([e.edits() for e in found], _EDITS))
-                yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "n_pieces", "score", "nbest_scores", "round_trip", *(["nbest_edits"] * alternatives)])
+                yield pa.RecordBatch.from_arrays(
+                    out, names=["id", "ids", "n_pieces", "score", "nbest_scores", "round_trip", *(["nbest_edits"] * alternatives)],
+                )
 
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_pieces long, score double, nbest_scores array<double>, round_trip boolean"
-    return rows.mapInArrow(run, schema + ", nbest_edits array<array<struct<start: int, stop: int, ids: array<int>>>>" * alternatives).withColumnRenamed("id", ident)
+    return rows.mapInArrow(
+        run, schema + ", nbest_edits array<array<struct<start: int, stop: int, ids: array<int>>>>" * alternatives,
+    ).withColumnRenamed("id", ident)
 
 
 def nbest_ids(ids: str = "ids", edits: str = "nbest_edits") -> Column:
@@ -314,7 +328,9 @@ def nbest_ids(ids: str = "ids", edits: str = "nbest_edits") -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def apply(acc: Column, e: Column) -> Column:
-        return F.struct(e["stop"].alias("at"), F.concat(acc["out"], F.slice(ids, acc["at"] + 1, e["start"] - acc["at"]), e["ids"]).alias("out"))
+        return F.struct(
+            e["stop"].alias("at"), F.concat(acc["out"], F.slice(ids, acc["at"] + 1, e["start"] - acc["at"]), e["ids"]).alias("out"),
+        )
 
     whole = lambda acc: F.concat(acc["out"], F.slice(ids, acc["at"] + 1, F.size(ids)))
     return F.concat(F.array(F.col(ids)), F.transform(edits, lambda es: F.aggregate(es, start, apply, whole)))

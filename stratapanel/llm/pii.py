@@ -53,7 +53,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _MORE = {
     "phone_local": re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    "email_spelled": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?| dot )[A-Za-z]{2,24}"),
+    "email_spelled": re.compile(
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?| dot )[A-Za-z]{2,24}"
+    ),
     "secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
@@ -63,7 +65,10 @@ _DOMAINS = set(
     "com org net edu gov mil int info biz name io ai app dev cloud me tv co eu us uk de fr es it nl be at ch se no dk fi pl cz sk hu ro bg gr pt ie lt lv ee ru ua tr il ae in cn jp kr "
     "tw hk sg my th vn id ph au nz ca mx br ar cl pe za ng ke eg example test".split()
 )
-_KEYS = ("sk-", "sk_", "pk-", "pk_", "rk_", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xox", "eyJ", "AIza", "ya29.", "npm_", "pypi-", "SG.", "hf_")
+_KEYS = (
+    "sk-", "sk_", "pk-", "pk_", "rk_", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xox", "eyJ", "AIza", "ya29.",
+    "npm_", "pypi-", "SG.", "hf_",
+)
 _ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65")
 _HINTS = {
     "email": {"mail", "email", "contact", "write", "reach"},
@@ -177,8 +182,15 @@ def described(text: str, span: tuple[int, int, str]) -> tuple[list[float], list[
     a, b, _ = span
     s = text[a:b]
     n = len(s)
-    makeup = (sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, sum(not c.isalnum() for c in s) / n, math.log(n) / 5, _entropy(s) / 6)
-    words = {int.from_bytes(hashlib.md5(w.encode()).digest()[:2], "big") % BUCKETS for w in re.findall(r"[a-z]+", text[max(0, a - _BEFORE) : a].lower())}
+    makeup = (
+        sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, sum(not c.isalnum() for c in s) / n, math.log(n) / 5,
+        _entropy(s) / 6,
+    )
+    words = {
+        int.from_bytes(hashlib.md5(w.encode()).digest()[:2], "big") % BUCKETS for w in re.findall(
+            r"[a-z]+", text[max(0, a - _BEFORE) : a].lower(),
+        )
+    }
     return [round(m * 64) / 64 for m in makeup], sorted(words)
 
 
@@ -246,7 +258,9 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray
     """Weights of the span classifier; None where there is nothing to learn from."""
     small_batches(docs.sparkSession)
     votes_ = ["kind", "v1", "v2", "v3"]
-    spans = docs.select(F.col(text).alias("text")).mapInPandas(_spans, "kind string, v1 int, v2 int, v3 int, makeup array<double>, words array<int>")
+    spans = docs.select(F.col(text).alias("text")).mapInPandas(
+        _spans, "kind string, v1 int, v2 int, v3 int, makeup array<double>, words array<int>",
+    )
     # spans that look alike fold in the map tasks, so that a footer in many copies is one row
     spans = materialise(spans.groupBy(*votes_, "makeup", "words").agg(F.count("*").alias("n")), "pii-spans")
     counts = spans.groupBy(*votes_).agg(F.sum("n").alias("n"), F.count("*").alias("looks")).toPandas()

@@ -45,7 +45,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
-    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(tricky).alias("text"))
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(tricky).alias("text"),
+    )
     return chat.digests(chat.format_turns(turns.unionByName(more), parts=chat.text_parts("text")))
 
 
@@ -148,4 +150,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": _MIX.replace("{shifts}", str(mixing.SHIFTS)).replace("{step}", str((1 << 32) // mixing.SHIFTS)), "op6_warc": _WARC, "op8_chat": _chat_sql(), "op9_exact_dedup": _EXACT}
+    return {
+        "op5_mixing": _MIX.replace("{shifts}", str(mixing.SHIFTS)).replace("{step}", str((1 << 32) // mixing.SHIFTS)), "op6_warc": _WARC,
+        "op8_chat": _chat_sql(), "op9_exact_dedup": _EXACT,
+    }

@@ -86,7 +86,9 @@ def _log_clean(z: np.ndarray) -> np.ndarray:
     return np.minimum(0.0, np.log1p(np.exp(BIAS)) - np.log1p(np.exp(z)))
 
 
-def gradient(w: np.ndarray, place: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gradient(
+    w: np.ndarray, place: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, noise: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gradient of the log likelihood by word, and per document the probabilities of being clean and of the label 1.
 
     Entries (``place``: word, ``sentence``) are the distinct words of sentences; ``owner`` is the document of each sentence.
@@ -158,11 +160,19 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": part["id"].to_numpy(), "h": part["h"].to_numpy(), "words": words, "per": np.split(per[order], ends)})
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column, ident: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, most_words: int = WORDS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, learnable: Column, ident: str = "doc_id", text: str = "text", label: str = "toxic",
+    sample: int = SAMPLE, most_words: int = WORDS,
+) -> Model:
     """A model from the labelled documents for which ``learnable`` (a column of ``ident``) holds."""
     small_batches(docs.sparkSession)
     marks = labels.where(learnable & F.col(label).isNotNull()).groupBy(F.col(ident).alias("id"))
-    marks = materialise(marks.agg(F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("y2")).where("y = y2 and id is not null"), "toxic-labels")
+    marks = materialise(
+        marks.agg(
+            F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("y2"),
+        ).where("y = y2 and id is not null"),
+        "toxic-labels",
+    )
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     if not pos or not neg:
@@ -170,17 +180,26 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, ident: str = "doc
     share = {1: min(1.0, sample / 2 / pos)}
     share[0] = min(1.0, (sample - share[1] * pos) / neg)
     chosen = marks.where(hash_share(F.when(F.col("y") == 1, share[1]).otherwise(share[0]), "id"))
-    rows = docs.select(F.col(ident).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).join(F.broadcast(chosen.select("id")), "id")
+    rows = docs.select(
+        F.col(ident).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"),
+    ).join(F.broadcast(chosen.select("id")), "id")
     kind = rows.schema["id"].dataType.simpleString()
     # an id with several texts is learned from one of them, by the hash of the text
-    made = rows.mapInPandas(_features, f"id {kind}, h long, words array<int>, per array<int>").groupBy("id").agg(F.max(F.struct("h", "words", "per")).alias("x"))
+    made = rows.mapInPandas(
+        _features, f"id {kind}, h long, words array<int>, per array<int>",
+    ).groupBy("id").agg(F.max(F.struct("h", "words", "per")).alias("x"))
     made = materialise(made.join(F.broadcast(chosen.select("id", "y")), "id").select("id", "y", "x.words", "x.per"), "toxic-sample")
     held = made.agg(F.sum(F.size("words"))).head()[0] or 0
     made = made.where(hash_share(min(1.0, most_words / max(1, held)), "id", F.lit(1)))
     made = made.withColumn("w", F.when(F.col("y") == 1, 1.0 / share[1]).otherwise(1.0 / share[0]))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(np.concatenate(b["words"].tolist()), np.concatenate(b["per"].tolist()), b["per"].map(len).to_numpy(), b["y"].to_numpy(), b["w"].to_numpy()) for b in batches if len(b)]
+        parts = [
+            (
+                np.concatenate(b["words"].tolist()), np.concatenate(b["per"].tolist()), b["per"].map(len).to_numpy(), b["y"].to_numpy(),
+                b["w"].to_numpy(),
+            ) for b in batches if len(b)
+        ]
         if parts:
             word, per, sentences, y, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
@@ -208,8 +227,12 @@ def _scores(model: Model, texts: list[str]) -> pd.DataFrame:
     s = -np.expm1(np.bincount(owner, clean, minlength=n)) if model.fitted else np.full(n, model.rate)
     worst = np.lexsort((-first, -clean, owner))[np.cumsum(np.bincount(owner, minlength=n)) - 1]
     p = -np.expm1(clean[worst])
-    out = pd.DataFrame({"score": s, "sentences": np.bincount(owner, minlength=n), "worst_start": first[worst], "worst_end": last[worst], "worst_score": p})
-    return out.astype({"worst_start": "Int64", "worst_end": "Int64"}).mask(pd.DataFrame({c: p <= 0 for c in ("worst_start", "worst_end")}).reindex(columns=out.columns, fill_value=False))
+    out = pd.DataFrame(
+        {"score": s, "sentences": np.bincount(owner, minlength=n), "worst_start": first[worst], "worst_end": last[worst], "worst_score": p}
+    )
+    return out.astype({"worst_start": "Int64", "worst_end": "Int64"}).mask(
+        pd.DataFrame({c: p <= 0 for c in ("worst_start", "worst_end")}).reindex(columns=out.columns, fill_value=False)
+    )
 
 
 def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,10 +262,14 @@ def sentences(docs: DataFrame, model: Model, least: float = THRESHOLD, ident: st
                 clean, owner, first, last = _sentence_logs(model, texts)
                 p = -np.expm1(clean)
                 hit = p >= least
-                yield pd.DataFrame({"id": batch["id"].iloc[at + owner[hit]].to_numpy(), "start": first[hit], "end": last[hit], "score": p[hit]})
+                yield pd.DataFrame(
+                    {"id": batch["id"].iloc[at + owner[hit]].to_numpy(), "start": first[hit], "end": last[hit], "score": p[hit]}
+                )
 
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, start long, end long, score double").withColumnRenamed("id", ident)
+    return rows.mapInPandas(
+        run, f"id {rows.schema['id'].dataType.simpleString()}, start long, end long, score double",
+    ).withColumnRenamed("id", ident)
 
 
 def held_out(ident: str = "doc_id") -> Column:
@@ -265,6 +292,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text:
     @F.pandas_udf("double")
     def own_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(np.concatenate([np.zeros(0), *(_scores(model, texts)["score"].to_numpy() for _, texts in chunks(batch, _CHARS))]))
+            yield pd.Series(
+                np.concatenate([np.zeros(0), *(_scores(model, texts)["score"].to_numpy() for _, texts in chunks(batch, _CHARS))])
+            )
 
     return packed(docs, score=own_score(F.col(text))).where(F.col("score") < threshold).select("row.*")

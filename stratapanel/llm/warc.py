@@ -42,9 +42,14 @@ def _record_id(ident: Column) -> Column:
 def plan_records(pages: DataFrame, ident: str = "page_id", payload: str = "html", uri: str = "url") -> DataFrame:
     """Rows ``id, uri, body, n, sha, refers``: which record each page becomes (``refers`` is null for a response)."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(ident).alias("id"), F.col(uri).alias("uri"), body.alias("body"), F.octet_length(body).cast("long").alias("n"), F.sha2(body, 256).alias("sha"))
+    rows = pages.select(
+        F.col(ident).alias("id"), F.col(uri).alias("uri"), body.alias("body"), F.octet_length(body).cast("long").alias("n"),
+        F.sha2(body, 256).alias("sha"),
+    )
     slim = materialise(rows.select("id", "n", "sha"), "warc-digests")
-    groups = materialise(slim.where(F.col("n") >= MIN_REVISIT).groupBy("sha").agg(F.count("*").alias("copies"), F.min("id").alias("first")), "warc-groups")
+    groups = materialise(
+        slim.where(F.col("n") >= MIN_REVISIT).groupBy("sha").agg(F.count("*").alias("copies"), F.min("id").alias("first")), "warc-groups",
+    )
     again = slim.where(F.col("n") >= MIN_REVISIT).select("id", "sha")
     again = attach_groups(again, groups.where("copies > 1"), "sha", "copies").where(F.col("id") != F.col("first"))
     again = again.select("id", "sha", F.col("first").alias("refers")).distinct()
@@ -54,7 +59,9 @@ def plan_records(pages: DataFrame, ident: str = "page_id", payload: str = "html"
     return rows.repartition(files, "id", "sha").join(again.repartition(files, "id", "sha"), ["id", "sha"], "left")
 
 
-def write_archives(pages: DataFrame, path: str, ident: str = "page_id", payload: str = "html", uri: str = "url", date: str = "2020-01-01T00:00:00Z") -> None:
+def write_archives(
+    pages: DataFrame, path: str, ident: str = "page_id", payload: str = "html", uri: str = "url", date: str = "2020-01-01T00:00:00Z",
+) -> None:
     """Write one record per page below ``path``."""
     rows = plan_records(pages, ident, payload, uri)
     revisit = F.col("refers").isNotNull()
@@ -69,8 +76,18 @@ def write_archives(pages: DataFrame, path: str, ident: str = "page_id", payload:
     ]
     lines = [F.concat(F.lit(k), v) for k, v in fields]
     profile = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + _LINE
-    lines.append(F.when(revisit, F.concat(F.lit(profile + "WARC-Refers-To: "), _record_id(F.col("refers")), F.lit(_LINE + "X-Refers-To-Page: "), F.col("refers").cast("string"))))
-    lines.append(F.concat(F.lit("Content-Type: text/html" + _LINE + "Content-Length: "), F.when(revisit, 0).otherwise(F.col("n")).cast("string")))
+    lines.append(
+        F.when(
+            revisit,
+            F.concat(
+                F.lit(profile + "WARC-Refers-To: "), _record_id(F.col("refers")), F.lit(_LINE + "X-Refers-To-Page: "),
+                F.col("refers").cast("string"),
+            ),
+        )
+    )
+    lines.append(
+        F.concat(F.lit("Content-Type: text/html" + _LINE + "Content-Length: "), F.when(revisit, 0).otherwise(F.col("n")).cast("string"))
+    )
     head = F.concat_ws(_LINE, F.lit("WARC/1.1"), *lines)
     value = F.concat(head, F.lit(_LINE * 2), F.when(revisit, "").otherwise(F.col("body")))
     rows.select(value.alias("value")).write.option("lineSep", _LINE * 2).option("compression", "gzip").text(path)
@@ -117,8 +134,14 @@ def _candidates(parts: DataFrame) -> DataFrame:
     rows = rows.withColumns({"told": told, "length": F.when(length >= 0, length), "body": (F.octet_length("head") + 4).cast("long")})
     digest, blank = _payload("value", F.col("body"), F.col("length"))
     inside = F.col("body") + F.col("length") <= F.col("size")
-    page = [F.lower(_field("WARC-Type")).alias("kind"), _whole(_field("X-Page-Id")).alias("page_id"), _whole(_field("X-Refers-To-Page")).alias("refers_to")]
-    said = [_field("WARC-Payload-Digest").alias("said"), _whole(_field("X-Payload-Length")).alias("full"), _field("WARC-Target-URI").alias("uri")]
+    page = [
+        F.lower(_field("WARC-Type")).alias("kind"), _whole(_field("X-Page-Id")).alias("page_id"),
+        _whole(_field("X-Refers-To-Page")).alias("refers_to"),
+    ]
+    said = [
+        _field("WARC-Payload-Digest").alias("said"), _whole(_field("X-Payload-Length")).alias("full"),
+        _field("WARC-Target-URI").alias("uri"),
+    ]
     held = [F.xxhash64("value").alias("mark"), F.when(inside, digest).alias("digest"), F.when(inside, blank).alias("blank")]
     return rows.select("file", "block", "turn", "size", "told", "length", "body", *page, *said, *held)
 
@@ -128,7 +151,9 @@ def _runs(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("file").orderBy("start")
     closed = F.col("told") & F.coalesce("blank", F.lit(False)) & (F.col("next") == F.col("start") + F.col("size"))
     rows = rows.withColumn("solid", closed & F.coalesce(F.lead("told").over(order), F.lit(False)))
-    aims = rows.where("told and not solid and next is not null").select("file", F.col("next").alias("at"), F.lit(True).alias("aimed")).distinct()
+    aims = rows.where("told and not solid and next is not null").select(
+        "file", F.col("next").alias("at"), F.lit(True).alias("aimed"),
+    ).distinct()
     rows = rows.join(aims, ["file", "at"], "left")
     first = F.col("told") & (F.col("aimed").isNotNull() | ~F.coalesce(F.lag("solid").over(order), F.lit(False)))
     return rows.withColumn("run", F.sum(first.cast("long")).over(order)).where("told").drop("aimed")
@@ -155,24 +180,36 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``, with offsets; ``intact`` says that boundary and digest hold."""
     fat = materialise(_candidates(_parts(spark, path)), "warc-candidates")
     # the chains are followed on narrow rows, in which files go by a hash of their name
-    narrow = fat.select(F.xxhash64("file").alias("file"), "block", "turn", "size", "told", "length", "body", "blank", "mark", F.col("digest").isNotNull().alias("inside"))
-    rows = _with_offsets(narrow, narrow).withColumns({"at": F.col("start") - _STEP, "next": F.col("start") + F.col("body") + F.col("length") + 4})
+    narrow = fat.select(
+        F.xxhash64("file").alias("file"), "block", "turn", "size", "told", "length", "body", "blank", "mark",
+        F.col("digest").isNotNull().alias("inside"),
+    )
+    rows = _with_offsets(narrow, narrow).withColumns(
+        {"at": F.col("start") - _STEP, "next": F.col("start") + F.col("body") + F.col("length") + 4}
+    )
     rows = materialise(rows, "warc-offsets")
     ends = materialise(rows.groupBy("file").agg(F.max(F.col("start") + F.col("size")).alias("end")), "warc-ends")
     marks = rows.select("file", "start", "mark")
     rows = materialise(_runs(rows.drop("mark")), "warc-rows")
-    runs = materialise(rows.groupBy("file", "run").agg(F.min("at").alias("at"), F.max_by("next", "start").alias("exit"), F.max("at").alias("last")), "warc-runs")
+    runs = materialise(
+        rows.groupBy("file", "run").agg(F.min("at").alias("at"), F.max_by("next", "start").alias("exit"), F.max("at").alias("last")),
+        "warc-runs",
+    )
     reached = materialise(runs.join(_reached(runs), ["file", "at"]), "warc-reached")
     records = rows.join(reached.select("file", "run"), ["file", "run"])
     long_ = records.where("not inside and length is not null").join(ends, "file").where("next <= end")
     far = {"far_digest": F.lit(None).cast("string"), "far_blank": F.lit(None).cast("boolean")}
-    records = records.join(_put_together(spark, path, marks, long_), ["file", "start"], "left") if long_.head(1) else records.withColumns(far)
+    records = records.join(
+        _put_together(spark, path, marks, long_), ["file", "start"], "left",
+    ) if long_.head(1) else records.withColumns(far)
     records = records.select(F.col("file").alias("fid"), "block", "turn", "at", "next", "far_digest", "far_blank")
     full = fat.withColumn("fid", F.xxhash64("file")).join(records, ["fid", "block", "turn"])
     full = full.withColumns({"digest": F.coalesce("digest", "far_digest"), "blank": F.coalesce("blank", "far_blank")})
     again = F.col("kind") == "revisit"
     told = F.regexp_replace("said", "^(?i)sha256:", "")
-    kept = F.coalesce("blank", F.lit(False)) & (again | ~F.coalesce(F.col("said").rlike("(?i)^sha256:"), F.lit(False)) | F.coalesce(told == F.col("digest"), F.lit(False)))
+    kept = F.coalesce("blank", F.lit(False)) & (
+        again | ~F.coalesce(F.col("said").rlike("(?i)^sha256:"), F.lit(False)) | F.coalesce(told == F.col("digest"), F.lit(False))
+    )
     found = full.select(
         "file", "at", "next", F.coalesce("kind", F.lit("")).alias("record_type"), "page_id", "refers_to", F.when(again, F.col("full")).otherwise(F.col("length")).alias("payload_bytes"),
         F.when(again, told).otherwise(F.col("digest")).alias("payload_digest"), F.coalesce("uri", F.lit("")).alias("uri"), kept.alias("intact"),
@@ -187,8 +224,13 @@ def _broken(ends: DataFrame, runs: DataFrame, reached: DataFrame) -> DataFrame:
     """A row for each file whose chain ends before the file does."""
     heads = reached.select("file", F.col("at").alias("exit"))
     stops = reached.join(heads, ["file", "exit"], "left_anti").groupBy("file").agg(F.max(F.coalesce("exit", "last")).alias("at"))
-    rest = ends.join(stops, "file", "left").withColumn("at", F.coalesce("at", F.lit(0).cast("long"))).where((F.col("at") != F.col("end")) & (F.col("end") > 0))
-    return rest.select("file", "at", F.lit("broken").alias("record_type"), (F.col("end") - F.col("at")).alias("payload_bytes"), F.lit(False).alias("intact"))
+    rest = ends.join(stops, "file", "left").withColumn("at", F.coalesce("at", F.lit(0).cast("long"))).where(
+        (F.col("at") != F.col("end")) & (F.col("end") > 0)
+    )
+    return rest.select(
+        "file", "at", F.lit("broken").alias("record_type"), (F.col("end") - F.col("at")).alias("payload_bytes"),
+        F.lit(False).alias("intact"),
+    )
 
 
 def _put_together(spark: SparkSession, path: str, marks: DataFrame, long_: DataFrame) -> DataFrame:
@@ -196,9 +238,14 @@ def _put_together(spark: SparkSession, path: str, marks: DataFrame, long_: DataF
 
     ``marks`` has the offset and the hash of every part.  Only the parts of such records are read again, each content once.
     """
-    long_ = materialise(long_.select("file", "start", F.struct(F.col("start").alias("of"), F.col("next").alias("until"), "body", "length").alias("r")), "warc-long")
+    long_ = materialise(
+        long_.select("file", "start", F.struct(F.col("start").alias("of"), F.col("next").alias("until"), "body", "length").alias("r")),
+        "warc-long",
+    )
     order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pieces = marks.join(long_, ["file", "start"], "left").withColumn("r", F.last("r", ignorenulls=True).over(order)).where("start < r.until")
+    pieces = marks.join(long_, ["file", "start"], "left").withColumn(
+        "r", F.last("r", ignorenulls=True).over(order),
+    ).where("start < r.until")
     pieces = materialise(pieces, "warc-pieces")
     content = _parts(spark, path).select("value", F.xxhash64("value").alias("mark"))
     content = likely_among(content, pieces.select("mark").distinct(), "mark").groupBy("mark").agg(F.any_value("value").alias("value"))
