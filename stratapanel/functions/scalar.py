@@ -86,7 +86,9 @@ def identifiers(text: Column) -> Column:
 def json_object(text: Column) -> Column:
     """The outermost {...} of free text, if it is JSON; NULL otherwise."""
     found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(F.try_parse_json(found).isNotNull(), found) if hasattr(F, "try_parse_json") else F.when(F.get_json_object(found, "$").isNotNull(), found)
+    return F.when(F.try_parse_json(found).isNotNull(), found) if hasattr(F, "try_parse_json") else F.when(
+        F.get_json_object(found, "$").isNotNull(), found,
+    )
 
 
 def date_key_or(text: Column, default: int) -> Column:

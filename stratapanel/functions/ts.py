@@ -110,11 +110,15 @@ def rolling(frame: DataFrame, w: int, sums: dict[str, Column], extremes: dict[st
     from the front and from the back of each block add up to it, so nothing is subtracted and no digits are lost.  Needs a dense grid.
     """
     block = F.floor(F.col(T) / w)
-    front, back_ = (Window.partitionBy(SYM, block).orderBy(x).rowsBetween(Window.unboundedPreceding, 0) for x in (F.col(T).asc(), F.col(T).desc()))
+    front, back_ = (
+        Window.partitionBy(SYM, block).orderBy(x).rowsBetween(Window.unboundedPreceding, 0) for x in (F.col(T).asc(), F.col(T).desc())
+    )
     made = {f"__s_{k}": F.coalesce(c, F.lit(0.0)) for k, c in sums.items()} | {f"__x_{k}": c for k, c in (extremes or {}).items()}
     frame = frame.withColumns(made)
     kinds = [(f"__s_{k}", "s", F.sum) for k in sums] + [(f"__x_{k}", e, f) for k in extremes or {} for e, f in (("h", F.max), ("l", F.min))]
-    frame = frame.withColumns({f"{c}_f{e}": f(c).over(front) for c, e, f in kinds}).withColumns({f"{c}_b{e}": f(c).over(back_) for c, e, f in kinds})
+    frame = frame.withColumns(
+        {f"{c}_f{e}": f(c).over(front) for c, e, f in kinds}
+    ).withColumns({f"{c}_b{e}": f(c).over(back_) for c, e, f in kinds})
     spans = F.col(T) % w != w - 1  # else the window is the block itself
     before = {f"{c}_{e}": F.when(spans, F.lag(f"{c}_b{e}", w - 1).over(line())) for c, e, _ in kinds}
     frame = frame.withColumns(before)
@@ -146,7 +150,9 @@ def regressions(frame: DataFrame, x: str, w: int, out: dict[str, str]) -> DataFr
     full = F.col("__n") == w
     made = {
         "slope": F.when(full, slope),
-        "rsqr": F.when(full & (F.col("__range") > 0) & (total > FLAT), F.least(F.greatest(sty * sty / (stt * total), F.lit(0.0)), F.lit(1.0))),
+        "rsqr": F.when(
+            full & (F.col("__range") > 0) & (total > FLAT), F.least(F.greatest(sty * sty / (stt * total), F.lit(0.0)), F.lit(1.0)),
+        ),
         "resi": F.when(full, y - (mean + slope * (w - 1) / 2.0)),
     }
     frame = frame.withColumns({name: made[kind] for kind, name in out.items()})

@@ -85,7 +85,9 @@ def periods(
     if "date" in rows.columns:
         aggs.append(F.max("date").alias("date"))
     per = pool.groupBy(T).agg(*aggs)
-    per = per.where((F.col("n_top_can") >= least_top) & (F.col("n_can") >= least_pool) & F.col("top_ret").isNotNull() & F.col("pool_ret").isNotNull())
+    per = per.where(
+        (F.col("n_top_can") >= least_top) & (F.col("n_can") >= least_pool) & F.col("top_ret").isNotNull() & F.col("pool_ret").isNotNull()
+    )
     order = Window.orderBy(T)
     per = per.withColumns({"before": F.lag(T).over(order), "n_before": F.lag("n_held").over(order)})
     # what stays: the symbol's last row among accepted top sets is the period before
@@ -96,7 +98,9 @@ def periods(
     per = per.withColumn("turn", F.coalesce(1 - F.try_divide("n_kept", "n_before"), F.lit(1.0))).drop("before", "n_before")
     per = per.withColumns({"net": F.col("top_ret") * cash - F.col("turn") * cost, "market": F.col("pool_ret") * cash})
     per = per.withColumn("excess", F.col("net") - F.col("market"))
-    return per.withColumns({"market_w": F.col("pool_ret_w") * cash, "excess_w": F.col("net") - F.col("pool_ret_w") * cash}) if weight else per
+    return per.withColumns(
+        {"market_w": F.col("pool_ret_w") * cash, "excess_w": F.col("net") - F.col("pool_ret_w") * cash}
+    ) if weight else per
 
 
 def _summary(frame: DataFrame, cols: list[str], order: list[str], scale: float, years: Column | None = None) -> DataFrame:
@@ -105,10 +109,17 @@ def _summary(frame: DataFrame, cols: list[str], order: list[str], scale: float,
     over = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     frame = frame.withColumns({f"__v{c}": F.exp(F.sum(F.log1p(F.col(c))).over(over)) for c in cols})
     frame = frame.withColumns({f"__d{c}": F.col(f"__v{c}") / F.max(f"__v{c}").over(over) - 1 for c in cols})
-    aggs = [x for c in cols for x in (F.exp(F.sum(F.log1p(F.col(c)))).alias(f"__e{c}"), F.min(f"__d{c}").alias(f"{c}_dd"), F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"))]
+    aggs = [
+        x for c in cols for x in (
+            F.exp(F.sum(F.log1p(F.col(c)))).alias(f"__e{c}"), F.min(f"__d{c}").alias(f"{c}_dd"), F.avg(c).alias(f"{c}_mean"),
+            F.stddev_samp(c).alias(f"{c}_sd"),
+        )
+    ]
     out = frame.agg(F.count("*").alias("periods"), *aggs, *([F.avg("turn").alias("turn")] if "turn" in frame.columns else []))
     span = years if years is not None else F.col("periods") * scale
-    return out.withColumns({f"{c}_ann": F.pow(f"__e{c}", F.try_divide(F.lit(1.0), span)) - 1 for c in cols}).drop(*[f"__e{c}" for c in cols])
+    return out.withColumns(
+        {f"{c}_ann": F.pow(f"__e{c}", F.try_divide(F.lit(1.0), span)) - 1 for c in cols}
+    ).drop(*[f"__e{c}" for c in cols])
 
 
 def _calmar(ann: str, dd: str) -> Column:
@@ -123,7 +134,10 @@ def metrics(per: DataFrame, col: str = "excess", step: int = FWD, year: int = YE
     """Annual return, deepest drawdown, Calmar and Sharpe ratios and mean turnover of an ordered stream of period returns; no row with
     fewer than ``least_periods``."""
     out = _summary(per.where(F.col(col).isNotNull()), [col], [T], step / year).where(F.col("periods") >= least_periods)
-    return out.select("periods", F.col(f"{col}_ann").alias("ann_ex"), F.col(f"{col}_dd").alias("dd"), _calmar(f"{col}_ann", f"{col}_dd").alias("calmar"), _sharpe(col, year / step).alias("sharpe"), "turn")
+    return out.select(
+        "periods", F.col(f"{col}_ann").alias("ann_ex"), F.col(f"{col}_dd").alias("dd"), _calmar(f"{col}_ann", f"{col}_dd").alias("calmar"),
+        _sharpe(col, year / step).alias("sharpe"), "turn",
+    )
 
 
 def path(per: DataFrame, col: str = "excess") -> DataFrame:
@@ -144,7 +158,9 @@ def yearly(per: DataFrame, col: str = "excess") -> DataFrame:
 
 def segments(per: DataFrame, k: int = 3, col: str = "excess") -> DataFrame:
     """Compounded excess of k consecutive parts, the first ones one period longer where they don't divide evenly."""
-    return per.withColumn("segment", F.ntile(k).over(Window.orderBy(T))).groupBy("segment").agg((F.exp(F.sum(F.log1p(F.col(col)))) - 1).alias("excess"), F.count("*").alias("periods"))
+    return per.withColumn("segment", F.ntile(k).over(Window.orderBy(T))).groupBy("segment").agg(
+        (F.exp(F.sum(F.log1p(F.col(col)))) - 1).alias("excess"), F.count("*").alias("periods"),
+    )
 
 
 def daily_marks(panel: DataFrame, per: DataFrame, members: DataFrame, step: int = FWD, cost: float = 0.004, cash: float = 1.0) -> DataFrame:
@@ -157,19 +173,26 @@ def daily_marks(panel: DataFrame, per: DataFrame, members: DataFrame, step: int
     ret = panel.select(SYM, F.col(T).alias("day"), (F.col("close") / F.lag("close").over(line()) - 1).alias("dret"))
     days_of = F.explode(F.transform(F.sequence(F.lit(2), F.lit(1 + step)), lambda j: F.col(T) + j)).alias("day")
     held = members.where("can").join(per.select(T), T).select(SYM, "top", T, days_of)
-    days = held.join(ret, [SYM, "day"]).groupBy(T, "day").agg(F.avg(F.when(F.col("top"), F.col("dret"))).alias("mt"), F.avg("dret").alias("mm"))
+    days = held.join(ret, [SYM, "day"]).groupBy(T, "day").agg(
+        F.avg(F.when(F.col("top"), F.col("dret"))).alias("mt"), F.avg("dret").alias("mm"),
+    )
     days = days.where("mt is not null and mm is not null").join(per.select(T, "excess", "net", "turn"), T)
     paid = F.when(F.row_number().over(Window.partitionBy(T).orderBy("day")) == 1, F.col("turn") * cost).otherwise(0.0)
     days = days.withColumns({"raw": (F.col("mt") - F.col("mm")) * cash - paid, "raw_own": F.col("mt") * cash - paid})
     whole = Window.partitionBy(T)
     anchored = lambda raw, to: F.exp(F.log1p(raw) + (F.log1p(to) - F.sum(F.log1p(raw)).over(whole)) / F.count("*").over(whole)) - 1
-    return days.withColumns({"mark": anchored("raw", "excess"), "own": anchored("raw_own", "net")}).select(T, "day", "raw", "mark", "own", "excess", "net")
+    return days.withColumns(
+        {"mark": anchored("raw", "excess"), "own": anchored("raw_own", "net")}
+    ).select(T, "day", "raw", "mark", "own", "excess", "net")
 
 
 def daily_figures(marks: DataFrame, year: int = YEAR) -> DataFrame:
     """Drawdown and Sharpe ratio of the daily excess and of the daily portfolio: ``dd_d, sharpe_d, dd_top_d, sharpe_top_d``."""
     out = _summary(marks.select(T, "day", "mark", "own"), ["mark", "own"], [T, "day"], 1 / year)
-    return out.select(F.col("mark_dd").alias("dd_d"), _sharpe("mark", year).alias("sharpe_d"), F.col("own_dd").alias("dd_top_d"), _sharpe("own", year).alias("sharpe_top_d"))
+    return out.select(
+        F.col("mark_dd").alias("dd_d"), _sharpe("mark", year).alias("sharpe_d"), F.col("own_dd").alias("dd_top_d"),
+        _sharpe("own", year).alias("sharpe_top_d"),
+    )
 
 
 def record(
@@ -184,15 +207,29 @@ def record(
     per = periods(rows, step, cost, weight=weight, cash=cash, by_pct=by_pct, actual=actual, **least)
     cols = ["excess", "net", "market"] + (["excess_w", "market_w"] if weight else [])
     out = _summary(per.select(T, "turn", *cols), cols, [T], step / year).where(F.col("periods") >= least_periods)
-    figures = ["periods", F.col("net_ann").alias("ann_top"), F.col("net_dd").alias("dd_top"), _calmar("net_ann", "net_dd").alias("calmar_top"), _sharpe("net", year / step).alias("sharpe_top")]
-    figures += [F.col("market_ann").alias("ann_mkt"), F.col("excess_ann").alias("ann_ex"), F.col("excess_dd").alias("dd"), _calmar("excess_ann", "excess_dd").alias("calmar"), _sharpe("excess", year / step).alias("sharpe"), "turn"]
+    figures = [
+        "periods", F.col("net_ann").alias("ann_top"), F.col("net_dd").alias("dd_top"), _calmar("net_ann", "net_dd").alias("calmar_top"),
+        _sharpe("net", year / step).alias("sharpe_top"),
+    ]
+    figures += [
+        F.col("market_ann").alias("ann_mkt"), F.col("excess_ann").alias("ann_ex"), F.col("excess_dd").alias("dd"),
+        _calmar("excess_ann", "excess_dd").alias("calmar"), _sharpe("excess", year / step).alias("sharpe"), "turn",
+    ]
     if weight:
-        figures += [F.col("excess_w_ann").alias("ann_ex_cw"), F.col("excess_w_dd").alias("dd_cw"), _calmar("excess_w_ann", "excess_w_dd").alias("calmar_cw"), _sharpe("excess_w", year / step).alias("sharpe_cw")]
+        figures += [
+            F.col("excess_w_ann").alias("ann_ex_cw"), F.col("excess_w_dd").alias("dd_cw"),
+            _calmar("excess_w_ann", "excess_w_dd").alias("calmar_cw"), _sharpe("excess_w", year / step).alias("sharpe_cw"),
+        ]
         figures += [(F.col("excess_w_ann") - F.col("excess_ann")).alias("tilt"), F.col("market_w_ann").alias("ann_mkt_cw")]
     out = out.select(*figures)
     years = yearly(per).agg(F.sort_array(F.collect_list(F.struct("year", "excess")), asc=False).alias("y"))
     last = F.get("y", F.lit(0))["excess"]
-    out = out.crossJoin(years.select(last.alias("last_yr"), F.coalesce(F.get("y", F.lit(1))["excess"], last).alias("last2_yr"), F.size(F.filter("y", lambda x: x["excess"] <= -0.02)).alias("bad_years")))
+    out = out.crossJoin(
+        years.select(
+            last.alias("last_yr"), F.coalesce(F.get("y", F.lit(1))["excess"], last).alias("last2_yr"),
+            F.size(F.filter("y", lambda x: x["excess"] <= -0.02)).alias("bad_years"),
+        )
+    )
     if daily:
         marks = daily_marks(rows, per, chosen(rows, step, least.get("least", 100), by_pct), step, cost, cash)
         out = out.crossJoin(daily_figures(marks, year))

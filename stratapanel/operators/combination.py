@@ -20,7 +20,9 @@ def stream_correlations(streams: DataFrame, least: int = 30) -> DataFrame:
     Streams are joined by date, so the work is the sum over dates of pairs present, which is the size of the answer's inputs;
     ranks are taken again within each pair's common dates.
     """
-    a, b = streams.select(F.col("id").alias("a"), T, F.col("x").alias("xa")), streams.select(F.col("id").alias("b"), T, F.col("x").alias("xb"))
+    a, b = streams.select(
+        F.col("id").alias("a"), T, F.col("x").alias("xa"),
+    ), streams.select(F.col("id").alias("b"), T, F.col("x").alias("xb"))
     pairs = a.where("xa is not null").join(b.where("xb is not null"), T).where("a < b")
     over = Window.partitionBy("a", "b")
 
@@ -28,12 +30,16 @@ def stream_correlations(streams: DataFrame, least: int = 30) -> DataFrame:
         return F.rank().over(over.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("a", "b", c)) - 1) / 2
 
     pairs = pairs.select("a", "b", ranked("xa").alias("ra"), ranked("xb").alias("rb"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), _corr("ra", "rb").alias("c")).select("a", "b", "n", F.when(F.col("n") >= least, F.col("c")).alias("corr"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), _corr("ra", "rb").alias("c")).select(
+        "a", "b", "n", F.when(F.col("n") >= least, F.col("c")).alias("corr"),
+    )
 
 
 def largest_correlation(pairs: DataFrame) -> DataFrame:
     """For each stream its largest absolute correlation and with whom."""
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "corr").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "corr"))
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "corr").unionByName(
+        pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "corr")
+    )
     held = both.where("corr is not null")
     top = F.struct(F.abs("corr").alias("c"), (-F.col("other")).alias("o"))
     return held.groupBy("id").agg(F.max(top).alias("m")).select("id", F.col("m.c").alias("max_corr"), (-F.col("m.o")).alias("with_id"))
@@ -98,9 +104,14 @@ def as_of(left: DataFrame, right: DataFrame, key: str, when: str, values: list[s
 
     A union sorted by time and one running ``last`` do it: one shuffle by key, no range join, nothing multiplied.
     """
-    l_ = left.withColumn("__side", F.lit(0 if strict else 1)).withColumn("__v", F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType))
+    l_ = left.withColumn("__side", F.lit(0 if strict else 1)).withColumn(
+        "__v", F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType),
+    )
     l_ = l_.select(F.col(key).alias("__k"), F.col(when).alias("__t"), "__side", "__v", F.struct(*left.columns).alias("__row"))
-    r_ = right.select(F.col(key).alias("__k"), F.col(when).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.struct(*values).alias("__v"), F.lit(None).cast(l_.schema["__row"].dataType).alias("__row"))
+    r_ = right.select(
+        F.col(key).alias("__k"), F.col(when).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.struct(*values).alias("__v"),
+        F.lit(None).cast(l_.schema["__row"].dataType).alias("__row"),
+    )
     over = Window.partitionBy("__k").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = l_.unionByName(r_).withColumn("__found", F.last("__v", ignorenulls=True).over(over))
     return both.where("__row is not null").select("__row.*", *[F.col(f"__found.{v}").alias(v) for v in values])
@@ -114,7 +125,9 @@ def members_at(dates: DataFrame, changes: DataFrame) -> DataFrame:
     lists = changes.select("pool", "changed").distinct()
     lists = lists.withColumn("until", F.lead("changed").over(Window.partitionBy("pool").orderBy("changed")))
     spans = changes.join(lists, ["pool", "changed"])
-    return dates.join(F.broadcast(lists), (dates[T] >= lists["changed"]) & (lists["until"].isNull() | (dates[T] < lists["until"]))).select("pool", T, "changed").join(spans.select("pool", "changed", SYM), ["pool", "changed"]).select("pool", T, SYM)
+    return dates.join(
+        F.broadcast(lists), (dates[T] >= lists["changed"]) & (lists["until"].isNull() | (dates[T] < lists["until"])),
+    ).select("pool", T, "changed").join(spans.select("pool", "changed", SYM), ["pool", "changed"]).select("pool", T, SYM)
 
 
 def adjust_prices(prices: DataFrame, factors: DataFrame, cols: list[str], volume: str | None = None, least: int = 20) -> DataFrame:
@@ -123,7 +136,9 @@ def adjust_prices(prices: DataFrame, factors: DataFrame, cols: list[str], volume
     known = F.count(cols[0]).over(Window.partitionBy(SYM))
     prices = prices.withColumn("__known", known).where(F.col("__known") >= least).drop("__known")
     frame = as_of(prices, factors.withColumnRenamed("start", T), SYM, T, ["factor"])
-    last = F.last("factor", ignorenulls=True).over(Window.partitionBy(SYM).orderBy(T).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = F.last("factor", ignorenulls=True).over(
+        Window.partitionBy(SYM).orderBy(T).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     ratio = F.coalesce(F.try_divide(F.col("factor"), last), F.lit(1.0))
     made = {c: F.col(c) * ratio for c in cols} | ({volume: F.try_divide(F.col(volume), ratio)} if volume else {})
     return frame.withColumn("__ratio", ratio).withColumns({k: v for k, v in made.items()}).drop("__ratio", "factor")
@@ -160,11 +175,16 @@ def universe(panel: DataFrame, age: int = 250, window: int = 20, least_seen: int
     return F.coalesce(out, F.lit(False))
 
 
-def concentration(panel: DataFrame, shares: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5), spans: dict[str, int] | None = None, least: int = 243) -> DataFrame:
+def concentration(
+    panel: DataFrame, shares: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5), spans: dict[str, int] | None = None, least: int = 243,
+) -> DataFrame:
     """Share of each date's turnover in its largest names, and its percentile rank within the rows of each span (NULL with fewer than
     ``least``); spans default to three and ten years.  One row per date is ranked, so its windows need no key."""
     held = panel.where("turnover is not null")
-    ranked = held.select(T, "turnover", F.row_number().over(cs.section().orderBy(F.col("turnover").desc(), F.col(SYM))).alias("k"), F.count("*").over(cs.section()).alias("n"))
+    ranked = held.select(
+        T, "turnover", F.row_number().over(cs.section().orderBy(F.col("turnover").desc(), F.col(SYM))).alias("k"),
+        F.count("*").over(cs.section()).alias("n"),
+    )
     top = lambda p: F.sum(F.when(F.col("k") <= F.greatest(F.floor(F.col("n") * p), F.lit(1)), F.col("turnover")))
     names = [f"top{int(p * 100)}" for p in shares]
     per = ranked.groupBy(T).agg(*[F.try_divide(top(p), F.sum("turnover")).alias(c) for p, c in zip(shares, names, strict=True)])

@@ -48,7 +48,10 @@ def combined(base: Column, whole: Column, pool: Column, hard: Column, pool_on: b
     return b & asked & h
 
 
-def stripped_channel(ic: Column, calmar: Column, ann: Column, sharpe: Column, likeness: Column, least: tuple[float, float, float, float] = (0.02, 0.5, 0.03, 0.8), most_alike: float = 0.9) -> Column:
+def stripped_channel(
+    ic: Column, calmar: Column, ann: Column, sharpe: Column, likeness: Column,
+    least: tuple[float, float, float, float] = (0.02, 0.5, 0.03, 0.8), most_alike: float = 0.9,
+) -> Column:
     """Admission on figures without styles only: |ic|, Calmar, annual excess and Sharpe (the last three above their bounds), and no
     stream in the library that is more alike than ``most_alike`` (NULL: none to compare).  Missing figures fail."""
     held = (F.abs(ic) >= least[0]) & (calmar > least[1]) & (ann > least[2]) & (sharpe > least[3])
@@ -95,7 +98,11 @@ def rule_quality(rows: DataFrame, predicted: Column, truth: Column) -> DataFrame
     n = lambda c: F.count(F.when(c, 1))
     out = rows.agg(F.count("*").alias("n"), n(p).alias("n_pred"), n(t).alias("n_true"), n(p & t).alias("n_both"), n(~p & t).alias("n_lost"))
     share = lambda a, b: F.try_divide(F.col(a), F.col(b))
-    return out.select("n", "n_pred", "n_true", "n_both", share("n_both", "n_pred").alias("precision"), share("n_both", "n_true").alias("recall"), F.try_divide(share("n_both", "n_pred"), share("n_true", "n")).alias("lift"), (1 - share("n_pred", "n")).alias("kill"), share("n_lost", "n_true").alias("false_kill"))
+    return out.select(
+        "n", "n_pred", "n_true", "n_both", share("n_both", "n_pred").alias("precision"), share("n_both", "n_true").alias("recall"),
+        F.try_divide(share("n_both", "n_pred"), share("n_true", "n")).alias("lift"), (1 - share("n_pred", "n")).alias("kill"),
+        share("n_lost", "n_true").alias("false_kill"),
+    )
 
 
 def rule_grid(rows: DataFrame, metrics: list[str], thresholds: list[list[float]], truth: Column, both: bool = True) -> DataFrame:
@@ -105,8 +112,12 @@ def rule_grid(rows: DataFrame, metrics: list[str], thresholds: list[list[float]]
     long = rows.withColumn("__g", F.explode(grid))
     hit_a, hit_b = F.coalesce(F.col(a) >= F.col("__g.x"), F.lit(False)), F.coalesce(F.col(b) >= F.col("__g.y"), F.lit(False))
     p, t = (hit_a & hit_b) if both else (hit_a | hit_b), F.coalesce(truth, F.lit(False))
-    out = long.groupBy(F.col("__g.x").alias("x"), F.col("__g.y").alias("y")).agg(F.count(F.when(p, 1)).alias("n_pred"), F.count(F.when(t, 1)).alias("n_true"), F.count(F.when(p & t, 1)).alias("n_both"))
-    return out.select("x", "y", "n_pred", F.try_divide("n_both", "n_pred").alias("precision"), F.try_divide("n_both", "n_true").alias("recall"))
+    out = long.groupBy(F.col("__g.x").alias("x"), F.col("__g.y").alias("y")).agg(
+        F.count(F.when(p, 1)).alias("n_pred"), F.count(F.when(t, 1)).alias("n_true"), F.count(F.when(p & t, 1)).alias("n_both"),
+    )
+    return out.select(
+        "x", "y", "n_pred", F.try_divide("n_both", "n_pred").alias("precision"), F.try_divide("n_both", "n_true").alias("recall"),
+    )
 
 
 def best_per_key(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:

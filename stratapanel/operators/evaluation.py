@@ -45,10 +45,16 @@ def ic_summary(days: DataFrame) -> DataFrame:
 def batch_ic(rows: DataFrame, factors: list[str], least: int = 50) -> DataFrame:
     """IC of many factor columns at once: ordinal ranks of the whole section before pairs are formed; population deviation."""
     ranked = rows.select(T, cs.ordinal_rank(F.col("r")).alias("__r"), *[cs.ordinal_rank(F.col(f)).alias(f) for f in factors])
-    long = ranked.select(T, "__r", F.expr(f"stack({len(factors)}, {', '.join(f'{chr(39)}{f}{chr(39)}, {f}' for f in factors)}) as (factor, x)"))
-    days = long.where("x is not null and __r is not null").groupBy("factor", T).agg(F.count("*").alias("n"), _corr("x", "__r").alias("ic")).where(F.col("n") >= least)
+    long = ranked.select(
+        T, "__r", F.expr(f"stack({len(factors)}, {', '.join(f'{chr(39)}{f}{chr(39)}, {f}' for f in factors)}) as (factor, x)"),
+    )
+    days = long.where("x is not null and __r is not null").groupBy("factor", T).agg(
+        F.count("*").alias("n"), _corr("x", "__r").alias("ic"),
+    ).where(F.col("n") >= least)
     sd = F.stddev_pop("ic")
-    return days.groupBy("factor").agg(F.count("ic").alias("days"), F.avg("ic").alias("ic"), F.when(sd > 1e-12, F.try_divide(F.avg("ic"), sd)).alias("ic_ir"))
+    return days.groupBy("factor").agg(
+        F.count("ic").alias("days"), F.avg("ic").alias("ic"), F.when(sd > 1e-12, F.try_divide(F.avg("ic"), sd)).alias("ic_ir"),
+    )
 
 
 def on_grid(rows: DataFrame, step: int = FWD) -> DataFrame:
@@ -68,12 +74,16 @@ def stability(rows: DataFrame, step: int = FWD, least: int = 50) -> DataFrame:
 def _deciles(rows: DataFrame, step: int, least: int) -> DataFrame:
     """(sym, t, r, d): the decile (1 = top) of every name with a factor and a return; ranks are those of the whole section."""
     ranked = on_grid(rows, step).select(SYM, T, "r", cs.ordinal_rank(F.col("f")).alias("x")).where("x is not null and r is not null")
-    return ranked.withColumn("n", F.count("*").over(cs.section())).where(F.col("n") >= least).select(SYM, T, "r", (cs.bucket_top(F.col("x")) + 1).alias("d"))
+    return ranked.withColumn("n", F.count("*").over(cs.section())).where(F.col("n") >= least).select(
+        SYM, T, "r", (cs.bucket_top(F.col("x")) + 1).alias("d"),
+    )
 
 
 def decile_periods(rows: DataFrame, step: int = FWD, least: int = 100, least_in_bucket: int = 5) -> DataFrame:
     """Mean return per period and decile (1 = top)."""
-    return _deciles(rows, step, least).groupBy(T, "d").agg(F.avg("r").alias("ret"), F.count("*").alias("n")).where(F.col("n") >= least_in_bucket)
+    return _deciles(rows, step, least).groupBy(T, "d").agg(
+        F.avg("r").alias("ret"), F.count("*").alias("n"),
+    ).where(F.col("n") >= least_in_bucket)
 
 
 def decile_shape(rows: DataFrame, step: int = FWD, least: int = 100, least_in_bucket: int = 5) -> DataFrame:
@@ -89,18 +99,24 @@ def decile_shape(rows: DataFrame, step: int = FWD, least: int = 100, least_in_bu
     two = F.col("d") <= 2
     held = F.sum(F.when(two, F.col("n")))
     per = buckets.groupBy(T).agg(
-        *[F.max(F.when(F.col("d") == k, fine)).alias(f"b{k}") for k in range(1, GROUPS + 1)], F.when(held >= 2 * least_in_bucket, F.sum(F.when(two, F.col("s"))) / held).alias("top20"),
+        *[
+            F.max(F.when(F.col("d") == k, fine)).alias(f"b{k}") for k in range(1, GROUPS + 1)
+        ], F.when(held >= 2 * least_in_bucket, F.sum(F.when(two, F.col("s"))) / held).alias("top20"),
         F.max(F.when(F.col("d") == 1, F.col("n"))).alias("n1"),
     )
     top = names.where("d = 1").select(SYM, T)
     order = Window.orderBy(T)
     sized = per.where("n1 is not null").select(T, "n1", F.lag(T).over(order).alias("before"), F.lag("n1").over(order).alias("n0"))
-    stays = top.join(sized, T).withColumn("stays", F.coalesce(F.lag(T).over(Window.partitionBy(SYM).orderBy(T)) == F.col("before"), F.lit(False)).cast("long"))
+    stays = top.join(sized, T).withColumn(
+        "stays", F.coalesce(F.lag(T).over(Window.partitionBy(SYM).orderBy(T)) == F.col("before"), F.lit(False)).cast("long"),
+    )
     moved = stays.where("before is not null").groupBy(T).agg(F.max("n1").alias("n1"), F.max("n0").alias("n0"), F.sum("stays").alias("both"))
     turn = moved.agg((1 - F.avg(F.col("both") / (F.col("n1") + F.col("n0") - F.col("both")))).alias("turn_top"))
     deviation = lambda c: F.when(F.count(c) >= 5, F.stddev_pop(c))
     out = per.agg(
-        F.count("*").alias("periods"), *[F.avg(f"b{k}").alias(f"m{k}") for k in range(1, GROUPS + 1)], deviation(F.col("b1")).alias("sd_top"), deviation(F.col("b1") - F.col(f"b{GROUPS}")).alias("sd_spread"),
+        F.count("*").alias("periods"), *[
+            F.avg(f"b{k}").alias(f"m{k}") for k in range(1, GROUPS + 1)
+        ], deviation(F.col("b1")).alias("sd_top"), deviation(F.col("b1") - F.col(f"b{GROUPS}")).alias("sd_spread"),
         F.avg("top20").alias("top20"), deviation(F.col("top20")).alias("sd_top20"),
     )
     means = F.array(*[F.struct(F.col(f"m{k}").alias("m"), F.lit(-k).alias("k")) for k in range(1, GROUPS + 1)])
@@ -111,8 +127,13 @@ def decile_shape(rows: DataFrame, step: int = FWD, least: int = 100, least_in_bu
     mono = F.when(sd > 1e-18, F.try_divide(sum((F.col(f"m{k}") * x for k, x in enumerate(score, 1)), F.lit(0.0)), sd))
     best = -F.array_max(known)["k"]
     out = out.withColumns({"mono": mono, "best": best})
-    pos = F.when(F.col("mono").isNotNull(), F.least(F.greatest("mono", F.lit(0.0)), F.lit(1.0)) * F.when(F.col("best") == 1, 1.0).otherwise(0.5))
-    return out.crossJoin(turn).select("mono", "best", pos.alias("shape_pos"), F.col("m1").alias("d1"), F.col(f"m{GROUPS}").alias("d10"), "sd_top", "sd_spread", "top20", "sd_top20", "turn_top", "periods")
+    pos = F.when(
+        F.col("mono").isNotNull(), F.least(F.greatest("mono", F.lit(0.0)), F.lit(1.0)) * F.when(F.col("best") == 1, 1.0).otherwise(0.5),
+    )
+    return out.crossJoin(turn).select(
+        "mono", "best", pos.alias("shape_pos"), F.col("m1").alias("d1"), F.col(f"m{GROUPS}").alias("d10"), "sd_top", "sd_spread", "top20",
+        "sd_top20", "turn_top", "periods",
+    )
 
 
 def top_turnover(rows: DataFrame, step: int = FWD, share: float = 0.2) -> DataFrame:
@@ -130,7 +151,9 @@ def style_exposure(rows: DataFrame, styles: list[str], least: int = 100) -> Data
     """Mean over dates of the correlation of the factor's ordinal rank with each style's."""
     ranked = rows.select(T, cs.ordinal_rank(F.col("f")).alias("x"), *[cs.ordinal_rank(F.col(s)).alias(s) for s in styles])
     long = ranked.select(T, "x", F.expr(f"stack({len(styles)}, {', '.join(f'{chr(39)}{s}{chr(39)}, {s}' for s in styles)}) as (style, y)"))
-    days = long.where("x is not null and y is not null").groupBy("style", T).agg(F.count("*").alias("n"), _corr("x", "y").alias("c")).where(F.col("n") >= least)
+    days = long.where("x is not null and y is not null").groupBy("style", T).agg(
+        F.count("*").alias("n"), _corr("x", "y").alias("c"),
+    ).where(F.col("n") >= least)
     return days.groupBy("style").agg(F.avg("c").alias("expo"), F.count("c").alias("days"))
 
 
@@ -140,7 +163,9 @@ def style_features(panel: DataFrame) -> DataFrame:
     over = Window.partitionBy(SYM).orderBy(T).rowsBetween(-19, 0)
     amount = F.when(F.count("turnover").over(over) >= 5, F.avg("turnover").over(over))
     ratio = F.try_divide(F.col("turnover"), F.col("mktcap"))
-    return panel.withColumns({"lncap": positive(F.col("mktcap")), "lnamt": positive(amount), "lntr": positive(ratio), "lnpx": positive(F.col("close"))})
+    return panel.withColumns(
+        {"lncap": positive(F.col("mktcap")), "lnamt": positive(amount), "lntr": positive(ratio), "lnpx": positive(F.col("close"))}
+    )
 
 
 def neutralize_rows(rows: DataFrame, y: str, styles: list[str], out: str, least: int = 50) -> DataFrame:
@@ -160,7 +185,10 @@ def neutral_rank(f: Column, z1: Column, z2: Column, least: int = 100) -> tuple[l
     """Steps (name, column) to add one after another, and the final column: rank all, take the residual, rank again."""
     all_ = f.isNotNull() & z1.isNotNull() & z2.isNotNull()
     steps = [("__f", F.when(all_, f)), ("__z1", F.when(all_, z1)), ("__z2", F.when(all_, z2))]
-    steps += [("__n", F.count("__f").over(cs.section())), ("__rf", cs.ordinal_rank(F.col("__f"))), ("__r1", cs.ordinal_rank(F.col("__z1"))), ("__r2", cs.ordinal_rank(F.col("__z2")))]
+    steps += [
+        ("__n", F.count("__f").over(cs.section())), ("__rf", cs.ordinal_rank(F.col("__f"))), ("__r1", cs.ordinal_rank(F.col("__z1"))),
+        ("__r2", cs.ordinal_rank(F.col("__z2"))),
+    ]
     steps += [("__res", cs.residual_two(F.col("__rf"), F.col("__r1"), F.col("__r2")))]
     return steps, F.when(F.col("__n") >= least, cs.ordinal_rank(F.col("__res")))
 
@@ -186,7 +214,9 @@ def industry_size_neutral(rows: DataFrame, f: str, size: str, industry: str, lea
 def industry_r2(rows: DataFrame, f: str, industry: str) -> DataFrame:
     """1 - within / total variance per date."""
     held = rows.where(F.col(f).isNotNull()).withColumn("__m", F.avg(f).over(cs.section(industry)))
-    per = held.groupBy(T).agg(F.count("*").alias("n"), F.var_pop(f).alias("total"), F.avg(F.pow(F.col(f) - F.col("__m"), 2)).alias("within"))
+    per = held.groupBy(T).agg(
+        F.count("*").alias("n"), F.var_pop(f).alias("total"), F.avg(F.pow(F.col(f) - F.col("__m"), 2)).alias("within"),
+    )
     return per.select(T, "n", F.when(F.col("total") > 1e-12, 1 - F.try_divide("within", "total")).alias("r2"))
 
 
@@ -199,7 +229,9 @@ def many_regressor_residual(rows: DataFrame, f: str, regressors: list[str], leas
     names = ["__one", *regressors]
     held = rows.where(" and ".join(f"`{c}` is not null" for c in (f, *regressors))).withColumn("__one", F.lit(1.0))
     pairs = [(a, b) for i, a in enumerate([*names, f]) for b in [*names, f][i:]]
-    sums = held.groupBy(T).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).alias("m")).where(F.col("n") >= least)
+    sums = held.groupBy(T).agg(
+        F.count("*").alias("n"), F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).alias("m"),
+    ).where(F.col("n") >= least)
 
     @F.pandas_udf("array<double>")
     def solve(m: pd.Series) -> pd.Series:

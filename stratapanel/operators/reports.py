@@ -55,10 +55,15 @@ def thinned(rows: DataFrame, keys: list[str], order: str, points: int) -> DataFr
 def long_short(rows: DataFrame, step: int = 5, least: int = 100, least_in_bucket: int = 5) -> DataFrame:
     """Net asset values of the top and the bottom bucket and of their difference."""
     per = ev.decile_periods(rows, step, least, least_in_bucket)
-    per = per.groupBy(T).agg(F.max(F.when(F.col("d") == 1, F.col("ret"))).alias("top"), F.max(F.when(F.col("d") == 10, F.col("ret"))).alias("bottom")).where("top is not null and bottom is not null")
+    per = per.groupBy(T).agg(
+        F.max(F.when(F.col("d") == 1, F.col("ret"))).alias("top"), F.max(F.when(F.col("d") == 10, F.col("ret"))).alias("bottom"),
+    ).where("top is not null and bottom is not null")
     order = Window.orderBy(T).rowsBetween(Window.unboundedPreceding, 0)
     nav = lambda c: F.exp(F.sum(F.log1p(c)).over(order))
-    return per.select(T, nav(F.col("top")).alias("nav_top"), nav(F.col("bottom")).alias("nav_bottom"), nav((F.col("top") - F.col("bottom")) / 2).alias("nav_spread"))
+    return per.select(
+        T, nav(F.col("top")).alias("nav_top"), nav(F.col("bottom")).alias("nav_bottom"),
+        nav((F.col("top") - F.col("bottom")) / 2).alias("nav_spread"),
+    )
 
 
 def decile_curves(rows: DataFrame, step: int = 5, least: int = 100, least_in_bucket: int = 5) -> DataFrame:
@@ -74,13 +79,21 @@ def style_years(rows: DataFrame, styles: list[str], least: int = 100, least_days
     """The rank correlation with each style in blocks of years (those with ``least_days`` dates): t over the yearly means, and the share of
     years of the prevailing sign.  Blocks stand up to the slow change of such correlations."""
     ranked = rows.select(T, "date", cs.ordinal_rank(F.col("f")).alias("x"), *[cs.ordinal_rank(F.col(s)).alias(s) for s in styles])
-    long = ranked.select(T, "date", "x", F.expr("stack({}, {}) as (style, y)".format(len(styles), ", ".join(f"'{s}', {s}" for s in styles))))
-    days = long.where("x is not null and y is not null").groupBy("style", T).agg(F.count("*").alias("n"), F.max("date").alias("date"), ev._corr("x", "y").alias("c")).where((F.col("n") >= least) & F.col("c").isNotNull())
-    years = days.groupBy("style", bt._year().alias("year")).agg(F.count("*").alias("n"), F.avg("c").alias("c")).where(F.col("n") >= least_days)
+    long = ranked.select(
+        T, "date", "x", F.expr("stack({}, {}) as (style, y)".format(len(styles), ", ".join(f"'{s}', {s}" for s in styles))),
+    )
+    days = long.where("x is not null and y is not null").groupBy("style", T).agg(
+        F.count("*").alias("n"), F.max("date").alias("date"), ev._corr("x", "y").alias("c"),
+    ).where((F.col("n") >= least) & F.col("c").isNotNull())
+    years = days.groupBy("style", bt._year().alias("year")).agg(
+        F.count("*").alias("n"), F.avg("c").alias("c"),
+    ).where(F.col("n") >= least_days)
     sd = F.stddev_pop("c")
     t = F.when((F.count("*") >= least_years) & (sd > 1e-12), F.try_divide(F.avg("c"), sd) * F.sqrt(F.count("*")))
     share = lambda test: F.avg(test.cast("int"))
-    return years.groupBy("style").agg(F.count("*").alias("years"), t.alias("t_year"), F.greatest(share(F.col("c") > 0), share(F.col("c") < 0)).alias("win_year"))
+    return years.groupBy("style").agg(
+        F.count("*").alias("years"), t.alias("t_year"), F.greatest(share(F.col("c") > 0), share(F.col("c") < 0)).alias("win_year"),
+    )
 
 
 def first_of_runs(rows: DataFrame, keys: list[str], order: list[str], gap: int) -> DataFrame:
@@ -92,7 +105,9 @@ def first_of_runs(rows: DataFrame, keys: list[str], order: list[str], gap: int)
 
 def tail(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """The last ``n`` rows of each key."""
-    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where(F.col("__k") <= n).drop("__k")
+    return rows.withColumn(
+        "__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc())),
+    ).where(F.col("__k") <= n).drop("__k")
 
 
 def exposures(rows: DataFrame, styles: list[str], step: int = 5, share: float = 0.9) -> DataFrame:
@@ -105,14 +120,22 @@ def style_profile(rows: DataFrame, styles: list[str], least: int = 100) -> DataF
     """Correlation of the factor's rank with each style per date, summarised: mean, absolute mean, ratio, t and AR(1)-adjusted t, wins."""
     ranked = rows.select(T, cs.ordinal_rank(F.col("f")).alias("x"), *[cs.ordinal_rank(F.col(s)).alias(s) for s in styles])
     long = ranked.select(T, "x", F.expr("stack({}, {}) as (style, y)".format(len(styles), ", ".join(f"'{s}', {s}" for s in styles))))
-    days = long.where("x is not null and y is not null").groupBy("style", T).agg(F.count("*").alias("n"), ev._corr("x", "y").alias("c")).where(F.col("n") >= least)
+    days = long.where("x is not null and y is not null").groupBy("style", T).agg(
+        F.count("*").alias("n"), ev._corr("x", "y").alias("c"),
+    ).where(F.col("n") >= least)
     days = days.withColumn("p", F.lag("c").over(Window.partitionBy("style").orderBy(T)))
     c = F.when(F.col("p").isNotNull(), F.col("c"))
     den = F.sqrt(F.var_pop(c) * F.var_pop("p"))
-    out = days.groupBy("style").agg(F.count("c").alias("n"), F.avg("c").alias("mean"), F.avg(F.abs("c")).alias("abs_mean"), F.stddev_samp("c").alias("sd"), F.avg((F.col("c") > 0).cast("int")).alias("win"), F.when(den > 1e-12, F.try_divide(F.covar_pop(c, F.col("p")), den)).alias("rho"))
+    out = days.groupBy("style").agg(
+        F.count("c").alias("n"), F.avg("c").alias("mean"), F.avg(F.abs("c")).alias("abs_mean"), F.stddev_samp("c").alias("sd"),
+        F.avg((F.col("c") > 0).cast("int")).alias("win"), F.when(den > 1e-12, F.try_divide(F.covar_pop(c, F.col("p")), den)).alias("rho"),
+    )
     ratio = F.when(F.col("sd") > 1e-12, F.try_divide("mean", "sd"))
     kept = F.when(F.abs("rho") < 0.999, F.col("n") * (1 - F.col("rho")) / (1 + F.col("rho")))
-    return out.select("style", "n", "mean", "abs_mean", ratio.alias("ir"), (ratio * F.sqrt("n")).alias("t_plain"), (ratio * F.sqrt(kept)).alias("t_ar1"), "win")
+    return out.select(
+        "style", "n", "mean", "abs_mean", ratio.alias("ir"), (ratio * F.sqrt("n")).alias("t_plain"), (ratio * F.sqrt(kept)).alias("t_ar1"),
+        "win",
+    )
 
 
 def sweep(traded: dict[int, DataFrame], costs: list[float], **least: int) -> DataFrame:
@@ -147,8 +170,15 @@ def combo_check(rows: DataFrame, pools: dict[str, Column], limit: float = 0.1, k
     for name, member in pools.items():
         traded = bt.trades(restricted(rows, member), limit=limit)
         least = {c: v for c, v in how.items() if c != "least_periods"}
-        part = bt.segments(bt.periods(traded, **least), k).agg(F.count(F.when(F.col("excess") > 0, 1)).alias("positive"), (F.max(F.when(F.col("segment") == k, F.col("excess"))) < 0.6 * F.max(F.when(F.col("segment") == 1, F.col("excess")))).alias("decays"))
-        found = bt.record(traded, daily=False, **how).select(F.lit(name).alias("pool"), "ann_ex", "ann_ex_cw", "tilt", "calmar", "calmar_cw", "sharpe", "dd", "turn").crossJoin(part)
+        part = bt.segments(bt.periods(traded, **least), k).agg(
+            F.count(F.when(F.col("excess") > 0, 1)).alias("positive"),
+            (
+                F.max(F.when(F.col("segment") == k, F.col("excess"))) < 0.6 * F.max(F.when(F.col("segment") == 1, F.col("excess")))
+            ).alias("decays"),
+        )
+        found = bt.record(traded, daily=False, **how).select(
+            F.lit(name).alias("pool"), "ann_ex", "ann_ex_cw", "tilt", "calmar", "calmar_cw", "sharpe", "dd", "turn",
+        ).crossJoin(part)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -169,15 +199,24 @@ def crowding_years(days: DataFrame, high: float = 0.95, low: float = 0.2) -> Dat
     ranked = known.withColumn("pct", (F.rank().over(order) + (same - 1) / 2) / F.count(F.lit(1)).over(Window.partitionBy()))
     mean = lambda test: F.avg(F.when(test, F.col("ret")))
     hot, cold = F.col("pct") >= high, F.col("pct") <= low
-    out = ranked.groupBy(bt._year().alias("year")).agg(F.count(F.when(hot, 1)).alias("n_high"), mean(hot).alias("ret_high"), F.count(F.when(cold, 1)).alias("n_low"), mean(cold).alias("ret_low"), F.avg("ret").alias("ret"))
+    out = ranked.groupBy(bt._year().alias("year")).agg(
+        F.count(F.when(hot, 1)).alias("n_high"), mean(hot).alias("ret_high"), F.count(F.when(cold, 1)).alias("n_low"),
+        mean(cold).alias("ret_low"), F.avg("ret").alias("ret"),
+    )
     return out.where("n_high + n_low > 0").withColumn("spread", F.col("ret_high") - F.col("ret_low"))
 
 
 def breadth(panel: DataFrame, w: int = 20) -> DataFrame:
     """Share of names above their own mean, of rising names, and of names at their highest of ``w`` rows."""
     over = line().rowsBetween(-(w - 1), 0)
-    rows = panel.select(T, (F.col("close") > F.avg("close").over(over)).cast("int").alias("above"), (F.col("close") > F.lag("close").over(line())).cast("int").alias("up"), (F.col("close") >= F.max("close").over(over)).cast("int").alias("high"))
-    return rows.groupBy(T).agg(F.count("above").alias("n"), F.avg("above").alias("above"), F.avg("up").alias("up"), F.avg("high").alias("high"))
+    rows = panel.select(
+        T, (F.col("close") > F.avg("close").over(over)).cast("int").alias("above"),
+        (F.col("close") > F.lag("close").over(line())).cast("int").alias("up"),
+        (F.col("close") >= F.max("close").over(over)).cast("int").alias("high"),
+    )
+    return rows.groupBy(T).agg(
+        F.count("above").alias("n"), F.avg("above").alias("above"), F.avg("up").alias("up"), F.avg("high").alias("high"),
+    )
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -191,7 +230,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     before = None
     while True:
         near = both.join(state, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("m"))
-        state = state.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("component", F.coalesce("m", F.col("component"))).alias("component")).checkpoint()
+        state = state.join(near, F.col("id") == F.col("a"), "left").select(
+            "id", F.least("component", F.coalesce("m", F.col("component"))).alias("component"),
+        ).checkpoint()
         now = state.agg(F.sum("component")).head()[0]
         if now == before:
             return state
@@ -203,4 +244,6 @@ def review(nodes: DataFrame, pairs: DataFrame, score: str, least: float = 0.7) -
     linked = pairs.where(F.col("similarity") >= least).select("a", "b")
     found = components(nodes, linked)
     w = Window.partitionBy("component").orderBy(F.col(score).desc_nulls_last(), "id")
-    return nodes.join(found, "id").withColumns({"size": F.count("*").over(Window.partitionBy("component")), "keep": F.row_number().over(w) == 1}).select("id", "component", "size", "keep")
+    return nodes.join(found, "id").withColumns(
+        {"size": F.count("*").over(Window.partitionBy("component")), "keep": F.row_number().over(w) == 1}
+    ).select("id", "component", "size", "keep")

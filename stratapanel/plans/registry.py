@@ -68,9 +68,17 @@ register("max", 2, "row", scalar.higher_of)
 
 # The leaf fields by family, with the dimension each carries (price, volume, amount, market value, ratio, log).
 _MONEY = [f"mf_{size}_{side}" for size in ("s", "m", "l", "x") for side in ("buy", "sell", "bqty", "sqty")]
-STYLES = tuple(f"barra_{s}" for s in ("beta", "momentum", "size", "earnings_yield", "residual_volatility", "growth", "book_to_price", "leverage", "liquidity", "non_linear_size", "comovement"))
+STYLES = tuple(
+    f"barra_{s}" for s in (
+        "beta", "momentum", "size", "earnings_yield", "residual_volatility", "growth", "book_to_price", "leverage", "liquidity",
+        "non_linear_size", "comovement",
+    )
+)
 FINANCIALS = tuple(
-    f"fa_{s}" for s in ("np_yoy", "rev_yoy", "op_yoy", "ocf_yoy", "gm", "np_margin", "roe", "lev", "accrual", "asset_turn", "gw", "inv_turn", "recv_turn", "sell_exp", "ocf_ta", "pb", "fcf_yield")
+    f"fa_{s}" for s in (
+        "np_yoy", "rev_yoy", "op_yoy", "ocf_yoy", "gm", "np_margin", "roe", "lev", "accrual", "asset_turn", "gw", "inv_turn", "recv_turn",
+        "sell_exp", "ocf_ta", "pb", "fcf_yield",
+    )
 )
 ALTERNATIVE = ("mg_bal_ratio", "mg_buy_ratio", "lhb_net_ratio", "lhb_inst_ratio", "block_vol_ratio")
 LEAVES: dict[str, str] = {

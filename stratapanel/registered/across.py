@@ -55,7 +55,9 @@ def _columns(cols: Callable[[], dict], sql: dict, ints: tuple[str, ...] = ()):
 
     def run(spark, sf_dir):
         frame = base_rows(spark, sf_dir).withColumn("pct", cs.cs_rank(F.col("f")))
-        return frame.select(SYM, F.col(T).cast("long").alias(T), *[(c.cast("long") if k in ints else rounded(c)).alias(k) for k, c in cols().items()])
+        return frame.select(
+            SYM, F.col(T).cast("long").alias(T), *[(c.cast("long") if k in ints else rounded(c)).alias(k) for k, c in cols().items()],
+        )
 
     shown = ", ".join(f"{f'CAST({v} AS BIGINT)' if k in ints else r(v)} AS {k}" for k, v in sql.items())
     return run, f"{base_sql()}, ranked AS (SELECT *, {pct('f')} AS pct FROM base)\nSELECT sym, CAST(t AS BIGINT) AS t, {shown} FROM ranked"
@@ -127,17 +129,30 @@ QUERIES = {
     ),
     "cs_operators": expressions(
         "P2", {"cs_rank": "cs_rank(ln_volume)", "cs_demean": "cs_demean(ln_volume)", "cs_scale": "cs_scale(intraday)"},
-        {"cs_rank": pct("ln_volume"), "cs_demean": "ln_volume - avg(ln_volume) OVER (PARTITION BY t)", "cs_scale": f"({pct('intraday')} - 0.5) * 2"}, leaves=True,
+        {
+            "cs_rank": pct("ln_volume"), "cs_demean": "ln_volume - avg(ln_volume) OVER (PARTITION BY t)",
+            "cs_scale": f"({pct('intraday')} - 0.5) * 2",
+        }, leaves=True,
     ),
     "cs_extra": _columns(
-        lambda: {"zscore": cs.cs_zscore(F.col("f")), "ordinal": cs.ordinal_rank(F.col("f")), "rank_in_industry": cs.cs_rank(F.col("f"), "industry")},
+        lambda: {
+            "zscore": cs.cs_zscore(F.col("f")), "ordinal": cs.ordinal_rank(F.col("f")),
+            "rank_in_industry": cs.cs_rank(F.col("f"), "industry"),
+        },
         {
             "zscore": "(f - avg(f) OVER (PARTITION BY t)) / (stddev_samp(f) OVER (PARTITION BY t) + 1e-12)", "ordinal": ordinal("f"),
             "rank_in_industry": f"({avg_rank('f', 't, industry')}) / count(f) OVER (PARTITION BY t, industry)",
         },
     ),
     "buckets": _columns(
-        lambda: {"qcut": cs.bucket_qcut(F.col("f")), "top_first": cs.bucket_top(F.col("pct")), "ascending": cs.bucket_ascending(F.col("pct")), "top_decile": (F.col("pct") > 0.9).cast("int"), "quantile_code": F.when(F.col("f").isNotNull() & (cs.count_of(F.col("f")) >= 2), F.least(F.floor((cs.place(F.col("f")) - 1) * 256 / cs.count_of(F.col("f"))), F.lit(255)))},
+        lambda: {
+            "qcut": cs.bucket_qcut(F.col("f")), "top_first": cs.bucket_top(F.col("pct")), "ascending": cs.bucket_ascending(F.col("pct")),
+            "top_decile": (F.col("pct") > 0.9).cast("int"),
+            "quantile_code": F.when(
+                F.col("f").isNotNull() & (cs.count_of(F.col("f")) >= 2),
+                F.least(F.floor((cs.place(F.col("f")) - 1) * 256 / cs.count_of(F.col("f"))), F.lit(255)),
+            ),
+        },
         {
             "qcut": f"CASE WHEN f IS NOT NULL THEN greatest(ceil(({place('f')} - 1) * 10 / greatest({_n} - 1, 1)::DOUBLE) - 1, 0) END", "top_first": "CASE WHEN floor((1 - pct) * 10) > 9 THEN 9 ELSE floor((1 - pct) * 10) END",
             "ascending": "CASE WHEN pct * 10 >= 10 THEN 9 WHEN pct * 10 < 0 THEN 0 ELSE floor(pct * 10) END", "top_decile": "CASE WHEN pct IS NULL THEN NULL WHEN pct > 0.9 THEN 1 ELSE 0 END",

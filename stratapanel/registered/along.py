@@ -53,7 +53,9 @@ def _slope(w: int, x: str) -> str:
 
 def _ema_sql(windows: tuple[int, ...], x: str) -> str:
     state = ", ".join(f"CAST({x} AS DOUBLE) AS e{w}" for w in windows)
-    step = ", ".join(f"CASE WHEN l.{x} IS NULL THEN s.e{w} WHEN s.e{w} IS NULL THEN l.{x} ELSE {2.0 / (w + 1)!r} * l.{x} + {1 - 2.0 / (w + 1)!r} * s.e{w} END" for w in windows)
+    step = ", ".join(
+        f"CASE WHEN l.{x} IS NULL THEN s.e{w} WHEN s.e{w} IS NULL THEN l.{x} ELSE {2.0 / (w + 1)!r} * l.{x} + {1 - 2.0 / (w + 1)!r} * s.e{w} END" for w in windows
+    )
     out = ", ".join(f"{r(f'CASE WHEN n >= {w} THEN e{w} END')} AS ema{w}" for w in windows)
     return f"""WITH RECURSIVE {P2}, {LEAVES}, walk AS (
   SELECT sym, t, {state}, CAST(CASE WHEN {x} IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n FROM leaves WHERE t = 0
@@ -66,7 +68,9 @@ def _panel(kind: str):
     cols = ("close", "open", "high", "low", "volume", "turnover", "mktcap")
 
     def run(spark, sf_dir):
-        return panel_of(kind)(spark, sf_dir).select(SYM, F.col(T).cast("long").alias(T), "date", *[rounded(F.col(c), 3).alias(c) for c in cols])
+        return panel_of(kind)(spark, sf_dir).select(
+            SYM, F.col(T).cast("long").alias(T), "date", *[rounded(F.col(c), 3).alias(c) for c in cols],
+        )
 
     return run, f"WITH {P1 if kind == 'P1' else P2}\nSELECT sym, CAST(t AS BIGINT) AS t, date, {', '.join(f'{r(c, 3)} AS {c}' for c in cols)} FROM panel"
 
@@ -102,25 +106,48 @@ QUERIES = {
     "ts_sum": _simple("ts_sum", "sum", (20, 100)),
     "ts_max": _simple("ts_max", "max", (20, 100)),
     "ts_min": _simple("ts_min", "min", (20, 100)),
-    "ts_rank": expressions("P2", {f"ts_rank{w}": f"ts_rank{w}(ret)" for w in (10, 20, 60, 100)}, {f"ts_rank{w}": _rank_sql(w, "ret") for w in (10, 20, 60, 100)}, leaves=True),
+    "ts_rank": expressions(
+        "P2", {f"ts_rank{w}": f"ts_rank{w}(ret)" for w in (10, 20, 60, 100)},
+        {f"ts_rank{w}": _rank_sql(w, "ret") for w in (10, 20, 60, 100)}, leaves=True,
+    ),
     "ts_shift": expressions(
         "P2", {"ts_delay1": "ts_delay1(ln_volume)", **{f"ts_delta{w}": f"ts_delta{w}(ln_volume)" for w in (5, 10, 20, 60)}},
-        {"ts_delay1": "lag(ln_volume, 1) OVER (PARTITION BY sym ORDER BY t)", **{f"ts_delta{w}": f"ln_volume - lag(ln_volume, {w}) OVER (PARTITION BY sym ORDER BY t)" for w in (5, 10, 20, 60)}}, leaves=True,
+        {
+            "ts_delay1": "lag(ln_volume, 1) OVER (PARTITION BY sym ORDER BY t)",
+            **{f"ts_delta{w}": f"ln_volume - lag(ln_volume, {w}) OVER (PARTITION BY sym ORDER BY t)" for w in (5, 10, 20, 60)},
+        }, leaves=True,
     ),
     "ts_regression": expressions(
         "P2", {f"ts_{k}{w}": f"ts_{k}{w}(ln_mktcap)" for k in ("slope", "rsqr", "resi") for w in (5, 10, 20, 60)},
         {
             **{f"ts_slope{w}": _full(_slope(w, "ln_mktcap"), w, "ln_mktcap") for w in (5, 10, 20, 60)},
-            **{f"ts_rsqr{w}": _full(f"CASE WHEN var_pop(ln_mktcap) {line(w)} * {w} > 1e-12 THEN regr_r2(ln_mktcap, t) {line(w)} END", w, "ln_mktcap") for w in (5, 10, 20, 60)},
-            **{f"ts_resi{w}": _full(f"ln_mktcap - (regr_intercept(ln_mktcap, t) {line(w)} + {_slope(w, 'ln_mktcap')} * t)", w, "ln_mktcap") for w in (5, 10, 20, 60)},
+            **{
+                f"ts_rsqr{w}": _full(
+                    f"CASE WHEN var_pop(ln_mktcap) {line(w)} * {w} > 1e-12 THEN regr_r2(ln_mktcap, t) {line(w)} END", w, "ln_mktcap",
+                ) for w in (5, 10, 20, 60)
+            },
+            **{
+                f"ts_resi{w}": _full(
+                    f"ln_mktcap - (regr_intercept(ln_mktcap, t) {line(w)} + {_slope(w, 'ln_mktcap')} * t)", w, "ln_mktcap",
+                ) for w in (5, 10, 20, 60)
+            },
         }, leaves=True,
     ),
     "ts_moments": expressions(
         "P2", {"ts_skew20": "ts_skew20(ret)", "ts_kurt20": "ts_kurt20(ret)", "ts_skew60": "ts_skew60(ret)", "ts_kurt60": "ts_kurt60(ret)"},
-        {"ts_skew20": _moment(20, "ret", False), "ts_kurt20": _moment(20, "ret", True), "ts_skew60": _moment(60, "ret", False), "ts_kurt60": _moment(60, "ret", True)}, leaves=True,
+        {
+            "ts_skew20": _moment(20, "ret", False), "ts_kurt20": _moment(20, "ret", True), "ts_skew60": _moment(60, "ret", False),
+            "ts_kurt60": _moment(60, "ret", True),
+        }, leaves=True,
+    ),
+    "ts_corr": expressions(
+        "P2", {f"corr{w}": f"corr{w}(ret, ln_volume)" for w in (20, 60, 100)},
+        {f"corr{w}": _corr_sql(w, "ret", "ln_volume") for w in (20, 60, 100)}, leaves=True,
+    ),
+    "ts_ema": (
+        expressions("P2", {f"ema{w}": f"ema{w}(intraday)" for w in (5, 12, 20, 26, 60)}, {}, leaves=True)[0],
+        _ema_sql((5, 12, 20, 26, 60), "intraday"),
     ),
-    "ts_corr": expressions("P2", {f"corr{w}": f"corr{w}(ret, ln_volume)" for w in (20, 60, 100)}, {f"corr{w}": _corr_sql(w, "ret", "ln_volume") for w in (20, 60, 100)}, leaves=True),
-    "ts_ema": (expressions("P2", {f"ema{w}": f"ema{w}(intraday)" for w in (5, 12, 20, 26, 60)}, {}, leaves=True)[0], _ema_sql((5, 12, 20, 26, 60), "intraday")),
     "ts_position": _extra(
         lambda: {"ts_pos": ts.ts_pos(F.col("ln_volume"), 20), "ts_std_samp": ts.ts_std_samp(F.col("ret"), 20)},
         {
@@ -130,7 +157,10 @@ QUERIES = {
     ),
     "fill": _extra(
         lambda: {"forward": ts.fill_forward(F.col("ret")), "backward": ts.fill_backward(F.col("ret"))},
-        {"forward": f"last_value(ret IGNORE NULLS) {_RUN}", "backward": "first_value(ret IGNORE NULLS) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"},
+        {
+            "forward": f"last_value(ret IGNORE NULLS) {_RUN}",
+            "backward": "first_value(ret IGNORE NULLS) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+        },
     ),
     "rolling_pct_rank": _extra(
         lambda: {"pct": ts.rolling_pct_rank(F.col("turn_ratio"), 36, 12)},
@@ -145,10 +175,16 @@ QUERIES = {
             "liq": "neg(log(ts_mean20(volume)))", "turn_anom": "sub(ts_mean5(turn_ratio), ts_mean20(turn_ratio))", "vpin": "corr20(volume, ret)",
         },
         {
-            "gap": _enough(f"avg(overnight) {line(20)}", 20, "overnight"), "gap_trend": f"{_enough(f'avg(overnight) {line(60)}', 60, 'overnight')} - {_enough(f'avg(intraday) {line(60)}', 60, 'intraday')}",
+            "gap": _enough(
+                f"avg(overnight) {line(20)}", 20, "overnight",
+            ), "gap_trend": f"{_enough(f'avg(overnight) {line(60)}', 60, 'overnight')} - {_enough(f'avg(intraday) {line(60)}', 60, 'intraday')}",
             "gap_decay": f"{_enough(f'avg(overnight) {line(5)}', 5, 'overnight')} - {_enough(f'avg(overnight) {line(60)}', 60, 'overnight')}", "amp": f"-({_enough(f'avg(amplitude) {line(20)}', 20, 'amplitude')})",
-            "amp_vol": _enough(f"stddev_pop(amplitude) {line(60)}", 60, "amplitude"), "shadow": f"-({_enough(f'avg(up_shadow) {line(20)}', 20, 'up_shadow')})", "price_struct": _enough(f"avg(hl_ratio) {line(20)}", 20, "hl_ratio"),
-            "rev": "-(ln_volume - lag(ln_volume, 5) OVER (PARTITION BY sym ORDER BY t))", "vol": f"-({_enough(f'stddev_pop(ret) {line(60)}', 60, 'ret')})", "liq": _enough(f"-ln(greatest(avg(volume) {line(20)}, 1e-9))", 20, "volume"),
+            "amp_vol": _enough(
+                f"stddev_pop(amplitude) {line(60)}", 60, "amplitude",
+            ), "shadow": f"-({_enough(f'avg(up_shadow) {line(20)}', 20, 'up_shadow')})", "price_struct": _enough(f"avg(hl_ratio) {line(20)}", 20, "hl_ratio"),
+            "rev": "-(ln_volume - lag(ln_volume, 5) OVER (PARTITION BY sym ORDER BY t))", "vol": f"-({_enough(f'stddev_pop(ret) {line(60)}', 60, 'ret')})", "liq": _enough(
+                f"-ln(greatest(avg(volume) {line(20)}, 1e-9))", 20, "volume",
+            ),
             "turn_anom": f"{_enough(f'avg(turn_ratio) {line(5)}', 5, 'turn_ratio')} - {_enough(f'avg(turn_ratio) {line(20)}', 20, 'turn_ratio')}", "vpin": _corr_sql(20, "volume", "ret"),
         }, leaves=True,
     ),

@@ -29,13 +29,21 @@ def _returns(spark, sf_dir):
 def supplier_metrics(spark, sf_dir):
     """A table of figures per supplier, for gates and quotas."""
     rows = _returns(spark, sf_dir).withColumn("last", F.max(T).over(Window.partitionBy(SYM)))
-    rows = rows.withColumn("part", F.when(F.col("ret").isNotNull(), F.ntile(3).over(Window.partitionBy(SYM, F.col("ret").isNull()).orderBy(T))))
+    rows = rows.withColumn(
+        "part", F.when(F.col("ret").isNotNull(), F.ntile(3).over(Window.partitionBy(SYM, F.col("ret").isNull()).orderBy(T))),
+    )
     gain = lambda k: F.sum(F.when(F.col("part") == k, F.log1p("ret")))
     out = rows.groupBy(SYM, "industry", "pool").agg(
-        F.avg("intraday").alias("ic"), F.avg(F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("int"))).alias("ic_win"), F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("calmar"),
-        F.avg(F.when(F.col(T) > F.col("last") - 13, F.col("ret"))).alias("last_yr"), F.count(F.when(F.col("ret") < -0.8, 1)).alias("bad_years"), F.min("intraday").alias("dd"),
+        F.avg("intraday").alias("ic"), F.avg(
+            F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("int"))
+        ).alias("ic_win"), F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("calmar"),
+        F.avg(
+            F.when(F.col(T) > F.col("last") - 13, F.col("ret"))
+        ).alias("last_yr"), F.count(F.when(F.col("ret") < -0.8, 1)).alias("bad_years"), F.min("intraday").alias("dd"),
         F.avg(F.when(F.col(T) % 2 == 0, F.col("intraday"))).alias("cal300"), F.avg(F.when(F.col(T) < 3, F.col("intraday"))).alias("cal500"),
-        F.count("ret").alias("periods"), sum((F.coalesce(gain(k) > 0, F.lit(False)).cast("int") for k in (2, 3)), F.coalesce(gain(1) > 0, F.lit(False)).cast("int")).alias("positive"),
+        F.count("ret").alias("periods"), sum(
+            (F.coalesce(gain(k) > 0, F.lit(False)).cast("int") for k in (2, 3)), F.coalesce(gain(1) > 0, F.lit(False)).cast("int"),
+        ).alias("positive"),
     )
     return out
 
@@ -55,16 +63,30 @@ held AS (SELECT sym, any_value(n) AS n, count(*) FILTER (WHERE gain > 1) AS posi
 def gates(spark, sf_dir):
     m = supplier_metrics(spark, sf_dir)
     a, b, c = F.col("cal300") >= 0.3, F.col("cal500") >= 0.3, F.col("calmar") >= 0.35
-    any_, all_ = control.pool_gate([F.col("cal300"), F.col("cal500")], 0.4), control.pool_gate([F.col("cal300"), F.col("cal500")], 0.2, "all")
+    any_, all_ = control.pool_gate([F.col("cal300"), F.col("cal500")], 0.4), control.pool_gate(
+        [F.col("cal300"), F.col("cal500")], 0.2, "all",
+    )
     score = lambda mode: rounded(control.first_score(mode, F.col("ic_win"), F.col("calmar"), F.col("cal300"), F.col("ic"), F.col("cal500"))).alias(f"score_{mode}")
     parts = control.segments_hold(F.col("positive"), F.col("periods"), least=24)
     return m.select(
-        SYM, control.rule("calmar >= 0.35 and ic > 0.2 and last_yr > 0").alias("rule"), control.passes(0.02, 0.4, 0.3).alias("passes"), any_.alias("any_pool"), all_.alias("all_pools"),
-        control.combined(control.passes(0.02, 0.4, 0.2), c, any_, parts).alias("both_gates"), control.combined(control.passes(0.02, 0.4, 0.2), c, any_, parts, either=True).alias("either_gate"),
-        control.combined(control.passes(0.02, 0.4, 0.2), c, any_, parts, pool_on=False).alias("whole_gate"), control.pool_tag(a, b, c).alias("tag"),
-        control.strip_grade(F.col("calmar") - 0.1, F.col("last_yr"), F.col("dd") + 0.7).alias("grade"), control.strip_grade(F.col("calmar") - 0.1, F.col("last_yr")).alias("grade_without_dd"), parts.alias("segments"),
-        control.stripped_channel(F.col("ic"), F.col("calmar"), F.col("last_yr"), F.col("ic_win"), F.col("cal300"), (0.02, 0.3, 0.03, 0.4), 0.5).alias("stripped_channel"),
-        control.either_horizon(control.passes(0.02, 0.4, 0.3), c).alias("either_horizon"), *[score(mode) for mode in ("old", "new", "ic_n", "mono_n")],
+        SYM, control.rule(
+            "calmar >= 0.35 and ic > 0.2 and last_yr > 0"
+        ).alias("rule"), control.passes(0.02, 0.4, 0.3).alias("passes"), any_.alias("any_pool"), all_.alias("all_pools"),
+        control.combined(control.passes(0.02, 0.4, 0.2), c, any_, parts).alias("both_gates"), control.combined(
+            control.passes(0.02, 0.4, 0.2), c, any_, parts, either=True,
+        ).alias("either_gate"),
+        control.combined(
+            control.passes(0.02, 0.4, 0.2), c, any_, parts, pool_on=False,
+        ).alias("whole_gate"), control.pool_tag(a, b, c).alias("tag"),
+        control.strip_grade(
+            F.col("calmar") - 0.1, F.col("last_yr"), F.col("dd") + 0.7,
+        ).alias("grade"), control.strip_grade(F.col("calmar") - 0.1, F.col("last_yr")).alias("grade_without_dd"), parts.alias("segments"),
+        control.stripped_channel(
+            F.col("ic"), F.col("calmar"), F.col("last_yr"), F.col("ic_win"), F.col("cal300"), (0.02, 0.3, 0.03, 0.4), 0.5,
+        ).alias("stripped_channel"),
+        control.either_horizon(control.passes(0.02, 0.4, 0.3), c).alias("either_horizon"), *[
+            score(mode) for mode in ("old", "new", "ic_n", "mono_n")
+        ],
     )
 
 
@@ -87,7 +109,9 @@ _GATES = f"""{_METRICS}{_POSITIVE}, f AS (
 
 def rule_quality(spark, sf_dir):
     out = control.rule_quality(supplier_metrics(spark, sf_dir), F.col("ic") > 0.15, F.col("calmar") >= 0.2)
-    return out.select(*["n", "n_pred", "n_true", "n_both"], *[rounded(F.col(c)).alias(c) for c in ("precision", "recall", "lift", "kill", "false_kill")])
+    return out.select(
+        *["n", "n_pred", "n_true", "n_both"], *[rounded(F.col(c)).alias(c) for c in ("precision", "recall", "lift", "kill", "false_kill")],
+    )
 
 
 _RULE = f"""{_METRICS}, c AS (SELECT count(*) AS n, count(CASE WHEN ic > 0.15 THEN 1 END) AS n_pred, count(CASE WHEN calmar >= 0.2 THEN 1 END) AS n_true, count(CASE WHEN ic > 0.15 AND calmar >= 0.2 THEN 1 END) AS n_both FROM metrics)
@@ -105,9 +129,13 @@ SELECT x, y, count(CASE WHEN p THEN 1 END) AS n_pred, {r('CASE WHEN count(CASE W
 
 def quotas(spark, sf_dir):
     m = supplier_metrics(spark, sf_dir)
-    first = control.quota(m, "industry", 2, "calmar", SYM).select(SYM, F.lit("family").alias("kind"), F.col("place").cast("long").alias("place"))
+    first = control.quota(m, "industry", 2, "calmar", SYM).select(
+        SYM, F.lit("family").alias("kind"), F.col("place").cast("long").alias("place"),
+    )
     best = control.best_per_key(m, ["pool"], "ic", SYM).select(SYM, F.lit("best").alias("kind"), F.lit(1).cast("long").alias("place"))
-    kept = control.with_reserved(m, 20, 6, F.col("pool") == 3, "calmar", SYM).select(SYM, F.lit("reserved").alias("kind"), F.col("place").cast("long").alias("place"))
+    kept = control.with_reserved(m, 20, 6, F.col("pool") == 3, "calmar", SYM).select(
+        SYM, F.lit("reserved").alias("kind"), F.col("place").cast("long").alias("place"),
+    )
     return first.unionByName(best).unionByName(kept)
 
 
@@ -119,7 +147,9 @@ UNION ALL SELECT sym, 'reserved', row_number() OVER (ORDER BY place) FROM s WHER
 
 
 def streams(spark, sf_dir):
-    return _returns(spark, sf_dir).where("ret is not null and industry is not null").groupBy(F.col("industry").cast("long").alias("id"), T).agg(F.avg("ret").alias("x"))
+    return _returns(spark, sf_dir).where("ret is not null and industry is not null").groupBy(
+        F.col("industry").cast("long").alias("id"), T,
+    ).agg(F.avg("ret").alias("x"))
 
 
 def stream_correlation(spark, sf_dir):
@@ -156,7 +186,9 @@ def _similarity_sql() -> str:
     parts = []
     for a, b in (("f", "g"), ("f", "h"), ("g", "h")):
         x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
-        parts.append(f"SELECT '{a}' AS a, '{b}' AS b, t, CASE WHEN count({x}) >= 20 AND sqrt(var_pop({x}) * var_pop({y})) > 1e-12 THEN covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})) END AS c FROM k GROUP BY t")
+        parts.append(
+            f"SELECT '{a}' AS a, '{b}' AS b, t, CASE WHEN count({x}) >= 20 AND sqrt(var_pop({x}) * var_pop({y})) > 1e-12 THEN covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})) END AS c FROM k GROUP BY t"
+        )
     return f"""{base_sql(extra=extra)}, k AS (SELECT t, {ordinal('f')} AS f, {ordinal('g')} AS g, {ordinal('h')} AS h FROM base WHERE t % 5 = 0), d AS ({' UNION ALL '.join(parts)})
 SELECT a, b, {r('quantile_cont(abs(c), 0.5)')} AS similarity, count(c) AS days FROM d GROUP BY a, b"""
 
@@ -168,9 +200,13 @@ def _ranks(spark, sf_dir):
 
 def combine(spark, sf_dir):
     rows = _ranks(spark, sf_dir)
-    ics = ev.daily_ic(rows, 20).select(T, F.col("ic").alias("f")).join(ev.daily_ic(rows.withColumn("f", F.col("g")), 20).select(T, F.col("ic").alias("g")), T)
+    ics = ev.daily_ic(rows, 20).select(T, F.col("ic").alias("f")).join(
+        ev.daily_ic(rows.withColumn("f", F.col("g")), 20).select(T, F.col("ic").alias("g")), T,
+    )
     equal = cb.combine_equal(rows, ["f", "g"]).withColumnRenamed("combo", "equal")
-    return cb.combine_by_ic(equal, ics, ["f", "g"]).withColumnRenamed("combo", "by_ic").select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("equal")).alias("equal"), rounded(F.col("by_ic")).alias("by_ic"))
+    return cb.combine_by_ic(equal, ics, ["f", "g"]).withColumnRenamed("combo", "by_ic").select(
+        SYM, F.col(T).cast("long").alias(T), rounded(F.col("equal")).alias("equal"), rounded(F.col("by_ic")).alias("by_ic"),
+    )
 
 
 def _combine_sql() -> str:
@@ -191,7 +227,10 @@ SELECT sym, CAST(k.t AS BIGINT) AS t, {r(div('1.0::DOUBLE', '1.0::DOUBLE'))} AS
 
 def constrained(spark, sf_dir):
     out = cb.constrained(ev.on_grid(base_rows(spark, sf_dir)), 20, "pool", "mktcap", "f")
-    return out.select(SYM, F.col(T).cast("long").alias(T), F.col("pool").cast("long").alias("pool"), F.col("quota").cast("long").alias("quota"), F.col("place").cast("long").alias("place"))
+    return out.select(
+        SYM, F.col(T).cast("long").alias(T), F.col("pool").cast("long").alias("pool"), F.col("quota").cast("long").alias("quota"),
+        F.col("place").cast("long").alias("place"),
+    )
 
 
 _CONSTRAINED = f"""{base_sql()}, p AS (SELECT *, round(sum(mktcap) OVER (PARTITION BY t, pool) / sum(mktcap) OVER (PARTITION BY t) * 20) AS quota FROM base WHERE t % 5 = 0 AND f IS NOT NULL AND mktcap IS NOT NULL),
@@ -207,7 +246,12 @@ def as_of(spark, sf_dir):
     kinds = [row[0] for row in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
     left = e.where(F.col("event_type") == kinds[0]).select("event_id", "user_id", "ts", "value")
     right = e.where(F.col("event_type") == kinds[1]).groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
-    out = cb.as_of(left, right, "user_id", "ts", ["last_value"]).join(cb.as_of(left.select("event_id", "user_id", "ts"), right, "user_id", "ts", ["last_value"], strict=True).select("event_id", F.col("last_value").alias("before_value")), "event_id")
+    out = cb.as_of(left, right, "user_id", "ts", ["last_value"]).join(
+        cb.as_of(
+            left.select("event_id", "user_id", "ts"), right, "user_id", "ts", ["last_value"], strict=True,
+        ).select("event_id", F.col("last_value").alias("before_value")),
+        "event_id",
+    )
     return out.select("event_id", "user_id", "value", "last_value", "before_value")
 
 
@@ -218,7 +262,9 @@ SELECT l.event_id, l.user_id, l.value, a.last_value, b.last_value AS before_valu
 
 def pool_members(spark, sf_dir):
     s = panels.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(SYM), (F.col("s_nationkey") % 2).cast("long").alias("pool"))
-    changes = s.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where((F.col(SYM) + F.col("k")) % 3 != 0).select("pool", (F.col("k") * 24 + 5).alias("changed"), SYM)
+    changes = s.withColumn(
+        "k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))),
+    ).where((F.col(SYM) + F.col("k")) % 3 != 0).select("pool", (F.col("k") * 24 + 5).alias("changed"), SYM)
     dates = panels.lineitem_panel(spark, sf_dir).select(F.col(T).cast("long").alias(T)).distinct()
     return cb.members_at(dates, changes).select("pool", T, SYM)
 
@@ -230,9 +276,13 @@ SELECT c.pool, CAST(t AS BIGINT) AS t, c.sym FROM l JOIN c ON c.pool = l.pool AN
 
 def price_adjust(spark, sf_dir):
     panel = panels.lineitem_panel(spark, sf_dir)
-    factors = panel.where((F.col(T) % 20 == 3) & (F.col(SYM) % 2 == 0)).select(SYM, F.col(T).alias("start"), (1 + F.col(T) / 100).alias("factor"))
+    factors = panel.where((F.col(T) % 20 == 3) & (F.col(SYM) % 2 == 0)).select(
+        SYM, F.col(T).alias("start"), (1 + F.col(T) / 100).alias("factor"),
+    )
     out = cb.adjust_prices(panel.select(SYM, T, "close", "volume"), factors, ["close"], "volume", least=50)
-    return out.select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("close"), 4).alias("close"), rounded(F.col("volume"), 4).alias("volume"))
+    return out.select(
+        SYM, F.col(T).cast("long").alias(T), rounded(F.col("close"), 4).alias("close"), rounded(F.col("volume"), 4).alias("volume"),
+    )
 
 
 _ADJUST = f"""WITH {P2}, f AS (SELECT sym, t, CASE WHEN t % 20 = 3 AND sym % 2 = 0 THEN 1 + t / 100.0::DOUBLE END AS f, close, volume FROM panel),
@@ -249,8 +299,12 @@ def _flag_lists(spark, sf_dir):
 
 def universe(spark, sf_dir):
     panel = panels.lineitem_panel(spark, sf_dir)
-    pc, first = F.lag("close").over(Window.partitionBy(SYM).orderBy(T)), F.min(F.when(F.col("close").isNotNull(), F.col(T))).over(Window.partitionBy(SYM))
-    panel = panel.withColumns({"limit_up": pc * 1.6, "limit_down": pc * 0.4, "listed": first, "delisted": F.when(F.col(SYM) % 7 == 0, F.lit(60))})
+    pc, first = F.lag("close").over(Window.partitionBy(SYM).orderBy(T)), F.min(
+        F.when(F.col("close").isNotNull(), F.col(T))
+    ).over(Window.partitionBy(SYM))
+    panel = panel.withColumns(
+        {"limit_up": pc * 1.6, "limit_down": pc * 0.4, "listed": first, "delisted": F.when(F.col(SYM) % 7 == 0, F.lit(60))}
+    )
     panel = cb.with_flags(panel, _flag_lists(spark, sf_dir), ["st", "suspended"])
     return panel.select(SYM, F.col(T).cast("long").alias(T), "st", "suspended", cb.universe(panel, 24, 20, 10, 300_000.0).alias("inside"))
 
@@ -267,11 +321,16 @@ _SHARES = ("top5", "top10", "top20", "top50")
 
 def concentration(spark, sf_dir):
     out = cb.concentration(panels.lineitem_panel(spark, sf_dir), spans={"short": 24, "long": 60}, least=12)
-    return out.select(F.col(T).cast("long").alias(T), *[rounded(F.col(c)).alias(c) for c in (*_SHARES, *[f"{c}_{k}" for c in _SHARES for k in ("short", "long")])])
+    return out.select(
+        F.col(T).cast("long").alias(T),
+        *[rounded(F.col(c)).alias(c) for c in (*_SHARES, *[f"{c}_{k}" for c in _SHARES for k in ("short", "long")])],
+    )
 
 
 def _conc_sql() -> str:
-    shares = ", ".join(f"sum(CASE WHEN k <= greatest(floor(n * {p}), 1) THEN turnover END) / sum(turnover) AS top{int(p * 100)}" for p in (0.05, 0.1, 0.2, 0.5))
+    shares = ", ".join(
+        f"sum(CASE WHEN k <= greatest(floor(n * {p}), 1) THEN turnover END) / sum(turnover) AS top{int(p * 100)}" for p in (0.05, 0.1, 0.2, 0.5)
+    )
     within = lambda c, w: f"(SELECT CASE WHEN count(*) >= 12 THEN (count(*) FILTER (WHERE b.{c} < a.{c}) + (count(*) FILTER (WHERE b.{c} = a.{c}) + 1) / 2.0) / count(*) END FROM s b WHERE b.t BETWEEN a.t - {w - 1} AND a.t)"
     ranks = ", ".join(f"{r(within(c, w))} AS {c}_{k}" for c in _SHARES for k, w in (("short", 24), ("long", 60)))
     return f"""WITH {P2}, k AS (SELECT t, turnover, row_number() OVER (PARTITION BY t ORDER BY turnover DESC, sym) AS k, count(*) OVER (PARTITION BY t) AS n FROM panel WHERE turnover IS NOT NULL), s AS (SELECT t, {shares} FROM k GROUP BY t)
@@ -284,8 +343,12 @@ SELECT CAST(t AS BIGINT) AS t, {', '.join(f'{r(c)} AS {c}' for c in _SHARES)}, {
 def group_statistics(spark, sf_dir):
     o = panels.read(spark, sf_dir, "orders")
     return o.groupBy("o_orderpriority").agg(
-        F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"), rounded(F.avg("o_totalprice"), 2).alias("mean"), rounded(F.percentile("o_totalprice", F.lit(0.1)), 2).alias("p10"),
-        rounded(F.percentile("o_totalprice", F.lit(0.5)), 2).alias("p50"), rounded(F.percentile("o_totalprice", F.lit(0.9)), 2).alias("p90"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"),
+        F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"), rounded(F.avg("o_totalprice"), 2).alias("mean"), rounded(
+            F.percentile("o_totalprice", F.lit(0.1)), 2,
+        ).alias("p10"),
+        rounded(
+            F.percentile("o_totalprice", F.lit(0.5)), 2,
+        ).alias("p50"), rounded(F.percentile("o_totalprice", F.lit(0.9)), 2).alias("p90"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"),
     )
 
 
@@ -297,8 +360,12 @@ def diversity(spark, sf_dir):
     counts = panels.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("value")).agg(F.count("*").alias("n"))
     whole = Window.partitionBy()
     ranked = counts.withColumns({"total": F.sum("n").over(whole), "place": F.row_number().over(Window.orderBy(F.desc("n"), "value"))})
-    ranked = ranked.withColumn("hhi", F.sum(F.pow(F.col("n") / F.col("total"), 2)).over(whole)).withColumn("top3", F.sum(F.when(F.col("place") <= 3, F.col("n") / F.col("total"))).over(whole))
-    return ranked.select("value", "n", F.col("place").cast("long").alias("place"), rounded(F.col("hhi")).alias("hhi"), rounded(F.col("top3")).alias("top3"))
+    ranked = ranked.withColumn("hhi", F.sum(F.pow(F.col("n") / F.col("total"), 2)).over(whole)).withColumn(
+        "top3", F.sum(F.when(F.col("place") <= 3, F.col("n") / F.col("total"))).over(whole),
+    )
+    return ranked.select(
+        "value", "n", F.col("place").cast("long").alias("place"), rounded(F.col("hhi")).alias("hhi"), rounded(F.col("top3")).alias("top3"),
+    )
 
 
 _DIVERSITY = f"""WITH c AS (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1), k AS (SELECT *, sum(n) OVER () AS total, row_number() OVER (ORDER BY n DESC, value) AS place FROM c)
@@ -307,16 +374,23 @@ SELECT value, n, place, {r('sum((n / total::DOUBLE) * (n / total::DOUBLE)) OVER
 
 def pivoted(spark, sf_dir):
     """Last price per month and status, wide."""
-    o = panels.read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyyMM").cast("int").alias("month"), "o_orderstatus", "o_totalprice", "o_orderkey")
+    o = panels.read(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "yyyyMM").cast("int").alias("month"), "o_orderstatus", "o_totalprice", "o_orderkey",
+    )
     return o.groupBy("month").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.max_by("o_totalprice", "o_orderkey"))
 
 
-_PIVOT = "SELECT CAST(strftime(o_orderdate, '%Y%m') AS INT) AS month, " + ", ".join(f"arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\"" for s in "FOP") + " FROM orders GROUP BY 1"
+_PIVOT = "SELECT CAST(strftime(o_orderdate, '%Y%m') AS INT) AS month, " + ", ".join(
+    f"arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\"" for s in "FOP"
+) + " FROM orders GROUP BY 1"
 
 
 def weighted_means(spark, sf_dir):
     p = _returns(spark, sf_dir).where("ret is not null and mktcap is not null")
-    return p.groupBy(T).agg(rounded(F.try_divide(F.sum(F.col("ret") * F.col("mktcap")), F.sum("mktcap"))).alias("weighted"), rounded(F.avg("ret")).alias("equal"), rounded(F.exp(F.sum(F.log1p(F.col("ret") * 0.01))) - 1).alias("compounded")).withColumn(T, F.col(T).cast("long"))
+    return p.groupBy(T).agg(
+        rounded(F.try_divide(F.sum(F.col("ret") * F.col("mktcap")), F.sum("mktcap"))).alias("weighted"),
+        rounded(F.avg("ret")).alias("equal"), rounded(F.exp(F.sum(F.log1p(F.col("ret") * 0.01))) - 1).alias("compounded"),
+    ).withColumn(T, F.col(T).cast("long"))
 
 
 _WEIGHTED = f"""WITH {P2}, {LEAVES} SELECT CAST(t AS BIGINT) AS t, {r('sum(ret * mktcap) / sum(mktcap)')} AS weighted, {r('avg(ret)')} AS equal, {r('exp(sum(ln(1 + ret * 0.01))) - 1')} AS compounded FROM leaves WHERE ret IS NOT NULL AND mktcap IS NOT NULL GROUP BY t"""
@@ -329,7 +403,10 @@ def first_triggers(spark, sf_dir):
     e = e.withColumns({"gap": F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)), "prev": F.lag("value").over(w)})
     den = F.sqrt(F.var_pop(F.when(F.col("prev").isNotNull(), F.col("value"))) * F.var_pop("prev"))
     ar = F.when(den > 1e-12, F.try_divide(F.covar_pop("value", "prev"), den))
-    return e.groupBy("user_id").agg(F.count(F.when(F.col("gap").isNull() | (F.col("gap") > 86_400_000_000), 1)).alias("runs"), F.count("*").alias("n"), rounded(ar).alias("ar1"))
+    return e.groupBy("user_id").agg(
+        F.count(F.when(F.col("gap").isNull() | (F.col("gap") > 86_400_000_000), 1)).alias("runs"), F.count("*").alias("n"),
+        rounded(ar).alias("ar1"),
+    )
 
 
 _TRIGGERS = f"""WITH k AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap, lag(value) OVER w AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
@@ -349,11 +426,25 @@ _TRIGGER_ROWS = """SELECT user_id, event_id FROM (SELECT *, epoch_us(ts) - epoch
 def codes_and_dates(spark, sf_dir):
     c = panels.read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 733).cast("string").alias("raw"))
     o = F.concat(F.lit("20"), F.lpad((F.col("c_custkey") % 30).cast("string"), 2, "0"))
-    day = F.when(F.col("c_custkey") % 4 == 0, F.concat(o, F.lit("-2-"), (F.col("c_custkey") % 9 + 1).cast("string"))).when(F.col("c_custkey") % 4 == 1, F.concat(o, F.lit("0315"))).when(F.col("c_custkey") % 4 == 2, F.lit("0000-00-00")).otherwise(F.lit("n/a"))
+    day = F.when(
+        F.col("c_custkey") % 4 == 0, F.concat(o, F.lit("-2-"), (F.col("c_custkey") % 9 + 1).cast("string")),
+    ).when(F.col("c_custkey") % 4 == 1, F.concat(o, F.lit("0315"))).when(F.col("c_custkey") % 4 == 2, F.lit("0000-00-00")).otherwise(F.lit("n/a"))
     return c.select(
-        "c_custkey", scalar.exchange_code(F.concat(F.lit("c"), F.col("raw"))).alias("code"), scalar.from_short_suffix(F.concat(F.lpad("raw", 6, "0"), F.lit(".sz"))).alias("long_code"), scalar.date_key(day).alias("day"),
-        scalar.quarter_key(F.concat(o, F.lit("q"), (F.col("c_custkey") % 4 + 1).cast("string"))).alias("quarter"), scalar.skeleton_text(F.concat(F.lit("ts_mean"), F.col("raw"), F.when(F.col("c_custkey") % 2 == 0, F.lit("(close)")).otherwise(F.concat(F.lit("(close, ema"), F.col("c_custkey").cast("string"), F.lit("(ret))"))))).alias("shape"),
-        F.md5("raw").alias("md5"), scalar.date_key_or(day, 19000101).alias("listed"), scalar.json_object(F.concat(F.lit('so {"k": '), F.when(F.col("c_custkey") % 5 == 0, F.lit("")).otherwise(F.col("raw")), F.lit("} it is"))).alias("object"), F.array_join(scalar.identifiers(F.concat(F.lit("sub(ts_mean"), F.col("raw"), F.lit("(close), open_"), F.substring("raw", 1, 1), F.lit(")"))), " ").alias("tokens"),
+        "c_custkey", scalar.exchange_code(F.concat(F.lit("c"), F.col("raw"))).alias("code"), scalar.from_short_suffix(
+            F.concat(F.lpad("raw", 6, "0"), F.lit(".sz"))
+        ).alias("long_code"), scalar.date_key(day).alias("day"),
+        scalar.quarter_key(F.concat(o, F.lit("q"), (F.col("c_custkey") % 4 + 1).cast("string"))).alias("quarter"), scalar.skeleton_text(
+            F.concat(
+                F.lit("ts_mean"), F.col("raw"),
+                F.when(F.col("c_custkey") % 2 == 0, F.lit("(close)")).otherwise(
+                    F.concat(F.lit("(close, ema"), F.col("c_custkey").cast("string"), F.lit("(ret))"))
+                ),
+            )
+        ).alias("shape"),
+        F.md5("raw").alias("md5"), scalar.date_key_or(day, 19000101).alias("listed"), scalar.json_object(F.concat(F.lit('so {"k": '), F.when(F.col("c_custkey") % 5 == 0, F.lit("")).otherwise(F.col("raw")), F.lit("} it is"))).alias("object"), F.array_join(
+            scalar.identifiers(F.concat(F.lit("sub(ts_mean"), F.col("raw"), F.lit("(close), open_"), F.substring("raw", 1, 1), F.lit(")"))),
+            " ",
+        ).alias("tokens"),
     )
 
 
@@ -365,8 +456,12 @@ CAST(CASE WHEN c_custkey % 4 = 0 THEN o || '02' || lpad(CAST(c_custkey % 9 + 1 A
 
 def sampled(spark, sf_dir):
     """A seeded sample without replacement by hash order, and each customer nation's order curve thinned to ten points with its ends."""
-    s = panels.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.md5(F.concat_ws(":", F.lit(42), "s_suppkey")).alias("h")).orderBy("h").limit(20).select("id", F.lit("sample").alias("kind"), F.lit(0.0).alias("y"))
-    o = panels.read(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyyMM").cast("long").alias("id")).agg(F.sum("o_totalprice").alias("y")).withColumn("kind", F.lit("curve"))
+    s = panels.read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.md5(F.concat_ws(":", F.lit(42), "s_suppkey")).alias("h"),
+    ).orderBy("h").limit(20).select("id", F.lit("sample").alias("kind"), F.lit(0.0).alias("y"))
+    o = panels.read(spark, sf_dir, "orders").groupBy(
+        F.date_format("o_orderdate", "yyyyMM").cast("long").alias("id")
+    ).agg(F.sum("o_totalprice").alias("y")).withColumn("kind", F.lit("curve"))
     return s.unionByName(rp.thinned(o, ["kind"], "id", 10).select("id", "kind", rounded(F.col("y"), 2).alias("y")))
 
 

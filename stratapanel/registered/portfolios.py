@@ -57,7 +57,10 @@ BUFFERS = [0.0, 0.25, 0.5]
 
 def buffered(spark, sf_dir):
     out = pf.buffered(base_rows(spark, sf_dir), 8, BUFFERS, "f", "pool")
-    return out.groupBy("buffer", F.col("pool").cast("long").alias("pool"), F.col(T).cast("long").alias(T)).agg(F.count("*").alias("held"), F.sum(F.col("stayed").cast("long")).alias("stayed"), F.md5(F.array_join(F.sort_array(F.collect_list(F.col(SYM).cast("string"))), ",")).alias("names"))
+    return out.groupBy("buffer", F.col("pool").cast("long").alias("pool"), F.col(T).cast("long").alias(T)).agg(
+        F.count("*").alias("held"), F.sum(F.col("stayed").cast("long")).alias("stayed"),
+        F.md5(F.array_join(F.sort_array(F.collect_list(F.col(SYM).cast("string"))), ",")).alias("names"),
+    )
 
 
 def _walk_sql(tail: str) -> str:
@@ -71,7 +74,9 @@ walk AS (
 ) {tail}"""
 
 
-_BUFFERED = _walk_sql("SELECT buffer, CAST(pool AS BIGINT) AS pool, CAST(t AS BIGINT) AS t, CAST(len(held) AS BIGINT) AS held, stayed, md5(array_to_string(list_sort(list_transform(held, lambda s: CAST(s AS VARCHAR))), ',')) AS names FROM walk")
+_BUFFERED = _walk_sql(
+    "SELECT buffer, CAST(pool AS BIGINT) AS pool, CAST(t AS BIGINT) AS t, CAST(len(held) AS BIGINT) AS held, stayed, md5(array_to_string(list_sort(list_transform(held, lambda s: CAST(s AS VARCHAR))), ',')) AS names FROM walk"
+)
 
 
 def buffer_sweep(spark, sf_dir):
@@ -79,7 +84,9 @@ def buffer_sweep(spark, sf_dir):
     rows = base_rows(spark, sf_dir)
     held = pf.buffered(rows, 8, BUFFERS, "f", "pool").join(rows.select(SYM, T, "r"), [SYM, T])
     per = held.groupBy("buffer", "pool", T).agg((1 - F.avg(F.col("stayed").cast("double"))).alias("turn"), F.avg("r").alias("ret"))
-    return per.groupBy("buffer").agg(F.count("*").alias("periods"), rounded(F.avg("turn")).alias("turn"), rounded(F.avg("ret")).alias("ret"))
+    return per.groupBy("buffer").agg(
+        F.count("*").alias("periods"), rounded(F.avg("turn")).alias("turn"), rounded(F.avg("ret")).alias("ret"),
+    )
 
 
 _SWEEP = _walk_sql(f""", flat AS (SELECT buffer, pool, t, len(held) AS n, stayed, unnest(held) AS sym FROM walk), per AS (SELECT buffer, pool, flat.t, 1 - any_value(stayed) / any_value(n)::DOUBLE AS turn, avg(r) AS ret FROM flat JOIN base b USING (sym, t, pool) GROUP BY ALL)
@@ -94,7 +101,9 @@ def unlike_known(spark, sf_dir):
 
 def _unlike_sql() -> str:
     extra = f", -({_enough(f'avg(ret) {line(10)}', 10, 'ret')}) AS g, {_enough(f'avg(intraday) {line(10)}', 10, 'intraday')} AS h, {_enough(f'avg(intraday) {line(20)}', 20, 'intraday')} AS k"
-    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c FROM q WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY t HAVING count(*) >= 20" for a in "fg" for b in "hk")
+    pairs = " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c FROM q WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY t HAVING count(*) >= 20" for a in "fg" for b in "hk"
+    )
     return f"""{base_sql(extra=extra)}, q AS (SELECT t, {', '.join(f'{ordinal(c)} AS {c}' for c in 'fghk')} FROM base WHERE t % 5 = 0), m AS (SELECT a, b, quantile_cont(abs(c), 0.5) AS likeness FROM ({pairs}) GROUP BY a, b)
 SELECT a AS factor, {r('max(likeness)')} AS likeness, arg_max(b, (likeness, b)) AS "like", max(likeness) < 0.4 AS new FROM m GROUP BY a"""
 

@@ -29,7 +29,10 @@ def style_strip(spark, sf_dir):
 def _stripped_rows(z1: str = "ln_mktcap", z2: str = "ln_volume") -> dict[str, str]:
     """The rows of a backtest whose factor is what two styles leave of it."""
     neutral = _neutral_two(z1, z2)[1].split(", s AS (", 1)[1].rsplit(" SELECT sym, CAST(t AS BIGINT)", 1)[0]
-    return {"ctes": f", s AS ({neutral}, stripped AS (SELECT b.*, CASE WHEN e.n >= 30 THEN e.e END AS left_over FROM base b JOIN e ON e.sym = b.sym AND e.t = b.t)", "source": "stripped", "f": "left_over"}
+    return {
+        "ctes": f", s AS ({neutral}, stripped AS (SELECT b.*, CASE WHEN e.n >= 30 THEN e.e END AS left_over FROM base b JOIN e ON e.sym = b.sym AND e.t = b.t)",
+        "source": "stripped", "f": "left_over",
+    }
 
 
 def _strip_sql() -> str:
@@ -48,7 +51,10 @@ def _pool_sql() -> str:
 SELECT CAST(t AS BIGINT) AS t, count(*) AS n, {r(_corr('x', 'y'))} AS ic FROM p GROUP BY t HAVING count(*) >= 20"""
 
 
-_NET_COLS = ("stab", "turn_est", "turn_top", "d1", "d10", "sd_top", "top_ann", "spread_ann", "net_ann", "net_sharpe", "top20", "sd_top20", "top20_ann", "net20_ann", "net20_sharpe")
+_NET_COLS = (
+    "stab", "turn_est", "turn_top", "d1", "d10", "sd_top", "top_ann", "spread_ann", "net_ann", "net_sharpe", "top20", "sd_top20",
+    "top20_ann", "net20_ann", "net20_sharpe",
+)
 
 
 def net_of_cost(spark, sf_dir):
@@ -87,11 +93,16 @@ SELECT CAST(t AS BIGINT) AS t, count(*) AS n, {r('avg(a)')} AS ln_mktcap, {r('av
 
 def style_profile(spark, sf_dir):
     out = rp.style_profile(base_rows(spark, sf_dir), ["ln_mktcap", "ln_volume", "turn_ratio"], least=20)
-    return out.select("style", F.col("n").cast("long").alias("n"), *[rounded(F.col(c)).alias(c) for c in ("mean", "abs_mean", "ir", "t_plain", "t_ar1", "win")])
+    return out.select(
+        "style", F.col("n").cast("long").alias("n"),
+        *[rounded(F.col(c)).alias(c) for c in ("mean", "abs_mean", "ir", "t_plain", "t_ar1", "win")],
+    )
 
 
 def _profile_sql() -> str:
-    parts = " UNION ALL ".join(f"SELECT '{c}' AS style, t, {ordinal('f')} AS x, {ordinal(c)} AS y FROM base" for c in ("ln_mktcap", "ln_volume", "turn_ratio"))
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS style, t, {ordinal('f')} AS x, {ordinal(c)} AS y FROM base" for c in ("ln_mktcap", "ln_volume", "turn_ratio")
+    )
     return f"""{base_sql()}, long AS ({parts}), d AS (SELECT style, t, {_corr('x', 'y')} AS c FROM long WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL HAVING count(*) >= 20), l AS (SELECT *, lag(c) OVER (PARTITION BY style ORDER BY t) AS p FROM d),
 k AS (SELECT style, count(c) AS n, avg(c) AS mean, avg(abs(c)) AS abs_mean, avg(c) / stddev_samp(c) AS ir, avg(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS win, corr(c, p) AS rho FROM l GROUP BY style)
 SELECT style, n, {r('mean')} AS mean, {r('abs_mean')} AS abs_mean, {r('ir')} AS ir, {r('ir * sqrt(n)')} AS t_plain, {r('ir * sqrt(n * (1 - rho) / (1 + rho))')} AS t_ar1, {r('win')} AS win FROM k"""
@@ -99,7 +110,10 @@ SELECT style, n, {r('mean')} AS mean, {r('abs_mean')} AS abs_mean, {r('ir')} AS
 
 def cost_sweep(spark, sf_dir):
     out = rp.sweep({5: bt.trades(base_rows(spark, sf_dir), limit=_LIMIT)}, [0.0, 0.004, 0.007], least=30, least_top=2, least_pool=20)
-    return out.select("cost", F.col("periods").cast("long").alias("periods"), rounded(F.col("ann_ex")).alias("ann_ex"), rounded(F.col("dd")).alias("dd"), rounded(F.col("sharpe")).alias("sharpe"))
+    return out.select(
+        "cost", F.col("periods").cast("long").alias("periods"), rounded(F.col("ann_ex")).alias("ann_ex"), rounded(F.col("dd")).alias("dd"),
+        rounded(F.col("sharpe")).alias("sharpe"),
+    )
 
 
 def _sweep_sql() -> str:
@@ -112,17 +126,25 @@ def _sweep_sql() -> str:
 def horizon_sweep(spark, sf_dir):
     traded = {f: bt.trades(base_rows(spark, sf_dir, f), step=f, limit=_LIMIT) for f in (3, 5)}
     out = rp.sweep(traded, [0.004], least=30, least_top=2, least_pool=20)
-    return out.select(F.col("horizon").cast("long").alias("horizon"), F.col("periods").cast("long").alias("periods"), rounded(F.col("ann_ex")).alias("ann_ex"), rounded(F.col("turn")).alias("turn"))
+    return out.select(
+        F.col("horizon").cast("long").alias("horizon"), F.col("periods").cast("long").alias("periods"),
+        rounded(F.col("ann_ex")).alias("ann_ex"), rounded(F.col("turn")).alias("turn"),
+    )
 
 
 def _horizon_sql() -> str:
-    parts = [f"SELECT CAST({f} AS BIGINT) AS horizon, periods, ann_ex, turn FROM ({_metrics_sql(_per_sql(step=f), step=f)})" for f in (3, 5)]
+    parts = [
+        f"SELECT CAST({f} AS BIGINT) AS horizon, periods, ann_ex, turn FROM ({_metrics_sql(_per_sql(step=f), step=f)})" for f in (3, 5)
+    ]
     return " UNION ALL ".join(parts)
 
 
 def daily_picks(spark, sf_dir):
     out = rp.picks(base_rows(spark, sf_dir), 60, 10, F.col("pool") != 4, _LIMIT)
-    return out.select(SYM, F.col(T).cast("long").alias(T), F.col("place").cast("long").alias("place"), rounded(F.col("size_pct")).alias("size_pct"), rounded(F.col("tilt")).alias("tilt"))
+    return out.select(
+        SYM, F.col(T).cast("long").alias(T), F.col("place").cast("long").alias("place"), rounded(F.col("size_pct")).alias("size_pct"),
+        rounded(F.col("tilt")).alias("tilt"),
+    )
 
 
 _PICKS = f"""{base_sql()}, b AS (SELECT *, lag(close) {_LINE} AS pc FROM base), c AS (SELECT *, lead(coalesce(close > 0 AND turnover > 0 AND (pc IS NULL OR close < pc * 1.5 - 1e-6), false), 1) {_LINE} AS can FROM b), d AS (SELECT *, {pct('mktcap')} AS size_pct FROM c WHERE t = 60 AND f IS NOT NULL AND pool <> 4 AND can),

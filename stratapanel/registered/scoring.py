@@ -56,7 +56,9 @@ days AS (SELECT t, {_corr('x', 'y')} AS ic FROM pairs GROUP BY t HAVING count(*)
 def batch_ic(spark, sf_dir):
     rows = base_rows(spark, sf_dir, extra={"g": "neg(ts_mean10(ret))", "h": "corr20(ret, ln_volume)"})
     out = ev.batch_ic(rows, ["f", "g", "h"], least=20)
-    return out.select("factor", F.col("days").cast("long").alias("days"), rounded(F.col("ic")).alias("ic"), rounded(F.col("ic_ir")).alias("ic_ir"))
+    return out.select(
+        "factor", F.col("days").cast("long").alias("days"), rounded(F.col("ic")).alias("ic"), rounded(F.col("ic_ir")).alias("ic_ir"),
+    )
 
 
 def _batch_sql() -> str:
@@ -93,7 +95,9 @@ jac AS (SELECT 1 - avg(len(list_intersect(names, old)) / len(list_distinct(list_
 shape AS (SELECT (SELECT CASE WHEN count(*) = 10 THEN corr(11 - d, m) END FROM m) AS mono, (SELECT d FROM m ORDER BY m DESC, d LIMIT 1) AS best, (SELECT m FROM m WHERE d = 1) AS d1, (SELECT m FROM m WHERE d = 10) AS d10,
   {_sd('x', 'sp')} AS sd_top, {_sd('s', 'sp')} AS sd_spread, (SELECT avg(x) FROM f20) AS top20, {_sd('x', 'f20')} AS sd_top20, (SELECT turn_top FROM jac) AS turn_top, (SELECT count(DISTINCT t) FROM q) AS periods)"""
 _SHAPE = f"""{_SHAPE_ROW}
-SELECT CAST(best AS BIGINT) AS best, periods, {', '.join(f'{r(c)} AS {c}' for c in ('mono', 'd1', 'd10', 'sd_top', 'sd_spread', 'top20', 'sd_top20', 'turn_top'))},
+SELECT CAST(best AS BIGINT) AS best, periods, {
+    ', '.join(f'{r(c)} AS {c}' for c in ('mono', 'd1', 'd10', 'sd_top', 'sd_spread', 'top20', 'sd_top20', 'turn_top'))
+},
   {r('CASE WHEN mono < 0 THEN 0 WHEN mono IS NOT NULL THEN mono * CASE WHEN best = 1 THEN 1 ELSE 0.5 END END')} AS shape_pos FROM shape"""
 
 
@@ -102,7 +106,9 @@ def decile_periods(spark, sf_dir):
     return _shown(per, ("ret",), (T, "d", "n"))
 
 
-_DECILE_PERIODS = _DECILES.replace("avg(r) AS ret", "avg(r) AS ret, count(*) AS c") + f"\nSELECT CAST(t AS BIGINT) AS t, CAST(d AS BIGINT) AS d, {r('ret')} AS ret, c AS n FROM b"
+_DECILE_PERIODS = _DECILES.replace(
+    "avg(r) AS ret", "avg(r) AS ret, count(*) AS c",
+) + f"\nSELECT CAST(t AS BIGINT) AS t, CAST(d AS BIGINT) AS d, {r('ret')} AS ret, c AS n FROM b"
 
 
 def top_turnover(spark, sf_dir):
@@ -144,7 +150,9 @@ def _per(spark, sf_dir, **more):
     return bt.periods(_traded(spark, sf_dir, **flags), least=30, least_top=2, least_pool=20, **more)
 
 
-def _trades_sql(delay: bool = True, ban: bool = True, step: int = 5, limit: float = _LIMIT, f: str = "f", ctes: str = "", source: str = "base") -> str:
+def _trades_sql(
+    delay: bool = True, ban: bool = True, step: int = 5, limit: float = _LIMIT, f: str = "f", ctes: str = "", source: str = "base",
+) -> str:
     sell = f"lead(ns, {step + 1}) {_LEAD}" if delay else f"lead(t, {step + 1}) {_LEAD}"
     can = f"coalesce(lead(buyable, 1) {_LEAD}, false)" if ban else "true"
     return f"""{base_sql(fwd=step)}{ctes}, based AS (SELECT * EXCLUDE (f), {f} AS f FROM {source}), priced AS (SELECT *, lag(close) {_LEAD} AS pc, coalesce(close > 0, false) AND coalesce(turnover > 0, false) AS traded FROM based),
@@ -154,7 +162,10 @@ bs AS (SELECT *, lead(close, 1) {_LEAD} AS buy, lead(mktcap, 1) {_LEAD} AS cap,
 tr AS (SELECT b.* EXCLUDE (may), b.may AND b.sell_at IS NOT NULL AS can, CASE WHEN b.may AND b.buy > 0 THEN p.close / b.buy - 1 END AS ret FROM bs b LEFT JOIN base p ON p.sym = b.sym AND p.t = b.sell_at)"""
 
 
-def _per_sql(delay: bool = True, ban: bool = True, by_pct: bool = False, cost: float = 0.004, actual: bool = False, cash: float = 1.0, step: int = 5, **rows: str) -> str:
+def _per_sql(
+    delay: bool = True, ban: bool = True, by_pct: bool = False, cost: float = 0.004, actual: bool = False, cash: float = 1.0, step: int = 5,
+    **rows: str,
+) -> str:
     n = "count(f) OVER (PARTITION BY t)"
     top = f"{pct('f')} > 0.9" if by_pct else f"greatest(ceil(({place('f')} - 1) * 10 / greatest({n} - 1, 1)::DOUBLE) - 1, 0) = 9"
     held = "top AND can" if actual else "top"
@@ -176,7 +187,9 @@ _PER_FLOATS = ("top_ret", "pool_ret", "pool_ret_w", "turn", "net", "excess")
 
 def _periods(delay: bool = True, ban: bool = True, by_pct: bool = False, actual: bool = False, cash: float = 1.0):
     def run(spark, sf_dir):
-        return _shown(_per(spark, sf_dir, delay=delay, ban=ban, by_pct=by_pct, weight="cap", actual=actual, cash=cash), _PER_FLOATS, _PER_INTS)
+        return _shown(
+            _per(spark, sf_dir, delay=delay, ban=ban, by_pct=by_pct, weight="cap", actual=actual, cash=cash), _PER_FLOATS, _PER_INTS,
+        )
 
     return run, f"{_per_sql(delay, ban, by_pct, actual=actual, cash=cash)}\nSELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _PER_INTS)}, {', '.join(f'{r(c)} AS {c}' for c in _PER_FLOATS)} FROM per"
 
@@ -238,7 +251,11 @@ marks AS (SELECT b.*, (1 + raw) * q - 1 AS mark, (1 + raw_own) * q_own - 1 AS ow
 _MARK_ROWS = _per_sql() + _MARKS_CTES
 _MARKS = f"{_MARK_ROWS}\nSELECT CAST(t AS BIGINT) AS t, CAST(day AS BIGINT) AS day, {r('raw')} AS raw, {r('mark')} AS mark, {r('own')} AS own, {r('excess')} AS excess FROM marks"
 
-_RECORD = ("ann_top", "dd_top", "calmar_top", "sharpe_top", "ann_mkt", "ann_ex", "dd", "calmar", "sharpe", "turn", "ann_ex_cw", "dd_cw", "calmar_cw", "sharpe_cw", "tilt", "ann_mkt_cw", "last_yr", "last2_yr", "dd_d", "sharpe_d", "dd_top_d", "sharpe_top_d", "calmar_d", "calmar_top_d")
+_RECORD = (
+    "ann_top", "dd_top", "calmar_top", "sharpe_top", "ann_mkt", "ann_ex", "dd", "calmar", "sharpe", "turn", "ann_ex_cw", "dd_cw",
+    "calmar_cw", "sharpe_cw", "tilt", "ann_mkt_cw", "last_yr", "last2_yr", "dd_d", "sharpe_d", "dd_top_d", "sharpe_top_d", "calmar_d",
+    "calmar_top_d",
+)
 
 
 def record(spark, sf_dir):
@@ -270,7 +287,10 @@ SELECT sym, CAST(t AS BIGINT) AS t, buyable, CAST(ns AS BIGINT) AS next_sell, NO
 
 QUERIES = {
     "ic_daily": (ic_daily, f"{_IC_ROWS}\nSELECT CAST(t AS BIGINT) AS t, n, {r('ic')} AS ic FROM days"),
-    "ic_summary": (ic_summary, f"{_PAIRS}\nSELECT count(ic) AS days, {r('avg(ic)')} AS ic, {r('avg(ic) / stddev_samp(ic)')} AS ic_ir, {r('avg(CASE WHEN ic > 0 THEN 1 WHEN ic IS NOT NULL THEN 0 END)')} AS ic_win FROM days"),
+    "ic_summary": (
+        ic_summary,
+        f"{_PAIRS}\nSELECT count(ic) AS days, {r('avg(ic)')} AS ic, {r('avg(ic) / stddev_samp(ic)')} AS ic_ir, {r('avg(CASE WHEN ic > 0 THEN 1 WHEN ic IS NOT NULL THEN 0 END)')} AS ic_win FROM days",
+    ),
     "batch_ic": (batch_ic, _batch_sql()),
     "stability": (stability, _STABLE),
     "decile_shape": (decile_shape, _SHAPE),

@@ -87,9 +87,17 @@ def metric_table(spark, sf_dir):
     for step in (3, 5):
         rows = base_rows(spark, sf_dir, step)
         ic = ev.daily_ic(rows, 20).agg(F.avg("ic").alias("ic"))
-        signed = rows.crossJoin(ic).withColumns({"sign": F.when(F.col("ic") < 0, -1).otherwise(1), "f": F.when(F.col("ic") < 0, -F.col("f")).otherwise(F.col("f"))})
+        signed = rows.crossJoin(ic).withColumns(
+            {"sign": F.when(F.col("ic") < 0, -1).otherwise(1), "f": F.when(F.col("ic") < 0, -F.col("f")).otherwise(F.col("f"))}
+        )
         m = bt.metrics(bt.periods(bt.trades(signed, step=step, limit=_LIMIT), step=step, **_LEAST), step=step)
-        parts.append(m.crossJoin(ic).select(F.lit(step).cast("long").alias("horizon"), F.when(F.col("ic") < 0, -1).otherwise(1).cast("long").alias("sign"), rounded(F.abs("ic")).alias("ic"), F.col("periods").cast("long").alias("periods"), *[rounded(F.col(c)).alias(c) for c in ("ann_ex", "dd", "sharpe", "turn")]))
+        parts.append(
+            m.crossJoin(ic).select(
+                F.lit(step).cast("long").alias("horizon"), F.when(F.col("ic") < 0, -1).otherwise(1).cast("long").alias("sign"),
+                rounded(F.abs("ic")).alias("ic"), F.col("periods").cast("long").alias("periods"),
+                *[rounded(F.col(c)).alias(c) for c in ("ann_ex", "dd", "sharpe", "turn")],
+            )
+        )
     return parts[0].unionByName(parts[1])
 
 
@@ -110,7 +118,10 @@ signed AS (SELECT base.*, CASE WHEN (SELECT ic FROM icm) < 0 THEN -f ELSE f END
 def decile_curves(spark, sf_dir):
     """Net asset value of every decile, and the plain correlation of factor and return, per rebalancing date."""
     out = rp.decile_curves(base_rows(spark, sf_dir), least=30, least_in_bucket=2)
-    return out.select(F.col(T).cast("long").alias(T), F.col("d").cast("long").alias("d"), rounded(F.col("nav")).alias("nav"), rounded(F.col("pearson")).alias("pearson"))
+    return out.select(
+        F.col(T).cast("long").alias(T), F.col("d").cast("long").alias("d"), rounded(F.col("nav")).alias("nav"),
+        rounded(F.col("pearson")).alias("pearson"),
+    )
 
 
 _CURVES = f"""{_DECILES}, p AS (SELECT t, CASE WHEN count(*) >= 30 THEN corr(f, r) END AS pearson FROM base WHERE t % 5 = 0 AND f IS NOT NULL AND r IS NOT NULL GROUP BY t)
@@ -120,11 +131,16 @@ SELECT CAST(b.t AS BIGINT) AS t, CAST(d AS BIGINT) AS d, {r('exp(sum(ln(1 + ret)
 def style_years(spark, sf_dir):
     """The correlation with each style by years: t over the yearly means, and the share of years of the prevailing sign."""
     out = rp.style_years(base_rows(spark, sf_dir), ["ln_mktcap", "ln_volume", "turn_ratio"], least=20, least_days=6)
-    return out.select("style", F.col("years").cast("long").alias("years"), rounded(F.col("t_year")).alias("t_year"), rounded(F.col("win_year")).alias("win_year"))
+    return out.select(
+        "style", F.col("years").cast("long").alias("years"), rounded(F.col("t_year")).alias("t_year"),
+        rounded(F.col("win_year")).alias("win_year"),
+    )
 
 
 def _style_years_sql() -> str:
-    parts = " UNION ALL ".join(f"SELECT '{c}' AS style, date, t, {ordinal('f')} AS x, {ordinal(c)} AS y FROM base" for c in ("ln_mktcap", "ln_volume", "turn_ratio"))
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS style, date, t, {ordinal('f')} AS x, {ordinal(c)} AS y FROM base" for c in ("ln_mktcap", "ln_volume", "turn_ratio")
+    )
     return f"""{base_sql()}, k AS ({parts}), d AS (SELECT style, any_value(date) // 100 AS y, {_corr('x', 'y')} AS c FROM k WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY style, t HAVING count(*) >= 20),
 m AS (SELECT style, y, avg(c) AS c FROM d WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 6)
 SELECT style, count(*) AS years, {r('CASE WHEN count(*) >= 4 AND stddev_pop(c) > 1e-12 THEN avg(c) / stddev_pop(c) * sqrt(count(*)) END')} AS t_year, {r('greatest(avg(CASE WHEN c > 0 THEN 1 ELSE 0 END), avg(CASE WHEN c < 0 THEN 1 ELSE 0 END))')} AS win_year FROM m GROUP BY style"""
@@ -135,7 +151,10 @@ def standard_report(spark, sf_dir):
     sections = []
     add = lambda df, section, item, value: sections.append(df.select(F.lit(section).alias("section"), F.col(item).cast("string").alias("item"), rounded(F.col(value)).alias("value")))
     for step in (3, 5):
-        m = bt.metrics(bt.periods(bt.trades(base_rows(spark, sf_dir, step), step=step, limit=_LIMIT), step=step, by_pct=True, actual=True, **_LEAST), step=step)
+        m = bt.metrics(
+            bt.periods(bt.trades(base_rows(spark, sf_dir, step), step=step, limit=_LIMIT), step=step, by_pct=True, actual=True, **_LEAST),
+            step=step,
+        )
         add(m.withColumn("k", F.lit(step)), "horizon", "k", "ann_ex")
     per = bt.periods(_traded(spark, sf_dir), by_pct=True, actual=True, **_LEAST)
     add(bt.yearly(per), "year", "year", "excess")
@@ -151,8 +170,12 @@ def standard_report(spark, sf_dir):
 
 def _report_sql() -> str:
     per = lambda step: _per_sql(by_pct=True, actual=True, step=step)
-    horizon = " UNION ALL ".join(f"SELECT 'horizon' AS section, '{k}' AS item, ann_ex AS value FROM ({_metrics_sql(per(k), step=k)})" for k in (3, 5))
-    style = " UNION ALL ".join(f"SELECT '{c}' AS style, t, {ordinal('f')} AS x, {ordinal(c)} AS y FROM base" for c in ("ln_mktcap", "ln_volume"))
+    horizon = " UNION ALL ".join(
+        f"SELECT 'horizon' AS section, '{k}' AS item, ann_ex AS value FROM ({_metrics_sql(per(k), step=k)})" for k in (3, 5)
+    )
+    style = " UNION ALL ".join(
+        f"SELECT '{c}' AS style, t, {ordinal('f')} AS x, {ordinal(c)} AS y FROM base" for c in ("ln_mktcap", "ln_volume")
+    )
     return f"""{horizon}
 UNION ALL SELECT 'year', CAST(date // 100 AS VARCHAR), {r('product(1 + excess) - 1')} FROM ({per(5)} SELECT * FROM per) GROUP BY date // 100
 UNION ALL SELECT 'segment', CAST(k AS VARCHAR), {r('product(1 + excess) - 1')} FROM (SELECT *, ntile(3) OVER (ORDER BY t) AS k FROM ({per(5)} SELECT * FROM per)) GROUP BY k
@@ -166,7 +189,9 @@ _POOLS = {"all": "true", "west": "pool IN (1, 2)", "rest": "pool IN (0, 3, 4)"}
 def combo_check(spark, sf_dir):
     """The factor in three pools, with tilt, segments and decay."""
     out = rp.combo_check(base_rows(spark, sf_dir), {k: F.expr(v) for k, v in _POOLS.items()}, _LIMIT, least_periods=10, **_LEAST)
-    return out.select("pool", *[rounded(F.col(c)).alias(c) for c in ("ann_ex", "ann_ex_cw", "tilt", "calmar", "turn")], "positive", "decays")
+    return out.select(
+        "pool", *[rounded(F.col(c)).alias(c) for c in ("ann_ex", "ann_ex_cw", "tilt", "calmar", "turn")], "positive", "decays",
+    )
 
 
 def _combo_sql() -> str:
@@ -184,7 +209,9 @@ def _combo_sql() -> str:
 def library_views(spark, sf_dir):
     """Records joined to tags kept as text, own figures before others', and the last three of each pool."""
     m = supplier_metrics(spark, sf_dir).select(SYM, "industry", "pool", "calmar", "ic")
-    tags = m.where("pool <> 2").select(F.concat(F.lit(" "), F.col(SYM).cast("string")).alias(SYM), F.when(F.col("calmar") > 0.3, "good").otherwise("poor").alias("tag"))
+    tags = m.where("pool <> 2").select(
+        F.concat(F.lit(" "), F.col(SYM).cast("string")).alias(SYM), F.when(F.col("calmar") > 0.3, "good").otherwise("poor").alias("tag"),
+    )
     own = m.where(f"{SYM} % 3 <> 0").select(SYM, F.when(F.col(SYM) % 2 == 0, F.col("ic")).alias("ic"))
     merged = store.with_fallback(own, m.select(SYM, (F.col("ic") * 2).alias("ic")), [SYM])
     out = store.joined_results(m.drop("ic"), tags, [SYM]).join(merged, SYM)
@@ -202,7 +229,10 @@ def strip_audit(spark, sf_dir):
     m = supplier_metrics(spark, sf_dir).withColumn("grade", control.strip_grade(F.col("calmar") - 0.1, F.col("last_yr"), F.col("dd") + 0.7))
     per = m.groupBy("pool", "grade").agg(F.count("*").alias("n"), F.avg("calmar").alias("calmar"))
     total = m.groupBy("pool").agg(F.avg((F.col("grade") == "C").cast("int")).alias("pruned"))
-    return per.join(total.withColumnRenamed("pool", "of"), F.col("pool").eqNullSafe(F.col("of"))).select(F.col("pool").cast("long").alias("pool"), "grade", "n", rounded(F.col("calmar")).alias("calmar"), rounded(F.col("pruned")).alias("pruned"))
+    return per.join(total.withColumnRenamed("pool", "of"), F.col("pool").eqNullSafe(F.col("of"))).select(
+        F.col("pool").cast("long").alias("pool"), "grade", "n", rounded(F.col("calmar")).alias("calmar"),
+        rounded(F.col("pruned")).alias("pruned"),
+    )
 
 
 _AUDIT = f"""{_METRICS}, g AS (SELECT pool, calmar, CASE WHEN calmar IS NULL OR last_yr IS NULL THEN 'D' WHEN last_yr <= 0 OR calmar - 0.1 <= 0 THEN 'C' WHEN calmar - 0.1 >= 0.3 AND dd + 0.7 > -0.2 THEN 'A' ELSE 'B' END AS grade FROM metrics)

@@ -16,9 +16,13 @@ from .base import P2, r
 
 def _reports(spark, sf_dir):
     """Year-to-date sales per supplier and quarter; each quarter is announced one to three months after its end."""
-    items = panels.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias(SYM), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"), "l_extendedprice")
+    items = panels.read(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias(SYM), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"), "l_extendedprice",
+    )
     per = items.groupBy(SYM, "y", "q").agg(F.sum("l_extendedprice").alias("own"))
-    ytd = per.alias("a").join(per.alias("b"), (F.col("a.sym") == F.col("b.sym")) & (F.col("a.y") == F.col("b.y")) & (F.col("b.q") <= F.col("a.q")))
+    ytd = per.alias("a").join(
+        per.alias("b"), (F.col("a.sym") == F.col("b.sym")) & (F.col("a.y") == F.col("b.y")) & (F.col("b.q") <= F.col("a.q")),
+    )
     ytd = ytd.groupBy(F.col("a.sym").alias(SYM), F.col("a.y").alias("y"), F.col("a.q").alias("q")).agg(F.sum("b.own").alias("sales"))
     month = F.col("y") * 12 + F.col("q") * 3 + (F.col(SYM) + F.col("q")) % 3
     return ytd.select(SYM, (F.col("y") * 4 + F.col("q") - 1).cast("long").alias("quarter"), month.cast("long").alias("info_date"), "sales")
@@ -30,7 +34,9 @@ reports AS (SELECT a.sym, CAST(a.y * 4 + a.q - 1 AS BIGINT) AS quarter, CAST(a.y
 
 def point_in_time(spark, sf_dir):
     reports = _reports(spark, sf_dir)
-    dates = panels.lineitem_panel(spark, sf_dir).select(SYM, (F.floor(F.col("date") / 100) * 12 + F.col("date") % 100 - 1).cast("long").alias("date"))
+    dates = panels.lineitem_panel(spark, sf_dir).select(
+        SYM, (F.floor(F.col("date") / 100) * 12 + F.col("date") % 100 - 1).cast("long").alias("date"),
+    )
     out = store.point_in_time(reports, dates, ["sales"])
     return out.select(SYM, "date", "known_quarter", rounded(F.col("sales"), 2).alias("sales"))
 
@@ -52,7 +58,10 @@ FROM reports a"""
 def event_bars(spark, sf_dir):
     events = panels.read(spark, sf_dir, "events").where("value is not null")
     out = bars.bars(events)
-    return out.select("sym", F.date_format("start", "yyyyMMdd").cast("int").alias("day"), "high", "low", "volume", rounded(F.col("turnover"), 3).alias("turnover"))
+    return out.select(
+        "sym", F.date_format("start", "yyyyMMdd").cast("int").alias("day"), "high", "low", "volume",
+        rounded(F.col("turnover"), 3).alias("turnover"),
+    )
 
 
 _BARS = f"""SELECT user_id AS sym, CAST(strftime(ts, '%Y%m%d') AS INT) AS day, max(value) AS high, min(value) AS low, count(*) AS volume, {r('sum(value)', 3)} AS turnover FROM events WHERE value IS NOT NULL GROUP BY 1, 2"""
@@ -60,9 +69,14 @@ _BARS = f"""SELECT user_id AS sym, CAST(strftime(ts, '%Y%m%d') AS INT) AS day, m
 
 def scaled_flows(spark, sf_dir):
     panel = panels.lineitem_panel(spark, sf_dir).select(SYM, T, "date", "close")
-    flow = panel.where((F.col(T) + F.col(SYM)) % 3 == 0).select(SYM, "date", (F.col("close") / 1000).alias("mf_s_buy"), (F.col(T) * 1.0).alias("mf_s_bqty"))
+    flow = panel.where((F.col(T) + F.col(SYM)) % 3 == 0).select(
+        SYM, "date", (F.col("close") / 1000).alias("mf_s_buy"), (F.col(T) * 1.0).alias("mf_s_bqty"),
+    )
     out = store.money_flow_leaves(flow, panel, ["mf_s_buy"], ["mf_s_bqty"])
-    return out.select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("mf_s_buy"), 4).alias("mf_s_buy"), rounded(F.col("mf_s_bqty"), 4).alias("mf_s_bqty"))
+    return out.select(
+        SYM, F.col(T).cast("long").alias(T), rounded(F.col("mf_s_buy"), 4).alias("mf_s_buy"),
+        rounded(F.col("mf_s_bqty"), 4).alias("mf_s_bqty"),
+    )
 
 
 _FLOWS = f"""WITH {P2} SELECT sym, CAST(t AS BIGINT) AS t, {r('CASE WHEN close IS NOT NULL THEN coalesce(CASE WHEN (t + sym) % 3 = 0 THEN close / 1000 * 10000 END, 0) END', 4)} AS mf_s_buy,
@@ -80,7 +94,9 @@ least(floor((row_number() OVER (PARTITION BY t ORDER BY close NULLS LAST, sym) -
 
 def upserted(spark, sf_dir):
     o = panels.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("U").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    new = o.where("o_orderkey % 5 = 0").select(
+        "o_orderkey", F.lit("U").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"),
+    )
     return store.upserted(o.where("o_orderkey % 2 = 0"), new, ["o_orderkey"])
 
 
@@ -93,7 +109,9 @@ def kept_panel(spark, sf_dir):
     mark = store.fingerprint(spark, [f"{sf_dir}/lineitem.parquet"], panels.lineitem_panel)
     store.keep_panel(panels.lineitem_panel(spark, sf_dir), path, mark)
     out = store.open_panel(spark, path, mark, ["close", "turnover"])
-    return out.select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("close"), 3).alias("close"), rounded(F.col("turnover"), 3).alias("turnover"))
+    return out.select(
+        SYM, F.col(T).cast("long").alias(T), rounded(F.col("close"), 3).alias("close"), rounded(F.col("turnover"), 3).alias("turnover"),
+    )
 
 
 _KEPT = f"WITH {P2} SELECT sym, CAST(t AS BIGINT) AS t, {r('close', 3)} AS close, {r('turnover', 3)} AS turnover FROM panel"

@@ -31,7 +31,9 @@ def write_flows(rows: DataFrame, path: str) -> None:
     made.repartitionByRange("year", "date").sortWithinPartitions("date", SYM).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-def read_flows(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, symbols: list[str] | None = None) -> DataFrame:
+def read_flows(
+    spark: SparkSession, path: str, first: int | None = None, last: int | None = None, symbols: list[str] | None = None,
+) -> DataFrame:
     """Flows of a span of dates and of some symbols; years outside are not listed, row groups outside are skipped."""
     rows = spark.read.parquet(path)
     if first is not None:
@@ -97,7 +99,9 @@ def financial_leaves(reports: DataFrame, panel: DataFrame) -> DataFrame:
     made = _ratios(c, old) | {"__book": c["equity"], "__free": c["ocf"] - spent}
     events = frame.select(SYM, F.col("info_date").alias("date"), *[v.alias(k) for k, v in made.items()])
     out = as_of(panel, events, SYM, "date", list(made), strict=True)
-    return out.withColumns({"fa_pb": _over(F.col("__book"), F.col("mktcap")), "fa_fcf_yield": _over(F.col("__free"), F.col("mktcap"))}).drop("__book", "__free")
+    return out.withColumns(
+        {"fa_pb": _over(F.col("__book"), F.col("mktcap")), "fa_fcf_yield": _over(F.col("__free"), F.col("mktcap"))}
+    ).drop("__book", "__free")
 
 
 def alternative_leaves(panel: DataFrame, margin: DataFrame, boards: DataFrame, seats: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -116,7 +120,10 @@ def alternative_leaves(panel: DataFrame, margin: DataFrame, boards: DataFrame, s
     ]
     frame = reduce(lambda f, p: f.join(p, keys, "left"), parts, panel)
     share = lambda x, of: F.when(F.col(of) > 0, _over(F.col(x), F.col(of)))
-    made = {"mg_bal_ratio": share("__bal", "mktcap"), "mg_buy_ratio": share("__buy", "turnover"), "lhb_net_ratio": share("__net", "turnover"), "lhb_inst_ratio": share("__seat", "turnover"), "block_vol_ratio": share("__block", "turnover")}
+    made = {
+        "mg_bal_ratio": share("__bal", "mktcap"), "mg_buy_ratio": share("__buy", "turnover"), "lhb_net_ratio": share("__net", "turnover"),
+        "lhb_inst_ratio": share("__seat", "turnover"), "block_vol_ratio": share("__block", "turnover"),
+    }
     return frame.withColumns(made).drop("__bal", "__buy", "__net", "__seat", "__block")
 
 

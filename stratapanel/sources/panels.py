@@ -11,7 +11,10 @@ from ..functions.ts import SYM, T, line
 
 #: Leaves that come straight from prices, volumes and market values.
 BASE = ("close", "open", "high", "low", "volume", "turnover", "mktcap")
-DERIVED = ("vwap", "ret", "turn_ratio", "ln_mktcap", "ln_volume", "overnight", "intraday", "amplitude", "up_shadow", "down_shadow", "hl_ratio", "true_range")
+DERIVED = (
+    "vwap", "ret", "turn_ratio", "ln_mktcap", "ln_volume", "overnight", "intraday", "amplitude", "up_shadow", "down_shadow", "hl_ratio",
+    "true_range",
+)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +35,21 @@ def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "lineitem")
     month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    rows = items.select(F.col("l_suppkey").alias(SYM), month.alias("m"), price.alias("p"), "l_quantity", "l_extendedprice", F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("at"))
+    rows = items.select(
+        F.col("l_suppkey").alias(SYM), month.alias("m"), price.alias("p"), "l_quantity", "l_extendedprice",
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("at"),
+    )
     first, last = rows.agg(F.min("m"), F.max("m")).head()
     cells = rows.groupBy(SYM, (F.col("m") - first).alias(T)).agg(
-        F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("close"), F.min_by("p", "at").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"),
+        F.try_divide(
+            F.sum("l_extendedprice"), F.sum("l_quantity"),
+        ).alias("close"), F.min_by("p", "at").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"),
         F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("turnover"),
     )
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("pool"))
-    symbols = read(spark, sf_dir, "supplier").join(nation, "s_nationkey", "left").select(F.col("s_suppkey").alias(SYM), F.col("s_nationkey").alias("industry"), "pool")
+    symbols = read(spark, sf_dir, "supplier").join(nation, "s_nationkey", "left").select(
+        F.col("s_suppkey").alias(SYM), F.col("s_nationkey").alias("industry"), "pool",
+    )
     grid = symbols.select(SYM, "industry", "pool", F.explode(F.sequence(F.lit(0), F.lit(last - first))).alias(T))
     months = F.col(T) + first
     panel = grid.join(cells, [SYM, T], "left").withColumn("date", (F.floor(months / 12) * 100 + months % 12 + 1).cast("int"))
@@ -48,7 +58,9 @@ def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days x users: open, high, low and close of the event values, their number and sum.  ``date`` is YYYYMMDD."""
-    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias(SYM), F.to_date("ts").alias("d"), "value", F.struct("ts", "event_id").alias("at"))
+    rows = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias(SYM), F.to_date("ts").alias("d"), "value", F.struct("ts", "event_id").alias("at"),
+    )
     first, last = rows.agg(F.min("d"), F.max("d")).head()
     cells = rows.groupBy(SYM, F.datediff("d", F.lit(first)).alias(T)).agg(
         F.max_by("value", "at").alias("close"), F.min_by("value", "at").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
@@ -56,14 +68,18 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     panel = densify(cells, rows.select(SYM).distinct(), 0, (last - first).days)
     day = F.date_add(F.lit(first), F.col(T))
-    return panel.withColumn("date", F.date_format(day, "yyyyMMdd").cast("int")).withColumn("mktcap", F.sum("turnover").over(line().rowsBetween(-11, 0)))
+    return panel.withColumn("date", F.date_format(day, "yyyyMMdd").cast("int")).withColumn(
+        "mktcap", F.sum("turnover").over(line().rowsBetween(-11, 0)),
+    )
 
 
 def derived_leaves() -> dict[str, Column]:
     c = F.col
     pc = F.lag("close").over(line())
     rng = c("high") - c("low")
-    top, bottom = F.when(c("open").isNotNull() & c("close").isNotNull(), F.greatest("open", "close")), F.when(c("open").isNotNull() & c("close").isNotNull(), F.least("open", "close"))
+    top, bottom = F.when(
+        c("open").isNotNull() & c("close").isNotNull(), F.greatest("open", "close"),
+    ), F.when(c("open").isNotNull() & c("close").isNotNull(), F.least("open", "close"))
     return {
         "vwap": c("turnover") / F.when(c("volume").isNotNull(), F.greatest(c("volume"), F.lit(1e-9))),
         "ret": F.try_divide(c("close"), pc) - 1,

@@ -26,7 +26,10 @@ def open_factors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_factor(spark: SparkSession, path: str, factor_id: str, first: int | None = None, last: int | None = None, symbols: list | None = None, on: list[int] | None = None) -> DataFrame:
+def read_factor(
+    spark: SparkSession, path: str, factor_id: str, first: int | None = None, last: int | None = None, symbols: list | None = None,
+    on: list[int] | None = None,
+) -> DataFrame:
     """(sym, t, value) of one factor: a day, a window, some symbols, or given dates; all of these are pushed to the scan."""
     rows = open_factors(spark, path).where(F.col("factor_id") == factor_id)
     if first is not None:
@@ -73,7 +76,9 @@ def write_entries(rows: DataFrame, path: str) -> None:
 
 
 def list_factors(spark: SparkSession, path: str) -> DataFrame:
-    return open_factors(spark, path).groupBy("factor_id").agg(F.count("*").alias("rows"), F.count("value").alias("present"), F.min(T).alias("first"), F.max(T).alias("last"))
+    return open_factors(spark, path).groupBy("factor_id").agg(
+        F.count("*").alias("rows"), F.count("value").alias("present"), F.min(T).alias("first"), F.max(T).alias("last"),
+    )
 
 
 def quantised(values: DataFrame, levels: int = 256) -> DataFrame:
@@ -103,7 +108,9 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("__v")).select(*keys, "__v.*")
 
 
-def read_money_flow(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", sep: str = ",", code: str = "code", date: str = "date") -> DataFrame:
+def read_money_flow(
+    spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", sep: str = ",", code: str = "code", date: str = "date",
+) -> DataFrame:
     """A CSV with any figures beside a code and a date column: codes get their exchange, dates become keys, figures doubles.
 
     Rows without a valid code or date are left out; of repeated rows of a (date, code) the last by file order does not matter, so
@@ -111,12 +118,17 @@ def read_money_flow(spark: SparkSession, path: str | list[str], encoding: str =
     """
     raw = spark.read.option("header", "true").option("encoding", encoding).option("sep", sep).csv(path)
     figures = [c for c in raw.columns if c not in (code, date)]
-    rows = raw.select(exchange_code(F.col(code)).alias(SYM), date_key(F.col(date)).alias("date"), *[F.col(c).try_cast("double").alias(c) for c in figures])
+    rows = raw.select(
+        exchange_code(F.col(code)).alias(SYM), date_key(F.col(date)).alias("date"),
+        *[F.col(c).try_cast("double").alias(c) for c in figures],
+    )
     rows = rows.where(F.col(SYM).isNotNull() & F.col("date").isNotNull())
     return rows.groupBy(SYM, "date").agg(*[F.max(c).alias(c) for c in figures])
 
 
-def sniff(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "GBK"), seps: tuple[str, ...] = (",", "\t", ";", "|")) -> tuple[str, str]:
+def sniff(
+    spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "GBK"), seps: tuple[str, ...] = (",", "\t", ";", "|"),
+) -> tuple[str, str]:
     """Encoding and separator from the first lines of the first file."""
     for encoding in encodings:
         lines = [r["value"] for r in spark.read.option("encoding", encoding).option("lineSep", "\n").text(path).limit(5).collect()]
@@ -170,7 +182,9 @@ def point_in_time(reports: DataFrame, dates: DataFrame, items: list[str]) -> Dat
     over = Window.partitionBy(SYM).orderBy("info_date", "quarter").rowsBetween(Window.unboundedPreceding, 0)
     top = F.max(F.struct("quarter", "info_date", *items)).over(over)
     events = reports.withColumn("top", top).groupBy(SYM, "info_date").agg(F.max("top").alias("top"))
-    flat = events.select(SYM, F.col("info_date").alias("date"), F.col("top.quarter").alias("known_quarter"), *[F.col(f"top.{c}").alias(c) for c in items])
+    flat = events.select(
+        SYM, F.col("info_date").alias("date"), F.col("top.quarter").alias("known_quarter"), *[F.col(f"top.{c}").alias(c) for c in items],
+    )
     return as_of(dates, flat, SYM, "date", ["known_quarter", *items], strict=True)
 
 

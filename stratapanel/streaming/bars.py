@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def bars(events: DataFrame, width: str = "1 day", late: str = "2 hours", key: str = "user_id", time: str = "ts", value: str = "value") -> DataFrame:
+def bars(
+    events: DataFrame, width: str = "1 day", late: str = "2 hours", key: str = "user_id", time: str = "ts", value: str = "value",
+) -> DataFrame:
     """Open, high, low, close, volume and turnover per symbol and window; works on a stream and on a table alike."""
     rows = events.withColumn("__ts", F.col(time).cast("timestamp"))
     rows = rows.withWatermark("__ts", late) if events.isStreaming else rows
@@ -37,4 +39,6 @@ def running_ema(events: DataFrame, w: int, key: str = "user_id", time: str = "ts
         yield pd.DataFrame(out, columns=["sym", "at", "ema"])
 
     rows = events.select(F.col(key).alias("sym"), F.col(time).cast("timestamp").alias("at"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("sym").applyInPandasWithState(step, "sym long, at timestamp, ema double", "e double, n long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("sym").applyInPandasWithState(
+        step, "sym long, at timestamp, ema double", "e double, n long", "append", GroupStateTimeout.NoTimeout,
+    )

@@ -24,7 +24,9 @@ from stratapanel.streaming import bars
 
 
 def panel(spark, values: np.ndarray, name="x"):
-    rows = [(s, t, None if math.isnan(values[t, s]) else float(values[t, s])) for t in range(values.shape[0]) for s in range(values.shape[1])]
+    rows = [
+        (s, t, None if math.isnan(values[t, s]) else float(values[t, s])) for t in range(values.shape[0]) for s in range(values.shape[1])
+    ]
     return spark.createDataFrame(rows, f"sym long, t long, {name} double")
 
 
@@ -85,7 +87,12 @@ def test_rank_and_correlation_against_loops(spark):
 def test_long_windows_against_loops(spark):
     x, y = walk(21, 260, 2, 0.03) + 100, walk(22, 260, 2, 0.03)
     frame = panel(spark, x, "close").join(panel(spark, y, "open"), ["sym", "t"])
-    texts = {k: parse(f"{k}(close)") for k in ("ts_mean200", "ts_std200", "ts_rank200", "ts_delta120", "ts_mean150", "ts_std100", "ts_max100", "ts_slope60", "ts_rsqr60", "ts_resi60")}
+    texts = {
+        k: parse(f"{k}(close)") for k in (
+            "ts_mean200", "ts_std200", "ts_rank200", "ts_delta120", "ts_mean150", "ts_std100", "ts_max100", "ts_slope60", "ts_rsqr60",
+            "ts_resi60",
+        )
+    }
     got = evaluate(frame, texts | {f"corr{w}": parse(f"corr{w}(close, open)") for w in (100, 200)}).cache()
     np.testing.assert_allclose(back(got, "ts_mean200", x.shape), rolling(x, 200, np.mean, 100), atol=1e-9)
     np.testing.assert_allclose(back(got, "ts_mean150", x.shape), rolling(x, 150, np.mean, 75), atol=1e-9)
@@ -163,7 +170,10 @@ def test_one_gap_and_causality(spark):
     assert np.isnan(slope[100:120]).all() and not np.isnan(slope[120:]).any()
     later = x.copy()
     later[120:] += 5
-    texts = {"a": parse("ts_rank20(close)"), "b": parse("ema12(close)"), "c": parse("ts_resi20(close)"), "d": parse("corr20(close, ts_delay1(close))")}
+    texts = {
+        "a": parse("ts_rank20(close)"), "b": parse("ema12(close)"), "c": parse("ts_resi20(close)"),
+        "d": parse("corr20(close, ts_delay1(close))"),
+    }
     one, two = (evaluate(panel(spark, v, "close"), texts) for v in (x, later))
     for k in texts:
         np.testing.assert_allclose(back(one, k, x.shape)[:120], back(two, k, x.shape)[:120], atol=1e-10)
@@ -203,7 +213,9 @@ def rows_of(spark, seed=8, rows=80, cols=130):
     rng = np.random.default_rng(seed)
     f = rng.normal(size=(rows, cols))
     close = np.exp(np.cumsum(rng.normal(0.0, 0.02, size=(rows, cols)) + np.vstack([np.zeros((2, cols)), 0.01 * f[:-2]]), axis=0))
-    frame = panel(spark, f, "f").join(panel(spark, close, "close"), ["sym", "t"]).join(panel(spark, np.full(f.shape, 3.0), "mktcap"), ["sym", "t"])
+    frame = panel(spark, f, "f").join(panel(spark, close, "close"), ["sym", "t"]).join(
+        panel(spark, np.full(f.shape, 3.0), "mktcap"), ["sym", "t"],
+    )
     return f, close, frame
 
 
@@ -267,14 +279,26 @@ def test_as_of(spark):
 def test_gates(spark):
     rows = [(a, b, c) for a in (True, False, None) for b in (True, False, None) for c in (True, False, None)]
     both, either = (control.combined(F.lit(True), F.col("a"), F.col("b"), F.col("c"), either=e) for e in (False, True))
-    for r in spark.createDataFrame(rows, "a boolean, b boolean, c boolean").select("a", "b", "c", both.alias("g"), either.alias("e")).collect():
+    for r in spark.createDataFrame(rows, "a boolean, b boolean, c boolean").select(
+        "a", "b", "c", both.alias("g"), either.alias("e"),
+    ).collect():
         whole, hard = r["a"] is True, r["c"] is True
         assert r["g"] == (hard and whole and r["b"] is not False) and r["e"] == (hard and (whole or r["b"] is True))
-    grades = spark.createDataFrame([(None, 0.1, None), (0.5, None, None), (0.5, -0.1, 0.0), (-0.1, 0.1, 0.0), (0.2, 0.1, -0.1), (0.3, 0.1, -0.2), (0.3, 0.1, -0.19), (0.3, 0.1, None)], "c double, x double, d double")
+    grades = spark.createDataFrame(
+        [
+            (None, 0.1, None), (0.5, None, None), (0.5, -0.1, 0.0), (-0.1, 0.1, 0.0), (0.2, 0.1, -0.1), (0.3, 0.1, -0.2), (0.3, 0.1, -0.19),
+            (0.3, 0.1, None),
+        ],
+        "c double, x double, d double",
+    )
     assert [r[0] for r in grades.select(control.strip_grade(F.col("c"), F.col("x"), F.col("d"))).collect()] == list("DDCCBBAA")
-    held = spark.createDataFrame([(0, 119), (1, 120), (2, 120), (None, 500)], "p int, n int").select(control.segments_hold(F.col("p"), F.col("n")))
+    held = spark.createDataFrame(
+        [(0, 119), (1, 120), (2, 120), (None, 500)], "p int, n int",
+    ).select(control.segments_hold(F.col("p"), F.col("n")))
     assert [r[0] for r in held.collect()] == [True, False, True, False]
-    got = spark.createDataFrame([(0.5, None), (0.1, 2.0)], "m double, k double").select(control.rule("m >= 0.3 and k < 5").alias("r"), control.pool_gate([F.col("k")], 1.0).alias("p")).collect()
+    got = spark.createDataFrame([(0.5, None), (0.1, 2.0)], "m double, k double").select(
+        control.rule("m >= 0.3 and k < 5").alias("r"), control.pool_gate([F.col("k")], 1.0).alias("p"),
+    ).collect()
     assert [tuple(r) for r in got] == [(False, None), (False, True)]
     with pytest.raises(ValueError):
         control.rule("m like 3")
@@ -290,11 +314,16 @@ def test_scalar_edges(spark):
 def test_expressions():
     n = parse("sub(ts_mean5(overnight), ts_mean20(overnight))")
     assert from_json(to_json(n)) == n == parse(str(n)) and skeleton(n) == "sub(ts_mean(.),ts_mean(.))"
-    for bad in ("sub(close)", "close close", "nothing(close)", "ts_mean5(nowhere)", "add(close, open", "ts_mean5(" * 20 + "close" + ")" * 20, "close;"):
+    for bad in (
+        "sub(close)", "close close", "nothing(close)", "ts_mean5(nowhere)", "add(close, open", "ts_mean5(" * 20 + "close" + ")" * 20,
+        "close;",
+    ):
         with pytest.raises(ExpressionError):
             parse(bad)
     assert review(parse("add(close, volume)")) and review(parse("sub(close, close)")) and review(parse("div(open, open)")) and not review(parse("add(close, open)"))
-    assert is_style_combination(parse("div(barra_size, close)")) and not is_style_combination(parse("sub(ts_mean5(ret), div(ret, mul(amplitude, add(ret, barra_size))))"))
+    assert is_style_combination(parse("div(barra_size, close)")) and not is_style_combination(
+        parse("sub(ts_mean5(ret), div(ret, mul(amplitude, add(ret, barra_size))))")
+    )
     assert len(registry.LEAVES) == 68 and len(registry.OPERATORS) == 68
 
 
@@ -322,7 +351,9 @@ def test_store(spark, tmp_path):
     store.append(spark.createDataFrame([(3, "c")], "a long, c string"), f"{tmp_path}/t")
     merged = store.read_merged(spark, f"{tmp_path}/t")
     assert set(merged.columns) == {"a", "b", "c"} and merged.count() == 2
-    up = store.upserted(spark.createDataFrame([(1, 1), (2, 2)], "k long, v long"), spark.createDataFrame([(2, 5), (3, 6)], "k long, v long"), ["k"])
+    up = store.upserted(
+        spark.createDataFrame([(1, 1), (2, 2)], "k long, v long"), spark.createDataFrame([(2, 5), (3, 6)], "k long, v long"), ["k"],
+    )
     assert {tuple(r) for r in up.collect()} == {(1, 1), (2, 5), (3, 6)}
     last = store.latest(spark.createDataFrame([(1, 1, 7.0), (1, 2, 8.0)], "k long, at long, v double"), ["k"], ["at"])
     assert [r["v"] for r in last.collect()] == [8.0]
@@ -334,10 +365,16 @@ def test_raw_files_and_reports(spark, tmp_path):
     assert store.sniff(spark, f"{tmp_path}/csv") == ("UTF-8", ";")
     flow = store.read_money_flow(spark, f"{tmp_path}/csv", sep=";")
     assert {tuple(r) for r in flow.collect()} == {("600000.XSHG", 20200131, 1.5), ("000001.XSHE", 20200203, 2.0)}
-    prices = spark.createDataFrame([("600000.XSHG", 20200131, 1.0), ("600000.XSHG", 20200201, 1.0), ("600000.XSHG", 20200202, None)], "sym string, date int, close double")
+    prices = spark.createDataFrame(
+        [("600000.XSHG", 20200131, 1.0), ("600000.XSHG", 20200201, 1.0), ("600000.XSHG", 20200202, None)],
+        "sym string, date int, close double",
+    )
     got = [r["buy"] for r in store.money_flow_leaves(flow, prices, ["buy"], []).orderBy("date").collect()]
     assert got == [15000.0, 0.0, None]
-    reports = spark.createDataFrame([(1, 8000, 10, 1.0), (1, 8001, 20, 3.0), (1, 8000, 30, 9.0), (1, 8001, 40, 4.0)], "sym long, quarter long, info_date long, np double")
+    reports = spark.createDataFrame(
+        [(1, 8000, 10, 1.0), (1, 8001, 20, 3.0), (1, 8000, 30, 9.0), (1, 8001, 40, 4.0)],
+        "sym long, quarter long, info_date long, np double",
+    )
     dates = spark.createDataFrame([(1, d) for d in (5, 10, 11, 25, 35, 45)], "sym long, date long")
     known = [(r["date"], r["known_quarter"], r["np"]) for r in store.point_in_time(reports, dates, ["np"]).orderBy("date").collect()]
     assert known == [(5, None, None), (10, None, None), (11, 8000, 1.0), (25, 8001, 3.0), (35, 8001, 3.0), (45, 8001, 4.0)]
@@ -389,7 +426,9 @@ def test_turnover_is_against_the_last_accepted_period(spark):
     rng = np.random.default_rng(31)
     f, close = rng.normal(size=(40, 60)), np.exp(rng.normal(0, 0.01, (40, 60)).cumsum(axis=0))
     f[5, 20:] = np.nan  # the second period has too few names
-    frame = panel(spark, f, "f").join(panel(spark, close, "close"), ["sym", "t"]).withColumns({"mktcap": F.lit(1.0), "turnover": F.when((F.col("t") != 11) | (F.col("sym") != 3), 1.0).otherwise(0.0)})
+    frame = panel(spark, f, "f").join(panel(spark, close, "close"), ["sym", "t"]).withColumns(
+        {"mktcap": F.lit(1.0), "turnover": F.when((F.col("t") != 11) | (F.col("sym") != 3), 1.0).otherwise(0.0)}
+    )
     traded = bt.trades(frame, limit=0.9)
     got = {r["t"]: r for r in bt.periods(traded, least=50, least_top=2, least_pool=20, cost=0.01, cash=0.9).collect()}
     assert 5 not in got and got[0]["turn"] == 1.0
@@ -425,7 +464,10 @@ def test_result_tables_and_readers(spark, tmp_path):
     left = spark.createDataFrame([("1 ", "x"), ("2", "y")], "gen string, expr string")
     right = spark.createDataFrame([(1, "x", 5.0), (3, "z", 6.0)], "gen int, expr string, v double")
     assert [r["v"] for r in store.joined_results(left, right, ["gen", "expr"]).orderBy("expr").collect()] == [5.0, None]
-    merged = store.with_fallback(spark.createDataFrame([(1, None), (2, 2.0)], "k long, v double"), spark.createDataFrame([(1, 7.0), (2, 8.0), (3, 9.0)], "k long, v double"), ["k"])
+    merged = store.with_fallback(
+        spark.createDataFrame([(1, None), (2, 2.0)], "k long, v double"),
+        spark.createDataFrame([(1, 7.0), (2, 8.0), (3, 9.0)], "k long, v double"), ["k"],
+    )
     assert sorted(map(tuple, merged.collect())) == [(1, 7.0), (2, 2.0), (3, 9.0)]
     flows = spark.createDataFrame([("a", 20200105, 1.0), ("b", 20200105, 2.0), ("a", 20210105, 3.0)], "sym string, date int, v double")
     leaves.write_flows(flows, f"{tmp_path}/flows")
@@ -437,14 +479,20 @@ def test_result_tables_and_readers(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/log").count() == 6
     values = panel(spark, walk(3, 20, 4), "value")
     store.write_factor(values, f"{tmp_path}/f", "one")
-    assert store.read_factor(spark, f"{tmp_path}/f", "one", 3, 5, [1, 2]).count() == 6 and store.read_factor(spark, f"{tmp_path}/f", "one", on=[7]).count() == 4
+    assert store.read_factor(
+        spark, f"{tmp_path}/f", "one", 3, 5, [1, 2],
+    ).count() == 6 and store.read_factor(spark, f"{tmp_path}/f", "one", on=[7]).count() == 4
     assert store.recent(values, 5, 3).count() == 20 and store.recent(values, 50, 30).count() == 80
     text = spark.createDataFrame([("so {\"a\": {\"b\": 1}} it is",), ("none {broken",), (None,)], "x string")
     assert [r[0] for r in text.select(scalar.json_object(F.col("x"))).collect()] == ['{"a": {"b": 1}}', None, None]
     curve = spark.createDataFrame([("k", i) for i in range(100)] + [("s", i) for i in range(4)], "key string, i long")
     kept = rp.thinned(curve, ["key"], "i", 10).collect()
-    assert [r["i"] for r in kept if r["key"] == "k"] == [math.floor(j * 99 / 9) for j in range(10)] and sum(r["key"] == "s" for r in kept) == 4
-    assert [r[0] for r in spark.createDataFrame([(0.5,), (float("nan"),), (2.5,)], "x double").select(scalar.shown(F.col("x"), 0)).collect()] == [0.0, None, 2.0]
+    assert [r["i"] for r in kept if r["key"] == "k"] == [
+        math.floor(j * 99 / 9) for j in range(10)
+    ] and sum(r["key"] == "s" for r in kept) == 4
+    assert [
+        r[0] for r in spark.createDataFrame([(0.5,), (float("nan"),), (2.5,)], "x double").select(scalar.shown(F.col("x"), 0)).collect()
+    ] == [0.0, None, 2.0]
 
 
 def test_files_of_different_kinds_and_fingerprints(spark, tmp_path):
@@ -454,6 +502,8 @@ def test_files_of_different_kinds_and_fingerprints(spark, tmp_path):
     got = {(r["sym"], r["date"]): r["buy"] for r in store.read_money_flows(spark, f"{tmp_path}/csv").collect()}
     assert got == {("600000.XSHG", 20200131): 1.5, ("000001.XSHE", 20200203): 2.0}
     one = store.fingerprint(spark, [f"{tmp_path}/csv"], store.upserted)
-    assert one == store.fingerprint(spark, [f"{tmp_path}/csv"], store.upserted) != store.fingerprint(spark, [f"{tmp_path}/csv"], store.latest)
+    assert one == store.fingerprint(
+        spark, [f"{tmp_path}/csv"], store.upserted,
+    ) != store.fingerprint(spark, [f"{tmp_path}/csv"], store.latest)
     open(f"{tmp_path}/csv/a.csv", "a").write("600001.SH;20200131;1.5\n")
     assert one != store.fingerprint(spark, [f"{tmp_path}/csv"], store.upserted)
