@@ -96,6 +96,35 @@ def test_temperature_against_a_grid():
     assert abs(found - grid[np.argmin([loss(t) for t in grid])]) < 0.02 and found > 2
 
 
+def test_grams_and_logits_against_plain_counts(spark):
+    said = ["ab c", "Ba na! na", "", "123", "éa ou çi", "x" * 50 + " y"]
+
+    def plain(text):
+        parts = re.findall(r"[^\W\d_]+", text.lower())
+        line = " " * (not text[:1].isalpha()) + " ".join(parts) + " "
+        one = [c for c in line if c != " "]
+        return len(one) + max(0, len(line) - 1) + max(0, len(line) - 2) if parts else None
+
+    found, has, total = langid.grams(said)
+    assert has.tolist() == [True, True, False, False, True, True]
+    assert all(total[i] == plain(t) for i, t in enumerate(said) if plain(t) is not None)
+    df = np.zeros(langid.DIMS)
+    for r in spark.createDataFrame([(t,) for t in said], "text string").mapInPandas(langid._frequencies, "at long, n long").collect():
+        if r["at"] >= 0:
+            df[r["at"]] += r["n"]
+    alone = [np.unique(np.concatenate([g for g, _ in langid.grams([t])[0]])) for t in said]
+    want = np.zeros(langid.DIMS)
+    for g in alone:
+        want[g] += 1
+    assert (df == want).all()
+    rng = np.random.default_rng(0)
+    idf = rng.random(langid.DIMS)
+    model = langid.Model(["a", "b"], idf, rng.normal(size=(langid.DIMS, 2)), np.array([0.1, -0.2]))
+    z, _ = langid._logits(model, said)
+    for i, (at, x) in enumerate(langid._vectors(said, idf)):
+        assert np.allclose(z[i], (x[:, None] * 30.0 * model.weights[at]).sum(axis=0) + model.bias, atol=1e-4)
+
+
 def test_label_of_equal_texts_is_the_majority(spark):
     rows = [(i, f"{w} {w}", lang) for i, (w, lang) in enumerate([("ba na", "aa"), ("ung schr", "bb")] * 30)]
     rows += [(1000 + i, "same text twice over", lang) for i, lang in enumerate(["bb", "aa", "aa", "bb", "aa"])]
@@ -140,6 +169,22 @@ def test_noisy_or_gradient_is_that_of_the_likelihood():
     assert np.allclose(found, steps, rtol=1e-4, atol=1e-6)
 
 
+def test_scores_are_the_noisy_or_of_plain_sentences():
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(0, 2, 1 << toxicity.BITS), 0.1)
+    said = ["one two. three! two two? four", "", "...", "a b\nc d", "five six seven"]
+    word = {w: int(toxicity.sentence_words([w])[0][0]) for w in re.findall(r"[a-z]+", " ".join(said))}
+    level = 1 / (1 + math.exp(-toxicity.BIAS))
+    found = toxicity._scores(model, said)
+    for text, r in zip(said, found.to_dict("records")):
+        clean, best = 1.0, 0.0
+        for part in re.split(r"[.!?\n]", text):
+            z = toxicity.BIAS + sum(model.weights[word[w]] for w in set(re.findall(r"[a-z]+", part)))
+            p = max(0.0, (1 / (1 + math.exp(-z)) - level) / (1 - level))
+            clean, best = clean * (1 - p), max(best, p)
+        assert abs(r["score"] - (1 - clean)) < 1e-9 and abs(r["worst_score"] - best) < 1e-9
+
+
 def test_worst_sentence_is_where_the_insult_is(spark, texts):
     table = spark.createDataFrame([(i, t) for i, t, *_ in texts], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, *_, y in texts], "doc_id long, toxic int")
