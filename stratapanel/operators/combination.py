@@ -120,14 +120,15 @@ def as_of(left: DataFrame, right: DataFrame, key: str, when: str, values: list[s
 def members_at(dates: DataFrame, changes: DataFrame) -> DataFrame:
     """Pool membership per date: the member list of the last change at or before it; none before the first change.
 
-    ``changes`` are (pool, changed, sym) rows; each list is valid until the pool's next change, so the join is by interval.
+    ``changes`` are (pool, changed, sym) rows with ordinals of dates; each list is valid until the pool's next change.  The dates of a
+    list are written out, one row per pool and date, so that both joins are by equal keys.
     """
     lists = changes.select("pool", "changed").distinct()
-    lists = lists.withColumn("until", F.lead("changed").over(Window.partitionBy("pool").orderBy("changed")))
-    spans = changes.join(lists, ["pool", "changed"])
-    return dates.join(
-        F.broadcast(lists), (dates[T] >= lists["changed"]) & (lists["until"].isNull() | (dates[T] < lists["until"])),
-    ).select("pool", T, "changed").join(spans.select("pool", "changed", SYM), ["pool", "changed"]).select("pool", T, SYM)
+    last = dates.agg(F.max(T)).head()[0]
+    until = F.coalesce(F.lead("changed").over(Window.partitionBy("pool").orderBy("changed")), F.lit(last) + 1)
+    lists = lists.withColumn("until", until).where((F.col("changed") < F.col("until")) & (F.col("changed") <= F.lit(last)))
+    valid = lists.select("pool", "changed", F.explode(F.sequence("changed", F.least(F.col("until") - 1, F.lit(last)))).alias(T))
+    return valid.join(dates.select(T).distinct(), T).join(changes.select("pool", "changed", SYM), ["pool", "changed"]).select("pool", T, SYM)
 
 
 def adjust_prices(prices: DataFrame, factors: DataFrame, cols: list[str], volume: str | None = None, least: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rounded
 from ..functions.ts import SYM, T
 from ..operators import backtest as bt
+from ..operators import combination as cb
 from ..operators import evaluation as ev
 from ..operators import reports as rp
 from ..sources import panels, store
@@ -203,6 +204,37 @@ def _combo_sql() -> str:
     return " UNION ALL ".join(part(k, v) for k, v in _POOLS.items())
 
 
+_FACTORS = {"g": "neg(ts_mean10(ret))", "h": "ts_mean10(intraday)", "k": "ts_mean20(intraday)", "m": "ts_sum20(intraday)"}
+
+
+def row_review(spark, sf_dir):
+    """Factors whose ranks correlate by 0.7 or more, also through others, and of each such group the one with the largest |IC|."""
+    names = ["f", *_FACTORS]
+    rows = base_rows(spark, sf_dir, extra=_FACTORS)
+    nodes = ev.batch_ic(rows, names, 20).select(F.col("factor").alias("id"), F.abs("ic").alias("score"))
+    return rp.review(nodes, cb.factor_similarity(rows, names), "score", 0.7)
+
+
+def _row_review_sql() -> str:
+    over = {w: _enough(f"avg(intraday) {line(w)}", w, "intraday") for w in (10, 20)}
+    extra = f", -({_enough(f'avg(ret) {line(10)}', 10, 'ret')}) AS g, {over[10]} AS h, {over[20]} AS k"
+    extra += f", {_enough(f'sum(intraday) {line(20)}', 20, 'intraday')} AS m"
+    pairs = " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c FROM q WHERE t % 5 = 0 AND {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY t HAVING count(*) >= 20"
+        for i, a in enumerate("fghkm") for b in "fghkm"[i + 1 :]
+    )
+    scores = " UNION ALL ".join(
+        f"SELECT '{c}' AS id, corr({c}, r) AS ic FROM q WHERE {c} IS NOT NULL AND r IS NOT NULL GROUP BY t HAVING count(*) >= 20" for c in "fghkm"
+    )
+    ranks = ", ".join(f"{ordinal(c)} AS {c}" for c in "fghkmr")
+    return f"""{base_sql(extra=extra).replace('WITH ', 'WITH RECURSIVE ', 1)}, q AS (SELECT t, {ranks} FROM base),
+n AS (SELECT id, abs(avg(ic)) AS score FROM ({scores}) GROUP BY id), sim AS (SELECT a, b FROM ({pairs}) GROUP BY a, b HAVING quantile_cont(abs(c), 0.5) >= 0.7),
+l AS (SELECT a, b FROM sim UNION SELECT b, a FROM sim), reach(id, o) AS (SELECT id, id FROM n UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.o),
+z AS (SELECT id, min(o) AS component FROM reach GROUP BY id)
+SELECT n.id, component, count(*) OVER (PARTITION BY component) AS size,
+       row_number() OVER (PARTITION BY component ORDER BY score DESC NULLS LAST, n.id) = 1 AS keep FROM n JOIN z ON z.id = n.id"""
+
+
 # Libraries of factors: supplier figures stand for the records of factors, nations for their pools.
 
 
@@ -264,6 +296,7 @@ QUERIES = {
     "style_years": (style_years, _style_years_sql()),
     "standard_report": (standard_report, _report_sql()),
     "combo_check": (combo_check, _combo_sql()),
+    "row_review": (row_review, _row_review_sql()),
     "library_views": (library_views, _VIEWS),
     "strip_audit": (strip_audit, _AUDIT),
     "recent_rows": (recent_rows, _recent_sql()),
