@@ -203,12 +203,22 @@ def neutralised(rows: DataFrame, f: str, z1: str, z2: str, out: str, least: int
 
 
 def industry_size_neutral(rows: DataFrame, f: str, size: str, industry: str, least: int = 5) -> DataFrame:
-    """Demean factor and size within industries (small ones together), then take the size out of the factor per date."""
-    group = F.when(F.count(f).over(cs.section(industry)) >= least, F.col(industry)).otherwise(-1)
+    """``neutral``: the factor less its industry's mean, less what size (less its industry's mean) explains of that, per date; and whether
+    that is ``degenerate``: hardly anything is left (the 99.5th percentile of its size is within a thousandth of the factor's deviation).
+
+    Names without an industry are one more group; groups with fewer than ``least`` names keep their level.
+    """
     both = F.col(f).isNotNull() & F.col(size).isNotNull()
-    frame = rows.withColumns({"__f": F.when(both, F.col(f)), "__z": F.when(both, F.col(size)), "__g": group})
-    frame = frame.withColumns({"__f": cs.cs_demean(F.col("__f"), "__g"), "__z": cs.cs_demean(F.col("__z"), "__g")})
-    return frame.withColumn("neutral", cs.residual_one(F.col("__f"), F.col("__z"))).drop("__f", "__z", "__g")
+    frame = rows.withColumns({"__f": F.when(both, F.col(f)), "__z": F.when(both, F.col(size)), "__g": F.coalesce(F.col(industry), F.lit(-1))})
+    many = F.count("__f").over(cs.section("__g")) >= least
+    within = {c: F.when(many, cs.cs_demean(F.col(c), "__g")).otherwise(F.col(c)) for c in ("__f", "__z")}
+    frame = frame.withColumns({"__sd": F.stddev_pop("__f").over(cs.section())} | {f"{c}i": x for c, x in within.items()})
+    over = cs.section()
+    var = F.var_pop("__zi").over(over)
+    beta = F.when(F.sqrt(var) > 1e-12, F.try_divide(F.covar_pop("__fi", "__zi").over(over), var)).otherwise(0.0)
+    frame = frame.withColumn("neutral", F.col("__fi") - beta * F.col("__zi"))
+    left = F.percentile(F.abs("neutral"), F.lit(0.995)).over(over)
+    return frame.withColumn("degenerate", left <= 1e-3 * F.col("__sd")).drop("__f", "__z", "__g", "__sd", "__fi", "__zi")
 
 
 def industry_r2(rows: DataFrame, f: str, industry: str) -> DataFrame:

@@ -82,15 +82,17 @@ e AS (
 
 def _neutral_industry():
     def run(spark, sf_dir):
-        frame = ev.industry_size_neutral(base_rows(spark, sf_dir), "f", "ln_mktcap", "industry")
-        return frame.select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("neutral")).alias("neutral"))
-
-    both = "f IS NOT NULL AND ln_mktcap IS NOT NULL"
-    return run, f"""{base_sql()}, s AS (
-  SELECT sym, t, CASE WHEN {both} THEN f END AS a, CASE WHEN {both} THEN ln_mktcap END AS z, CASE WHEN count(f) OVER (PARTITION BY t, industry) >= 5 THEN industry ELSE -1 END AS g FROM base
-), d AS (SELECT sym, t, a - avg(a) OVER (PARTITION BY t, g) AS a, z - avg(z) OVER (PARTITION BY t, g) AS z FROM s),
-m AS (SELECT *, var_pop(z) OVER (PARTITION BY t) AS v, covar_pop(a, z) OVER (PARTITION BY t) AS c, avg(a) OVER (PARTITION BY t) AS ma, avg(z) OVER (PARTITION BY t) AS mz FROM d)
-SELECT sym, CAST(t AS BIGINT) AS t, {r("CASE WHEN a IS NOT NULL THEN a - ma - CASE WHEN v > 1e-12 THEN c / v ELSE 0 END * (z - mz) END")} AS neutral FROM m"""
+        rows = base_rows(spark, sf_dir).withColumn("f", F.when(F.col(T) % 7 == 0, F.col("ln_mktcap") * 2).otherwise(F.col("f")))
+        frame = ev.industry_size_neutral(rows, "f", "ln_mktcap", "industry")
+        return frame.select(SYM, F.col(T).cast("long").alias(T), rounded(F.col("neutral")).alias("neutral"), "degenerate")
+
+    w, g = "OVER (PARTITION BY t)", "OVER (PARTITION BY t, g)"
+    return run, f"""{base_sql()}, b AS (SELECT sym, t, coalesce(industry, -1) AS g, CASE WHEN t % 7 = 0 THEN ln_mktcap * 2 ELSE f END AS f, ln_mktcap AS z FROM base),
+s AS (SELECT sym, t, g, CASE WHEN z IS NOT NULL THEN f END AS a, CASE WHEN f IS NOT NULL THEN z END AS z FROM b),
+d AS (
+  SELECT sym, t, stddev_pop(a) {w} AS sd, CASE WHEN count(a) {g} >= 5 THEN a - avg(a) {g} ELSE a END AS a, CASE WHEN count(a) {g} >= 5 THEN z - avg(z) {g} ELSE z END AS z FROM s
+), m AS (SELECT sym, t, sd, a - CASE WHEN stddev_pop(z) {w} > 1e-12 THEN covar_pop(a, z) {w} / var_pop(z) {w} ELSE 0 END * z AS e FROM d)
+SELECT sym, CAST(t AS BIGINT) AS t, {r('e')} AS neutral, quantile_cont(abs(e), 0.995) {w} <= 1e-3 * sd AS degenerate FROM m"""
 
 
 def _many():

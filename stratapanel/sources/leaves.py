@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import finite
 from ..functions.ts import SYM, T
 from ..operators.combination import as_of
-from ..plans.registry import STYLES
+from ..plans.registry import LEAVES, STYLES
 
 # The four order sizes and the two sides of money flows.
 SIZES, SIDES = ("s", "m", "l", "x"), ("buy", "sell")
@@ -56,6 +56,11 @@ def style_leaves(panel: DataFrame, styles: DataFrame, order: str = "seq") -> Dat
     return panel.join(rows, [SYM, "date"], "left").withColumns({c: F.lit(None).cast("double") for c in STYLES if c not in have})
 
 
+def complete(panel: DataFrame) -> DataFrame:
+    """``panel`` with every leaf that expressions may name; those of stores that are not there are NULL."""
+    return panel.withColumns({c: F.lit(None).cast("double") for c in LEAVES if c not in panel.columns})
+
+
 def industry_code(members: list[str]) -> Column:
     """The position of the largest of the membership columns if it is above one half, else -1."""
     held = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in members])

@@ -507,3 +507,11 @@ def test_files_of_different_kinds_and_fingerprints(spark, tmp_path):
     ) != store.fingerprint(spark, [f"{tmp_path}/csv"], store.latest)
     open(f"{tmp_path}/csv/a.csv", "a").write("600001.SH;20200131;1.5\n")
     assert one != store.fingerprint(spark, [f"{tmp_path}/csv"], store.upserted)
+
+
+def test_expressions_run_on_leaves_of_any_store(spark):
+    base = panel(spark, walk(41, 30, 5), "close").withColumns({"date": F.col("t"), "mktcap": F.lit(2.0), "fa_gm": F.col("close") * 2})
+    whole = leaves.complete(base)
+    assert set(registry.LEAVES) <= set(whole.columns)
+    made = evaluate(whole, {"a": parse("cs_rank(fa_gm)"), "b": parse("add(barra_size, mg_bal_ratio)"), "c": parse("cs_rank(close)")}).toPandas()
+    assert made["b"].isna().all() and made["a"].equals(made["c"]) and made["a"].notna().any()
