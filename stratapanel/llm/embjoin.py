@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -222,6 +222,19 @@ def _other(boxes: DataFrame, dims: int, key: str, name: str) -> DataFrame:
     )
 
 
+def _banded(cut: DataFrame, bands: int) -> DataFrame:
+    """Segments (part, seq, ...) with their place ``seg`` in the whole order, cut into ``bands`` equal runs, however many parts Spark dealt them to.
+
+    Places are running counts over the parts, one row per part.
+    """
+    parts = cut.groupBy("part").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("n").over(Window.partitionBy())
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), total.alias("total"))
+    placed = cut.join(F.broadcast(parts), "part").withColumn("seg", F.col("before") + F.col("seq"))
+    return placed.withColumn("band", F.floor(F.col("seg") * bands / F.col("total")).cast("int")).drop("part", "seq", "before", "total")
+
+
 def band_pairs(bands: DataFrame, dims: int, eps: float) -> DataFrame:
     """Pairs (a, b), a <= b, of bands whose boxes are within eps, found by grid cell of the first two directions."""
     right = _other(bands, dims, "band", "b")
@@ -282,11 +295,9 @@ def near_duplicates(
     ordered = placed.repartitionByRange(least_bands, "cell", "proj", "rep").sortWithinPartitions("cell", "proj", "rep")
     spans = ", ".join(f"{s}{k} double" for s in ("lo", "hi") for k in range(dims))
     cut = ordered.mapInPandas(_cutter(width, axes, segment, kind), f"seq int, ids array<long>, copies array<long>, raw binary, {spans}")
-    cut = materialise(
-        cut.withColumn("band", F.spark_partition_id()).withColumn("seg", F.col("band").cast("long") * (1 << 32) + F.col("seq")),
-        "ego-segments",
-    )
-    boxes = cut.drop("ids", "copies", "raw", "seq")
+    cut = materialise(cut.withColumn("part", F.spark_partition_id()), "ego-segments")
+    cut = _banded(cut, least_bands)
+    boxes = cut.drop("ids", "copies", "raw")
     bands = boxes.groupBy("band").agg(
         *[F.min(f"lo{k}").alias(f"lo{k}") for k in range(dims)], *[F.max(f"hi{k}").alias(f"hi{k}") for k in range(dims)],
     )
