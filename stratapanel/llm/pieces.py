@@ -36,7 +36,7 @@ from .textvec import chunks, run_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\udc81"
 #: Distinct cuts that a worker keeps; the memory is emptied when it is full.
-KEEP = 800_000
+KEEP = 400_000
 _LONG = 48
 _CHARS = 600_000
 
