@@ -280,9 +280,10 @@ def test_chat_parts(spark):
 def test_warc_round_trip(spark):
     magic = "WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: 99\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     body = "x" * 150
-    pages = [(1, "u", body), (2, "u\r\nEvil: 1", body), (3, None, None), (4, "u", magic * 3 + "é" * 60), (5, "u", magic), (6, "u", body), (7, "u", "short"), (8, "u", "short"), (None, "u", "y" * 200), (4, "u", magic * 3 + "é" * 60), (9, "u", "\r\n\r\n")]
+    pages = [(1, "u", body), (2, "u\r\nEvil: 1", body), (3, None, None), (4, "u", magic * 3 + "é" * 60), (5, "u", magic), (6, "u", body), (7, "u", "short"), (8, "u", "short"), (None, "u", "y" * 200), (4, "u", magic * 3 + "é" * 60), (9, "u", "\r\n\r\n"), (11, "u", "z" * 1_500_000), (12, "u", "z" * 1_500_000)]
     path = new_path(spark, "warc-test")
-    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), path)
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(table.withColumns({c: F.lit(1) for c in ("id", "body", "n", "sha", "refers", "file", "value")}), path)
     found = warc.read_archives(spark, path).collect()
     assert all(r["intact"] for r in found)
     got = sorted(((r["page_id"] or -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found), key=str)
