@@ -11,8 +11,8 @@ character of each control string, so that the marks of the template occur nowher
 (length in code points, in the loss or not), which add up to the length of the output.
 
 Cases: null texts and roles count as empty; turns are ordered by turn number (null first), ties by their formatted text;
-repeated rows are repeated turns; a row without a conversation id is a conversation of its own; an unknown kind of part is formatted as text;
-an empty table gives an empty result; other columns are not read.
+repeated rows are repeated turns; a row without a conversation id is a conversation of its own; an unknown kind of part is
+formatted as text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

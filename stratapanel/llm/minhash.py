@@ -14,8 +14,9 @@ are no burden, and then all of these are taken.  Before the exact comparison, pa
 many coordinates, a few 64-bit words: a pair goes on unless its bits are so far off as those of one link in a billion.
 
 Cases: texts with fewer than five words have one shingle, all their words; null and empty texts have none, are no copies of
-anything and stay; repeated rows (same id, same text) are one document; different texts with one id, or with none, are different
-documents, of which a group keeps one; null ids are grouped but never stay where another id is present; an empty table gives an empty result; other columns, whatever their names, pass through :func:`deduplicate` untouched.
+anything and stay; repeated rows (same id, same text) are one document; different texts with one id, or with none, are
+different documents, of which a group keeps one; null ids are grouped but never stay where another id is present; an empty
+table gives an empty result; other columns, whatever their names, pass through :func:`deduplicate` untouched.
 """
 
 from __future__ import annotations

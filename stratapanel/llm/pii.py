@@ -1,12 +1,13 @@
 """Personal data by weak supervision.
 
-Base spans (e-mail, IP, card and phone numbers) follow fixed patterns and always stay.  Wider patterns propose candidates: local
-phone numbers, spelled-out e-mails, secrets and social security numbers.  Three labelers vote on every span, base spans too: the
-regex labeler on its strict shape, the gazetteer labeler on lists (top-level domains, issuers, key prefixes, code words), the
-context labeler on the words in front.  Each may abstain.  Counts of vote patterns over all documents are all that
+Base spans (e-mail, IP, card and phone numbers) follow fixed patterns and always stay.  Wider patterns propose candidates:
+local phone numbers, spelled-out e-mails, secrets and social security numbers.  Three labelers vote on every span, base spans
+too: the regex labeler on its strict shape, the gazetteer labeler on lists (top-level domains, issuers, key prefixes, code
+words), the context labeler on the words in front.  Each may abstain.  Counts of vote patterns over all documents are all that
 expectation-maximisation needs to estimate the labelers' reliabilities and the prior of each kind.  The posteriors train a
-logistic span classifier on the different spans (by make-up and words in front; copies count once) of a sample that is bounded for each
-kind, and a candidate becomes a span where the classifier says so.  Without anything to learn from, no candidate does.
+logistic span classifier on the different spans (by make-up and words in front; copies count once) of a sample that is bounded
+for each kind, and a candidate becomes a span where the classifier says so.  Without anything to learn from, no candidate
+does.
 
 Offsets are code points, ends exclusive.  Spans of a kind never overlap; a candidate that overlaps a base span, or an earlier
 candidate, is dropped.

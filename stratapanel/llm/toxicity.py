@@ -2,19 +2,20 @@
 
 A sentence's probability is the logistic of a bias and the weights of its distinct hashed words, over the level of a sentence
 without such words: p = (s(z) - s(b)) / (1 - s(b)), and 0 below.  So sentences without evidence add nothing, however many a
-document has.  A document's probability is the noisy-or 1 - prod(1 - p).  Only documents carry labels: the gradient of the document's log likelihood is shared out among its sentences
-by their own probabilities, so the model learns which sentences offend, and :func:`sentences` locates them.  A share of the
-labels, estimated along, is taken to be flipped, so that wrong labels need no words that explain them.
+document has.  A document's probability is the noisy-or 1 - prod(1 - p).  Only documents carry labels: the gradient of the
+document's log likelihood is shared out among its sentences by their own probabilities, so the model learns which sentences
+offend, and :func:`sentences` locates them.  A share of the labels, estimated along, is taken to be flipped, so that wrong
+labels need no words that explain them.
 
 The fit uses a bounded sample of labelled documents (all toxic ones up to half the bound) and full-batch AdaGrad with an L1 and
 an L2 penalty.  Texts become word numbers in the tasks that read them; the one task that fits gets these, at most ``WORDS`` in
 expectation.  Between steps that look at all words, steps look at words with a weight only.  The sample is reweighted to the
 labelled proportions.  Scoring reads every whole text.
 
-Cases: null and empty texts have no sentence with a word and score 0; documents without a label, or
-with several differing labels, are scored but not learned from; with no usable label, or one class only, every score is the
-labelled rate (0 without labels); repeated rows are scored alike, and rows of one id, or of none, by their own texts; an empty table gives an empty result; other columns are not
-read, and pass through :func:`keep_clean` untouched, whatever their names.
+Cases: null and empty texts have no sentence with a word and score 0; documents without a label, or with several differing
+labels, are scored but not learned from; with no usable label, or one class only, every score is the labelled rate (0 without
+labels); repeated rows are scored alike, and rows of one id, or of none, by their own texts; an empty table gives an empty
+result; other columns are not read, and pass through :func:`keep_clean` untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,20 +1,22 @@
 """Writing pages as WARC records and reading archives back with boundary-chain verification (DataFrame operations only).
 
 Writing goes through Spark's text writer, whose record separator is the blank line that ends a WARC record: the commit
-protocol, retries, compression and remote file systems are Spark's.  Records are dealt to files of about ``FILE_BYTES``.  Of records with equal
-payloads of at least ``MIN_REVISIT`` bytes the one with the smallest id is a response, the others revisit it.
+protocol, retries, compression and remote file systems are Spark's.  Records are dealt to files of about ``FILE_BYTES``.  Of
+records with equal payloads of at least ``MIN_REVISIT`` bytes the one with the smallest id is a response, the others revisit
+it.
 
-Reading goes through Spark's text reader with the record magic as separator, so that large plain (or bzip2) files are read by many tasks, a
-split each, and every occurrence of the magic, also those inside payloads, starts a row.  Sums of row lengths, per split and then per
-file, give each candidate its offset; its stated length gives the offset of its successor.  Candidates that follow each other
-directly are one run, and pointer jumping over runs, by joins that double the reach in each round, keeps those that the chain
-from the start of the file reaches.  Only payloads that hold a magic are put together again from several rows.
+Reading goes through Spark's text reader with the record magic as separator, so that large plain (or bzip2) files are read by
+many tasks, a split each, and every occurrence of the magic, also those inside payloads, starts a row.  Sums of row lengths,
+per split and then per file, give each candidate its offset; its stated length gives the offset of its successor.  Candidates
+that follow each other directly are one run, and pointer jumping over runs, by joins that double the reach in each round,
+keeps those that the chain from the start of the file reaches.  Only payloads that hold a magic are put together again from
+several rows.
 
 Cases: null payloads count as empty; null ids are written as an empty field and read back as null; null or broken URLs are
-written without line breaks; repeated rows are records of their own with equal record ids, of which one is the response: those with the
-smallest id are all responses; an empty table writes no record and gives an empty result; other columns are not read.  Field names
-are read in any case, versions 1.0 and 1.1 alike.  Where a chain ends before its file does, a row of the type ``broken`` says
-where (``at``) and how many bytes follow (``payload_bytes``).
+written without line breaks; repeated rows are records of their own with equal record ids, of which one is the response: those
+with the smallest id are all responses; an empty table writes no record and gives an empty result; other columns are not read.
+Field names are read in any case, versions 1.0 and 1.1 alike.  Where a chain ends before its file does, a row of the type
+``broken`` says where (``at``) and how many bytes follow (``payload_bytes``).
 """
 
 from __future__ import annotations
