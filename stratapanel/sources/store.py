@@ -44,7 +44,7 @@ def read_factor(
 def recent(rows: DataFrame, n: int = 600, least: int = 300) -> DataFrame:
     """The last ``n`` dates, or all where there are fewer than ``least`` among these."""
     days = rows.select(T).distinct()
-    span = days.agg(F.max(T).alias("last")).crossJoin(days.agg(F.count("*").alias("days")))
+    span = days.agg(F.max(T).alias("last"), F.count("*").alias("days"))
     from_ = F.when(F.least("days", F.lit(n)) >= least, F.col("last") - n)
     span = span.select(from_.alias("__from"))
     return rows.crossJoin(span).where(F.col("__from").isNull() | (F.col(T) > F.col("__from"))).drop("__from")
