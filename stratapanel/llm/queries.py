@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embjoin, exactdedup, langid, minhash, mixing, pieces, pii, toxicity, warc
+from . import chat, collocations, embjoin, exactdedup, langid, minhash, mixing, pieces, pii, toxicity, warc
 from .common import new_path, table
 
 
@@ -59,6 +59,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pii": op10_pii,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -149,8 +154,42 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), spans AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 5) s(k)
+), phrases AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, any_value(w[i:i + k - 1]) AS ws, count(*) AS f
+  FROM spans GROUP BY lang, k, phrase HAVING count(*) >= 30
+), cuts AS (
+  SELECT lang, k, phrase, f, ws, unnest(range(1, k)) AS c FROM phrases WHERE k > 1
+), tried AS (
+  SELECT t.lang, t.phrase, t.f AS a, a.f AS l, b.f AS r, c, (2000000 * t.f::HUGEINT) // (a.f + b.f) AS score FROM cuts t
+  JOIN phrases a ON a.lang = t.lang AND a.phrase = array_to_string(t.ws[1:c], ' ')
+  JOIN phrases b ON b.lang = t.lang AND b.phrase = array_to_string(t.ws[c + 1:], ' ')
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS o FROM tried
+), inner_ AS (
+  SELECT lang, f, k, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM phrases, range(2, 4) s(m) WHERE m < k)
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM inner_ GROUP BY ALL
+), ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a, l, r, score
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE o = 1 AND NOT coalesce(100 * g.f >= 80 * a, FALSE)
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": _MIX.replace("{shifts}", str(mixing.SHIFTS)).replace("{step}", str((1 << 32) // mixing.SHIFTS)), "op6_warc": _WARC,
-        "op8_chat": _chat_sql(), "op9_exact_dedup": _EXACT,
+        "op8_chat": _chat_sql(), "op9_exact_dedup": _EXACT, "op13_collocations": _PHRASES,
     }
