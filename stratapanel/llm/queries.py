@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, embjoin, exactdedup, langid, minhash, mixing, pieces, pii, toxicity, warc
+from . import chat, collocations, embjoin, exactdedup, langid, minhash, mixing, pieces, pii, tokenfiles, toxicity, warc
 from .common import new_path, table
 
 
@@ -59,6 +59,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path)
+    return tokenfiles.read_tokens(spark, path)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pii": op10_pii,
+        "op11_token_files": op11_token_files,
         "op13_collocations": op13_collocations,
     }
 
