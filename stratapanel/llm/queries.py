@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, embjoin, exactdedup, langid, minhash, mixing, pieces, pii, tokenfiles, toxicity, warc
+from . import chat, collocations, embjoin, exactdedup, langid, minhash, mixing, pieces, pii, tokenfiles, toxicity, warc, whitening
 from .common import new_path, table
 
 
@@ -65,6 +65,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(spark, path)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pii": op10_pii,
         "op11_token_files": op11_token_files,
+        "op12_whitening": op12_whitening,
         "op13_collocations": op13_collocations,
     }
 
