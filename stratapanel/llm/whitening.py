@@ -4,11 +4,11 @@ Vectors become integers, x = floor(256 c).  Each distinct x is written once; sum
 the tasks and by rounds of grouping, so no task and not the driver holds more than a few matrices of d x d numbers, whatever the number of
 vectors.
 
-The eigenproblem of the d x d covariance V is solved by contour integration.  Inertia counts (signs of the pivots of a symmetric
-factorisation of V - s I) tell how many eigenvalues lie above s; bisection with them cuts intervals that hold few eigenvalues each, from the top.
-For each interval the integral of the resolvent along a circle around it, by quadrature over complex shifts, projects a block of vectors
-onto the eigenvectors inside; Rayleigh-Ritz extracts them; this is repeated with the found block until the residuals are at rounding
-level.  The interval's count says whether any was missed; if so the block grows.
+The eigenproblem of the d x d covariance V is solved by contour integration.  Inertia counts (signs of the pivots of a factorisation of
+V - s I, in tridiagonal form) tell how many eigenvalues lie above s; bisection with them finds intervals that hold one eigenvalue or some close
+ones each, from the top, with a gap around.  For each interval the integral of the resolvent along a circle around it, by quadrature over
+complex shifts, projects a block of vectors onto the eigenvectors inside; Rayleigh-Ritz extracts them; this is repeated with the found block
+until the residuals are at rounding level.  The interval's count says whether any was missed; if so the block grows.
 
 Cases: rows whose vector is null, empty, or holds null or non-finite entries are dropped; so are vectors of another length than most have
 (of lengths as frequent, the largest counts); 256 c beyond a long counts as the nearest long; components without variance don't exist, so
@@ -28,62 +28,69 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches
 
 SCALE = 256.0
-#: Quadrature nodes on the half circle; eigenvalues that an interval may hold, about; partial sums that one task adds up.
+#: Quadrature nodes on the half circle; gap below which eigenvalues share an interval, as a share of the larger; partial sums that one task adds up.
 NODES = 12
-INTERVAL = 8
+GAP = 1e-3
 FAN_IN = 64
 #: Eigenvalues below this share of the trace are taken for 0.
 TINY = 1e-13
 
 
-def inertia(a: np.ndarray) -> int:
-    """How many eigenvalues of a symmetric matrix are positive: signs of its pivots, of one or two rows, the largest first (Bunch-Parlett)."""
-    a = a.copy()
-    positive = 0
+def tridiagonal(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Diagonal and squared off-diagonal of a tridiagonal matrix with the eigenvalues of ``v``, by Householder reflections."""
+    a = v.copy()
+    for k in range(len(a) - 2):
+        u = a[k + 1:, k].copy()
+        u[0] += np.copysign(np.linalg.norm(u), u[0])
+        size = u @ u
+        if size > 0:
+            rest = a[k + 1:, k + 1:]
+            p = rest @ u * (2 / size)
+            p -= u * (p @ u / size)
+            rest -= np.outer(u, p) + np.outer(p, u)
+            a[k + 1:, k] -= u * (2 * (u @ a[k + 1:, k]) / size)
+    return a.diagonal().copy(), a.diagonal(-1).copy() ** 2
+
+
+def count_above(form: tuple[np.ndarray, np.ndarray], at: float) -> int:
+    """Eigenvalues above ``at``: the positive pivots of the factorisation of the shifted tridiagonal matrix."""
+    diagonal, square = form
     least = np.finfo(float).tiny
-    while len(a):
-        n = len(a)
-        diagonal = np.abs(a.diagonal())
-        p = int(diagonal.argmax())
-        off = np.abs(a - np.diag(a.diagonal()))
-        i, j = divmod(int(off.argmax()), n)
-        if diagonal[p] <= least and off[i, j] <= least:
-            break
-        block = [p] if diagonal[p] >= 0.6404 * off[i, j] else [i, j]
-        rest = [k for k in range(n) if k not in block]
-        pivot = a[np.ix_(block, block)]
-        positive += int((np.linalg.eigvalsh(pivot) > 0).sum())
-        side = a[np.ix_(rest, block)]
-        a = a[np.ix_(rest, rest)] - side @ np.linalg.solve(pivot, side.T)
-        a = (a + a.T) / 2
+    pivot, positive = 1.0, 0
+    for x, y in zip(diagonal.tolist(), [0.0, *square.tolist()], strict=True):
+        pivot = (x - at) - y / pivot
+        if abs(pivot) < least:
+            pivot = -least
+        positive += pivot > 0
     return positive
 
 
-def count_above(v: np.ndarray, at: float) -> int:
-    """Eigenvalues of ``v`` above ``at``."""
-    return inertia(v - at * np.eye(len(v)))
-
-
-def cut(v: np.ndarray, high: float, above: int, wanted: int) -> tuple[float, int]:
-    """The lower end of an interval below ``high``, and the number of eigenvalues above that end; ``above`` of these lie above ``high``.
-
-    The interval holds ``wanted`` eigenvalues, or half of INTERVAL where more are wanted, and at most INTERVAL unless more are nearly equal.
-    """
-    low, floor = -TINY * np.trace(v), None
-    top = high
-    for _ in range(200):
-        at = (low + top) / 2
-        if not low < at < top:
-            break
-        n = count_above(v, at) - above
-        if n < min(wanted, INTERVAL // 2):
-            top = at
-        elif n > INTERVAL:
-            low = at
-        else:
-            floor = (at, n + above)
-            break
-    return floor or (low, count_above(v, low))
+def located(form: tuple[np.ndarray, np.ndarray], i: int, low: float, high: float) -> float:
+    """The i-th largest eigenvalue, which lies between ``low`` and ``high``, to a small part of the gap that counts."""
+    while high - low > GAP / 16 * max(abs(high), abs(low)) and low < (at := (low + high) / 2) < high:
+        low, high = (at, high) if count_above(form, at) >= i else (low, at)
+    return (low + high) / 2
+
+
+def intervals(v: np.ndarray, most: int) -> list[tuple[float, float, int]]:
+    """Intervals from the top (low, high, eigenvalues inside by inertia) that together hold the ``most`` largest eigenvalues, or more if some are close."""
+    form, d, trace = tridiagonal(v), len(v), float(np.trace(v))
+    bound = float(np.abs(v).sum(0).max()) * 1.01
+    find = lambda i, high: located(form, i, TINY * trace / 2, high)
+    total = count_above(form, TINY * trace)
+    out, i, above, first = [], 0, np.inf, find(1, bound)
+    while i < min(most, total):
+        last, j, below = first, i + 1, 0.0
+        while j < total:
+            below = find(j + 1, last * (1 + GAP))
+            if last - below > GAP * first:
+                break
+            last, j, below = below, j + 1, 0.0
+        pad = min(above - first, last - below) / 2
+        inside = count_above(form, last - pad) - count_above(form, first + pad)
+        out.append((last - pad, first + pad, inside))
+        i, above, first = j, last, below
+    return out
 
 
 def feast(v: np.ndarray, low: float, high: float, count: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -123,15 +130,8 @@ def components(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     trace = float(np.trace(v))
     if not trace > 0:
         return np.zeros(0), np.zeros((len(v), 0))
-    high, above = float(np.abs(v).sum(0).max()) * 1.01, 0
-    most = min(most, count_above(v, TINY * trace))
-    values, vectors = [], []
-    while above < most:
-        low, reached = cut(v, high, above, most - above)
-        found = feast(v, low, high, reached - above)
-        values.append(found[0])
-        vectors.append(found[1])
-        high, above = low, reached
+    found = [feast(v, *held) for held in intervals(v, most)]
+    values, vectors = zip(*found, strict=True)
     return np.concatenate(values)[:most], np.hstack(vectors)[:, :most]
 
 
