@@ -125,29 +125,54 @@ def format_turns(
     )
 
 
+def _pieces(formatted: Column) -> Column:
+    """The turns of an output as they are written, without the mark at their ends."""
+    pieces = F.split(formatted, rf"\Q{END}\E\n", -1)
+    return F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+
+
 def parse(formatted: Column) -> Column:
     """The turns of an output, read back: an array of structs (role, text), unescaped."""
-    pieces = F.split(formatted, rf"\Q{END}\E\n", -1)
-    pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
 
     def turn(piece: Column) -> Column:
         at = F.instr(piece, "\n")
         role = F.substring(piece, F.lit(len(TURN) + 1), at - len(TURN) - 1)
         return F.struct(unescape(role, ((_LINE, "\n"),)).alias("role"), unescape(F.substring(piece, at + 1, F.length(piece))).alias("text"))
 
-    return F.transform(pieces, turn)
+    return F.transform(_pieces(formatted), turn)
+
 
+def _cut(text: Column, at: Column, run: Column) -> Column:
+    return F.when(run["loss"], unescape(F.substring(text, at.cast("int") + 1, run["chars"].cast("int")))).otherwise(F.lit(""))
 
-def under_loss(turns: Column, runs: Column) -> Column:
-    """The texts of parsed turns that lie under the loss mask, joined: run 3 i + 1 of the mask is the content of turn i."""
-    masked = F.transform(turns, lambda t, i: F.when(F.element_at(runs, i * 3 + 2)["loss"], t["text"]).otherwise(F.lit("")))
-    return F.array_join(masked, "")
+
+def under_loss(formatted: Column, runs: Column) -> Column:
+    """What lies under the loss mask of an output, unescaped: cut from it at the running sums of the runs' lengths.
+
+    Where the runs of each turn add up to its length, as they do in what :func:`format_turns` makes, the cuts are made turn by turn, which
+    takes time in proportion to the text; other masks are cut from the whole.
+    """
+    pieces = F.transform(_pieces(formatted), lambda p: F.concat(p, F.lit(END + "\n")))
+    three = lambda i: [F.element_at(runs, i.cast("int") * 3 + k) for k in (1, 2, 3)]
+    fits = F.transform(pieces, lambda p, i: F.length(p) == sum((r["chars"] for r in three(i)), F.lit(0)))
+
+    def of_turn(piece: Column, i: Column) -> Column:
+        a, b, c = three(i)
+        return F.concat(_cut(piece, F.lit(0), a), _cut(piece, a["chars"], b), _cut(piece, a["chars"] + b["chars"], c))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    walked = F.aggregate(
+        runs, start, lambda acc, r: F.struct((acc["at"] + r["chars"]).alias("at"), F.concat(acc["out"], F.array(_cut(formatted, acc["at"], r))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    aligned = F.when(F.size(runs) == 3 * F.size(pieces), F.forall(fits, lambda x: x)).otherwise(F.lit(False))
+    return F.array_join(F.when(aligned, F.transform(pieces, of_turn)).otherwise(walked), "")
 
 
 def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """What the output holds, read back from it: turns, their digest, the text under the loss mask and its digest, the length."""
     rows = formatted.select(conv, "formatted", "loss_runs", parse(F.col("formatted")).alias("__turns"))
-    rows = rows.withColumn("__loss", under_loss(F.col("__turns"), F.col("loss_runs")))
+    rows = rows.withColumn("__loss", under_loss(F.col("formatted"), F.col("loss_runs")))
     whole = F.array_join(F.transform("__turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select(
         conv, F.size("__turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("__loss").cast("long").alias("loss_chars"),
