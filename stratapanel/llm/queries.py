@@ -32,9 +32,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    path, pages = new_path(spark, "warc"), table(spark, sf_dir, "pages")
+    warc.write_archives(pages, path)
+    return warc.read_archives(spark, path, pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

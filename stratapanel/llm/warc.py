@@ -12,7 +12,8 @@ that follow each other directly are one run, and pointer jumping over runs, by j
 keeps those that the chain from the start of the file reaches.  Only payloads that hold a magic are put together again from
 several rows.
 
-Cases: null payloads count as empty; null ids are written as an empty field and read back as null; null or broken URLs are
+Cases: null payloads count as empty; null ids are written as an empty field and read back as null; ids of any type are read in the type
+they are asked for in, texts, which may hold anything, among them; null or broken URLs are
 written without line breaks; repeated rows are records of their own with equal record ids, of which one is the response: those
 with the smallest id are all responses; an empty table writes no record and gives an empty result; other columns are not read.
 Field names are read in any case, versions 1.0 and 1.1 alike.  Where a chain ends before its file does, a row of the type
@@ -41,6 +42,15 @@ def _record_id(ident: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
+def _id_text(ident: Column, kind: str) -> Column:
+    """An id as one line of a header: texts are percent-encoded, an empty one is a pair of quotes; null gives null."""
+    return F.when(ident == "", '""').otherwise(F.url_encode(ident)) if kind == "string" else ident.cast("string")
+
+
+def _id_value(text: Column, kind: str) -> Column:
+    return F.when(text != '""', F.try_url_decode(text)).when(text == '""', "") if kind == "string" else text.try_cast(kind)
+
+
 def plan_records(pages: DataFrame, ident: str = "page_id", payload: str = "html", uri: str = "url") -> DataFrame:
     """Rows ``id, uri, body, n, sha, refers``: which record each page becomes (``refers`` is null for a response)."""
     body = F.coalesce(F.col(payload), F.lit(""))
@@ -66,6 +76,7 @@ def write_archives(
 ) -> None:
     """Write one record per page below ``path``."""
     rows = plan_records(pages, ident, payload, uri)
+    kind = rows.schema["id"].dataType.simpleString()
     revisit = F.col("refers").isNotNull()
     fields = [
         ("WARC-Type: ", F.when(revisit, "revisit").otherwise("response")),
@@ -73,7 +84,7 @@ def write_archives(
         ("WARC-Date: ", F.lit(date)),
         ("WARC-Target-URI: ", F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]+", " ")),
         ("WARC-Payload-Digest: sha256:", F.col("sha")),
-        ("X-Page-Id: ", F.coalesce(F.col("id").cast("string"), F.lit(""))),
+        ("X-Page-Id: ", F.coalesce(_id_text(F.col("id"), kind), F.lit(""))),
         ("X-Payload-Length: ", F.col("n").cast("string")),
     ]
     lines = [F.concat(F.lit(k), v) for k, v in fields]
@@ -83,7 +94,7 @@ def write_archives(
             revisit,
             F.concat(
                 F.lit(profile + "WARC-Refers-To: "), _record_id(F.col("refers")), F.lit(_LINE + "X-Refers-To-Page: "),
-                F.col("refers").cast("string"),
+                _id_text(F.col("refers"), kind),
             ),
         )
     )
@@ -128,7 +139,7 @@ def _payload(value: str, at: Column, length: Column) -> tuple[Column, Column]:
     return F.sha2(F.substring(body, (at + 1).cast("int"), length.cast("int")), 256), blank
 
 
-def _candidates(parts: DataFrame) -> DataFrame:
+def _candidates(parts: DataFrame, id_type: str) -> DataFrame:
     """One slim row per part: the fields of the header it may begin with, and the digest of a payload that lies within it."""
     rows = parts.withColumn("head", F.substring_index("value", _LINE * 2, 1))
     told = F.col("value").rlike(r"\A[01]\r\n") & (F.octet_length("head") < F.col("size"))
@@ -137,8 +148,8 @@ def _candidates(parts: DataFrame) -> DataFrame:
     digest, blank = _payload("value", F.col("body"), F.col("length"))
     inside = F.col("body") + F.col("length") <= F.col("size")
     page = [
-        F.lower(_field("WARC-Type")).alias("kind"), _whole(_field("X-Page-Id")).alias("page_id"),
-        _whole(_field("X-Refers-To-Page")).alias("refers_to"),
+        F.lower(_field("WARC-Type")).alias("kind"), _id_value(_field("X-Page-Id"), id_type).alias("page_id"),
+        _id_value(_field("X-Refers-To-Page"), id_type).alias("refers_to"),
     ]
     said = [
         _field("WARC-Payload-Digest").alias("said"), _whole(_field("X-Payload-Length")).alias("full"),
@@ -178,9 +189,9 @@ def _reached(runs: DataFrame) -> DataFrame:
     return reach
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives below ``path``, with offsets; ``intact`` says that boundary and digest hold."""
-    fat = materialise(_candidates(_parts(spark, path)), "warc-candidates")
+def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """The records of all archives below ``path``, with offsets; ``intact`` says that boundary and digest hold.  Ids are read as ``id_type``."""
+    fat = materialise(_candidates(_parts(spark, path), id_type), "warc-candidates")
     # the chains are followed on narrow rows, in which files go by a hash of their name
     narrow = fat.select(
         F.xxhash64("file").alias("file"), "block", "turn", "size", "told", "length", "body", "blank", "mark",
