@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, packed
+from .common import attach_groups, materialise, packed
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,13 +34,13 @@ def unit_hash(ident: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
-    """Targets per source: ``__source, __source_size, __target`` from rows ``__source, __size``.
+    """Targets per source: ``__source, __docs, __source_size, __target`` from rows ``__source, __size``.
 
     Sources in order of code point (null last) get ``weights`` in turn; a target stops at ``most`` times its source's size and
     the excess is shared again by weight.  That is a water level: with sources sorted by cap / weight, those below the level
     are full.  The windows run over one row per source, not over documents.
     """
-    per = sizes.groupBy("__source").agg(F.sum("__size").alias("__source_size"))
+    per = sizes.groupBy("__source").agg(F.count("*").alias("__docs"), F.sum("__size").alias("__source_size"))
     whole = Window.partitionBy()
     place = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
     per = per.withColumn("__level", level)
     open_ = F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.col("__level"))
     per = per.withColumn("__level", F.coalesce(F.max(open_).over(whole), F.lit(0.0)))
-    return per.select("__source", "__source_size", F.least(F.col("__level") * F.col("__w"), F.col("__cap")).alias("__target"))
+    return per.select("__source", "__docs", "__source_size", F.least(F.col("__level") * F.col("__w"), F.col("__cap")).alias("__target"))
 
 
 def _rated(per: DataFrame, most: float) -> DataFrame:
@@ -66,16 +66,21 @@ def _one_more(shift: Column | int) -> Column:
     return ((F.col("__u") + shift * (_SPAN // SHIFTS)) % _SPAN < F.col("__cut")).cast("long")
 
 
+def _key(source: str) -> Column:
+    """A source as a key that is never null."""
+    return F.concat(F.when(F.col(source).isNull(), "-").otherwise("+"), F.coalesce(F.col(source).cast("string"), F.lit("")))
+
+
 def plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
-    """One row per source: size, target, whole copies, cut of the hash, and the chosen shift.  ``sizes`` is read twice."""
-    per = _rated(targets(sizes, weights, most), most)
-    joined = sizes.join(per, sizes["__source"].eqNullSafe(per["__source"])).drop(sizes["__source"])
-    keys = ["__source", "__source_size", "__target", "__whole", "__cut"]
+    """A table with one row per source: its key and documents, size, target, whole copies, cut of the hash, and the chosen shift."""
+    per = materialise(_rated(targets(sizes, weights, most), most).withColumn("__key", _key("__source")).drop("__source"), "mix-targets")
+    joined = attach_groups(sizes.select(_key("__source").alias("__key"), "__size", "__u"), per, "__key", "__docs")
+    keys = ["__key", "__docs", "__source_size", "__target", "__whole", "__cut"]
     sums = joined.groupBy(*keys).agg(*[F.sum(F.col("__size") * (F.col("__whole") + _one_more(j))).alias(f"__t{j}") for j in range(SHIFTS)])
     off = F.array(
         *[F.struct(F.abs(F.col(f"__t{j}") - F.col("__target")).alias("off"), F.lit(j).cast("long").alias("shift")) for j in range(SHIFTS)]
     )
-    return sums.select(*keys, F.array_min(off)["shift"].alias("__shift"))
+    return materialise(sums.select(*keys, F.array_min(off)["shift"].alias("__shift")), "mix-plan")
 
 
 def sized(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -97,10 +102,9 @@ def mixture(
 
 
 def _decided(rows: DataFrame, per: DataFrame) -> DataFrame:
-    per = per.withColumnRenamed("__source", "__of")
-    return rows.join(per, rows["__source"].eqNullSafe(per["__of"])).drop("__of").withColumn(
-        "__copies", F.col("__whole") + _one_more(F.col("__shift")),
-    )
+    """``rows`` with what is decided for their source; sources with many documents are looked up where the rows are read, the others joined."""
+    found = attach_groups(rows.withColumn("__key", _key("__source")), per, "__key", "__docs")
+    return found.withColumn("__copies", F.col("__whole") + _one_more(F.col("__shift")))
 
 
 def mix(
