@@ -6,9 +6,10 @@ reverse, whose rows are sorted no deeper than the longest phrase needs.  A phras
 transform's interval, counted, are all extensions of the phrase to that side, and give the intervals of the longer phrases in both.
 All intervals of a length are extended at once.  Counts are summed over the shards, partially in the tasks.
 
-A phrase can't be frequent unless its words and pairs of words are, so there are three passes: words; pairs of frequent words; longer
-phrases of frequent pairs.  What is frequent goes to the tasks as a bitmap of hashes of at most ``FILTER_BITS`` bits, which lets a few
-others through and holds back none; sums are by the phrases themselves, so the bitmap saves work and changes no count.
+A phrase can't be frequent unless its words and pairs of words are, so there are three passes: words; pairs of frequent words, by their
+hashes only; phrases whose pairs have frequent hashes.  What is frequent goes to the tasks as a bitmap of hashes of at most ``FILTER_BITS``
+bits, which lets a few others through and holds back none; the last sums are by the phrases themselves, so hashes and bitmaps save work
+and change no count.
 
 Cases: null texts count as empty, a null language is ``und``; texts without a word give nothing; repeated rows count each; pieces and
 texts of any length are read whole; an empty table gives an empty result; other columns are not read.
@@ -18,19 +19,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-#: Characters at which texts are cut into pieces; words are runs of anything but spaces and tabs.
-BREAKS = "[.,;:!?\n-\r]"
+#: Bytes at which texts are cut into pieces; words are runs of anything but spaces and tabs.
+BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Words of a shard, about; a worker's memory goes by it.
 SHARD_WORDS = 1 << 21
 #: Bits of the bitmap per frequent phrase, and its largest size.
@@ -89,10 +91,19 @@ class BothWays:
     """The FM-indexes of a sequence and of its reverse, with intervals kept in step."""
 
     def __init__(self, symbols: np.ndarray, size: int, depth: int):
-        self.forward, self.backward = FmIndex(symbols, size, depth), FmIndex(symbols[::-1], size, depth)
+        self.of = (symbols, size, depth)
+
+    @cached_property
+    def forward(self) -> FmIndex:
+        return FmIndex(*self.of)
+
+    @cached_property
+    def backward(self) -> FmIndex:
+        symbols, *rest = self.of
+        return FmIndex(symbols[::-1], *rest)
 
     def words(self) -> Phrases:
-        ends = np.append(self.forward.starts, self.forward.n)
+        ends = np.append(self.backward.starts, self.backward.n)
         low, count = ends[1:-1], np.diff(ends)[1:]
         held = count > 0
         return Phrases((np.flatnonzero(held) + 1)[:, None], low[held], low[held], count[held])
@@ -121,35 +132,83 @@ def enumerate_phrases(symbols: np.ndarray, size: int, longest: int, allowed: All
         yield found
 
 
-def split_words(texts: pa.Array) -> pa.ListArray:
-    """Words of each text in lower case (A-Z only), a line feed at each end of a piece; some words are empty."""
-    low = pc.replace_substring_regex(pc.ascii_lower(texts), BREAKS, " \n ")
-    low = pc.binary_join_element_wise(pc.replace_substring(low, "\t", " "), "\n", " ")
-    return pc.split_pattern(low, " ")
+def _table() -> np.ndarray:
+    """What bytes become: A-Z lower case, tabs spaces, ends of pieces line feeds."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    table[9] = 32
+    table[list(BREAKS)] = 10
+    return table
+
+
+_TABLE = _table()
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of all texts in lower case (A-Z only), which text each is of, and whether a piece begins with it."""
+    texts = pa.concat_arrays([texts])  # its own buffers, from their beginning
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[:len(texts) + 1].astype(np.int64)
+    data = _TABLE[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[:ends[-1]]]
+    inside = (data != 32) & (data != 10)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = ends[:-1][ends[:-1] < ends[-1]]
+    first[edges] = inside[edges]
+    starts = np.flatnonzero(first)
+    kept = data[inside]
+    offsets = np.append(np.cumsum(inside)[starts] - 1, len(kept)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept))
+    text = np.searchsorted(ends, starts, "right") - 1
+    breaks = np.searchsorted(np.flatnonzero(data == 10), starts)
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (np.diff(breaks) > 0) | (np.diff(text) > 0)
+    return words, text, fresh
+
+
+def with_breaks(symbols: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """The symbols with a 0 before each at which a piece begins, and at the end."""
+    at = np.arange(len(symbols)) + np.cumsum(fresh)
+    out = np.zeros((at[-1] if len(at) else -1) + 2, np.int64)
+    out[at] = symbols
+    return out
 
 
 @dataclass
 class Shard:
-    """Symbols of a shard: 0 is the end of a piece, symbol i is the word ``words[word[i]]`` in the language ``langs[lang[i]]``."""
+    """Symbols of a shard's words and whether a piece begins with each; symbol i > 0 is ``words[word[i]]`` in the language ``langs[lang[i]]``."""
 
     symbols: np.ndarray
+    fresh: np.ndarray
     words: pa.Array
     word: np.ndarray
     langs: list[str]
     lang: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        texts = self.words.take(pa.array(self.word)).to_pylist()
-        made = [xxhash.xxh3_64_intdigest(f"{self.langs[k]} {w}") if i else 0 for i, (w, k) in enumerate(zip(texts, self.lang.tolist(), strict=True))]
-        return np.array(made, np.uint64)
+        """A hash of each symbol's language and word, the same in every shard."""
+        made = lambda x: pd.util.hash_array(np.asarray(x, object), categorize=False).astype(np.uint64)
+        words = made(self.words.take(pa.array(self.word)).to_numpy(zero_copy_only=False))
+        return joined_hash(made(self.langs)[self.lang], words)
 
     def kept(self, keep: np.ndarray) -> tuple[Shard, np.ndarray]:
-        """The shard with ends of pieces in place of the words that are not kept, and the old numbers of its symbols."""
+        """The shard without the words that are not kept, each the end of a piece, and the old numbers of its symbols."""
         keep = keep.copy()
         keep[0] = True
-        old = np.flatnonzero(keep)
-        new = np.where(keep, np.cumsum(keep) - 1, 0)
-        return Shard(new[self.symbols], self.words, self.word[old], self.langs, self.lang[old]), old
+        old, stays = np.flatnonzero(keep), keep[self.symbols]
+        at = np.flatnonzero(stays)
+        gone = np.diff(at, prepend=-1) > 1
+        pieces = np.cumsum(self.fresh)[at]
+        fresh = gone | (np.diff(pieces, prepend=0) > 0)
+        return Shard((np.cumsum(keep) - 1)[self.symbols[at]], fresh, self.words, self.word[old], self.langs, self.lang[old]), old
+
+    def runs(self, allowed: Allowed, least: int) -> np.ndarray:
+        """Symbols with 0 between neighbours that aren't allowed, and without runs of fewer than ``least`` words."""
+        fresh = self.fresh.copy()
+        fresh[1:] |= ~allowed(self.symbols[:-1], self.symbols[1:])
+        starts = np.flatnonzero(fresh)
+        length = np.diff(starts, append=len(fresh))
+        stays = np.repeat(length >= least, length)
+        return with_breaks(self.symbols[stays], fresh[stays])
 
     def rows(self, symbols: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A row for each phrase, given by the symbols in a row of ``symbols``."""
@@ -170,36 +229,28 @@ class Shard:
 def shards(batches: Iterator[pa.RecordBatch], most: int = SHARD_WORDS) -> Iterator[Shard]:
     """Shards of the (lang, text) rows of a task."""
     names: dict[str, int] = {}
-    words: list[pa.Array] = []
-    langs: list[np.ndarray] = []
+    parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
     held = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            split = split_words(part.column(1))
-            codes = np.array([names.setdefault(x, len(names)) for x in part.column(0).to_pylist()], np.int64)
-            words.append(split.flatten())
-            langs.append(np.repeat(codes, np.diff(split.offsets.to_numpy())))
-            held += len(words[-1])
+            words, text, fresh = split_words(part.column(1))
+            lang = np.array([names.setdefault(x, len(names)) for x in part.column(0).to_pylist()], np.int32)[text]
+            parts.append((words, lang, fresh))
+            held += len(words)
             if held >= most:
-                yield _shard(words, langs, list(names))
-                words, langs, held = [], [], 0
+                yield _shard(*zip(*parts, strict=True), list(names))
+                parts, held = [], 0
     if held:
-        yield _shard(words, langs, list(names))
+        yield _shard(*zip(*parts, strict=True), list(names))
 
 
-def _shard(words: list[pa.Array], langs: list[np.ndarray], names: list[str]) -> Shard:
+def _shard(words: tuple[pa.Array, ...], langs: tuple[np.ndarray, ...], fresh: tuple[np.ndarray, ...], names: list[str]) -> Shard:
     coded = pa.concat_arrays(words).dictionary_encode()
-    code, lang = coded.indices.to_numpy().astype(np.int64), np.concatenate(langs)
-    full = code != pc.index(coded.dictionary, "").as_py()
-    code, lang = code[full], lang[full]
     width = max(1, len(coded.dictionary))
-    key = np.where(code == pc.index(coded.dictionary, "\n").as_py(), -1, lang * width + code)
-    # texts end with the end of a piece, so there is one
-    kinds, symbols = np.unique(key, return_inverse=True)
-    kinds[0] = 0
-    lang, word = np.divmod(kinds, width)
-    return Shard(symbols, coded.dictionary, word, names, lang)
+    kinds, symbols = np.unique(np.concatenate(langs).astype(np.int64) * width + coded.indices.to_numpy(), return_inverse=True)
+    lang, word = np.divmod(np.insert(kinds, 0, 0), width)
+    return Shard((symbols + 1).astype(np.int32), np.concatenate(fresh), coded.dictionary, word, names, lang)
 
 
 def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,14 +280,20 @@ def key_filter(keys: DataFrame) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast((bits, bytes(whole)))
 
 
-def _counted(rows: DataFrame, run: Callable[[Shard], Iterator[pa.RecordBatch]], shard_words: int) -> DataFrame:
-    """Counts of the phrases that ``run`` gives for each shard, summed over all shards: lang, phrase, size, h, f."""
+Work = Callable[[Shard], Iterator[pa.RecordBatch]]
+
 
+def _by_shards(rows: DataFrame, run: Work, shard_words: int, schema: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, shard_words):
             yield from run(shard)
 
-    found = rows.mapInArrow(work, "lang string, phrase string, size int, h long, f long")
+    return rows.mapInArrow(work, schema)
+
+
+def _counted(rows: DataFrame, run: Work, shard_words: int) -> DataFrame:
+    """Counts of the phrases that ``run`` gives for each shard, summed over all shards: lang, phrase, size, h, f."""
+    found = _by_shards(rows, run, shard_words, "lang string, phrase string, size int, h long, f long")
     return found.groupBy("lang", "phrase").agg(F.any_value("size").alias("size"), F.any_value("h").alias("h"), F.sum("f").alias("f"))
 
 
@@ -245,27 +302,33 @@ def _words(shard: Shard) -> Iterator[pa.RecordBatch]:
     yield from shard.rows(np.arange(1, len(count) + 1)[:, None], count, hashes)
 
 
-def _pairs(frequent: Broadcast) -> Callable[[Shard], Iterator[pa.RecordBatch]]:
+def _pairs(frequent: Broadcast) -> Work:
+    """Hashes of pairs of frequent words, with counts."""
+
     def run(shard: Shard) -> Iterator[pa.RecordBatch]:
         hashes = shard.hashes()
         shard, old = shard.kept(among(frequent.value, hashes))
         hashes = hashes[old]
         anything = lambda a, b: np.ones(len(a), bool)
-        for p in enumerate_phrases(shard.symbols, len(shard.word), 2, anything):
-            yield from shard.rows(p.words, p.count, joined_hash(hashes[p.words[:, 0]], hashes[p.words[:, 1]]))
+        for p in enumerate_phrases(with_breaks(shard.symbols, shard.fresh), len(shard.word), 2, anything):
+            h = joined_hash(hashes[p.words[:, 0]], hashes[p.words[:, 1]]).view(np.int64)
+            for at in range(0, len(h), _ROWS):
+                yield pa.RecordBatch.from_pydict({"h": h[at:at + _ROWS], "f": p.count[at:at + _ROWS]})
 
     return run
 
 
-def _longer(words: Broadcast, pairs: Broadcast, longest: int) -> Callable[[Shard], Iterator[pa.RecordBatch]]:
+def _longer(words: Broadcast, pairs: Broadcast, longest: int) -> Work:
+    """Phrases of two words and more whose pairs have frequent hashes."""
+
     def run(shard: Shard) -> Iterator[pa.RecordBatch]:
         hashes = shard.hashes()
         shard, old = shard.kept(among(words.value, hashes))
         hashes = hashes[old]
         allowed = lambda a, b: among(pairs.value, joined_hash(hashes[a], hashes[b]))
-        for p in enumerate_phrases(shard.symbols, len(shard.word), longest, allowed):
-            if p.words.shape[1] > 2:
-                yield from shard.rows(p.words, p.count, np.zeros(len(p.count), np.uint64))
+        anything = lambda a, b: np.ones(len(a), bool)
+        for p in enumerate_phrases(shard.runs(allowed, 2), len(shard.word), longest, anything):
+            yield from shard.rows(p.words, p.count, np.zeros(len(p.count), np.uint64))
 
     return run
 
@@ -276,15 +339,13 @@ def phrase_counts(
     """Phrases of 1 to ``longest`` words that occur at least ``least`` times (lang, phrase, size, f), and the words per language (lang, n)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    words = materialise(_counted(rows, _words, shard_words), "phrases-1")
+    words = materialise(_counted(rows, _words, shard_words), "phrases-words")
     often = F.col("f") >= least
     held = key_filter(words.where(often))
-    pairs = materialise(_counted(rows, _pairs(held), shard_words).where(often), "phrases-2")
-    found = words.where(often).unionByName(pairs)
-    if longest > 2:
-        longer = _counted(rows, _longer(held, key_filter(pairs), longest), shard_words).where(often)
-        found = found.unionByName(materialise(longer, "phrases-longer"))
-    return found.select("lang", "phrase", "size", "f"), words.groupBy("lang").agg(F.sum("f").alias("n"))
+    pairs = _by_shards(rows, _pairs(held), shard_words, "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).where(often)
+    pairs = materialise(pairs.select("h"), "phrases-pairs")
+    longer = materialise(_counted(rows, _longer(held, key_filter(pairs), longest), shard_words).where(often), "phrases")
+    return words.where(often).unionByName(longer).select("lang", "phrase", "size", "f"), words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def _wide(c: str) -> Column:
