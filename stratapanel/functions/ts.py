@@ -1,8 +1,10 @@
-"""Operators along time, per symbol, over row frames of the dense grid (calendar x symbols, missing cells are NULL rows)."""
+"""Operators along time, per symbol, over row frames of the dense grid (calendar x symbols, missing cells are NULL rows).
+
+Columns over windows read every row of their window, which is well for narrow ones; :mod:`scan` has them for windows of any width.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,6 @@ def _enough(x: Column, w: int, value: Column) -> Column:
     return F.when(F.count(x).over(frame(w)) >= least_obs(w), value)
 
 
-def _full(x: Column, w: int, value: Column) -> Column:
-    return F.when(F.count(x).over(frame(w)) == w, value)
-
-
 def ts_mean(x: Column, w: int) -> Column:
     return _enough(x, w, F.avg(x).over(frame(w)))
 
@@ -61,14 +59,6 @@ def ts_pos(x: Column, w: int) -> Column:
     return (x - low) / (high - low + FLAT)
 
 
-def ts_rank(x: Column, w: int, compat: bool = False) -> Column:
-    """Share of the window's other values below the current one; NULL (0 with ``compat``) where the current value is missing."""
-    seen = F.collect_list(x).over(frame(w))
-    rank = F.size(F.filter(seen, lambda v: v < x)) / F.greatest(F.size(seen) - 1, F.lit(1))
-    value = F.when(x.isNotNull(), rank)
-    return F.when(F.size(seen) >= least_obs(w), F.coalesce(value, F.lit(0.0)) if compat else value)
-
-
 def ts_delay(x: Column, n: int) -> Column:
     return F.lag(x, n).over(line())
 
@@ -77,24 +67,6 @@ def ts_delta(x: Column, n: int) -> Column:
     return x - F.lag(x, n).over(line())
 
 
-def ts_skew(x: Column, w: int) -> Column:
-    """Population skewness; full windows that vary."""
-    return _full(x, w, F.when(F.var_pop(x).over(frame(w)) > FLAT, F.skewness(x).over(frame(w))))
-
-
-def ts_kurt(x: Column, w: int) -> Column:
-    """Population excess kurtosis; full windows that vary."""
-    return _full(x, w, F.when(F.var_pop(x).over(frame(w)) > FLAT, F.kurtosis(x).over(frame(w))))
-
-
-def rolling_pct_rank(x: Column, w: int, least: int) -> Column:
-    """Average-tie percentile rank of the current value among the window's values."""
-    seen = F.collect_list(x).over(frame(w))
-    below = F.size(F.filter(seen, lambda v: v < x))
-    same = F.size(F.filter(seen, lambda v: v == x))
-    return F.when(x.isNotNull() & (F.size(seen) >= least), (below + (same + 1) / 2) / F.size(seen))
-
-
 def fill_forward(x: Column) -> Column:
     return F.last(x, ignorenulls=True).over(line().rowsBetween(Window.unboundedPreceding, 0))
 
@@ -173,10 +145,3 @@ def correlations(frame: DataFrame, x: str, y: str, w: int, out: str) -> DataFram
     fine = (n >= max(3, w // 2)) & (F.col("__ra") > 0) & (F.col("__rb") > 0) & (den > FLAT)
     frame = frame.withColumn(out, F.when(fine, F.try_divide(cov("__sa", "__sb", "__sab"), den)))
     return frame.drop("__a", "__b", "__ra", "__rb", *sums)
-
-
-def ema(values: pd.Series, w: int) -> pd.Series:
-    """The whole recursion over one symbol's ordered values: alpha = 2 / (w + 1), seeded by the first value; a missing value keeps
-    the state; missing until w values have been seen."""
-    state = values.ewm(alpha=2.0 / (w + 1), adjust=False, ignore_na=True).mean().ffill()
-    return state.where(values.notna().cumsum() >= w)

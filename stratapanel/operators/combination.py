@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cs
+from ..functions.scan import scan, scans
 from ..functions.ts import SYM, T, line
 
 
@@ -190,9 +191,5 @@ def concentration(
     names = [f"top{int(p * 100)}" for p in shares]
     per = ranked.groupBy(T).agg(*[F.try_divide(top(p), F.sum("turnover")).alias(c) for p, c in zip(shares, names, strict=True)])
 
-    def rank(c: str, w: int) -> Column:
-        seen = F.collect_list(c).over(Window.orderBy(T).rangeBetween(-(w - 1), 0))
-        below, same = F.size(F.filter(seen, lambda v: v < F.col(c))), F.size(F.filter(seen, lambda v: v == F.col(c)))
-        return F.when(F.size(seen) >= least, (below + (same + 1) / 2) / F.size(seen))
-
-    return per.withColumns({f"{c}_{k}": rank(c, w) for c in names for k, w in (spans or {"3y": 729, "10y": 2430}).items()})
+    wanted = {f"{c}_{k}": scan("pct_rank", c, w, least, span=True) for c in names for k, w in (spans or {"3y": 729, "10y": 2430}).items()}
+    return scans(per.withColumn("__all", F.lit(0)), wanted, key="__all").drop("__all")

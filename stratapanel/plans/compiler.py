@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ts
+from ..functions import scan, ts
 from ..functions.ts import SYM, T
 from .expr import Node, bare
 from .registry import OPERATORS
@@ -39,7 +39,7 @@ def evaluate(panel: DataFrame, expressions: dict[str, Node], keep: tuple[str, ..
     waiting = [n for n in names if OPERATORS[n.op].axis != "row"]
     axis = "time"
     while waiting:
-        now = ("time", "series", "rolling") if axis == "time" else (axis,)
+        now = ("time", "series", "rolling", "scan") if axis == "time" else (axis,)
         ready = [n for n in waiting if OPERATORS[n.op].axis in now and all(column(a) is not None for a in n.args)]
         if not ready:
             axis = "section" if axis == "time" else "time"
@@ -53,6 +53,9 @@ def evaluate(panel: DataFrame, expressions: dict[str, Node], keep: tuple[str, ..
         if plain:
             frame = frame.withColumns({names[n]: OPERATORS[n.op].build(*[column(a) for a in n.args]) for n in plain})
         frame = _rolling(frame, {names[n]: (n, [done.get(a, a.op) for a in n.args]) for n in ready if OPERATORS[n.op].axis == "rolling"})
+        scanned = {names[n]: scan.scan(OPERATORS[n.op].build, done.get(n.args[0], n.args[0].op), OPERATORS[n.op].window) for n in ready if OPERATORS[n.op].axis == "scan"}
+        if scanned:
+            frame = scan.scans(frame, scanned)
         series = [n for n in ready if OPERATORS[n.op].axis == "series"]
         if series:
             frame = _over_series(frame, {names[n]: (n, done.get(n.args[0], n.args[0].op)) for n in series})

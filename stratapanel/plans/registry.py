@@ -16,40 +16,46 @@ class Operator:
     name: str
     arity: int
     #: "row" (element-wise), "time" (per symbol) or "section" (per date), which build a column from columns; "rolling" adds columns to a frame
-    #: (see :func:`ts.regressions`, :func:`ts.correlations`); "series" maps a symbol's whole ordered series (pandas) to another.
+    #: (see :func:`ts.regressions`, :func:`ts.correlations`); "scan" names a kind of :class:`scan.Scan`, all of which share one pass; "series" maps
+    #: a symbol's whole ordered series (pandas) to another.
     axis: str
-    build: Callable
+    build: Callable | str
     window: int | None = None
 
 
 OPERATORS: dict[str, Operator] = {}
 
 
-def register(name: str, arity: int, axis: str, build: Callable[..., Column], window: int | None = None) -> None:
+def register(name: str, arity: int, axis: str, build: Callable[..., Column] | str, window: int | None = None) -> None:
     if name in OPERATORS:
         raise ValueError(f"operator {name} exists")
     OPERATORS[name] = Operator(name, arity, axis, build, window)
 
 
+def _scanned(prefix: str, windows: tuple[int, ...], kind: str) -> None:
+    for w in windows:
+        register(f"{prefix}{w}", 1, "scan", kind, w)
+
+
 def _windowed(prefix: str, windows: tuple[int, ...], build: Callable[..., Column], arity: int = 1, axis: str = "time") -> None:
     for w in windows:
         register(f"{prefix}{w}", arity, axis, (lambda *x, w=w: build(*x, w)), w)
 
 
-_windowed("ts_mean", (5, 10, 20, 60, 100, 120, 150, 200), ts.ts_mean)
-_windowed("ts_std", (20, 60, 100, 150, 200), ts.ts_std)
-_windowed("ts_sum", (20, 100), ts.ts_sum)
-_windowed("ts_max", (20, 100), ts.ts_max)
-_windowed("ts_min", (20, 100), ts.ts_min)
-_windowed("ts_rank", (10, 20, 60, 100, 200), ts.ts_rank)
+_scanned("ts_mean", (5, 10, 20, 60, 100, 120, 150, 200), "mean")
+_scanned("ts_std", (20, 60, 100, 150, 200), "std")
+_scanned("ts_sum", (20, 100), "sum")
+_scanned("ts_max", (20, 100), "max")
+_scanned("ts_min", (20, 100), "min")
+_scanned("ts_rank", (10, 20, 60, 100, 200), "rank")
 _windowed("ts_delay", (1,), ts.ts_delay)
 _windowed("ts_delta", (5, 10, 20, 60, 120), ts.ts_delta)
-_windowed("ema", (5, 12, 20, 26, 60), ts.ema, axis="series")
+_scanned("ema", (5, 12, 20, 26, 60), "ema")
 for _kind in ("slope", "rsqr", "resi"):
     for _w in (5, 10, 20, 60):
         register(f"ts_{_kind}{_w}", 1, "rolling", ts.regressions, _w)
-_windowed("ts_skew", (20, 60), ts.ts_skew)
-_windowed("ts_kurt", (20, 60), ts.ts_kurt)
+_scanned("ts_skew", (20, 60), "skew")
+_scanned("ts_kurt", (20, 60), "kurt")
 for _w in (20, 60, 100, 200):
     register(f"corr{_w}", 2, "rolling", ts.correlations, _w)
 register("cs_rank", 1, "section", cs.cs_rank)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ts
 from ..functions.scalar import rounded
+from ..functions.scan import Scan, scan, scans
 from ..functions.ts import SYM, T
 from ..sources import panels
 from .base import LEAVES, P1, P2, expressions, line, panel_of, r
@@ -93,6 +94,29 @@ def _extra(cols: Callable[[], dict], sql: dict):
     return run, f"WITH {P2}, {LEAVES}\nSELECT sym, CAST(t AS BIGINT) AS t, {', '.join(f'{r(v)} AS {k}' for k, v in sql.items())} FROM leaves"
 
 
+def _scanned(wanted: dict[str, Scan], sql: dict[str, str]):
+    """Operators of the scan that expressions don't use."""
+
+    def run(spark, sf_dir):
+        frame = scans(panels.with_leaves(panels.lineitem_panel(spark, sf_dir)), wanted)
+        return frame.select(SYM, F.col(T).cast("long").alias(T), *[rounded(F.col(c)).alias(c) for c in wanted])
+
+    return run, f"WITH {P2}, {LEAVES}\nSELECT sym, CAST(t AS BIGINT) AS t, {', '.join(f'{r(v)} AS {k}' for k, v in sql.items())} FROM leaves"
+
+
+def _wide():
+    """The widest windows, over days: the months are too few for them."""
+    x = "ln_volume"
+    texts = {c: f"{c}({x})" for c in ("ts_mean200", "ts_std200", "ts_rank200", "ts_delta120", "ts_max100", "ts_min100", "ts_sum100")}
+    sql = {
+        "ts_mean200": _enough(f"avg({x}) {line(200)}", 200, x), "ts_std200": _enough(f"stddev_pop({x}) {line(200)}", 200, x),
+        "ts_rank200": _rank_sql(200, x), "ts_delta120": f"{x} - lag({x}, 120) OVER (PARTITION BY sym ORDER BY t)",
+        "ts_max100": _enough(f"max({x}) {line(100)}", 100, x), "ts_min100": _enough(f"min({x}) {line(100)}", 100, x),
+        "ts_sum100": _enough(f"sum({x}) {line(100)}", 100, x), "corr200": _corr_sql(200, x, "intraday"),
+    }
+    return expressions("P3", texts | {"corr200": f"corr200({x}, intraday)"}, sql, leaves=True)
+
+
 _RUN = "OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _seen = f"list(turn_ratio) FILTER (WHERE turn_ratio IS NOT NULL) {line(36)}"
 
@@ -162,30 +186,9 @@ QUERIES = {
             "backward": "first_value(ret IGNORE NULLS) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
         },
     ),
-    "rolling_pct_rank": _extra(
-        lambda: {"pct": ts.rolling_pct_rank(F.col("turn_ratio"), 36, 12)},
+    "rolling_pct_rank": _scanned(
+        {"pct": scan("pct_rank", "turn_ratio", 36, 12)},
         {"pct": f"CASE WHEN turn_ratio IS NOT NULL AND len({_seen}) >= 12 THEN (len(list_filter({_seen}, lambda v: v < turn_ratio)) + (len(list_filter({_seen}, lambda v: v = turn_ratio)) + 1) / 2.0) / len({_seen}) END"},
     ),
-    # Factor expressions in common use, with their usual windows
-    "templates": expressions(
-        "P2",
-        {
-            "gap": "ts_mean20(overnight)", "gap_trend": "sub(ts_mean60(overnight), ts_mean60(intraday))", "gap_decay": "sub(ts_mean5(overnight), ts_mean60(overnight))", "amp": "neg(ts_mean20(amplitude))",
-            "amp_vol": "ts_std60(amplitude)", "shadow": "neg(ts_mean20(up_shadow))", "price_struct": "ts_mean20(hl_ratio)", "rev": "neg(ts_delta5(ln_volume))", "vol": "neg(ts_std60(ret))",
-            "liq": "neg(log(ts_mean20(volume)))", "turn_anom": "sub(ts_mean5(turn_ratio), ts_mean20(turn_ratio))", "vpin": "corr20(volume, ret)",
-        },
-        {
-            "gap": _enough(
-                f"avg(overnight) {line(20)}", 20, "overnight",
-            ), "gap_trend": f"{_enough(f'avg(overnight) {line(60)}', 60, 'overnight')} - {_enough(f'avg(intraday) {line(60)}', 60, 'intraday')}",
-            "gap_decay": f"{_enough(f'avg(overnight) {line(5)}', 5, 'overnight')} - {_enough(f'avg(overnight) {line(60)}', 60, 'overnight')}", "amp": f"-({_enough(f'avg(amplitude) {line(20)}', 20, 'amplitude')})",
-            "amp_vol": _enough(
-                f"stddev_pop(amplitude) {line(60)}", 60, "amplitude",
-            ), "shadow": f"-({_enough(f'avg(up_shadow) {line(20)}', 20, 'up_shadow')})", "price_struct": _enough(f"avg(hl_ratio) {line(20)}", 20, "hl_ratio"),
-            "rev": "-(ln_volume - lag(ln_volume, 5) OVER (PARTITION BY sym ORDER BY t))", "vol": f"-({_enough(f'stddev_pop(ret) {line(60)}', 60, 'ret')})", "liq": _enough(
-                f"-ln(greatest(avg(volume) {line(20)}, 1e-9))", 20, "volume",
-            ),
-            "turn_anom": f"{_enough(f'avg(turn_ratio) {line(5)}', 5, 'turn_ratio')} - {_enough(f'avg(turn_ratio) {line(20)}', 20, 'turn_ratio')}", "vpin": _corr_sql(20, "volume", "ret"),
-        }, leaves=True,
-    ),
+    "wide_windows": _wide(),
 }

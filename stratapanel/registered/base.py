@@ -49,6 +49,22 @@ cells AS (
   FROM grid g LEFT JOIN cells c ON c.sym = g.sym AND c.t = g.t
 )"""
 
+P3 = """
+items AS (
+  SELECT s_nationkey AS sym, CAST(l_shipdate AS DATE) AS d, l_extendedprice / l_quantity AS p, l_quantity, l_extendedprice,
+         row(l_shipdate, l_orderkey, l_linenumber, l_partkey) AS stamp FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+), lim AS (SELECT min(d) AS lo, max(d) AS hi FROM items),
+cells AS (
+  SELECT sym, CAST(d - (SELECT lo FROM lim) AS INT) AS t, sum(l_extendedprice) / sum(l_quantity) AS close, arg_min(p, stamp) AS open, max(p) AS high,
+         min(p) AS low, sum(l_quantity) AS volume, sum(l_extendedprice) AS turnover FROM items GROUP BY ALL
+), grid AS (
+  SELECT sym, t FROM (SELECT DISTINCT sym FROM items) CROSS JOIN range(0, (SELECT CAST(hi - lo AS INT) + 1 FROM lim)) r(t)
+), panel AS (
+  SELECT g.sym, g.t, close, open, high, low, volume, turnover,
+         sum(turnover) OVER (PARTITION BY g.sym ORDER BY g.t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS mktcap
+  FROM grid g LEFT JOIN cells c ON c.sym = g.sym AND c.t = g.t
+)"""
+
 LEAVES = """
 leaves AS (
   SELECT *, turnover / greatest(volume, 1e-9) AS vwap, close / pc - 1 AS ret,
@@ -71,7 +87,10 @@ def line(w: int) -> str:
 
 
 def panel_of(kind: str) -> Query:
-    return {"P1": panels.events_panel, "P2": panels.lineitem_panel}[kind]
+    return {"P1": panels.events_panel, "P2": panels.lineitem_panel, "P3": panels.shipping_panel}[kind]
+
+
+_PANELS = {"P1": P1, "P2": P2, "P3": P3}
 
 
 def expressions(kind: str, texts: dict[str, str], sql: dict[str, str], digits: int = 6, leaves: bool = False) -> tuple[Query, str]:
@@ -83,7 +102,7 @@ def expressions(kind: str, texts: dict[str, str], sql: dict[str, str], digits: i
         made = evaluate(panel, {k: parse(v) for k, v in texts.items()})
         return made.select(SYM, F.col(T).cast("long").alias(T), *[rounded(F.col(k), digits).alias(k) for k in texts])
 
-    base = (P1 if kind == "P1" else P2) + ("," + LEAVES if leaves else "")
+    base = _PANELS[kind] + ("," + LEAVES if leaves else "")
     source = "leaves" if leaves else "panel"
     cols = ", ".join(f"{r(v, digits)} AS {k}" for k, v in sql.items())
     return run, f"WITH RECURSIVE {base}\nSELECT sym, CAST(t AS BIGINT) AS t, {cols} FROM {source}"

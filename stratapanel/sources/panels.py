@@ -56,6 +56,24 @@ def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.withColumn("mktcap", F.sum("turnover").over(line().rowsBetween(-11, 0)))
 
 
+def shipping_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of shipment x the suppliers' nations: unit prices, quantities and amounts.  Some 2,500 days, for windows that the months are too few for."""
+    nation = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias(SYM))
+    items = read(spark, sf_dir, "lineitem").join(nation, "l_suppkey")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    rows = items.select(
+        SYM, F.to_date("l_shipdate").alias("d"), price.alias("p"), "l_quantity", "l_extendedprice",
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").alias("at"),
+    )
+    first, last = rows.agg(F.min("d"), F.max("d")).head()
+    cells = rows.groupBy(SYM, F.datediff("d", F.lit(first)).alias(T)).agg(
+        F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("close"), F.min_by("p", "at").alias("open"), F.max("p").alias("high"),
+        F.min("p").alias("low"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("turnover"),
+    )
+    panel = densify(cells, rows.select(SYM).distinct(), 0, (last - first).days)
+    return panel.withColumn("mktcap", F.sum("turnover").over(line().rowsBetween(-11, 0)))
+
+
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days x users: open, high, low and close of the event values, their number and sum.  ``date`` is YYYYMMDD."""
     rows = read(spark, sf_dir, "events").select(

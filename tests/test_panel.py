@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratapanel.functions import cs, scalar, ts
+from stratapanel.functions.scan import scan, scans
 from stratapanel.operators import backtest as bt
 from stratapanel.operators import combination as cb
 from stratapanel.operators import control
@@ -68,7 +69,7 @@ def test_windows_against_loops(spark, op, fn):
 def test_rank_and_correlation_against_loops(spark):
     x, y = walk(2), walk(3)
     frame = panel(spark, x).join(panel(spark, y, "y"), ["sym", "t"])
-    got = back(frame.withColumn("r", ts.ts_rank(F.col("x"), 10)), "r", x.shape)
+    got = back(scans(frame, {"r": scan("rank", "x", 10)}), "r", x.shape)
     want = np.full(x.shape, np.nan)
     corr = np.full(x.shape, np.nan)
     for t in range(x.shape[0]):
