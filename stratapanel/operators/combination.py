@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,25 +17,69 @@ def _corr(x: str, y: str) -> Column:
     return F.when(den > 1e-12, F.try_divide(F.covar_pop(x, y), den))
 
 
-def stream_correlations(streams: DataFrame, least: int = 30) -> DataFrame:
+#: Streams of a tile, about.
+TILE = 64
+
+
+def stream_correlations(streams: DataFrame, least: int = 30, tile: int = TILE) -> DataFrame:
     """Spearman correlation of every pair of return streams (id, t, x) on their common dates; pairs with few dates are undecided.
 
-    Streams are joined by date, so the work is the sum over dates of pairs present, which is the size of the answer's inputs;
-    ranks are taken again within each pair's common dates.
+    Each stream becomes one row, a vector over its dates; streams are dealt to tiles, and each pair of tiles is one group, in which the pairs are
+    matrix products: of plain ranks where all streams have the same dates, else of ranks taken again on the dates that two streams share.
     """
-    a, b = streams.select(
-        F.col("id").alias("a"), T, F.col("x").alias("xa"),
-    ), streams.select(F.col("id").alias("b"), T, F.col("x").alias("xb"))
-    pairs = a.where("xa is not null").join(b.where("xb is not null"), T).where("a < b")
-    over = Window.partitionBy("a", "b")
-
-    def ranked(c: str) -> Column:
-        return F.rank().over(over.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("a", "b", c)) - 1) / 2
-
-    pairs = pairs.select("a", "b", ranked("xa").alias("ra"), ranked("xb").alias("rb"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), _corr("ra", "rb").alias("c")).select(
-        "a", "b", "n", F.when(F.col("n") >= least, F.col("c")).alias("corr"),
-    )
+    vectors = streams.where("x is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col(T).alias("t"), F.col("x").cast("double").alias("x")))).alias("v"))
+    count = streams.select("id").distinct().count()
+    tiles = max(1, -(-count // tile))
+    own = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
+    dealt = vectors.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = dealt.select("id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("v.t").alias("ts"), F.col("v.x").alias("xs"))
+    kind = streams.schema["id"].dataType.simpleString()
+
+    def ranked(x: np.ndarray) -> np.ndarray:
+        return pd.DataFrame(x).rank(axis=1).to_numpy()
+
+    def products(ra: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of dates and correlations of rows with the same dates: of all with all, or of one with one where ``rb`` has the shape of ``ra``."""
+        ma = ~np.isnan(ra)
+        n = ma.sum(1)
+        mean = lambda r: np.where(ma, r, 0.0).sum(1) / np.maximum(n, 1)
+        a, b = (np.where(ma, r - mean(r)[:, None], 0.0) for r in (ra, rb))
+        den = np.sqrt((a * a).mean(1) * (b * b).mean(1)) * a.shape[1] / np.maximum(n, 1)
+        with np.errstate(all="ignore"):
+            return n, np.where(den > 1e-12, (a * b).sum(1) / n / den, np.nan)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = key
+        dates = np.unique(np.concatenate(rows["ts"].tolist()))
+        x = np.full((len(rows), len(dates)), np.nan)
+        for i, (ts, xs) in enumerate(zip(rows["ts"], rows["xs"], strict=True)):
+            x[i, np.searchsorted(dates, ts)] = xs
+        ids, side = rows["id"].to_numpy(), rows["own"].to_numpy()
+        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        whole = not np.isnan(x).any()
+        if whole:
+            r = ranked(x)
+            r -= r.mean(1)[:, None]
+            sd = np.sqrt((r * r).mean(1))
+            with np.errstate(all="ignore"):
+                c = np.where(np.outer(sd, sd) > 1e-12, r @ r.T / r.shape[1] / np.outer(sd, sd), np.nan)
+        out = []
+        for i in left:
+            j = right[ids[right] > ids[i]] if lo == hi else right
+            if not len(j):
+                continue
+            if whole:
+                n, corr = np.full(len(j), len(dates)), c[i, j]
+            else:
+                both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+                n, corr = products(ranked(np.where(both, x[i], np.nan)), ranked(np.where(both, x[j], np.nan)))
+            met = n > 0
+            swap = ids[j] < ids[i]
+            out.append(pd.DataFrame({"a": np.where(swap, ids[j], ids[i]), "b": np.where(swap, ids[i], ids[j]), "n": n, "corr": np.where(n >= least, corr, np.nan)})[met])
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": [], "corr": []})
+
+    found = dealt.groupBy("lo", "hi").applyInPandas(run, f"a {kind}, b {kind}, n long, corr double")
+    return found.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
 def largest_correlation(pairs: DataFrame) -> DataFrame:
@@ -55,15 +101,6 @@ def factor_similarity(ranks: DataFrame, factors: list[str], step: int = 5, least
     return days.groupBy("a", "b").agg(F.percentile(F.abs("c"), F.lit(0.5)).alias("similarity"), F.count("c").alias("days"))
 
 
-def greedy_unlike(scores: list[tuple[str, float]], corr: dict[tuple[str, str], float], most: float, keep: int) -> list[str]:
-    """By score, keep what correlates with nothing kept so far; sequential by nature, over the few items that reach this stage."""
-    kept: list[str] = []
-    for name, _ in sorted(scores, key=lambda s: (-s[1], s[0])):
-        if len(kept) < keep and all(abs(corr.get((a, name), corr.get((name, a), 0.0)) or 0.0) < most for a in kept):
-            kept.append(name)
-    return kept
-
-
 def combine_equal(ranks: DataFrame, factors: list[str]) -> DataFrame:
     """Mean of the factors' percentile ranks over those that are present."""
     return _weighted(ranks, factors, {f: F.lit(1.0) for f in factors})
@@ -75,7 +112,7 @@ def _weighted(rows: DataFrame, factors: list[str], weight: dict[str, Column]) ->
     return rows.withColumn("combo", F.when(bottom > 1e-12, F.try_divide(top, bottom)))
 
 
-def combine_by_ic(ranks: DataFrame, ics: DataFrame, factors: list[str], window: int = 20, least: int = 1) -> DataFrame:
+def combine_by_ic(ranks: DataFrame, ics: DataFrame, factors: list[str], window: int = 250, least: int = 30) -> DataFrame:
     """Weights are the factors' mean IC over the ``window`` dates before (today's is not known yet; at least ``least`` dates), negative
     ones as 0; even weights where none is positive."""
     past = Window.orderBy(T).rowsBetween(-window, -1)
@@ -97,6 +134,14 @@ def constrained(rows: DataFrame, size: int, industry: str, cap: str, score: str)
     return picked.where(F.col("overall") <= size).select(SYM, T, industry, score, "quota", "place")
 
 
+def combine_by_choice(ranks: DataFrame, weights: DataFrame, factors: list[str]) -> DataFrame:
+    """Weighted mean of the ranks by the ``weights`` (t, id, w) of the last evaluation at or before each date; none before the first."""
+    chosen = weights.groupBy(T).agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "w"))).alias("__m"))
+    dates = ranks.select(T).distinct().withColumn("__all", F.lit(0))
+    held = as_of(dates, chosen.withColumn("__all", F.lit(0)), "__all", T, ["__m"]).drop("__all")
+    return _weighted(ranks.join(held, T), factors, {f: F.try_element_at("__m", F.lit(f)) for f in factors}).drop("__m")
+
+
 # Point-in-time joins.
 
 

@@ -179,13 +179,15 @@ def unlike_weights(streams: DataFrame, every: int = 20, window: int = 120, least
     Looking at the last ``window`` dates before t only, streams are taken in order of mean over deviation while their Spearman
     correlation with all taken so far stays below ``most``.  Dates with fewer than ``least`` earlier ones give no weights.
     """
-    numbered = streams.join(streams.select(T).distinct().withColumn("i", F.row_number().over(Window.orderBy(T))), T)
-    last = numbered.agg(F.max(T)).head()[0] or 0
-    dates = numbered.select(T, "i").distinct()
-    # row i takes part in the evaluations after it that still reach it
-    ev = streams.sparkSession.range(0, last // every + 2).select((F.col("id") * every).alias("at"))
-    reach = ev.join(dates, F.col(T) < F.col("at")).groupBy("at").agg(F.max("i").alias("upto"))
-    rows = numbered.join(reach, (F.col("i") <= F.col("upto")) & (F.col("i") > F.col("upto") - window)).where(F.col("upto") >= least)
+    dates = streams.select(T).distinct().withColumn("i", F.row_number().over(Window.orderBy(T)))
+    # one row per date, then one per evaluation: how many dates lie before it; the windows run over these alone
+    last = dates.groupBy(F.floor(F.col(T) / every).alias("k")).agg(F.max("i").alias("i")).select(((F.col("k") + 1) * every).alias("at"), "i")
+    ev = dates.agg(F.max(T).alias("top")).where("top is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / every) + 1)).alias("k"))
+    ev = ev.select((F.col("k") * every).alias("at")).join(last, "at", "left")
+    ev = ev.withColumn("upto", F.max("i").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") >= least)
+    # the dates that an evaluation looks at are written out, so that rows meet it by equal dates
+    seen = ev.select("at", F.explode(F.sequence(F.greatest(F.col("upto") - window + 1, F.lit(1)), F.col("upto"))).alias("i")).join(dates, "i")
+    rows = streams.join(seen.select("at", T), T)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index=T, columns="id", values="x")

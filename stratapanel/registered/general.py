@@ -204,7 +204,7 @@ def combine(spark, sf_dir):
         ev.daily_ic(rows.withColumn("f", F.col("g")), 20).select(T, F.col("ic").alias("g")), T,
     )
     equal = cb.combine_equal(rows, ["f", "g"]).withColumnRenamed("combo", "equal")
-    return cb.combine_by_ic(equal, ics, ["f", "g"]).withColumnRenamed("combo", "by_ic").select(
+    return cb.combine_by_ic(equal, ics, ["f", "g"], 20, 1).withColumnRenamed("combo", "by_ic").select(
         SYM, F.col(T).cast("long").alias(T), rounded(F.col("equal")).alias("equal"), rounded(F.col("by_ic")).alias("by_ic"),
     )
 

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..functions.ts import SYM, T
+from ..operators import combination as cb
 from ..operators import portfolios as pf
+from ..operators import selection
+from ..sources import panels
 from .across import base_rows, base_sql, ordinal, pct
 from .along import _enough
-from .base import line, r
+from .base import LEAVES, P2, line, r
 from .general import streams
 
 
@@ -113,7 +116,44 @@ def unlike_weights(spark, sf_dir):
     return pf.unlike_weights(streams(spark, sf_dir), 20, 40, 20, 0.1).select(F.col(T).alias(T), "id", rounded(F.col("w")).alias("w"))
 
 
+def supplier_streams(spark, sf_dir):
+    panel = panels.with_leaves(panels.lineitem_panel(spark, sf_dir))
+    return panel.where("ret is not null").select(F.col(SYM).cast("long").alias("id"), T, F.col("ret").alias("x"))
+
+
+def admission(spark, sf_dir):
+    """Suppliers' monthly returns let in by mean over deviation: none like one that is in, at most four per nation; two nations are barred, the first
+    two suppliers are in from the start."""
+    streams_ = supplier_streams(spark, sf_dir)
+    nation = panels.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_nationkey").alias("skeleton"))
+    score = F.floor(F.try_divide(F.avg("x"), F.stddev_samp("x")) * 1e6).cast("double")
+    nodes = streams_.groupBy("id").agg(score.alias("score")).join(nation, "id")
+    low = nodes.agg(F.min("id").alias("low"))
+    held = F.col("id") <= F.col("low") + 1
+    nodes = nodes.join(F.broadcast(low)).withColumns({"held": held, "barred": ~held & F.col("skeleton").isin(3, 7)})
+    pairs = cb.stream_correlations(streams_, 20).where("abs(corr) > 0.3")
+    return selection.admit(nodes, pairs, 4)
+
+
+_ADMISSION = f"""WITH RECURSIVE {P2}, {LEAVES}, s AS (SELECT CAST(sym AS BIGINT) AS id, t, ret AS x FROM leaves WHERE ret IS NOT NULL),
+p AS (SELECT l.id AS a, q.id AS b, l.x AS xa, q.x AS xb FROM s l JOIN s q ON l.t = q.t AND l.id < q.id),
+k AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY xa) + (count(*) OVER (PARTITION BY a, b, xa) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a, b ORDER BY xb) + (count(*) OVER (PARTITION BY a, b, xb) - 1) / 2.0 AS rb FROM p),
+c AS (SELECT a, b FROM k GROUP BY a, b HAVING count(*) >= 20 AND abs(covar_pop(ra, rb)) > 0.3 * sqrt(var_pop(ra) * var_pop(rb))),
+n AS (SELECT id, any_value(s_nationkey) AS skeleton, floor(avg(x) / stddev_samp(x) * 1e6) AS score FROM s JOIN supplier ON s_suppkey = id GROUP BY id),
+h AS (SELECT *, id <= (SELECT min(id) + 1 FROM n) AS held FROM n),
+o AS (SELECT *, NOT held AND skeleton IN (3, 7) AS barred, row_number() OVER (ORDER BY held DESC, score DESC NULLS LAST, id) AS i,
+      list_concat(coalesce((SELECT list(b) FROM c WHERE a = h.id), []), coalesce((SELECT list(a) FROM c WHERE b = h.id), [])) AS near FROM h),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids, CAST([] AS INT[]) AS kinds, CAST(NULL AS BIGINT) AS id, FALSE AS admitted, CAST(NULL AS VARCHAR) AS reason
+  UNION ALL
+  SELECT i, CASE WHEN why IS NULL THEN list_append(ids, id) ELSE ids END, CASE WHEN why IS NULL THEN list_append(kinds, skeleton) ELSE kinds END, id, why IS NULL, why FROM (
+    SELECT o.i, w.ids, w.kinds, o.id, o.skeleton, CASE WHEN held THEN NULL WHEN barred THEN 'barred' WHEN len(list_filter(w.kinds, lambda z: z = o.skeleton)) >= 4 THEN 'full' WHEN list_has_any(near, w.ids) THEN 'like' END AS why
+    FROM walk w JOIN o ON o.i = w.i + 1)
+) SELECT id, admitted, reason FROM walk WHERE i > 0"""
+
+
 QUERIES = {
+    "admission": (admission, _ADMISSION),
     "constrained_plans": (constrained_plans, _plans_sql()),
     "buffered_portfolio": (buffered, _BUFFERED),
     "buffer_sweep": (buffer_sweep, _SWEEP),

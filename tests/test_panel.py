@@ -263,7 +263,6 @@ def test_streams(spark):
     rows = [(k, t, float(v[t])) for k, v in data.items() for t in range(300)] + [(5, t, float(a[t])) for t in range(10)] + [(6, t, 1.0) for t in range(400, 500)]
     got = {(r["a"], r["b"]): r["corr"] for r in cb.stream_correlations(spark.createDataFrame(rows, "id long, t long, x double")).collect()}
     assert abs(got[1, 2] + 1) < 1e-9 and abs(got[1, 3]) < 0.2 and 0.4 < got[1, 4] < 1 and got[1, 5] is None and (1, 6) not in got
-    assert cb.greedy_unlike([("a", 3.0), ("b", 2.0), ("c", 1.0)], {("a", "b"): 0.9, ("a", "c"): 0.1, ("b", "c"): 0.0}, 0.7, 5) == ["a", "c"]
 
 
 def test_as_of(spark):
