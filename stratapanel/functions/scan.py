@@ -34,6 +34,7 @@ class Scan:
     """``kind`` of a column over the last ``w`` rows: mean, std, std_samp, sum, max, min, skew, kurt, rank, rank_or_0, pct_rank; ema over all rows.
 
     ``least`` is the number of values from which on there is a result.  ``span``: the window is of ``w`` steps of the time column, not of rows.
+    ``start``, for an exponential average: a column with each symbol's state before its first row, NULL where it has none.
     """
 
     kind: str
@@ -41,11 +42,12 @@ class Scan:
     w: int
     least: int
     span: bool = False
+    start: str | None = None
 
 
-def scan(kind: str, source: str, w: int, least: int | None = None, span: bool = False) -> Scan:
+def scan(kind: str, source: str, w: int, least: int | None = None, span: bool = False, start: str | None = None) -> Scan:
     full = {"skew": w, "kurt": w, "ema": w}
-    return Scan(kind, source, w, least if least is not None else full.get(kind, least_obs(w)), span)
+    return Scan(kind, source, w, least if least is not None else full.get(kind, least_obs(w)), span, start)
 
 
 def compose(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,22 +202,28 @@ class Run:
                 }[s.kind]()
         return np.where(count >= s.least, out, np.nan)
 
-    def averaged(self, s: Scan, x: np.ndarray, state: float, seen: int) -> tuple[np.ndarray, float, int]:
-        """An exponential average; ``state`` and ``seen`` are those of the first symbol so far, and come back for the last."""
+    def averaged(self, s: Scan, x: np.ndarray, held: tuple[float, int] | None, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
+        """An exponential average; ``held`` is the state of the first symbol and the values seen, if rows of it came before; those of the last
+        symbol come back.  A state in ``start`` counts as a value that was seen."""
         alpha = 2.0 / (s.w + 1)
+        state, seen = held or (0.0, 0)
         some = ~np.isnan(x)
+        begun = self.fresh & (~np.isnan(start) if start is not None else False)
+        begun[0] &= held is None
         count = np.cumsum(some)
-        count = count - np.where(self.start > 0, count[self.start - 1], 0) + np.where(self.code == self.code[0], seen, 0)
+        count = count - np.where(self.start > 0, count[self.start - 1], 0) + np.where(self.code == self.code[0], seen, 0) + begun[self.start]
         seed = some & (count == 1)
         a = np.where(some, 1 - alpha, 1.0)
         b = np.where(some, alpha * np.where(some, x, 0.0), 0.0)
         a[seed], b[seed] = 0.0, x[seed]
-        new = self.fresh & ~some
-        new[0] &= seen == 0
+        if start is not None:
+            b[begun] += a[begun] * start[begun]
+        new = self.fresh & (begun | ~some)
+        new[0] &= held is None
         a[new] = 0.0  # nothing of the symbol before
         a, b = compose(a, b)
         out = a * state + b
-        return np.where(count >= s.w, out, np.nan), float(out[-1]), int(count[-1])
+        return np.where(count >= s.least, out, np.nan), float(out[-1]), int(count[-1])
 
 
 def _floats(column: pa.ChunkedArray) -> np.ndarray:
@@ -256,8 +264,8 @@ def scans(frame: DataFrame, wanted: dict[str, Scan], key: str = SYM, time: str =
             out, states = [], {}
             for name, s in wanted.items():
                 if s.kind == "ema":
-                    state, seen = kept["states"][name] if again else (0.0, 0)
-                    made, *states[name] = own.averaged(s, values[s.source][old:], state, seen)
+                    start = _floats(rows.column(s.start)) if s.start else None
+                    made, *states[name] = own.averaged(s, values[s.source][old:], kept["states"][name] if again else None, start)
                 else:
                     made = whole.computed(s, values[s.source])[old:]
                 out.append(pa.array(made, pa.float64(), mask=np.isnan(made)))
