@@ -105,21 +105,54 @@ def rule_quality(rows: DataFrame, predicted: Column, truth: Column) -> DataFrame
     )
 
 
+def _reached(x: Column, thresholds: list[float]) -> Column:
+    """How many of the sorted thresholds ``x`` reaches, by bisection; 0 for NULL."""
+    held, steps = F.array(*map(F.lit, thresholds)), F.array(*[F.lit(1 << k) for k in reversed(range(len(thresholds).bit_length()))])
+
+    def step(at: Column, jump: Column) -> Column:
+        to = at + jump
+        return F.when((to <= len(thresholds)) & F.coalesce(x >= F.try_element_at(held, to), F.lit(False)), to).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def rule_grid(rows: DataFrame, metrics: list[str], thresholds: list[list[float]], truth: Column, both: bool = True) -> DataFrame:
-    """:func:`rule_quality` for every pair of thresholds of two metrics; the grid is exploded next to each row and folded by map-side sums."""
-    a, b = metrics
-    grid = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in thresholds[0] for y in thresholds[1]])
-    long = rows.withColumn("__g", F.explode(grid))
-    hit_a, hit_b = F.coalesce(F.col(a) >= F.col("__g.x"), F.lit(False)), F.coalesce(F.col(b) >= F.col("__g.y"), F.lit(False))
-    p, t = (hit_a & hit_b) if both else (hit_a | hit_b), F.coalesce(truth, F.lit(False))
-    out = long.groupBy(F.col("__g.x").alias("x"), F.col("__g.y").alias("y")).agg(
-        F.count(F.when(p, 1)).alias("n_pred"), F.count(F.when(t, 1)).alias("n_true"), F.count(F.when(p & t, 1)).alias("n_both"),
+    """:func:`rule_quality` for every pair of thresholds of two metrics (both reached, or either).
+
+    Each row falls into one cell of the grid, by how many thresholds of either metric it reaches; the counts of a rule are sums over all
+    cells from its own on, made by running totals along both axes.  So rows are read once, whatever the size of the grid.
+    """
+    xs, ys = (sorted(set(map(float, t))) for t in thresholds)
+    t = F.coalesce(truth, F.lit(False))
+    cells = rows.groupBy(_reached(F.col(metrics[0]), xs).alias("i"), _reached(F.col(metrics[1]), ys).alias("j")).agg(
+        F.count("*").alias("n"), F.count(F.when(t, 1)).alias("t"),
     )
-    return out.select(
-        "x", "y", "n_pred", F.try_divide("n_both", "n_pred").alias("precision"), F.try_divide("n_both", "n_true").alias("recall"),
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k)))
+    grid = rows.sparkSession.range(1).select(every(len(xs)).alias("i")).select("i", every(len(ys)).alias("j"))
+    grid = grid.join(cells, ["i", "j"], "left").select("i", "j", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "t")])
+    if both:
+        along = lambda fixed, order: Window.partitionBy(fixed).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    else:
+        along = lambda fixed, order: Window.partitionBy(fixed).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    sums = grid.withColumns({c: F.coalesce(F.sum(c).over(along("i", "j")), none) for c in ("n", "t")})
+    sums = sums.withColumns({c: F.coalesce(F.sum(c).over(along("j", "i")), none) for c in ("n", "t")})
+    total = cells.agg(F.coalesce(F.sum("n"), none).alias("all"), F.coalesce(F.sum("t"), none).alias("n_true"))
+    sums = sums.where("i > 0 and j > 0").crossJoin(F.broadcast(total))
+    hit, right = (F.col("n"), F.col("t")) if both else (F.col("all") - F.col("n"), F.col("n_true") - F.col("t"))
+    at = lambda k, held: F.element_at(F.array(*map(F.lit, held)), F.col(k))
+    return sums.select(
+        at("i", xs).alias("x"), at("j", ys).alias("y"), hit.alias("n_pred"), F.try_divide(right, hit).alias("precision"),
+        F.try_divide(right, F.col("n_true")).alias("recall"),
     )
 
 
+def best_thresholds(grid: DataFrame, least_precision: float) -> DataFrame:
+    """Of a :func:`rule_grid` the rule that keeps most of what is right at that precision (ties: the more precise, then the higher thresholds)."""
+    fine = grid.where(F.col("precision") >= least_precision)
+    return fine.agg(F.max_by(F.struct("x", "y", "n_pred", "precision", "recall"), F.struct("recall", "precision", "x", "y")).alias("m")).where("m is not null").select("m.*")
+
+
 def best_per_key(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
     """The row with the largest score of each key (NULL scores last, ties by ``tie``)."""
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), F.col(tie))

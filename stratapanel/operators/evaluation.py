@@ -256,3 +256,88 @@ def many_regressor_residual(rows: DataFrame, f: str, regressors: list[str], leas
     beta = sums.select(T, solve("m").alias("b"))
     fit = sum((F.col("b")[i] * F.col(c) for i, c in enumerate(names[1:], 1)), F.col("b")[0])
     return held.join(F.broadcast(beta), T).withColumn("residual", F.col(f) - fit).drop("b", "__one")
+
+
+def sweep(gram: np.ndarray, k: int) -> np.ndarray:
+    """Sweep a matrix of sums of products on variable ``k``: the regression on one variable more.  One that adds nothing gets no weight."""
+    pivot = gram[k, k]
+    if abs(pivot) < 1e-9:
+        out = gram.copy()
+        out[k], out[:, k] = 0.0, 0.0
+        return out
+    out = gram - np.outer(gram[:, k], gram[k]) / pivot
+    out[k], out[:, k] = gram[k] / pivot, gram[:, k] / pivot
+    out[k, k] = -1 / pivot
+    return out
+
+
+def nested_residuals(rows: DataFrame, f: str, models: dict[str, list[str]], least: int = 100) -> DataFrame:
+    """``rows`` with, per model, what a regression of ``f`` on [1, its regressors] leaves per date, NULL where ``f`` or a regressor is missing or
+    fewer than ``least`` rows have all.
+
+    One pass makes, per date and pattern of missing regressors, the sums of products of everything with everything.  A model's sums are those
+    of the patterns that have its regressors; sweeping one regressor after the other gives the coefficients of all models from them, and
+    models that begin alike share their sweeps.  No date's rows are gathered in one task.
+    """
+    names = list(dict.fromkeys(c for held in models.values() for c in held))
+    pattern = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(names)), F.lit(0))
+    value = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in (*names, f)} | {"__one": F.lit(1.0)}
+    terms = ["__one", *names, f]
+    products = [value[a] * value[b] for i, a in enumerate(terms) for b in terms[i:]]
+    sums = rows.where(F.col(f).isNotNull()).groupBy(T, pattern.alias("pattern")).agg(F.count("*").alias("n"), F.array(*[F.sum(x) for x in products]).alias("m"))
+    wanted = [[names.index(c) for c in held] for held in models.values()]
+    size = len(terms)
+
+    @F.pandas_udf("array<array<double>>")
+    def solve(groups: pd.Series) -> pd.Series:
+        out = []
+        for held in groups:
+            grams = {}
+            for g in held:
+                full = np.zeros((size, size))
+                full[np.triu_indices(size)] = g["m"]
+                grams[g["pattern"]] = (g["n"], full + np.triu(full, 1).T)
+            done: dict = {}
+            found = []
+            for model in wanted:
+                need = sum(1 << i for i in model)
+                fits = tuple(sorted(p for p in grams if p & need == need))
+                if sum(grams[p][0] for p in fits) < least:
+                    found.append(None)
+                    continue
+                for upto in range(len(model) + 1):
+                    key = (fits, tuple(model[:upto]))
+                    if key not in done:
+                        done[key] = sweep(sum(grams[p][1] for p in fits), 0) if not upto else sweep(done[fits, tuple(model[:upto - 1])], model[upto - 1] + 1)
+                coefficient = np.zeros(size - 1)
+                at = [0, *[i + 1 for i in model]]
+                coefficient[at] = done[fits, tuple(model)][at, -1]
+                found.append(coefficient.tolist())
+            out.append(found)
+        return pd.Series(out)
+
+    solved = sums.groupBy(T).agg(F.collect_list(F.struct("pattern", "n", "m")).alias("g")).select(T, solve("g").alias("__b"))
+    joined = rows.join(solved, T, "left")
+    made = {}
+    for k, (name, held) in enumerate(models.items()):
+        b = lambda i, k=k: F.get(F.get("__b", F.lit(k)), F.lit(i))
+        made[name] = F.col(f) - sum((b(names.index(c) + 1) * F.col(c) for c in held), b(0))
+    return joined.withColumns(made).drop("__b")
+
+
+def style_ladder(rows: DataFrame, f: str, models: dict[str, list[str]], step: int = FWD, least: int = 100, share: float = 0.1) -> DataFrame:
+    """For each model, what is left of the factor once its styles are stripped (ranks regressed on ranks, ranked again): dates, mean rank IC, and the
+    mean return of the best ``share`` of names less all names'.  All models come from one pass of sums."""
+    grid = on_grid(rows, step)
+    styles = list(dict.fromkeys(c for held in models.values() for c in held))
+    ranked = grid.select(SYM, T, "r", cs.ordinal_rank(F.col(f)).alias("__f"), *[cs.ordinal_rank(F.col(c)).alias(c) for c in styles])
+    left = nested_residuals(ranked, "__f", models, least)
+    long = left.select(SYM, T, "r", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.col(k).alias("v")) for k in models])).alias("x"))
+    long = long.select("x.model", SYM, T, "r", F.col("x.v").alias("v")).where("v is not null and r is not null")
+    per = lambda *c: Window.partitionBy("model", T).orderBy(*c)
+    mid = lambda c: F.rank().over(per(c)) + (F.count(F.lit(1)).over(Window.partitionBy("model", T, c)) - 1) / 2
+    n = F.count(F.lit(1)).over(Window.partitionBy("model", T))
+    long = long.withColumns({"a": mid("v"), "b": mid("r"), "n": n, "place": F.row_number().over(per(F.col("v").desc(), F.col(SYM)))})
+    top = F.when(F.col("place") <= F.greatest(F.floor(F.col("n") * share), F.lit(1)), F.col("r"))
+    days = long.where(F.col("n") >= least).groupBy("model", T).agg(_corr("a", "b").alias("ic"), (F.avg(top) - F.avg("r")).alias("excess"))
+    return days.groupBy("model").agg(F.count("*").alias("days"), F.avg("ic").alias("ic"), F.avg("excess").alias("excess"))

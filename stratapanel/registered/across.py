@@ -117,7 +117,37 @@ SELECT CAST(t AS BIGINT) AS t, count(*) AS n, {r("CASE WHEN var_pop(f) > 1e-12 T
 
 
 _n = "count(f) OVER (PARTITION BY t)"
+LADDER = {"none": [], "size": ["ln_mktcap"], "volume": ["ln_volume"], "turnover": ["turn_ratio"], "size_volume": ["ln_mktcap", "ln_volume"], "size_turnover": ["ln_mktcap", "turn_ratio"]}
+
+
+def style_ladder(spark, sf_dir):
+    out = ev.style_ladder(base_rows(spark, sf_dir), "f", LADDER, least=30)
+    return out.select("model", "days", rounded(F.col("ic")).alias("ic"), rounded(F.col("excess")).alias("excess"))
+
+
+def _ladder_sql() -> str:
+    w = "OVER (PARTITION BY t)"
+    one = lambda x: f"y - avg(y) {w} - CASE WHEN var_pop({x}) {w} > 1e-12 THEN covar_pop(y, {x}) {w} / var_pop({x}) {w} ELSE 0 END * ({x} - avg({x}) {w})"
+
+    def two(a: str, b: str) -> str:
+        s = {k: f"{f}({', '.join(v)}) {w}" for k, f, v in (("aa", "var_pop", [a]), ("bb", "var_pop", [b]), ("ab", "covar_pop", [a, b]), ("ya", "covar_pop", ["y", a]), ("yb", "covar_pop", ["y", b]))}
+        det = f"({s['aa']} * {s['bb']} - {s['ab']} * {s['ab']})"
+        first, second = f"({s['ya']} * {s['bb']} - {s['yb']} * {s['ab']}) / {det}", f"({s['yb']} * {s['aa']} - {s['ya']} * {s['ab']}) / {det}"
+        return f"y - avg(y) {w} - {first} * ({a} - avg({a}) {w}) - {second} * ({b} - avg({b}) {w})"
+
+    parts = []
+    for name, held in LADDER.items():
+        left = "y" if not held else one(held[0]) if len(held) == 1 else two(*held)
+        given = "".join(f" AND {c} IS NOT NULL" for c in held)
+        parts.append(f"SELECT '{name}' AS model, sym, t, r, {left} AS v, count(*) {w} AS m FROM q WHERE y IS NOT NULL{given}")
+    return f"""{base_sql()}, q AS (SELECT sym, t, r, {ordinal('f')} AS y, {', '.join(f'{ordinal(c)} AS {c}' for c in ('ln_mktcap', 'ln_volume', 'turn_ratio'))} FROM base WHERE t % 5 = 0),
+l AS ({' UNION ALL '.join(parts)}), k AS (SELECT model, sym, t, r, v, {avg_rank('v', 'model, t')} AS a, {avg_rank('r', 'model, t')} AS b, count(*) OVER (PARTITION BY model, t) AS n, row_number() OVER (PARTITION BY model, t ORDER BY v DESC, sym) AS place FROM l WHERE m >= 30 AND v IS NOT NULL AND r IS NOT NULL),
+d AS (SELECT model, t, corr(a, b) AS ic, avg(CASE WHEN place <= greatest(floor(n * 0.1), 1) THEN r END) - avg(r) AS excess FROM k WHERE n >= 30 GROUP BY model, t)
+SELECT model, count(*) AS days, {r('avg(ic)')} AS ic, {r('avg(excess)')} AS excess FROM d GROUP BY model"""
+
+
 QUERIES = {
+    "style_ladder": (style_ladder, _ladder_sql()),
     "elementwise": expressions(
         "P2",
         {

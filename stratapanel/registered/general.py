@@ -127,6 +127,20 @@ _GRID = f"""{_METRICS}, g AS (SELECT x, y, coalesce(ic >= x, false) AND coalesce
 SELECT x, y, count(CASE WHEN p THEN 1 END) AS n_pred, {r('CASE WHEN count(CASE WHEN p THEN 1 END) > 0 THEN count(CASE WHEN p AND q THEN 1 END) / count(CASE WHEN p THEN 1 END)::DOUBLE END')} AS precision, {r('count(CASE WHEN p AND q THEN 1 END) / count(CASE WHEN q THEN 1 END)::DOUBLE')} AS recall FROM g GROUP BY x, y"""
 
 
+def rule_search(spark, sf_dir):
+    """Orders of parts: which price and quantity a line must reach, or either, to be discounted by 8 % and more: 60 x 50 rules over all lines."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"))
+    prices, counts = [1000.0 * k for k in range(1, 61)], [float(k) for k in range(1, 51)]
+    grids = [control.rule_grid(rows, ["p", "q"], [prices, counts], F.col("d") >= 0.08, both).withColumn("kind", F.lit(k)) for k, both in (("and", True), ("or", False))]
+    return grids[0].unionByName(grids[1]).select("kind", "x", "y", "n_pred", rounded(F.col("precision")).alias("precision"), rounded(F.col("recall")).alias("recall"))
+
+
+_SEARCH = f"""WITH h AS (SELECT least(floor(l_extendedprice / 1000), 60) AS i, least(floor(l_quantity), 50) AS j, count(*) AS n, count(CASE WHEN l_discount >= 0.08 THEN 1 END) AS k FROM lineitem GROUP BY ALL),
+g AS (SELECT a.x AS x, b.y AS y, sum(CASE WHEN i >= x AND j >= y THEN n ELSE 0 END) AS na, sum(CASE WHEN i >= x AND j >= y THEN k ELSE 0 END) AS ka, sum(CASE WHEN i >= x OR j >= y THEN n ELSE 0 END) AS no, sum(CASE WHEN i >= x OR j >= y THEN k ELSE 0 END) AS ko, sum(k) AS k FROM h, range(1, 61) a(x), range(1, 51) b(y) GROUP BY ALL),
+o AS (SELECT 'and' AS kind, x, y, na AS n, ka AS m, k FROM g UNION ALL SELECT 'or', x, y, no, ko, k FROM g)
+SELECT kind, x * 1000.0::DOUBLE AS x, CAST(y AS DOUBLE) AS y, CAST(n AS BIGINT) AS n_pred, {r('CASE WHEN n > 0 THEN m / n::DOUBLE END')} AS precision, {r('m / k::DOUBLE')} AS recall FROM o"""
+
+
 def quotas(spark, sf_dir):
     m = supplier_metrics(spark, sf_dir)
     first = control.quota(m, "industry", 2, "calmar", SYM).select(
@@ -492,6 +506,7 @@ QUERIES = {
     "gates": (gates, _GATES),
     "rule_quality": (rule_quality, _RULE),
     "rule_grid": (rule_grid, _GRID),
+    "rule_search": (rule_search, _SEARCH),
     "quotas": (quotas, _QUOTAS),
     "stream_correlation": (stream_correlation, f"{_STREAMS} SELECT a, b, n, {r('corr')} AS corr FROM c"),
     "largest_correlation": (largest, _LARGEST),
