@@ -91,12 +91,8 @@ BITS_PER_KEY = 16
 FILTER_BITS = 1 << 28
 
 
-def likely_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is among ``keys`` (a written table, one row per key), and few others, without a shuffle; an exact join is to follow.
-
-    The keys set bits of a bitmap of at most ``FILTER_BITS`` bits (32 MB), in pieces of 4 KB; rows whose bit is not set are
-    held back where they are read, so that about one foreign row in ``BITS_PER_KEY`` passes.
-    """
+def _marked(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """``rows`` with their piece of a bitmap of ``keys``, where there is one, and whether their bit is set in it."""
     bits = 1 << 15
     while bits < min(FILTER_BITS, BITS_PER_KEY * keys.count()):
         bits *= 2
@@ -105,8 +101,23 @@ def likely_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     pieces = keys.groupBy(piece.alias("piece")).agg(F.bitmap_construct_agg(bit).alias("map"))
     byte = F.conv(F.hex(F.substring("map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.call_function("getbit", byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
-    marked = rows.withColumn("piece", piece)
-    return marked.join(F.broadcast(pieces), "piece").where(is_set).select(*rows.columns)
+    return rows.withColumn("piece", piece).join(F.broadcast(pieces), "piece", "left"), F.coalesce(is_set, F.lit(False))
+
+
+def likely_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is among ``keys`` (a written table, one row per key), and few others, without a shuffle; an exact join is to follow.
+
+    The keys set bits of a bitmap of at most ``FILTER_BITS`` bits (32 MB), in pieces of 4 KB; rows whose bit is not set are
+    held back where they are read, so that about one foreign row in ``BITS_PER_KEY`` passes.
+    """
+    marked, is_set = _marked(rows, keys, key)
+    return marked.where(is_set).select(*rows.columns)
+
+
+def surely_not_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows that :func:`likely_among` holds back."""
+    marked, is_set = _marked(rows, keys, key)
+    return marked.where(~is_set).select(*rows.columns)
 
 
 def hash_share(share: float | Column, *cols: str | Column) -> Column:
@@ -135,13 +146,17 @@ def surviving(docs: DataFrame, ident: str, text: str, decided: DataFrame) -> Dat
     again = decided.where("kept and copies > 1").groupBy(
         F.col("id").alias("lost"), F.col("sha").alias("lost_sha"),
     ).agg(F.count("*").alias("n")).where("n > 1")
-    rows = packed(docs, id=F.col(ident), sha=F.sha2(text_of(text), 256))
+    pair = lambda i, h: F.xxhash64(F.col(i).isNull(), i, h)
+    rows = packed(docs, id=F.col(ident), sha=F.sha2(text_of(text), 256)).withColumn("key", pair("id", "sha"))
+    keys = materialise(lost.select("lost", "lost_sha").unionByName(again.select("lost", "lost_sha")).select(pair("lost", "lost_sha").alias("key")).distinct(), "decided-keys")
+    # rows that nothing is decided about pass where they are read; only the others meet the decisions
+    sure, rows = surely_not_among(rows, keys, "key").select("row.*"), likely_among(rows, keys, "key")
     same = F.col("id").eqNullSafe(F.col("lost")) & (F.col("sha") == F.col("lost_sha"))
     rows = rows.join(lost, same, "left_anti")
     if not again.head(1):
-        return rows.select("row.*")
+        return sure.unionByName(rows.select("row.*"))
     one = rows.join(again, same, "left_semi").groupBy("id", "sha").agg(F.any_value("row").alias("row"))
-    return rows.join(again, same, "left_anti").select("row.*").unionByName(one.select("row.*"))
+    return sure.unionByName(rows.join(again, same, "left_anti").select("row.*")).unionByName(one.select("row.*"))
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, IntegralType
 
 from .common import attach_groups, connected_components, materialise, small_batches
 
@@ -259,6 +259,8 @@ def near_duplicates(
     bands: int = 1,
 ) -> DataFrame:
     """One row per vector: the id, ``n_links`` (other vectors with cosine >= ``least``), ``component_id``, ``kept``.  ``bands``: at least so many."""
+    if not isinstance(rows.schema[ident].dataType, IntegralType):
+        raise TypeError(f"{ident} must be of an integral type; number other ids first and join the numbers back")
     small_batches(rows.sparkSession, 5000)
     good = _usable(vec) & F.col(ident).isNotNull()
     single = isinstance(rows.schema[vec].dataType, ArrayType) and isinstance(rows.schema[vec].dataType.elementType, FloatType)

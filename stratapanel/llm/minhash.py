@@ -215,6 +215,53 @@ def _likely(words: int, k: int, least: float) -> F.Column:
     return off <= most
 
 
+#: Rows of a tile: a bucket of more than two of these is split into pairs of tiles for the last round.
+TILE = 256
+
+
+def _block(least: float):
+    """Links between two tiles of a bucket (or within one), by exact sizes of intersections: products of incidence matrices, some shingles at a time."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, lo, hi = key
+        sizes = rows["s"].map(len).to_numpy()
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        kinds, code, count = np.unique(np.concatenate(rows["s"].tolist()) if len(rows) else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+        shared = count > 1  # others are in no intersection
+        held = shared[code]
+        owner, code = owner[held], (np.cumsum(shared) - 1)[code[held]]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        tile = rows["tile"].to_numpy()
+        left, right = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
+        both = np.zeros((len(left), len(right)), np.float32)
+        step = max(1, (1 << 23) // max(1, len(rows)))
+        for at in range(0, int(shared.sum()), step):
+            part = slice(*np.searchsorted(code, [at, at + step]))
+            m = np.zeros((len(rows), step), np.float32)
+            m[owner[part], code[part] - at] = 1.0
+            both += m[left] @ m[right].T
+        n, ids, comps = sizes, rows["id"].to_numpy(), rows["comp"].to_numpy()
+        link = both >= least * (n[left][:, None] + n[right][None, :] - both.astype(np.float64))
+        link &= comps[left][:, None] != comps[right][None, :]
+        if lo == hi:
+            link &= ids[left][:, None] < ids[right][None, :]
+        i, j = np.nonzero(link)
+        a, b = ids[left[i]], ids[right[j]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _tiled(state: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """All links of the buckets in ``state`` (key, id, comp, m), each bucket dealt to pairs of tiles; a task holds two tiles, whatever the bucket."""
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    rows = state.select("key", "id", "comp", F.pmod(F.xxhash64("id"), tiles).cast("int").alias("tile"), tiles.alias("tiles"))
+    rows = rows.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "id", "comp", "tile", "s")
+    return rows.groupBy("key", "lo", "hi").applyInPandas(_block(least), "a long, b long")
+
+
 def near_groups(
     docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS,
     spare: int = 2000, rounds: int = 8, weighted: bool = False,
@@ -223,7 +270,7 @@ def near_groups(
     component of links), ``kept`` (id = group_id, and of different texts with that id the one with the smallest SHA-256).
 
     Leader rounds stop after ``rounds``, or when fewer than ``spare`` pairs per bucket member are open; then all open pairs are
-    weighed, so that both are no bounds on what is found.  ``weighted`` counts a shingle as often as it occurs, in the signatures and in
+    weighed, so that both are no bounds on what is found; buckets of many rows are split into pairs of tiles for that.  ``weighted`` counts a shingle as often as it occurs, in the signatures and in
     the comparison: the similarity is then the sum of the lesser counts over the sum of the greater ones.
     """
     found = _grouped(docs, ident, text, least, bands, rows, spare, rounds, weighted)
@@ -280,13 +327,16 @@ def _grouped(
         last = number == rounds or left[1] <= spare * left[0]
         if last:
             # the sets travel with the rows, so that the join itself gives links only, however many pairs are close to one
-            left_ = state.select("key", "id", "comp", *x).join(sets, "id")
+            left_ = state.where(F.col("m") <= 2 * TILE).select("key", "id", "comp", *x).join(sets, "id")
             right = left_.select(
                 F.col("key").alias("k2"), F.col("id").alias("lead"), F.col("comp").alias("at"), F.col("s").alias("s2"),
                 *[F.col(c).alias(d) for c, d in zip(x, y, strict=True)],
             )
             met = (F.col("key") == F.col("k2")) & (F.col("id") < F.col("lead")) & (F.col("comp") != F.col("at")) & likely & _similar("s", "s2", least)
-            more = materialise(left_.join(right, met).select(*pair).distinct(), "dart-links")
+            more = left_.join(right, met).select(*pair)
+            if state.where(F.col("m") > 2 * TILE).head(1):
+                more = more.unionByName(_tiled(state.where(F.col("m") > 2 * TILE), sets, least))
+            more = materialise(more.distinct(), "dart-links")
         else:
             turn = F.struct(F.xxhash64("id", "key", F.lit(number)).alias("turn"), "id", "comp", *x)
             other = state.where("comp != main").groupBy("key").agg(F.min(turn).alias("p"))
