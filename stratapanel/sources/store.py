@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import json
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +16,37 @@ from ..functions import cs
 from ..functions.scalar import date_key, exchange_code
 from ..functions.ts import SYM, T
 from ..operators.combination import as_of
+from .versions import Log
 
 
-def write_factor(values: DataFrame, path: str, factor_id: str) -> None:
-    """Write (sym, t, value) as the partition of one factor, sorted by date, replacing that partition only."""
-    rows = values.select(SYM, T, "value").withColumn("factor_id", F.lit(factor_id))
-    rows.repartitionByRange(T).sortWithinPartitions(T, SYM).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("factor_id").parquet(path)
+_FACTOR = "factor_id string, rows long, present long, first long, last long, meta string"
+
+
+def factor_log(spark: SparkSession, path: str) -> Log:
+    return Log(spark, path, _FACTOR)
+
+
+def write_factor(values: DataFrame, path: str, factor_id: str, **meta: object) -> None:
+    """Write (sym, t, value) of one factor, sorted by date, in place of what the store has of it; ``meta`` is kept with it.
+
+    The values are written aside and count from the moment their entry is logged; readers that are open keep the version they have.
+    """
+    spark, log = values.sparkSession, factor_log(values.sparkSession, path)
+    folder = f"data/version={uuid.uuid4().hex}/factor_id={factor_id}"
+    values.select(SYM, T, "value").repartitionByRange(T).sortWithinPartitions(T, SYM).write.parquet(f"{path}/{folder}")
+    told = spark.read.parquet(f"{path}/{folder}").agg(
+        F.count("*"), F.count("value"), F.min(T).cast("long"), F.max(T).cast("long"),
+    ).head()
+    old = [("drop", r["folder"], None, None, None, None, None, None) for r in log.held() if r["factor_id"] == factor_id]
+    log.add([("add", folder, factor_id, *told, json.dumps(meta, sort_keys=True)), *old])
 
 
 def open_factors(spark: SparkSession, path: str) -> DataFrame:
-    """All factors; filters on ``factor_id`` prune partitions, filters on ``t`` skip row groups."""
-    return spark.read.parquet(path)
+    """All factors as they are now; filters on ``factor_id`` prune folders, filters on ``t`` skip row groups."""
+    folders = [f"{path}/{r['folder']}" for r in factor_log(spark, path).held()]
+    if not folders:
+        raise FileNotFoundError(f"{path} holds no factors")
+    return spark.read.option("basePath", f"{path}/data").parquet(*folders).drop("version")
 
 
 def read_factor(
@@ -76,9 +99,9 @@ def write_entries(rows: DataFrame, path: str) -> None:
 
 
 def list_factors(spark: SparkSession, path: str) -> DataFrame:
-    return open_factors(spark, path).groupBy("factor_id").agg(
-        F.count("*").alias("rows"), F.count("value").alias("present"), F.min(T).alias("first"), F.max(T).alias("last"),
-    )
+    """A row per factor, from the log alone: rows, values present, first and last date, meta."""
+    held = [tuple(r[c] for c in ("factor_id", "rows", "present", "first", "last", "meta")) for r in factor_log(spark, path).held()]
+    return spark.createDataFrame(held, _FACTOR)
 
 
 def quantised(values: DataFrame, levels: int = 256) -> DataFrame:
@@ -126,28 +149,55 @@ def read_money_flow(
     return rows.groupBy(SYM, "date").agg(*[F.max(c).alias(c) for c in figures])
 
 
-def sniff(
-    spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "GBK"), seps: tuple[str, ...] = (",", "\t", ";", "|"),
-) -> tuple[str, str]:
-    """Encoding and separator from the first lines of the first file."""
-    for encoding in encodings:
-        lines = [r["value"] for r in spark.read.option("encoding", encoding).option("lineSep", "\n").text(path).limit(5).collect()]
-        if lines and not any("�" in x for x in lines):
-            return encoding, max(seps, key=lambda s: min(x.count(s) for x in lines))
-    return encodings[0], seps[0]
+#: Separators that are told apart.
+SEPARATORS = (",", "\t", ";", "|")
+
+
+def _sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """``path, encoding, sep, lines`` of each file: UTF-8 unless its bytes aren't, else GBK; the separator of which all first lines have most.  Files
+    are read as one row each, so this is for many small ones; :func:`read_money_flow` reads large ones by splits."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    text = F.col("content").cast("string")
+    plain = F.is_valid_utf8(text)
 
+    @F.pandas_udf("string")
+    def from_gbk(content: pd.Series) -> pd.Series:
+        return content.map(lambda x: None if x is None else bytes(x).decode("gbk", "replace"))
 
-def read_money_flows(spark: SparkSession, path: str, **names: str) -> DataFrame:
-    """:func:`read_money_flow` for files of different encodings and separators: each file is sniffed by its first lines, and files that
-    agree are read together."""
-    kinds: dict[tuple[str, str], list[str]] = {}
-    for file in sorted(spark.read.text(path).inputFiles()):
-        kinds.setdefault(sniff(spark, file), []).append(file)
-    parts = [read_money_flow(spark, files, encoding, sep, **names) for (encoding, sep), files in kinds.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return latest_of_files(out)
+    files = files.select(
+        "path", F.when(plain, "UTF-8").otherwise("GBK").alias("encoding"), F.coalesce(F.when(plain, text), from_gbk(F.when(~plain, F.col("content")))).alias("text"),
+    )
+    files = files.withColumn("lines", F.filter(F.split("text", "\r?\n"), lambda x: x != ""))
+    first = F.slice("lines", 1, 5)
+    least = lambda s: F.array_min(F.transform(first, lambda x: F.length(x) - F.length(F.replace(x, F.lit(s), F.lit("")))))
+    kinds = F.array(*[F.struct(least(s).alias("n"), F.lit(-i).alias("o"), F.lit(s).alias("sep")) for i, s in enumerate(SEPARATORS)])
+    return files.select("path", "encoding", F.array_max(kinds)["sep"].alias("sep"), "lines")
+
+
+def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Encoding and separator of the first file by name."""
+    r = _sniffed(spark, path).orderBy("path").select("encoding", "sep").head()
+    return r["encoding"], r["sep"]
+
+
+def read_money_flows(spark: SparkSession, path: str, code: str = "code", date: str = "date") -> DataFrame:
+    """:func:`read_money_flow` for many small files of different encodings, separators and columns: two jobs, one for the columns' names and one for
+    the rows.  Files that lack a column have NULL there; of a repeated (symbol, date) the largest figures are taken."""
+    files = _sniffed(spark, path).where(F.size("lines") > 0)
+    names = F.split(F.element_at("lines", 1), F.concat(F.lit("\\Q"), "sep", F.lit("\\E")), -1)
+    heads = files.withColumn("names", F.transform(names, lambda x: F.trim(F.replace(F.trim(x), F.lit('"'), F.lit("")))))
+    found = heads.select(F.explode("names").alias("name"), F.size("names").alias("width")).groupBy("name").agg(F.max("width").alias("width")).collect()
+    figures = sorted(r["name"] for r in found if r["name"] not in (code, date, ""))
+    most = max([r["width"] for r in found], default=1)
+    ddl = ", ".join(f"c{i} string" for i in range(most))
+    row = F.coalesce(*[F.when(F.col("sep") == s, F.from_csv("line", ddl, {"sep": s})) for s in SEPARATORS])
+    rows = heads.select("sep", "names", F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+    rows = rows.withColumn("row", row).withColumn("cells", F.array(*[F.col(f"row.c{i}") for i in range(most)])).withColumn("held", F.map_from_arrays("names", F.slice("cells", F.lit(1), F.size("names"))))
+    at = lambda c: F.try_element_at("held", F.lit(c))
+    rows = rows.select(
+        exchange_code(at(code)).alias(SYM), date_key(at(date)).alias("date"), *[at(c).try_cast("double").alias(c) for c in figures],
+    )
+    return latest_of_files(rows.where(F.col(SYM).isNotNull() & F.col("date").isNotNull()))
 
 
 def latest_of_files(rows: DataFrame) -> DataFrame:
@@ -162,8 +212,9 @@ def fingerprint(spark: SparkSession, paths: list[str], *code: Callable) -> str:
     rows = seen[0]
     for s in seen[1:]:
         rows = rows.unionByName(s)
-    mark = rows.agg(F.sort_array(F.collect_list(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime"))))).head()[0]
-    return hashlib.sha256("\n".join([*mark, *(inspect.getsource(f) for f in code)]).encode()).hexdigest()
+    of = lambda salt: F.sum(F.xxhash64("path", "length", F.unix_micros("modificationTime"), F.lit(salt)).cast("decimal(38,0)"))
+    mark = rows.agg(F.count("*"), of(1), of(2)).head()
+    return hashlib.sha256("\n".join([*map(str, mark), *(inspect.getsource(f) for f in code)]).encode()).hexdigest()
 
 
 def money_flow_leaves(flow: DataFrame, panel: DataFrame, amounts: list[str], lots: list[str]) -> DataFrame:
