@@ -144,31 +144,33 @@ def is_style_combination(node: Node) -> bool:
     return any(set(n.args[0].leaves) & set(STYLES) for n in divisions)
 
 
+#: Operators whose result has a dimension of its own: standardised (Z), logarithms (L), ratios (R), products and quotients (C).
+_OWN = {"cs_rank": "Z", "cs_demean": "Z", "cs_scale": "Z", "log": "L", "corr": "R", "mul": "C", "div": "C"}
+#: Operators whose sides must be of one dimension, and the dimensions that go with any.
+_ALIKE, _FREE = ("add", "sub", "min", "max"), frozenset("ZC")
+
+
 def dimension(node: Node) -> str:
-    """P, V, A, M (raw units) or R / L (ratios and logs); operators that rank, divide by scale or correlate give R."""
-    if not node.args:
-        return LEAVES.get(node.op, "R")
+    """P, V, A, M (raw units), R and L (ratios, logarithms), Z (standardised), C (compound), or X where the sides of a sum don't go together."""
     op = bare(node.op)
-    inner = [dimension(a) for a in node.args]
-    if op in ("cs_rank", "cs_scale", "sign", "ts_rank", "ts_rsqr", "ts_skew", "ts_kurt", "corr"):
-        return "R"
-    if op == "log":
-        return "L"
-    if op == "div":
-        return "R" if inner[0] == inner[1] else inner[0] if inner[1] in "RL" else "R"
-    if op == "mul":
-        return inner[1] if inner[0] in "RL" else inner[0]
-    return inner[0]
+    if not node.args:
+        return LEAVES.get(node.op, "X")
+    if op in _OWN:
+        return _OWN[op]
+    found = {dimension(a) for a in (node.args if op in _ALIKE else node.args[:1])}
+    if op in _ALIKE and found & _FREE:
+        return "C"
+    return found.pop() if len(found) == 1 else "X"
 
 
 def review(node: Node) -> str | None:
-    """Why an expression makes no sense, or None: sums or comparisons of different raw units, x - x, x / x."""
+    """Why an expression makes no sense, or None: sums or comparisons of different dimensions, x - x, x / x."""
     for n in node.walk():
         op = bare(n.op)
         if op in ("sub", "div") and len(n.args) == 2 and n.args[0] == n.args[1]:
             return f"{op} of equal sides"
-        if op in ("add", "sub", "min", "max") and len(n.args) == 2:
-            a, b = (dimension(x) for x in n.args)
-            if a != b and a in "PVAM" and b in "PVAM":
-                return f"{op} of {a} and {b}"
+        if op in _ALIKE and n.args:
+            found = {dimension(a) for a in n.args}
+            if len(found) > 1 and not found & _FREE:
+                return f"{op} of " + " and ".join(sorted(found))
     return None

@@ -92,3 +92,9 @@ LEAVES: dict[str, str] = {
     "vwap": "P", "ret": "R", "turn_ratio": "R", "ln_mktcap": "L", "ln_volume": "L", "overnight": "R", "intraday": "R", "amplitude": "R", "up_shadow": "R", "down_shadow": "R", "hl_ratio": "R", "true_range": "R",
     **{f: ("V" if f.endswith("qty") else "A") for f in _MONEY}, **{f: "R" for f in (*STYLES, *FINANCIALS, *ALTERNATIVE)},
 }
+
+
+def entries() -> list[dict]:
+    """The operators and leaves as plain rows, to be stored or shown: kind, name, arity, axis, window, dimension."""
+    ops = [{"kind": "operator", "name": o.name, "arity": o.arity, "axis": o.axis, "window": o.window, "dimension": None} for o in OPERATORS.values()]
+    return ops + [{"kind": "leaf", "name": k, "arity": 0, "axis": None, "window": None, "dimension": d} for k, d in LEAVES.items()]

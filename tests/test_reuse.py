@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stratapanel.plans import registry
 from stratapanel.plans.compiler import evaluate
-from stratapanel.plans.expr import parse
+from stratapanel.plans.expr import dimension, parse, review
 from stratapanel.plans.reuse import Values
+from stratapanel.sources import store
 
 FIRST = {"a": "ts_mean20(close)", "b": "sub(cs_rank(ts_mean20(close)), cs_rank(open))"}
 SECOND = {"c": "cs_rank(sub(ts_mean20(close), ts_rank10(open)))", "d": "mul(cs_rank(open), ts_mean20(close))", "e": "close", "b": FIRST["b"]}
@@ -49,3 +51,17 @@ def test_another_panel_shares_nothing_and_the_budget_holds(spark, panel, tmp_pat
     [second] = store.tables()
     assert first["table"] != second["table"] and second["digest"] == "p2"
     assert not (tmp_path / "v" / first["table"]).exists()
+
+
+def test_dimensions_that_go_together():
+    bad = ("sub(ret, close)", "add(close, volume)", "max(ln_volume, ret)", "sub(turnover, mktcap)", "add(ts_mean5(close), ts_mean5(volume))", "min(add(close, open), ret)")
+    good = ("sub(close, open)", "add(cs_rank(close), volume)", "sub(mul(close, volume), turnover)", "min(ret, overnight)", "sub(log(close), ln_volume)", "add(corr20(close, volume), ret)")
+    assert all(review(parse(x)) for x in bad) and not any(review(parse(x)) for x in good)
+    assert [dimension(parse(x)) for x in ("close", "div(close, volume)", "sub(cs_rank(ret), close)", "sub(ret, close)", "ts_std20(volume)")] == ["P", "C", "C", "X", "V"]
+
+
+def test_registry_is_exported(spark, tmp_path):
+    rows = spark.createDataFrame(registry.entries(), "kind string, name string, arity int, axis string, window int, dimension string")
+    store.write_entries(rows, f"file://{tmp_path}/r")
+    found = spark.read.json(f"file://{tmp_path}/r")
+    assert found.count() == len(registry.OPERATORS) + len(registry.LEAVES) and found.where("name = 'ts_rank200' and window = 200").count() == 1
