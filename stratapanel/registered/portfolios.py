@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import cs
 from ..functions.scalar import rounded
 from ..functions.ts import SYM, T
+from ..operators import backtest as bt
 from ..operators import combination as cb
 from ..operators import portfolios as pf
 from ..operators import selection
+from ..operators.evaluation import on_grid
 from ..sources import panels
 from .across import base_rows, base_sql, ordinal, pct
 from .along import _enough
 from .base import LEAVES, P2, line, r
-from .general import streams
+from .general import _STREAMS, streams
 
 
 def _rows(spark, sf_dir):
@@ -112,10 +115,45 @@ SELECT a AS factor, {r('max(likeness)')} AS likeness, arg_max(b, (likeness, b))
 
 
 def unlike_weights(spark, sf_dir):
-    """Even weights of return streams that are unlike each other, evaluated every 20 rows; tested against a plain loop."""
+    """Even weights of return streams that are unlike each other, evaluated every 20 rows."""
     return pf.unlike_weights(streams(spark, sf_dir), 20, 40, 20, 0.1).select(F.col(T).alias(T), "id", rounded(F.col("w")).alias("w"))
 
 
+_WEIGHTS = f"""{_STREAMS.replace('WITH ', 'WITH RECURSIVE ', 1)}, d AS (SELECT t, row_number() OVER (ORDER BY t) AS i FROM (SELECT DISTINCT t FROM s)),
+ev AS (SELECT k * 20 AS ep, (SELECT max(i) FROM d WHERE d.t < k * 20) AS upto FROM range(0, (SELECT CAST(max(t) // 20 + 2 AS BIGINT) FROM d)) x(k)),
+v AS (SELECT ep, id, s.t, x FROM ev JOIN d ON d.i > upto - 40 AND d.i <= upto JOIN s ON s.t = d.t WHERE upto >= 20),
+sc AS (SELECT ep, id, coalesce(CASE WHEN stddev_samp(x) > 0 THEN avg(x) / stddev_samp(x) END, -9) AS score FROM v GROUP BY ep, id),
+vp AS (SELECT l.ep, l.id AS a, q.id AS b, l.x AS xa, q.x AS xb FROM v l JOIN v q ON l.ep = q.ep AND l.t = q.t AND l.id <> q.id),
+vr AS (SELECT ep, a, b, rank() OVER (PARTITION BY ep, a, b ORDER BY xa) + (count(*) OVER (PARTITION BY ep, a, b, xa) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY ep, a, b ORDER BY xb) + (count(*) OVER (PARTITION BY ep, a, b, xb) - 1) / 2.0 AS rb FROM vp),
+near AS (SELECT ep, a, list(b) AS near FROM (SELECT ep, a, b FROM vr GROUP BY ep, a, b HAVING abs(covar_pop(ra, rb)) >= 0.1 * sqrt(var_pop(ra) * var_pop(rb)) AND var_pop(ra) * var_pop(rb) > 0) GROUP BY ep, a),
+o AS (SELECT sc.ep, sc.id, coalesce(near, []) AS near, row_number() OVER (PARTITION BY sc.ep ORDER BY score DESC, CAST(sc.id AS VARCHAR)) AS i FROM sc LEFT JOIN near ON near.ep = sc.ep AND near.a = sc.id),
+walk AS (
+  SELECT DISTINCT ep, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids FROM o
+  UNION ALL
+  SELECT w.ep, o.i, CASE WHEN list_has_any(o.near, w.ids) THEN w.ids ELSE list_append(w.ids, o.id) END FROM walk w JOIN o ON o.ep = w.ep AND o.i = w.i + 1
+), best AS (SELECT ep, arg_max(ids, i) AS ids FROM walk GROUP BY ep)
+SELECT CAST(ep AS BIGINT) AS t, unnest(ids) AS id, {r('1.0::DOUBLE / len(ids)')} AS w FROM best"""
+
+
+def combine_choice(spark, sf_dir):
+    """Four factors combined by the streams of their best names that are unlike each other, evaluated every ten months, and the backtest of it beside
+    that of even weights; tested against loops."""
+    names = ["f", "g", "h", "k"]
+    rows = base_rows(spark, sf_dir, extra={"g": "neg(ts_mean10(ret))", "h": "ts_mean10(intraday)", "k": "neg(ts_std20(ret))"})
+    ranks = rows.withColumns({c: cs.cs_rank(F.col(c)) for c in names})
+    best = [F.avg(F.when(F.col(c) > 0.8, F.col("r"))) - F.avg("r") for c in names]
+    per = on_grid(ranks, 1).where("r is not null").groupBy(T).agg(*[b.alias(c) for b, c in zip(best, names, strict=True)])
+    streams_ = per.select(T, F.explode(F.array(*[F.struct(F.lit(c).alias("id"), F.col(c).alias("x")) for c in names])).alias("s")).select("s.id", F.col(T).cast("long").alias(T), "s.x").where("x is not null")
+    weights = pf.unlike_weights(streams_, 10, 40, 10, 0.5)
+    schemes = {"choice": cb.combine_by_choice(ranks, weights, names), "even": cb.combine_equal(ranks, names)}
+    out = None
+    for name, made in schemes.items():
+        traded = bt.trades(made.withColumn("f", cs.cs_rank(F.col("combo"))))
+        found = bt.record(traded, daily=False, least=30, least_top=3, least_pool=20, least_periods=3).select(F.lit(name).alias("scheme"), *[rounded(F.col(c)).alias(c) for c in ("ann_ex", "calmar", "sharpe", "dd", "turn")])
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def supplier_streams(spark, sf_dir):
     panel = panels.with_leaves(panels.lineitem_panel(spark, sf_dir))
     return panel.where("ret is not null").select(F.col(SYM).cast("long").alias("id"), T, F.col("ret").alias("x"))
@@ -158,5 +196,6 @@ QUERIES = {
     "buffered_portfolio": (buffered, _BUFFERED),
     "buffer_sweep": (buffer_sweep, _SWEEP),
     "unlike_known": (unlike_known, _unlike_sql()),
-    "unlike_weights": (unlike_weights, None),
+    "unlike_weights": (unlike_weights, _WEIGHTS),
+    "combine_choice": (combine_choice, None),
 }
