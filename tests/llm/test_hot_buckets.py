@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stratapanel.llm import minhash
+from stratapanel.llm import exactdedup, minhash
 from stratapanel.llm.common import likely_among, surely_not_among, surviving
 
 
@@ -76,3 +76,20 @@ def test_rows_that_stay_pass_by(spark):
     decided = decided.unionByName(decided.limit(0))
     found = surviving(rows.select("id", "text"), "id", "text", decided)
     assert sorted(r["id"] for r in found.collect()) == [i for i in range(2000) if i % 3]
+
+
+def test_skewed_hashes_give_buckets_of_different_depths(spark):
+    crowded = spark.range(4096).selectExpr("shiftleft(id, 44) as h")
+    spread = spark.range(1, 64).selectExpr("shiftleft(id, 57) + 5 as h")
+    slots, depth = exactdedup.directory(crowded.unionByName(spread), capacity=64)
+    found = {(r["bucket"], r["depth"]) for r in slots.collect()}
+    depths = {d for _, d in found}
+    assert depth == 14 and max(depths) == 14 and min(depths) < 14
+    # each bucket is within the capacity
+    held = {}
+    for h in [i << 44 for i in range(4096)] + [(i << 57) + 5 for i in range(1, 64)]:
+        slot = h >> (64 - depth)
+        bucket, d = max((b, d) for b, d in found if b <= slot)
+        assert slot >> (depth - d) == bucket >> (depth - d)
+        held[bucket] = held.get(bucket, 0) + 1
+    assert max(held.values()) <= 64
