@@ -41,6 +41,19 @@ def net_of_cost(shape: DataFrame, stab: DataFrame, cost: float, step: int = 5, y
     )
 
 
+def net_neutral(rows: DataFrame, styles: list[str], stab: DataFrame, cost: float, step: int = 5, year: int = 252, least: int = 100, least_in_bucket: int = 5) -> DataFrame:
+    """What the factor's best bucket earns of the part of the return that ``styles`` don't explain: per period, yearly net of costs, its ratio to the
+    deviation, and the absolute mean IC with that part.  Costs go by the turnover of the bucket itself, or by 1 - ``stab`` where it is unknown."""
+    left = ev.neutralize_rows(ev.on_grid(rows, step), "r", styles, "__r", min(least, 50)).withColumn("r", F.col("__r"))
+    shape = ev.decile_shape(left, step, least=least, least_in_bucket=least_in_bucket).select(F.col("d1").alias("d1_n"), F.col("sd_top").alias("sd_top_n"), "turn_top")
+    ic = ev.batch_ic(left, ["f"], min(least, 50)).agg(F.max(F.abs("ic")).alias("ic_n"))
+    times = year / step
+    turn = F.coalesce("turn_top", 1 - F.col("stab"))
+    net = F.col("d1_n") * times - 2 * cost * turn * times
+    ratio = F.when(F.col("sd_top_n") > 0, F.try_divide(net, F.col("sd_top_n") * F.sqrt(F.lit(times))))
+    return shape.crossJoin(stab).crossJoin(ic).select("d1_n", "sd_top_n", net.alias("net_n_ann"), ratio.alias("net_n_sharpe"), "ic_n")
+
+
 def thinned(rows: DataFrame, keys: list[str], order: str, points: int) -> DataFrame:
     """Of each curve ``points`` rows at equal steps, its ends among them; shorter curves stay whole."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -73,6 +73,26 @@ def _net_sql() -> str:
     return f"{_SHAPE_ROW}, {stable}\nSELECT {', '.join(f'{r(v)} AS {k}' for k, v in cols.items())} FROM shape, st"
 
 
+def net_of_cost_neutral(spark, sf_dir):
+    rows = base_rows(spark, sf_dir)
+    stab = ev.stability(rows, least=20).agg(F.avg("corr").alias("stab"))
+    out = rp.net_neutral(rows, ["ln_mktcap", "ln_volume"], stab, 0.002, least=30, least_in_bucket=2)
+    return out.select(*[rounded(F.col(c), 5).alias(c) for c in ("d1_n", "sd_top_n", "net_n_ann", "net_n_sharpe", "ic_n")])
+
+
+def _net_neutral_sql() -> str:
+    w = "OVER (PARTITION BY t)"
+    left = f"""base0 AS (SELECT * FROM raw WHERE t % 5 = 0), nb AS (SELECT sym, t, r, ln_mktcap AS x1, ln_volume AS x2 FROM base0 WHERE r IS NOT NULL AND ln_mktcap IS NOT NULL AND ln_volume IS NOT NULL),
+nm AS (SELECT *, count(*) {w} AS n, var_pop(x1) {w} AS s11, var_pop(x2) {w} AS s22, covar_pop(x1, x2) {w} AS s12, covar_pop(r, x1) {w} AS s1, covar_pop(r, x2) {w} AS s2, avg(r) {w} AS my, avg(x1) {w} AS m1, avg(x2) {w} AS m2 FROM nb),
+ne AS (SELECT sym, t, r - (my + (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) * (x1 - m1) + (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) * (x2 - m2)) AS e FROM nm WHERE n >= 30),
+base AS (SELECT b.* REPLACE (coalesce(e, b.r) AS r) FROM base0 b LEFT JOIN ne ON ne.sym = b.sym AND ne.t = b.t)"""
+    shape = _SHAPE_ROW.replace(", base AS (", ", raw AS (", 1).replace(", q0 AS (", f", {left}, q0 AS (", 1)
+    ics = f"iy AS (SELECT t, {ordinal('f')} AS x, {ordinal('r')} AS y FROM base), id AS (SELECT t, {_corr('x', 'y')} AS c FROM iy WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY t HAVING count(*) >= 30)"
+    net = "(d1 * 50.4 - 0.004 * turn_top * 50.4)"
+    return f"""{shape}, {ics}
+SELECT {r('d1', 5)} AS d1_n, {r('sd_top', 5)} AS sd_top_n, {r(net, 5)} AS net_n_ann, {r(f'{net} / (sd_top * sqrt(50.4))', 5)} AS net_n_sharpe, {r('(SELECT abs(avg(c)) FROM id)', 5)} AS ic_n FROM shape"""
+
+
 def long_short(spark, sf_dir):
     return _shown(rp.long_short(base_rows(spark, sf_dir), least=30, least_in_bucket=2), ("nav_top", "nav_bottom", "nav_spread"), (T,))
 
@@ -233,6 +253,7 @@ QUERIES = {
     "strip_variants": (strip_variants, _STRIPS),
     "pool_restricted_ic": (pool_restricted, _pool_sql()),
     "net_of_cost": (net_of_cost, _net_sql()),
+    "net_of_cost_neutral": (net_of_cost_neutral, _net_neutral_sql()),
     "long_short_curves": (long_short, _LONG_SHORT),
     "dynamic_exposure": (exposures, _EXPOSURES),
     "style_profile": (style_profile, _profile_sql()),
