@@ -125,19 +125,26 @@ def style_ladder(spark, sf_dir):
     return out.select("model", "days", rounded(F.col("ic")).alias("ic"), rounded(F.col("excess")).alias("excess"))
 
 
-def _ladder_sql() -> str:
+def left_over(held: list[str]) -> str:
+    """What a regression of y on none, one or two columns leaves, per date."""
     w = "OVER (PARTITION BY t)"
-    one = lambda x: f"y - avg(y) {w} - CASE WHEN var_pop({x}) {w} > 1e-12 THEN covar_pop(y, {x}) {w} / var_pop({x}) {w} ELSE 0 END * ({x} - avg({x}) {w})"
+    if not held:
+        return "y"
+    if len(held) == 1:
+        x = held[0]
+        return f"y - avg(y) {w} - CASE WHEN var_pop({x}) {w} > 1e-12 THEN covar_pop(y, {x}) {w} / var_pop({x}) {w} ELSE 0 END * ({x} - avg({x}) {w})"
+    a, b = held
+    s = {k: f"{f}({', '.join(v)}) {w}" for k, f, v in (("aa", "var_pop", [a]), ("bb", "var_pop", [b]), ("ab", "covar_pop", [a, b]), ("ya", "covar_pop", ["y", a]), ("yb", "covar_pop", ["y", b]))}
+    det = f"({s['aa']} * {s['bb']} - {s['ab']} * {s['ab']})"
+    first, second = f"({s['ya']} * {s['bb']} - {s['yb']} * {s['ab']}) / {det}", f"({s['yb']} * {s['aa']} - {s['ya']} * {s['ab']}) / {det}"
+    return f"y - avg(y) {w} - {first} * ({a} - avg({a}) {w}) - {second} * ({b} - avg({b}) {w})"
 
-    def two(a: str, b: str) -> str:
-        s = {k: f"{f}({', '.join(v)}) {w}" for k, f, v in (("aa", "var_pop", [a]), ("bb", "var_pop", [b]), ("ab", "covar_pop", [a, b]), ("ya", "covar_pop", ["y", a]), ("yb", "covar_pop", ["y", b]))}
-        det = f"({s['aa']} * {s['bb']} - {s['ab']} * {s['ab']})"
-        first, second = f"({s['ya']} * {s['bb']} - {s['yb']} * {s['ab']}) / {det}", f"({s['yb']} * {s['aa']} - {s['ya']} * {s['ab']}) / {det}"
-        return f"y - avg(y) {w} - {first} * ({a} - avg({a}) {w}) - {second} * ({b} - avg({b}) {w})"
 
+def _ladder_sql() -> str:
+    w = "OVER (PARTITION BY t)"
     parts = []
     for name, held in LADDER.items():
-        left = "y" if not held else one(held[0]) if len(held) == 1 else two(*held)
+        left = left_over(held)
         given = "".join(f" AND {c} IS NOT NULL" for c in held)
         parts.append(f"SELECT '{name}' AS model, sym, t, r, {left} AS v, count(*) {w} AS m FROM q WHERE y IS NOT NULL{given}")
     return f"""{base_sql()}, q AS (SELECT sym, t, r, {ordinal('f')} AS y, {', '.join(f'{ordinal(c)} AS {c}' for c in ('ln_mktcap', 'ln_volume', 'turn_ratio'))} FROM base WHERE t % 5 = 0),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import cs
 from ..functions.scalar import rounded
 from ..functions.ts import SYM, T
 from ..operators import backtest as bt
@@ -11,12 +12,13 @@ from ..operators import combination as cb
 from ..operators import evaluation as ev
 from ..operators import reports as rp
 from ..sources import panels, store
-from .across import base_rows, base_sql, ordinal
+from ..sources.shared import ensure_checkpoint_dir
+from .across import base_rows, base_sql, left_over, ordinal
 from .along import _enough
 from .base import line, r
 from .general import _METRICS, supplier_metrics
 from .reporting import _stripped_rows
-from .scoring import _DECILES, _LIMIT, _MARKS_CTES, _RECORD, _corr, _metrics_sql, _per_sql, _record_sql, _shown, _traded
+from .scoring import _DECILES, _LIMIT, _MARKS_CTES, _RECORD, _corr, _metrics_sql, _per_sql, _record_sql, _shown, _stream_sql, _traded
 
 _LEAST = {"least": 30, "least_top": 2, "least_pool": 20}
 _w = "OVER (PARTITION BY t)"
@@ -51,6 +53,39 @@ z AS (SELECT a.sym, a.t, f, g, coalesce(e, r) AS y FROM a LEFT JOIN e ON e.sym =
 SELECT factor, count(c) AS days, {r('abs(avg(c))', 5)} AS ic_n FROM d GROUP BY factor"""
 
 
+_STRIPS = {"none": [], "size": ["ln_mktcap"], "volume": ["ln_volume"], "both": ["ln_mktcap", "ln_volume"]}
+_STRIPPED = ("ann_ex", "dd", "calmar", "sharpe", "turn", "ann_ex_cw", "dd_cw", "calmar_cw")
+
+
+def attribution(spark, sf_dir):
+    """The backtest of the factor as it is and with size, volume and both stripped from its ranks, against the even and the weighted market: all
+    residuals come from one pass of sums."""
+    ensure_checkpoint_dir(spark)
+    rows = base_rows(spark, sf_dir)
+    ranked = rows.withColumns({"__f": cs.ordinal_rank(F.col("f"))} | {f"__{c}": cs.ordinal_rank(F.col(c)) for c in _STRIPS["both"]})
+    left = ev.nested_residuals(ranked, "__f", {k: [f"__{c}" for c in v] for k, v in _STRIPS.items()}, 30).checkpoint()
+    out = None
+    for name in _STRIPS:
+        made = bt.record(bt.trades(left.withColumn("f", cs.ordinal_rank(F.col(name))), limit=_LIMIT), daily=False, least_periods=3, **_LEAST)
+        made = made.select(F.lit(name).alias("strip"), "periods", *[rounded(F.col(c)).alias(c) for c in _STRIPPED])
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _attribution_sql() -> str:
+    parts = []
+    for name, held in _STRIPS.items():
+        given = "".join(f" AND {c} IS NOT NULL" for c in held)
+        left = f"""k0 AS (SELECT sym, t, {ordinal('f')} AS y, {', '.join(f'{ordinal(c)} AS {c}' for c in _STRIPS['both'])} FROM raw),
+zv AS (SELECT sym, t, {left_over(held)} AS v, count(*) OVER (PARTITION BY t) AS m FROM k0 WHERE y IS NOT NULL{given}), zo AS (SELECT sym, t, {ordinal('v')} AS f FROM zv WHERE m >= 30),
+base AS (SELECT raw.* REPLACE (zo.f AS f) FROM raw LEFT JOIN zo ON zo.sym = raw.sym AND zo.t = raw.t)"""
+        per = _per_sql().replace(", base AS (", ", raw AS (", 1).replace("  FROM leaves\n)", f"  FROM leaves\n), {left}", 1)
+        streams_ = ", ".join(_stream_sql(k, "per", c, "t", "n * 5 / 243.0", "243 / 5.0") for k, c in (("xs", "excess"), ("xw", "excess_w")))
+        cols = {"ann_ex": "xs.ann", "dd": "xs.dd", "calmar": "xs.calmar", "sharpe": "xs.sharpe", "turn": "(SELECT avg(turn) FROM per)", "ann_ex_cw": "xw.ann", "dd_cw": "xw.dd", "calmar_cw": "xw.calmar"}
+        parts.append(f"SELECT * FROM ({per}, {streams_} SELECT '{name}' AS strip, xs.n AS periods, {', '.join(f'{r(v)} AS {k}' for k, v in cols.items())} FROM xs, xw)")
+    return " UNION ALL ".join(parts)
+
+
 def pool_record(spark, sf_dir):
     """The record of the factor inside three pools: others are masked, members ranked among themselves, weighted market included."""
     rows = rp.restricted(base_rows(spark, sf_dir), F.col("pool").isin(1, 2, 3))
@@ -287,6 +322,7 @@ def _recent_sql() -> str:
 
 QUERIES = {
     "neutralised_returns": (neutralised_returns, _NEUTRAL_RETURNS),
+    "attribution": (attribution, _attribution_sql()),
     "neutral_ic": (neutral_ic, _neutral_ic_sql()),
     "pool_record": (pool_record, _POOL_RECORD),
     "strip_record": (strip_record, _STRIP_RECORD),
