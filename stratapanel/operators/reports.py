@@ -151,6 +151,18 @@ def style_profile(rows: DataFrame, styles: list[str], least: int = 100) -> DataF
     )
 
 
+def style_profiles(rows: DataFrame, styles: list[str], kinds: dict[str, list[str]], least: int = 100) -> DataFrame:
+    """:func:`style_profile` of the factor and of what is left of its ranks without some styles, a kind each; all kinds come from one pass of sums."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    ranked = rows.select(SYM, T, cs.ordinal_rank(F.col("f")).alias("__f"), *styles, *[cs.ordinal_rank(F.col(s)).alias(f"__{s}") for s in styles])
+    left = ev.nested_residuals(ranked, "__f", {k: [f"__{s}" for s in held] for k, held in kinds.items()}, least).checkpoint()
+    out = None
+    for kind in kinds:
+        made = style_profile(left.select(SYM, T, F.col(kind).alias("f"), *styles), styles, least).select(F.lit(kind).alias("kind"), "*")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def sweep(traded: dict[int, DataFrame], costs: list[float], **least: int) -> DataFrame:
     """Metrics for every horizon (its own trades) and cost."""
     parts = []

@@ -11,7 +11,7 @@ from ..operators import combination as cb
 from ..operators import evaluation as ev
 from ..operators import reports as rp
 from ..sources import panels
-from .across import _neutral_two, base_rows, base_sql, ordinal, pct
+from .across import _neutral_two, base_rows, base_sql, left_over, ordinal, pct
 from .base import P2, line, r
 from .general import _STREAMS, streams
 from .scoring import _DECILES, _LIMIT, _SHAPE_ROW, _corr, _metrics_sql, _per, _per_sql, _shown
@@ -128,6 +128,31 @@ k AS (SELECT style, count(c) AS n, avg(c) AS mean, avg(abs(c)) AS abs_mean, avg(
 SELECT style, n, {r('mean')} AS mean, {r('abs_mean')} AS abs_mean, {r('ir')} AS ir, {r('ir * sqrt(n)')} AS t_plain, {r('ir * sqrt(n * (1 - rho) / (1 + rho))')} AS t_ar1, {r('win')} AS win FROM k"""
 
 
+_KINDS = {"raw": [], "size": ["ln_mktcap"], "all": ["ln_mktcap", "ln_volume"]}
+
+
+def style_profiles(spark, sf_dir):
+    out = rp.style_profiles(base_rows(spark, sf_dir), ["ln_mktcap", "ln_volume", "turn_ratio"], _KINDS, 30)
+    return out.select(
+        "kind", "style", F.col("n").cast("long").alias("n"),
+        *[rounded(F.col(c), 5).alias(c) for c in ("mean", "abs_mean", "ir", "t_plain", "t_ar1", "win")],
+    )
+
+
+def _profiles_sql() -> str:
+    parts = []
+    for kind, held in _KINDS.items():
+        given = "".join(f" AND {c} IS NOT NULL" for c in held)
+        left = f"""k0 AS (SELECT sym, t, {ordinal('f')} AS y, {', '.join(f'{ordinal(c)} AS {c}' for c in _KINDS['all'])} FROM raw),
+zv AS (SELECT sym, t, {left_over(held)} AS v, count(*) OVER (PARTITION BY t) AS m FROM k0 WHERE y IS NOT NULL{given}),
+base AS (SELECT raw.* REPLACE (CASE WHEN m >= 30 THEN v END AS f) FROM raw LEFT JOIN zv ON zv.sym = raw.sym AND zv.t = raw.t)"""
+        one = _profile_sql().replace(", base AS (", ", raw AS (", 1).replace("  FROM leaves\n)", f"  FROM leaves\n), {left}", 1).replace("HAVING count(*) >= 20", "HAVING count(*) >= 30")
+        for c in ("mean", "abs_mean", "ir", "t_plain", "t_ar1", "win"):
+            one = one.replace(f"* 1e6 + 0.5003) / 1e6 AS {c}", f"* 1e5 + 0.5003) / 1e5 AS {c}")
+        parts.append(f"SELECT '{kind}' AS kind, * FROM ({one})")
+    return " UNION ALL ".join(parts)
+
+
 def cost_sweep(spark, sf_dir):
     out = rp.sweep({5: bt.trades(base_rows(spark, sf_dir), limit=_LIMIT)}, [0.0, 0.004, 0.007], least=30, least_top=2, least_pool=20)
     return out.select(
@@ -257,6 +282,7 @@ QUERIES = {
     "long_short_curves": (long_short, _LONG_SHORT),
     "dynamic_exposure": (exposures, _EXPOSURES),
     "style_profile": (style_profile, _profile_sql()),
+    "style_profiles": (style_profiles, _profiles_sql()),
     "cost_sweep": (cost_sweep, _sweep_sql()),
     "horizon_sweep": (horizon_sweep, _horizon_sql()),
     "daily_picks": (daily_picks, _PICKS),
