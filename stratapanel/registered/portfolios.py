@@ -137,7 +137,7 @@ SELECT CAST(ep AS BIGINT) AS t, unnest(ids) AS id, {r('1.0::DOUBLE / len(ids)')}
 
 def combine_choice(spark, sf_dir):
     """Four factors combined by the streams of their best names that are unlike each other, evaluated every ten months, and the backtest of it beside
-    that of even weights; tested against loops."""
+    that of even weights; weights, combination and record are tested on their own."""
     names = ["f", "g", "h", "k"]
     rows = base_rows(spark, sf_dir, extra={"g": "neg(ts_mean10(ret))", "h": "ts_mean10(intraday)", "k": "neg(ts_std20(ret))"})
     ranks = rows.withColumns({c: cs.cs_rank(F.col(c)) for c in names})
