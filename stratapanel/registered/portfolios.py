@@ -13,6 +13,7 @@ from ..operators import portfolios as pf
 from ..operators import selection
 from ..operators.evaluation import on_grid
 from ..sources import panels
+from ..sources.shared import ensure_checkpoint_dir
 from .across import base_rows, base_sql, ordinal, pct
 from .along import _enough
 from .base import LEAVES, P2, line, r
@@ -162,15 +163,15 @@ def supplier_streams(spark, sf_dir):
 def admission(spark, sf_dir):
     """Suppliers' monthly returns let in by mean over deviation: none like one that is in, at most four per nation; two nations are barred, the first
     two suppliers are in from the start."""
-    streams_ = supplier_streams(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    streams_ = supplier_streams(spark, sf_dir).checkpoint()
     nation = panels.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_nationkey").alias("skeleton"))
     score = F.floor(F.try_divide(F.avg("x"), F.stddev_samp("x")) * 1e6).cast("double")
     nodes = streams_.groupBy("id").agg(score.alias("score")).join(nation, "id")
     low = nodes.agg(F.min("id").alias("low"))
     held = F.col("id") <= F.col("low") + 1
     nodes = nodes.join(F.broadcast(low)).withColumns({"held": held, "barred": ~held & F.col("skeleton").isin(3, 7)})
-    pairs = cb.stream_correlations(streams_, 20).where("abs(corr) > 0.3")
-    return selection.admit(nodes, pairs, 4)
+    return selection.admit_streams(nodes, streams_, 0.3, 20, 4)
 
 
 _ADMISSION = f"""WITH RECURSIVE {P2}, {LEAVES}, s AS (SELECT CAST(sym AS BIGINT) AS id, t, ret AS x FROM leaves WHERE ret IS NOT NULL),

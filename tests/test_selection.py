@@ -37,6 +37,28 @@ def test_admission_is_the_loop_on_random_graphs(spark):
         assert {r["id"]: (r["admitted"], r["reason"]) for r in found.collect()} == loop(nodes, pairs, most)
 
 
+def test_admission_by_streams_is_the_loop_and_makes_no_table_of_pairs(spark, monkeypatch):
+    def no_pairs(*_, **__):
+        raise AssertionError("all pairs")
+
+    for seed, most, gaps in ((1, 3, 0.0), (2, None, 0.3), (3, 1, 0.1), (4, 0, 0.1)):
+        rng = np.random.default_rng(seed)
+        x = np.round(rng.standard_normal((40, 70)) + rng.standard_normal((40, 1)) * (rng.random(70) < 0.3), 1)
+        x[rng.random(x.shape) < gaps] = np.nan
+        x[:, 20:40] = x[:, :20]  # copies
+        x[:, 5], x[:, 6], x[:, 7], x[5:, 8] = 1.0, 1.0, np.nan, np.nan  # flat, missing and short streams
+        pick = random.Random(seed)
+        nodes = [(i, pick.choice([None, *range(8)]), pick.choice(["a", "b", "c", None]), pick.random() < 0.05, pick.random() < 0.1) for i in range(70)]
+        nodes = [(i, None if s is None else float(s), k, h, b and not h) for i, s, k, h, b in nodes]
+        corr = pd.DataFrame(x).corr(method="spearman", min_periods=12)
+        pairs = [(a, b) for a in range(70) for b in range(a) if abs(corr.loc[a, b]) > 0.3]
+        rows = [(i, t, None if np.isnan(x[t, i]) else float(x[t, i])) for t in range(40) for i in range(70)]
+        monkeypatch.setattr(cb, "stream_correlations", no_pairs)
+        for head in (4, 256):
+            found = selection.admit_streams(spark.createDataFrame(nodes, NODE), spark.createDataFrame(rows, "id long, t long, x double"), 0.3, 12, most, head)
+            assert {r["id"]: (r["admitted"], r["reason"]) for r in found.collect()} == loop(nodes, pairs, most)
+
+
 def test_admission_of_nothing(spark):
     assert selection.admit(spark.createDataFrame([], NODE), spark.createDataFrame([], "a long, b long"), 3).count() == 0
 
