@@ -37,9 +37,11 @@ def shown(x: Column, digits: int = 6) -> Column:
 
 def rounded(x: Column, digits: int = 6) -> Column:
     """Rounding for comparisons between engines, without a negative zero.  The step lies a little off one half, so that exact
-    halves, which quotients of cents and counts often are, don't depend on the last bit; :func:`shown` is true rounding."""
+    halves, which quotients of cents and counts often are, don't depend on the last bit; :func:`shown` is true rounding.  From 2**52 on
+    doubles have no fraction, and a long would overflow; they pass as they are."""
     scale = float(10**digits)
-    return F.floor(x.cast("double") * scale + 0.5003).cast("double") / scale
+    moved = x.cast("double") * scale + 0.5003
+    return F.when(F.abs(moved) < float(1 << 52), F.floor(moved).cast("double")).otherwise(moved) / scale
 
 
 def clipped(x: Column, low: float, high: float) -> Column:
