@@ -22,6 +22,11 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(F.abs(b) > TINY, F.try_divide(a, b))
 
 
+def ieee_div(a: Column, b: Column) -> Column:
+    """a / b as SQL on doubles has it: infinite, or NaN, over zero.  For figures that are shown or ranked; sums want :func:`safe_div`."""
+    return F.coalesce(F.try_divide(a, b), a * F.pow(b, F.lit(-1.0)))
+
+
 def lower_of(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
 

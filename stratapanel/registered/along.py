@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..functions import ts
-from ..functions.scalar import rounded
+from ..functions.scalar import ieee_div, rounded
 from ..functions.scan import Scan, scan, scans
 from ..functions.ts import SYM, T
 from ..sources import panels
@@ -78,7 +78,7 @@ def _panel(kind: str):
 
 def _leaves(kind: str):
     def run(spark, sf_dir):
-        frame = panels.with_leaves(panel_of(kind)(spark, sf_dir))
+        frame = panels.with_leaves(panel_of(kind)(spark, sf_dir), ieee_div)
         return frame.select(SYM, F.col(T).cast("long").alias(T), *[rounded(F.col(c)).alias(c) for c in panels.DERIVED])
 
     return run, f"WITH {P1 if kind == 'P1' else P2}, {LEAVES}\nSELECT sym, CAST(t AS BIGINT) AS t, {', '.join(f'{r(c)} AS {c}' for c in panels.DERIVED)} FROM leaves"

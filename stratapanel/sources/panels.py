@@ -3,6 +3,8 @@ frames.  The grid comes from exploding each symbol's range of dates; no cross jo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +93,8 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def derived_leaves() -> dict[str, Column]:
+def derived_leaves(divide: Callable[[Column, Column], Column] = F.try_divide) -> dict[str, Column]:
+    """Leaves from prices; over a price of zero there is none, or with ``divide=ieee_div`` an infinite one."""
     c = F.col
     pc = F.lag("close").over(line())
     rng = c("high") - c("low")
@@ -100,24 +103,24 @@ def derived_leaves() -> dict[str, Column]:
     ), F.when(c("open").isNotNull() & c("close").isNotNull(), F.least("open", "close"))
     return {
         "vwap": c("turnover") / F.when(c("volume").isNotNull(), F.greatest(c("volume"), F.lit(1e-9))),
-        "ret": F.try_divide(c("close"), pc) - 1,
+        "ret": divide(c("close"), pc) - 1,
         "turn_ratio": c("turnover") / F.when(c("mktcap").isNotNull(), F.greatest(c("mktcap"), F.lit(1e-9))),
         "ln_mktcap": safe_log(c("mktcap")),
         "ln_volume": safe_log(c("volume")),
-        "overnight": F.try_divide(c("open"), pc) - 1,
-        "intraday": F.try_divide(c("close"), c("open")) - 1,
-        "amplitude": F.try_divide(rng, pc),
+        "overnight": divide(c("open"), pc) - 1,
+        "intraday": divide(c("close"), c("open")) - 1,
+        "amplitude": divide(rng, pc),
         "up_shadow": safe_div(c("high") - top, rng),
         "down_shadow": safe_div(bottom - c("low"), rng),
-        "hl_ratio": F.try_divide(c("high"), c("low")),
-        "true_range": F.try_divide(F.when(pc.isNotNull(), F.greatest(rng, F.abs(c("high") - pc), F.abs(c("low") - pc))), pc),
+        "hl_ratio": divide(c("high"), c("low")),
+        "true_range": divide(F.when(pc.isNotNull(), F.greatest(rng, F.abs(c("high") - pc), F.abs(c("low") - pc))), pc),
     }
 
 
-def with_leaves(panel: DataFrame) -> DataFrame:
-    return panel.withColumns(derived_leaves())
+def with_leaves(panel: DataFrame, divide: Callable[[Column, Column], Column] = F.try_divide) -> DataFrame:
+    return panel.withColumns(derived_leaves(divide))
 
 
-def forward_return(f: int) -> Column:
+def forward_return(f: int, divide: Callable[[Column, Column], Column] = F.try_divide) -> Column:
     """Return of buying at the next close and holding f rows."""
-    return F.try_divide(F.lead("close", 1 + f).over(line()), F.lead("close", 1).over(line())) - 1
+    return divide(F.lead("close", 1 + f).over(line()), F.lead("close", 1).over(line())) - 1
