@@ -6,6 +6,8 @@ a wider window, but for the logarithm in ranks:
 
 * sums, means, moments and extremes: a symbol's rows are cut into blocks of one window; running totals from the front and from the back of
   each block add up to any window.  Moments are merged from the two parts' central moments, so no digits cancel.
+  Sums and means of up to 16 rows are added from the oldest value on instead: windows with the same values then have the same mean, so
+  that differences of two means are exactly 0 there and tie.
 * ranks: a window is the union of at most 2 log2(w) aligned runs of 2**k rows, each sorted once for all windows; bisection in them counts
   the values below the current one.
 * exponential averages: the recursion is a composition of affine maps x -> a x + b, made by doubling.
@@ -27,6 +29,8 @@ from .ts import FLAT, SYM, T, least_obs
 
 #: Rows that are computed at once, at least.
 ROWS = 1 << 16
+#: Windows up to here are added up row by row.
+NARROW = 16
 
 
 @dataclass(frozen=True)
@@ -176,6 +180,14 @@ class Run:
         key = self.code * width + (self.time - self.time.min()) + s.w
         return np.maximum(self.start, np.searchsorted(key, key - s.w + 1))
 
+    def added(self, x: np.ndarray, w: int) -> np.ndarray:
+        """Sums of the last ``w`` rows, from the oldest on."""
+        out, held = np.zeros(len(x)), np.where(np.isnan(x), 0.0, x)
+        inside = np.arange(len(x)) - self.start
+        for back in range(min(w, len(x)) - 1, -1, -1):
+            out[back:] += np.where(inside[back:] >= back, held[: len(x) - back], 0.0)
+        return out
+
     def ranked(self, s: Scan, x: np.ndarray) -> np.ndarray:
         below, same, count = counts_below(x, self.low(s))
         out = (below + (same + 1) / 2) / np.maximum(count, 1) if s.kind == "pct_rank" else below / np.maximum(count - 1, 1)
@@ -189,7 +201,7 @@ class Run:
         count = blocks.total(np.where(np.isnan(x), np.nan, 1.0))
         with np.errstate(all="ignore"):
             if s.kind in ("sum", "mean"):
-                out = blocks.total(x) / (count if s.kind == "mean" else 1)
+                out = (self.added(x, s.w) if s.w <= NARROW else blocks.total(x)) / (count if s.kind == "mean" else 1)
             elif s.kind in ("max", "min"):
                 out = blocks.extreme(x, np.maximum if s.kind == "max" else np.minimum)
             else:

@@ -25,7 +25,7 @@ def events(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["leaves_daily"])
+@pytest.mark.parametrize("name", ["ic_daily", "leaves_daily"])
 def test_daily_queries_equal_their_sql(spark, events, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{events}/events.parquet')")
@@ -49,3 +49,11 @@ def test_rounding_of_what_a_long_does_not_hold(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in held], "x double").select(rounded(F.col("x"))).collect()]
     assert got[0] == pytest.approx(held[0], rel=1e-15) and got[1] == pytest.approx(1e300) and got[2] == pytest.approx(-1e20)
     assert got[3:5] == [math.inf, -math.inf] and got[5:] == [0.123457, -0.1, None]
+
+
+def test_means_of_the_same_values_are_equal_whatever_the_window(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, t, float(np.round(rng.gamma(2.0, 30.0), 2)) if t >= 11 and rng.random() < 0.8 else None) for s in range(200) for t in range(16)]
+    made = scans(spark.createDataFrame(rows, "sym long, t long, x double"), {f"m{w}": scan("mean", "x", w, least=2) for w in (5, 10)})
+    last = made.where("t = 15 and m5 is not null")
+    assert last.count() > 150 and last.where("m5 - m10 <> 0").count() == 0
