@@ -1,8 +1,8 @@
 """Portfolio simulation over rebalancing periods, and the metrics of the return streams it gives.
 
 A period starts at a date d of the rebalancing grid: the top bucket by factor is bought at the next row's close where that can be
-bought, and sold at the first row from d + 1 + F on where it can be sold.  All of it is two joins of the panel with itself by
-(sym, t), done as windows, and two aggregations per period: one for the returns, and, among the periods that have enough names,
+bought, and sold at the first row from d + 1 + F on where it can be sold.  All of it is windows along each symbol, and two
+aggregations per period: one for the returns, and, among the periods that have enough names,
 one for what stays from the period before.  Only the path of period returns is ordered; it has one row per rebalancing date.
 """
 
@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions import cs
 from ..functions.ts import SYM, T, line
+from ..sources.shared import ensure_checkpoint_dir
 from .evaluation import FWD, YEAR, on_grid
 
 
 def with_tradability(panel: DataFrame, limit: float = 0.1) -> DataFrame:
     """``buyable``: traded (a positive price, and a positive ``turnover`` where the panel has it) and did not close at the upper
     limit; ``next_sell``: the first row from this one on that can be sold (the last row of the panel where there is none;
-    ``never_sold`` tells those).  Limits are the columns ``limit_up`` and ``limit_down``, or ``limit`` around the last close."""
+    ``never_sold`` tells those), and ``next_price``, its close.  Limits are the columns ``limit_up`` and ``limit_down``, or ``limit`` around the last close."""
     pc = F.lag("close").over(line())
     given = {"limit_up", "limit_down"} <= set(panel.columns)
     high, low = (F.col("limit_up"), F.col("limit_down")) if given else (pc * (1 + limit), pc * (1 - limit))
@@ -27,10 +28,15 @@ def with_tradability(panel: DataFrame, limit: float = 0.1) -> DataFrame:
     if "turnover" in panel.columns:
         there = there & F.coalesce(F.col("turnover") > 0, F.lit(False))
     up, down = F.coalesce(F.col("close") >= high - 1e-6, F.lit(False)), F.coalesce(F.col("close") <= low + 1e-6, F.lit(False))
-    sellable = F.when(there & ~down, F.col(T))
-    last = F.max(T).over(Window.partitionBy(SYM))
-    first = F.min(sellable).over(line().rowsBetween(0, Window.unboundedFollowing))
-    return panel.withColumns({"buyable": there & ~up, "next_sell": F.coalesce(first, last), "never_sold": first.isNull()})
+    sellable = F.when(there & ~down, F.struct(F.col(T).alias("t"), F.col("close").alias("close")))
+    # from the last row backwards the next row that can be sold is the last one met
+    back = Window.partitionBy(SYM).orderBy(F.desc(T)).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.last(sellable, ignorenulls=True).over(back)
+    panel = panel.withColumns({"buyable": there & ~up, "__next": first, "__end": F.first(F.struct(F.col(T).alias("t"), F.col("close").alias("close"))).over(back)})
+    found = F.coalesce("__next", "__end")
+    return panel.withColumns(
+        {"next_sell": found["t"], "next_price": found["close"], "never_sold": F.col("__next").isNull()}
+    ).drop("__next", "__end")
 
 
 def trades(panel: DataFrame, step: int = FWD, limit: float = 0.1, delay: bool = True, ban: bool = True) -> DataFrame:
@@ -42,12 +48,10 @@ def trades(panel: DataFrame, step: int = FWD, limit: float = 0.1, delay: bool =
     frame = with_tradability(panel, limit)
     due = F.lead("next_sell", 1 + step).over(line()) if delay else F.when(F.lead(T, 1 + step).over(line()).isNotNull(), F.col(T) + 1 + step)
     can = F.coalesce(F.lead("buyable", 1).over(line()), F.lit(False)) if ban else F.lit(True)
-    frame = frame.withColumns({"buy": F.lead("close", 1).over(line()), "can": can & due.isNotNull(), "sell_at": due})
+    sold = F.lead("next_price" if delay else "close", 1 + step).over(line())
+    frame = frame.withColumns({"buy": F.lead("close", 1).over(line()), "can": can & due.isNotNull(), "sell_at": due, "sold": sold}).drop("next_price")
     if "mktcap" in panel.columns:
         frame = frame.withColumn("cap", F.lead("mktcap", 1).over(line()))
-    # the price at the selling row is looked up by an equi-join on (sym, t); rows that are sold together share it
-    at = frame.select(SYM, F.col(T).alias("sell_at"), F.col("close").alias("sold"))
-    frame = frame.join(at, [SYM, "sell_at"], "left")
     return frame.withColumn("ret", F.when(F.col("can") & (F.col("buy") > 0), F.try_divide("sold", "buy") - 1))
 
 
@@ -71,7 +75,19 @@ def periods(
     meant to be held, or with ``actual`` of those that could be bought.  ``cash`` is the share invested; ``weight`` adds the pool's
     return weighted by that column, and the excess over it.
     """
-    pool = chosen(rows, step, least, by_pct)
+    return _of_pool(_kept(rows, step, least, by_pct, weight), cost, least_top, least_pool, weight, cash, actual)
+
+
+def _kept(rows: DataFrame, step: int, least: int, by_pct: bool, weight: str | None) -> DataFrame:
+    """The :func:`chosen` rows, which are a part of all, kept at once: what is made of them more than once doesn't make the panel again."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    more = [c for c in dict.fromkeys(("date", weight)) if c in rows.columns]
+    return chosen(rows.select(SYM, T, "f", "can", "ret", *more), step, least, by_pct).checkpoint()
+
+
+def _of_pool(
+    pool: DataFrame, cost: float = 0.004, least_top: int = 10, least_pool: int = 50, weight: str | None = None, cash: float = 1.0, actual: bool = False,
+) -> DataFrame:
     held = F.col("top") & F.col("can") if actual else F.col("top")
     count = lambda c: F.count(F.when(c, F.lit(1)))
     aggs = [
@@ -82,7 +98,7 @@ def periods(
         both = F.col(weight).isNotNull() & F.col("ret").isNotNull()
         total = F.sum(F.when(both, F.col(weight)))
         aggs.append(F.when(total > 0, F.try_divide(F.sum(F.when(both, F.col(weight) * F.col("ret"))), total)).alias("pool_ret_w"))
-    if "date" in rows.columns:
+    if "date" in pool.columns:
         aggs.append(F.max("date").alias("date"))
     per = pool.groupBy(T).agg(*aggs)
     per = per.where(
@@ -204,7 +220,21 @@ def record(
 
     ``rows`` come from :func:`trades`, with ``date``.
     """
-    per = periods(rows, step, cost, weight=weight, cash=cash, by_pct=by_pct, actual=actual, **least)
+    ensure_checkpoint_dir(rows.sparkSession)
+    names = least.pop("least", 100)
+    if daily:
+        rows = rows.select(SYM, T, "f", "can", "ret", "close", "date", *([weight] if weight else [])).checkpoint()
+    pool = _kept(rows, step, names, by_pct, weight)
+    per = _of_pool(pool, cost, weight=weight, cash=cash, actual=actual, **least)
+    out = figures_of(per, step, year, least_periods, weight)
+    if daily:
+        out = out.crossJoin(daily_figures(daily_marks(rows, per, pool, step, cost, cash), year))
+        out = out.withColumns({"calmar_d": _calmar("ann_ex", "dd_d"), "calmar_top_d": _calmar("ann_top", "dd_top_d")})
+    return out
+
+
+def figures_of(per: DataFrame, step: int = FWD, year: int = YEAR, least_periods: int = 30, weight: str | None = "cap") -> DataFrame:
+    """:func:`record` of given :func:`periods`, without the daily risk."""
     cols = ["excess", "net", "market"] + (["excess_w", "market_w"] if weight else [])
     out = _summary(per.select(T, "turn", *cols), cols, [T], step / year).where(F.col("periods") >= least_periods)
     figures = [
@@ -224,14 +254,9 @@ def record(
     out = out.select(*figures)
     years = yearly(per).agg(F.sort_array(F.collect_list(F.struct("year", "excess")), asc=False).alias("y"))
     last = F.get("y", F.lit(0))["excess"]
-    out = out.crossJoin(
+    return out.crossJoin(
         years.select(
             last.alias("last_yr"), F.coalesce(F.get("y", F.lit(1))["excess"], last).alias("last2_yr"),
             F.size(F.filter("y", lambda x: x["excess"] <= -0.02)).alias("bad_years"),
         )
     )
-    if daily:
-        marks = daily_marks(rows, per, chosen(rows, step, least.get("least", 100), by_pct), step, cost, cash)
-        out = out.crossJoin(daily_figures(marks, year))
-        out = out.withColumns({"calmar_d": _calmar("ann_ex", "dd_d"), "calmar_top_d": _calmar("ann_top", "dd_top_d")})
-    return out
