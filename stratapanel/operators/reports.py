@@ -191,17 +191,21 @@ def picks(rows: DataFrame, at: int, n: int, member: Column | None = None, limit:
 def combo_check(rows: DataFrame, pools: dict[str, Column], limit: float = 0.1, k: int = 3, **how) -> DataFrame:
     """A factor in several pools, ranked inside each: its figures against the even and the weighted market, the size tilt, how many of ``k``
     segments are positive, and whether it decays (the last segment below 0.6 of the first)."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    step, year, least_periods = how.get("step", bt.FWD), how.pop("year", bt.YEAR), how.pop("least_periods", 30)
+    # pools differ in the factor alone, so trades are made once, and kept for the rebalancing dates
+    traded = ev.on_grid(bt.trades(rows, step, limit).withColumns({f"__in{i}": m for i, m in enumerate(pools.values())}), step)
+    traded = traded.select(SYM, T, "date", "f", "can", "ret", "cap", *[f"__in{i}" for i in range(len(pools))]).checkpoint()
     out = None
-    for name, member in pools.items():
-        traded = bt.trades(restricted(rows, member), limit=limit)
-        least = {c: v for c, v in how.items() if c != "least_periods"}
-        part = bt.segments(bt.periods(traded, **least), k).agg(
+    for i, name in enumerate(pools):
+        per = bt.periods(restricted(traded, F.col(f"__in{i}")), weight="cap", **how)
+        part = bt.segments(per, k).agg(
             F.count(F.when(F.col("excess") > 0, 1)).alias("positive"),
             (
                 F.max(F.when(F.col("segment") == k, F.col("excess"))) < 0.6 * F.max(F.when(F.col("segment") == 1, F.col("excess")))
             ).alias("decays"),
         )
-        found = bt.record(traded, daily=False, **how).select(
+        found = bt.figures_of(per, step, year, least_periods).select(
             F.lit(name).alias("pool"), "ann_ex", "ann_ex_cw", "tilt", "calmar", "calmar_cw", "sharpe", "dd", "turn",
         ).crossJoin(part)
         out = found if out is None else out.unionByName(found)

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from stratapanel.operators import backtest as bt
+from stratapanel.operators import reports as rp
 
 LEAST = {"least": 30, "least_top": 2, "least_pool": 10, "least_periods": 2}
 SYMS, DATES = 80, 40
@@ -29,3 +31,10 @@ def test_a_record_makes_the_panel_once(spark):
     rows, seen = counted(spark)
     assert bt.record(bt.trades(rows, limit=0.5), **LEAST).count() == 1
     assert seen.value == SYMS * DATES
+
+
+def test_pools_share_their_trades(spark):
+    rows, seen = counted(spark)
+    pools = {"all": F.lit(True), "some": F.col("pool") < 2}
+    assert rp.combo_check(rows, pools, 0.5, **LEAST).count() == 2
+    assert seen.value == SYMS * DATES
