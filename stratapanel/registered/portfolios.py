@@ -139,18 +139,20 @@ SELECT CAST(ep AS BIGINT) AS t, unnest(ids) AS id, {r('1.0::DOUBLE / len(ids)')}
 def combine_choice(spark, sf_dir):
     """Four factors combined by the streams of their best names that are unlike each other, evaluated every ten months, and the backtest of it beside
     that of even weights; weights, combination and record are tested on their own."""
+    ensure_checkpoint_dir(spark)
     names = ["f", "g", "h", "k"]
     rows = base_rows(spark, sf_dir, extra={"g": "neg(ts_mean10(ret))", "h": "ts_mean10(intraday)", "k": "neg(ts_std20(ret))"})
-    ranks = rows.withColumns({c: cs.cs_rank(F.col(c)) for c in names})
+    # schemes differ in the factor alone, so trades are made once, and with the ranks are kept
+    ranks = bt.trades(rows).withColumns({c: cs.cs_rank(F.col(c)) for c in names}).select(SYM, T, "date", "r", "can", "ret", "cap", *names).checkpoint()
     best = [F.avg(F.when(F.col(c) > 0.8, F.col("r"))) - F.avg("r") for c in names]
     per = on_grid(ranks, 1).where("r is not null").groupBy(T).agg(*[b.alias(c) for b, c in zip(best, names, strict=True)])
     streams_ = per.select(T, F.explode(F.array(*[F.struct(F.lit(c).alias("id"), F.col(c).alias("x")) for c in names])).alias("s")).select("s.id", F.col(T).cast("long").alias(T), "s.x").where("x is not null")
     weights = pf.unlike_weights(streams_, 10, 40, 10, 0.5)
-    schemes = {"choice": cb.combine_by_choice(ranks, weights, names), "even": cb.combine_equal(ranks, names)}
+    grid = on_grid(ranks)
+    schemes = {"choice": cb.combine_by_choice(grid, weights, names), "even": cb.combine_equal(grid, names)}
     out = None
     for name, made in schemes.items():
-        traded = bt.trades(made.withColumn("f", cs.cs_rank(F.col("combo"))))
-        found = bt.record(traded, daily=False, least=30, least_top=3, least_pool=20, least_periods=3).select(F.lit(name).alias("scheme"), *[rounded(F.col(c)).alias(c) for c in ("ann_ex", "calmar", "sharpe", "dd", "turn")])
+        found = bt.record(made.withColumn("f", cs.cs_rank(F.col("combo"))), daily=False, least=30, least_top=3, least_pool=20, least_periods=3).select(F.lit(name).alias("scheme"), *[rounded(F.col(c)).alias(c) for c in ("ann_ex", "calmar", "sharpe", "dd", "turn")])
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.operators import backtest as bt
 from stratapanel.operators import reports as rp
+from stratapanel.registered import portfolios
 
 LEAST = {"least": 30, "least_top": 2, "least_pool": 10, "least_periods": 2}
 SYMS, DATES = 80, 40
@@ -38,3 +39,10 @@ def test_pools_share_their_trades(spark):
     pools = {"all": F.lit(True), "some": F.col("pool") < 2}
     assert rp.combo_check(rows, pools, 0.5, **LEAST).count() == 2
     assert seen.value == SYMS * DATES
+
+
+def test_schemes_share_their_trades(spark, monkeypatch):
+    calls, trades = [], bt.trades
+    monkeypatch.setattr(bt, "trades", lambda *a, **k: calls.append(1) or trades(*a, **k))
+    assert len(portfolios.combine_choice(spark, "/root/testdata/sf0.01").columns) == 6
+    assert len(calls) == 1
